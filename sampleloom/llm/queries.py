@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from .langid import op2_language_id
 from .ogg import op1_ogg
 
-QUERIES = {"op1_ogg": op1_ogg}
+QUERIES = {"op1_ogg": op1_ogg, "op2_language_id": op2_language_id}
 ORACLES: dict[str, str] = {}
