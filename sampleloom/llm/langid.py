@@ -85,7 +85,8 @@ class Words:
         c = np.where(inside, fold[raw], np.uint32(0)).astype(np.uint32)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
         self.start, self.end = edges[::2], edges[1::2]
-        c1, c2 = np.concatenate([[0], c[:-1]]).astype(np.uint32), np.concatenate([[0, 0], c[:-2]]).astype(np.uint32)
+        before = np.concatenate([np.zeros(2, np.uint32), c])
+        c1, c2 = before[1:-1], before[:-2].copy()
         c2[c1 == 0] = 0
         mixed = c * np.uint32(0x9E3779B1) + c1 * np.uint32(0x85EBCA77) + c2 * np.uint32(0xC2B2AE3D)
         mixed ^= mixed >> np.uint32(15)

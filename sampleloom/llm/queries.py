@@ -1,7 +1,9 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
 from .langid import op2_language_id
+from .length_buckets import op9_length_buckets
 from .ogg import op1_ogg
+from .pareto_mix import OP7_SQL, op7_pareto_mix
 
-QUERIES = {"op1_ogg": op1_ogg, "op2_language_id": op2_language_id}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_ogg": op1_ogg, "op2_language_id": op2_language_id, "op7_pareto_mix": op7_pareto_mix, "op9_length_buckets": op9_length_buckets}
+ORACLES: dict[str, str] = {"op7_pareto_mix": OP7_SQL}
