@@ -2,8 +2,9 @@
 
 from .langid import op2_language_id
 from .length_buckets import op9_length_buckets
+from .license_digest import OP8_SQL, op8_license_digest
 from .ogg import op1_ogg
 from .pareto_mix import OP7_SQL, op7_pareto_mix
 
-QUERIES = {"op1_ogg": op1_ogg, "op2_language_id": op2_language_id, "op7_pareto_mix": op7_pareto_mix, "op9_length_buckets": op9_length_buckets}
-ORACLES: dict[str, str] = {"op7_pareto_mix": OP7_SQL}
+QUERIES = {"op1_ogg": op1_ogg, "op2_language_id": op2_language_id, "op7_pareto_mix": op7_pareto_mix, "op8_license_digest": op8_license_digest, "op9_length_buckets": op9_length_buckets}
+ORACLES: dict[str, str] = {"op7_pareto_mix": OP7_SQL, "op8_license_digest": OP8_SQL}
