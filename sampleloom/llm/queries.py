@@ -1,10 +1,20 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from .credential_scan import op3_secret_scan
 from .langid import op2_language_id
 from .length_buckets import op9_length_buckets
 from .license_digest import OP8_SQL, op8_license_digest
 from .ogg import op1_ogg
 from .pareto_mix import OP7_SQL, op7_pareto_mix
+from .rule_ensemble import op10_rule_ensemble
 
-QUERIES = {"op1_ogg": op1_ogg, "op2_language_id": op2_language_id, "op7_pareto_mix": op7_pareto_mix, "op8_license_digest": op8_license_digest, "op9_length_buckets": op9_length_buckets}
+QUERIES = {
+    "op1_ogg": op1_ogg,
+    "op2_language_id": op2_language_id,
+    "op3_secret_scan": op3_secret_scan,
+    "op7_pareto_mix": op7_pareto_mix,
+    "op8_license_digest": op8_license_digest,
+    "op9_length_buckets": op9_length_buckets,
+    "op10_rule_ensemble": op10_rule_ensemble,
+}
 ORACLES: dict[str, str] = {"op7_pareto_mix": OP7_SQL, "op8_license_digest": OP8_SQL}
