@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex", "format")
 #: Documents that are looked through for labelled credentials, and distinct values and tokens that are learned from.
 SAMPLE_DOCS = 20_000
 LABELLED = 1500
-BACKGROUND = 6000
+BACKGROUND = 3000
 LEAST_LABELLED = 20
 ALPHA = 0.05
 #: Nats by which a format must beat the background, in all and for each character.
