@@ -7,11 +7,13 @@ from .license_digest import OP8_SQL, op8_license_digest
 from .ogg import op1_ogg
 from .pareto_mix import OP7_SQL, op7_pareto_mix
 from .rule_ensemble import op10_rule_ensemble
+from .setsketch import op5_near_duplicates
 
 QUERIES = {
     "op1_ogg": op1_ogg,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_pareto_mix": op7_pareto_mix,
     "op8_license_digest": op8_license_digest,
     "op9_length_buckets": op9_length_buckets,
