@@ -4,6 +4,7 @@ from .credential_scan import op3_secret_scan
 from .langid import op2_language_id
 from .length_buckets import op9_length_buckets
 from .license_digest import OP8_SQL, op8_license_digest
+from .multiprobe import op4_multiprobe
 from .ogg import op1_ogg
 from .pareto_mix import OP7_SQL, op7_pareto_mix
 from .rule_ensemble import op10_rule_ensemble
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_ogg": op1_ogg,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_multiprobe": op4_multiprobe,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_pareto_mix": op7_pareto_mix,
     "op8_license_digest": op8_license_digest,
