@@ -7,6 +7,7 @@ from .license_digest import OP8_SQL, op8_license_digest
 from .multiprobe import op4_multiprobe
 from .ogg import op1_ogg
 from .pareto_mix import OP7_SQL, op7_pareto_mix
+from .repair import op6_repair
 from .rule_ensemble import op10_rule_ensemble
 from .setsketch import op5_near_duplicates
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_multiprobe": op4_multiprobe,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_repair": op6_repair,
     "op7_pareto_mix": op7_pareto_mix,
     "op8_license_digest": op8_license_digest,
     "op9_length_buckets": op9_length_buckets,
