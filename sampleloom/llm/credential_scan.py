@@ -221,10 +221,14 @@ def scan(docs: DataFrame, formats: Formats, key: str = "doc_id") -> DataFrame:
     return docs.select(key, "text").mapInArrow(run, f"key {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_format bigint, base_sha256 string, spans string").withColumnRenamed("key", key)
 
 
-def redact(docs: DataFrame, formats: Formats, mark: str = "<secret>") -> DataFrame:
-    """The same rows and columns with every span of ``text`` replaced by ``mark``; texts without spans stay as they are."""
+def redact(docs: DataFrame, formats: Formats, mark: str = "<secret>", length: str | None = None) -> DataFrame:
+    """The same rows and columns with every span of ``text`` replaced by ``mark``; texts without spans stay as they are.
+
+    ``length`` names a column that follows the changed texts' lengths.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(formats)
     place = docs.columns.index("text")
+    counted = docs.columns.index(length) if length else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,6 +242,9 @@ def redact(docs: DataFrame, formats: Formats, mark: str = "<secret>") -> DataFra
                         parts += [text[at:a], mark]
                     at = e
                 out.append("".join([*parts, text[at:]]) if parts else text)
+            if counted is not None:
+                sizes = [n if x == y else len(y) for x, y, n in zip(b.column(place).to_pylist(), out, b.column(counted).to_pylist())]
+                b = b.set_column(counted, b.schema.field(counted), pa.array(sizes, b.schema.field(counted).type))
             yield b.set_column(place, b.schema.field(place), pa.array(out, b.schema.field(place).type))
 
     return docs.mapInArrow(run, docs.schema)

@@ -200,23 +200,41 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b)
-            order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-            out, part, size = [None] * len(texts), [], 0
-            for i in [*order, None]:
-                if part and (i is None or size + len(texts[i]) > BLOCK_CHARS):
-                    for j, row in zip(part, label(shared.value, [texts[j] for j in part])):
-                        out[j] = row
-                    part, size = [], 0
-                if i is not None:
-                    part.append(i)
-                    size += len(texts[i])
+            out = labelled(shared.value, texts_of(b))
             cols = list(zip(*out)) or [[]] * 3
             yield pa.record_batch([b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string())], ["key", "lang_pred", "score", "spans"])
 
     return docs.select(key, "text").mapInArrow(run, f"key {kind}, lang_pred string, score double, spans string").withColumnRenamed("key", key)
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows, all columns as they are, whose text has a language with a score of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = labelled(shared.value, [x or "" for x in b.column(place).to_pylist()])
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def labelled(model: Model, texts: list[str]) -> list[tuple[str, float, str]]:
+    """Language, score and spans of each text; texts of like lengths are worked on together, in bounded blocks."""
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    out, part, size = [("und", 0.0, "")] * len(texts), [], 0
+    for i in [*order, None]:
+        if part and (i is None or size + len(texts[i]) > BLOCK_CHARS):
+            for j, row in zip(part, label(model, [texts[j] for j in part])):
+                out[j] = row
+            part, size = [], 0
+        if i is not None:
+            part.append(i)
+            size += len(texts[i])
+    return out
+
+
 def label(model: Model, texts: list[str]) -> list[tuple[str, float, str]]:
     """Language, score and spans of each text."""
     out = [("und", 0.0, "")] * len(texts)

@@ -115,6 +115,17 @@ def mix(docs: DataFrame, key: str = "doc_id", weight: Column | None = None, weig
     return sample(slim, sources, small).withColumnRenamed("key", key)
 
 
+def repeated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The rows of the mix, all columns as they are, each as often as the mix takes it.
+
+    Equal ids with equal texts of one source are the same row here; their copies are added.
+    """
+    copies = mix(docs, key, **options).groupBy(F.col(key).alias("_k"), F.col("tie").alias("_t"), F.col("source").alias("_s")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumn("_tie", F.xxhash64("text")).dropDuplicates([key, "_tie", "source"])
+    met = rows.join(copies, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_tie") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix of all sources takes."""
     mixed = mix(table(spark, sf_dir, "documents"))

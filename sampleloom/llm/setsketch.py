@@ -355,6 +355,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows, all columns as they are, that stand for their components; of repeated rows (equal id and text) one stays."""
+    kept = store(near_duplicates(docs, key).where("kept").select(F.col(key).alias("_kept")).distinct(), "kept")
+    rows = docs.withColumn("_hash", F.xxhash64("text")).join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.dropDuplicates([key, "_hash"]).select(docs.columns)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles, component and survival of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
