@@ -153,16 +153,22 @@ def route(buses: DataFrame, edges: list[tuple[int, int, float]]) -> DataFrame:
     return total.select("bus", "channel", "frame", f32(F.col("x")).alias("sample"))
 
 
-def solo_edges(edges: DataFrame, soloed: DataFrame, depth: int = 16) -> DataFrame:
-    """Edges (src, dst) that sound while buses are soloed: those below a soloed bus, and those on a way to one."""
+#: A graph of buses is a setting, not data: no more routes than this are allowed.
+MAX_ROUTES = 1024
 
-    def closure(step_from: str, step_to: str) -> DataFrame:
-        found = soloed.select("bus").distinct()
-        for _ in range(depth):
-            found = found.unionByName(edges.join(found, edges[step_from] == found.bus).select(F.col(step_to).alias("bus"))).distinct()
-        return found
 
-    down, up = closure("src", "dst"), closure("dst", "src")
-    is_in = lambda df, c: edges.join(df.withColumnRenamed("bus", c), c, "left_semi").select("src", "dst")
-    toward = is_in(up, "src").intersect(is_in(up, "dst"))
-    return is_in(down, "src").union(toward).distinct()
+def solo_edges(edges: DataFrame, soloed: list[int]) -> DataFrame:
+    """Edges (src, dst) that sound while buses are soloed: those below a soloed bus, and those on a way to one."""
+    routes = [tuple(r) for r in edges.select("src", "dst").distinct().limit(MAX_ROUTES + 1).collect()]
+    if len(routes) > MAX_ROUTES:
+        raise ValueError(f"more than {MAX_ROUTES} routes")
+
+    def closure(pairs: list[tuple[int, int]]) -> list[int]:
+        found = set(soloed)
+        while more := {d for s, d in pairs if s in found} - found:
+            found |= more
+        return sorted(found)
+
+    down, up = closure(routes), closure([(d, s) for s, d in routes])
+    src, dst = F.col("src"), F.col("dst")
+    return edges.where(src.isin(down) | (src.isin(up) & dst.isin(up))).select("src", "dst").distinct()

@@ -107,9 +107,9 @@ def trim_silence(spark, d):
 
 @query(
     "boundary_steps",
-    f"""WITH {EMB_SQL}, q AS (SELECT DISTINCT clip, 1 AS request, 16 AS at FROM frames UNION ALL SELECT DISTINCT clip, 2, 48 FROM frames)
+    f"""WITH {EMB_SQL}, q AS (SELECT DISTINCT clip, 1 AS request, 16 AS place FROM frames UNION ALL SELECT DISTINCT clip, 2, 48 FROM frames)
 SELECT q.clip, request, f.channel, round(CAST(p.sample AS DOUBLE), 6) + 0.0 AS before, round(CAST(f.sample AS DOUBLE), 6) + 0.0 AS after, round(CAST(f.sample AS DOUBLE) - CAST(p.sample AS DOUBLE), 6) + 0.0 AS step
-FROM q JOIN frames f ON f.clip = q.clip AND f.frame = at JOIN frames p ON p.clip = q.clip AND p.channel = f.channel AND p.frame = at - 1""",
+FROM q JOIN frames f ON f.clip = q.clip AND f.frame = place JOIN frames p ON p.clip = q.clip AND p.channel = f.channel AND p.frame = place - 1""",
 )
 def boundary_steps(spark, d):
     frames = b.emb_frames(spark, d)
