@@ -9,8 +9,8 @@ step a shingle.
 
 The steps: (1) texts with equal sets become one class, (2) its register values are banded, (3) each bucket of a band
 compares its first member with the others, so a bucket of n costs n - 1 pairs, (4) buckets that still hold several
-components compare their strays with the other members inside bounded blocks, so no pair is missed and none is emitted
-that the sketches rule out, (5) pairs whose jointly estimated similarity could reach the threshold are verified on full
+components compare their strays with the other members inside bounded blocks, the best pairs of each stray first and at
+last all, so no pair is missed and none is emitted that the sketches rule out, (5) pairs whose jointly estimated similarity could reach the threshold are verified on full
 sets, best estimates first and only between different components, and (6) links become components by alternating star
 operations. Nothing is collected. A pair at the threshold shares no band with probability 5e-6, and less beyond it.
 
@@ -288,8 +288,9 @@ def _best_of(by: str) -> WindowSpec:
     return Window.partitionBy(by).orderBy(F.col("estimate").desc(), "a")
 
 
-def stray_pairs(buckets: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b, estimate) of members of a bucket that are in different components, where the estimate may reach the threshold.
+def stray_pairs(buckets: DataFrame, comp: DataFrame, reps: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b, estimate) of members of a bucket that are in different components, where the estimate may reach the threshold;
+    with ``most``, only so many of the best for each stray and block.
 
     Strays, the members outside a bucket's largest component, meet all members in blocks of at most about ``BLOCK`` by
     ``BLOCK``; a pair is given by the first band that it shares.
@@ -325,7 +326,9 @@ def stray_pairs(buckets: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFra
             may, same = may[first == band], same[first == band]
             more, equal = (x[i] > y[may]).sum(1), same.sum(1)
             e = estimate(more, same.shape[1] - more - equal, equal, np.full(len(may), float(nx[i])), ny[may].astype(float))
-            ok = e >= PERCENT / 100 - SLACK
+            ok = np.flatnonzero(e >= PERCENT / 100 - SLACK)
+            if most and len(ok) > most:
+                ok = ok[np.argpartition(-e[ok], most)[:most]]
             out.append(pd.DataFrame({"a": iy[may[ok]], "b": ix[i], "estimate": e[ok]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "estimate": []})
 
@@ -348,7 +351,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     texts = store(docs.select(F.col(key).cast("bigint").alias("id"), "text").join(involved, "id").dropDuplicates(["id"]), "texts")
     linker = Linker(texts)
     linker.connect(stars)
-    linker.connect(stray_pairs(buckets.select("band", "value", "id", "n"), linker.comp, reps).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    # The best pairs of each stray first: most strays of a crowd join its component by them, and their other pairs are spared.
+    tried = stars.select("a", "b")
+    for most in (2, 16, None):
+        strays = stray_pairs(buckets.select("band", "value", "id", "n"), linker.comp, reps, most)
+        strays = store(strays.join(tried, ["a", "b"], "left_anti"), "strays")
+        linker.connect(strays)
+        tried = tried.unionByName(strays.select("a", "b"))
     labelled = relabel(reps.select("digest", "id"), linker.comp, "id").select("digest", F.col("cid").alias("component"))
     joined = made.select("id", "n", "digest").join(labelled, "digest", "left")
     component = F.coalesce("component", "id")
