@@ -23,9 +23,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ BASE, RATE = 1.001, 20.0
 SLACK = 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Most members of one side of a block that is compared in one go.
 BLOCK = 256
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -65,7 +65,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, int, int]:
     return mix64((fold + np.uint64(1)) * _GOLD), word, base, pow(base, -1, 1 << 64)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     _, _, base, inverse = _tables()
     run = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)]))
@@ -264,22 +264,20 @@ class Linker:
     def __init__(self, texts: DataFrame):
         self.texts, self.links, self.comp = texts, None, texts.sparkSession.createDataFrame([], "id bigint, component bigint")
 
-    def connect(self, pairs: DataFrame) -> None:
-        """Verifies pairs (a, b, estimate) between different components, the best of each b first."""
-        pairs = store(pairs, "pairs")
-        for most in (1, 8, None):
-            pairs = relabel(relabel(pairs, self.comp, "a"), self.comp, "b").where("ca <> cb").select("a", "b", "estimate")
+    def connect(self, pairs: DataFrame, turns: tuple = (None,)) -> None:
+        """Verifies pairs (a, b, estimate) between different components; in each turn so many of the best of each b, at last all."""
+        for most in turns:
+            if pairs.isEmpty():
+                return
+            apart = relabel(relabel(pairs, self.comp, "a"), self.comp, "b").where("ca <> cb").select("a", "b", "estimate")
+            now = apart
             if most:
-                rank = F.row_number().over(_best_of("b"))
-                pairs = store(pairs.withColumn("rank", rank), "pairs")
-                now, pairs = pairs.where(F.col("rank") <= most), pairs.where(F.col("rank") > most).drop("rank")
-            else:
-                now = pairs
+                ranked = store(apart.withColumn("rank", F.row_number().over(_best_of("b"))), "pairs")
+                now, pairs = ranked.where(F.col("rank") <= most), ranked.where(F.col("rank") > most).drop("rank")
             found = store(verified(now, self.texts), "links")
-            if found.isEmpty():
-                continue
-            self.links = found if self.links is None else store(self.links.unionByName(found), "links")
-            self.comp = components(self.links)
+            if not found.isEmpty():
+                self.links = found if self.links is None else store(self.links.unionByName(found), "links")
+                self.comp = components(self.links)
 
 
 def _best_of(by: str) -> WindowSpec:
@@ -308,13 +306,12 @@ def stray_pairs(buckets: DataFrame, comp: DataFrame, reps: DataFrame, most: int
     left = member.where("cid <> main").select(*columns, F.lit(0).alias("side"), part(strays).alias("x"), each(F.col("size")).alias("y"))
     right = member.select(*columns, F.lit(1).alias("side"), part(F.col("size")).alias("y"), each(strays).alias("x"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        band = int(rows.band.iloc[0])
-        sides = [rows[rows.side == s] for s in (0, 1)]
-        if not len(sides[0]) or not len(sides[1]):
-            return pd.DataFrame({"a": [], "b": [], "estimate": []})
-        x, y = (np.frombuffer(b"".join(s.registers), np.uint16).reshape(len(s), -1) for s in sides)
-        (ix, iy), (nx, ny), (cx, cy) = ([s[c].to_numpy() for s in sides] for c in ("id", "n", "cid"))
+    def compare(band: int, side: np.ndarray, registers: list, ids: np.ndarray, ns: np.ndarray, comps: np.ndarray) -> list[tuple]:
+        mine, other = side == 0, side == 1
+        if not mine.any() or not other.any():
+            return []
+        every = np.frombuffer(b"".join(registers), np.uint16).reshape(len(side), -1)
+        (x, y), (ix, iy), (nx, ny), (cx, cy) = ((v[mine], v[other]) for v in (every, ids, ns, comps))
         out = []
         for i in range(len(ix)):
             low, high = np.minimum(ny, nx[i]), np.maximum(ny, nx[i])
@@ -329,10 +326,29 @@ def stray_pairs(buckets: DataFrame, comp: DataFrame, reps: DataFrame, most: int
             ok = np.flatnonzero(e >= PERCENT / 100 - SLACK)
             if most and len(ok) > most:
                 ok = ok[np.argpartition(-e[ok], most)[:most]]
-            out.append(pd.DataFrame({"a": iy[may[ok]], "b": ix[i], "estimate": e[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "estimate": []})
+            out.append((iy[may[ok]], np.full(len(ok), ix[i]), e[ok]))
+        return out
 
-    found = left.unionByName(right).groupBy("band", "value", "x", "y").applyInPandas(run, "a bigint, b bigint, estimate double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of their blocks; a block that goes on in the next batch is carried over."""
+        held: pa.Table | None = None
+        for b in chain(batches, [None]):
+            t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if t is None or not t.num_rows:
+                continue
+            k = np.stack([t.column(c).to_numpy() for c in ("band", "value", "x", "y")], 1)
+            cut = [*np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1)])).tolist(), t.num_rows]
+            done = len(cut) - 1 if b is None else len(cut) - 2
+            held = None if b is None else t.slice(cut[-2])
+            side, ids, ns, comps = (t.column(c).to_numpy() for c in ("side", "id", "n", "cid"))
+            registers, out = t.column("registers").slice(0, cut[done]).to_pylist(), []
+            for a, e in zip(cut[:done], cut[1 : done + 1]):
+                out += compare(int(k[a, 0]), side[a:e], registers[a:e], ids[a:e], ns[a:e], comps[a:e])
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(v)) for v in zip(*out)], ["a", "b", "estimate"])
+
+    blocks_of = left.unionByName(right).repartition("band", "value", "x", "y").sortWithinPartitions("band", "value", "x", "y")
+    found = blocks_of.mapInArrow(run, "a bigint, b bigint, estimate double")
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("estimate").alias("estimate"))
 
 
@@ -350,10 +366,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     involved = buckets.select("id").distinct()
     texts = store(docs.select(F.col(key).cast("bigint").alias("id"), "text").join(involved, "id").dropDuplicates(["id"]), "texts")
     linker = Linker(texts)
-    linker.connect(stars)
+    linker.connect(stars, (1, None))
     # The best pairs of each stray first: most strays of a crowd join its component by them, and their other pairs are spared.
     tried = stars.select("a", "b")
-    for most in (2, 16, None):
+    for most in (2, None):
         strays = stray_pairs(buckets.select("band", "value", "id", "n"), linker.comp, reps, most)
         strays = store(strays.join(tried, ["a", "b"], "left_anti"), "strays")
         linker.connect(strays)
