@@ -20,6 +20,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ BLOCK_TOKENS = 1 << 19
 ROUNDS, PAIRS = 10, 256
 #: A pair is frequent if it occurs so often, and at least once in so many symbols.
 LEAST, SHARE = 8, 8192
-CACHE = 400_000
+CACHE = 1_000_000
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIB")  # magic, first nonterminal, rules, symbols, documents, bytes of a symbol
 
@@ -54,6 +55,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # Words are encoded many at a time, with a special token between them, which ends whatever stands before it.
+        self.mark = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip)), None)
+        self.marked = self.tokenizer.token_to_id(self.mark) if self.mark else None
         self._forget()
 
     def _forget(self) -> None:
@@ -63,16 +67,32 @@ class Encoder:
         """All ids one after the other, each text's followed by ``end``, and how many each text has."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         words = pc.split_pattern_regex(pc.replace_substring_regex(texts, _CUT, "\\1 \\2\\3"), "[ \\t\\n\\r]+")
-        each = words.flatten().dictionary_encode()
+        flat_words = words.flatten()
+        if self.mark and not pc.any(pc.match_substring(texts, self.mark[:2])).as_py():
+            flat_words = pc.ascii_lower(flat_words)  # the tokenizer does so too; marks are spelled in one case only
+        each = flat_words.dictionary_encode()
         distinct, codes = each.dictionary.to_pylist(), each.indices.to_numpy()
         if len(self.known) + len(distinct) > CACHE:
             self._forget()
         new = [w for w in distinct if w not in self.known]
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            # Words that hold a mark's beginning are encoded alone.
+            new.sort(key=lambda w: self.mark is None or self.mark[:2] in w)
+            joined = next((i for i, w in enumerate(new) if self.mark is None or self.mark[:2] in w), len(new))
+            parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+            if joined:
+                groups = [new[i : min(i + 256, joined)] for i in range(0, joined, 256)]
+                ids = np.concatenate([np.array([*e.ids, self.marked], np.uint32) for e in self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)])
+                ends = np.flatnonzero(ids == self.marked)
+                sizes.append(np.diff(ends, prepend=-1) - 1)
+                parts.append(ids[ids != self.marked])
+            for e in self.tokenizer.encode_batch_fast(new[joined:], add_special_tokens=False):
+                parts.append(np.array(e.ids, np.uint32))
+                sizes.append(np.array([len(e.ids)]))
+            sizes = np.concatenate(sizes)
+            assert len(sizes) == len(new)
             self.known.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new))))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, sizes.sum())])
+            self.flat = np.concatenate([self.flat, *parts])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         at = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[codes]
         # The end of a text is a word of its own, taken from one more place.
@@ -84,6 +104,12 @@ class Encoder:
         return ids, np.add.reduceat(size, np.concatenate([[0], np.cumsum(n_words + 1)[:-1]])) if len(texts) else np.zeros(0, np.int64)
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process, so that its words outlast a task."""
+    return Encoder(path)
+
+
 def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places first[i] .. first[i] + size[i] - 1 of all i, one after the other."""
     size = size.astype(np.int64)
@@ -209,7 +235,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, key: str = "
     """Writes the blocks of all documents and returns their table: (shard, block, start, n_tokens, ids, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, block, start = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encode, shard, block, start = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         n_held = 0
 
