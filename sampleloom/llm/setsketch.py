@@ -7,11 +7,11 @@ exponential scale ``floor(1 - log_b x)``, truncated to 16 bits. Sketches of part
 values become likelier with similarity. Since a stream stops once it is beyond every register, long texts cost about one
 step a shingle.
 
-The steps: (1) texts with equal sets become one class, (2) its register values are banded, (3) each bucket of a band
-compares its first member with the others, so a bucket of n costs n - 1 pairs, (4) buckets that still hold several
+The steps: (1) texts with equal sets become one class, (2) its register values are banded, (3) each member is compared
+with the least of the first members of its buckets, so n members cost n pairs, (4) buckets that still hold several
 components compare their strays with the other members inside bounded blocks, the best pairs of each stray first and at
 last all, so no pair is missed and none is emitted that the sketches rule out, (5) pairs whose jointly estimated similarity could reach the threshold are verified on full
-sets, best estimates first and only between different components, and (6) links become components by alternating star
+sets, only between different components, and (6) links become components by alternating star
 operations. Nothing is collected. A pair at the threshold shares no band with probability 5e-6, and less beyond it.
 
 Null and empty texts, and texts of white space, have empty sets, are linked with nothing and stay. Rows with a null id
@@ -27,7 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, small_batches, store, table, texts_of
@@ -264,26 +264,15 @@ class Linker:
     def __init__(self, texts: DataFrame):
         self.texts, self.links, self.comp = texts, None, texts.sparkSession.createDataFrame([], "id bigint, component bigint")
 
-    def connect(self, pairs: DataFrame, turns: tuple = (None,)) -> None:
-        """Verifies pairs (a, b, estimate) between different components; in each turn so many of the best of each b, at last all."""
-        for most in turns:
-            if pairs.isEmpty():
-                return
-            apart = relabel(relabel(pairs, self.comp, "a"), self.comp, "b").where("ca <> cb").select("a", "b", "estimate")
-            now = apart
-            if most:
-                ranked = store(apart.withColumn("rank", F.row_number().over(_best_of("b"))), "pairs")
-                now, pairs = ranked.where(F.col("rank") <= most), ranked.where(F.col("rank") > most).drop("rank")
-            found = store(verified(now, self.texts), "links")
-            if not found.isEmpty():
-                self.links = found if self.links is None else store(self.links.unionByName(found), "links")
-                self.comp = components(self.links)
-
-
-def _best_of(by: str) -> WindowSpec:
-
-
-    return Window.partitionBy(by).orderBy(F.col("estimate").desc(), "a")
+    def connect(self, pairs: DataFrame) -> None:
+        """Verifies the pairs (a, b) between different components."""
+        if pairs.isEmpty():
+            return
+        apart = relabel(relabel(pairs, self.comp, "a"), self.comp, "b").where("ca <> cb").select("a", "b")
+        found = store(verified(apart, self.texts), "links")
+        if not found.isEmpty():
+            self.links = found if self.links is None else store(self.links.unionByName(found), "links")
+            self.comp = components(self.links)
 
 
 def stray_pairs(buckets: DataFrame, comp: DataFrame, reps: DataFrame, most: int | None = None) -> DataFrame:
@@ -296,7 +285,7 @@ def stray_pairs(buckets: DataFrame, comp: DataFrame, reps: DataFrame, most: int
     member = store(relabel(buckets, comp, "id"), "members")
     size = member.groupBy("band", "value", "cid").agg(F.count(F.lit(1)).alias("k"))
     size = size.groupBy("band", "value").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("k", F.col("cid").alias("main"))).alias("top"))
-    mixed = size.where("kinds > 1 and size > 2").select("band", "value", "size", F.col("size").alias("_s"), "top.k", "top.main")
+    mixed = size.where("kinds > 1").select("band", "value", "size", F.col("size").alias("_s"), "top.k", "top.main")
     member = member.join(mixed, ["band", "value"]).join(reps.select("id", "registers"), "id")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     part = lambda n: F.pmod(F.xxhash64("id"), blocks(n).cast("bigint")).cast("int")
@@ -361,12 +350,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     # Buckets of one member go; the first member of the others is compared with the rest.
     heads = banded.groupBy("band", "value").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "value", F.col("head.id").alias("a"), F.col("head.n").alias("na"))
     buckets = store(banded.join(heads, ["band", "value"]), "buckets")
-    stars = buckets.where("id <> a").where(_size_fits("n", "na")).select("a", F.col("id").alias("b")).distinct()
+    # One pair for each member, with the least of its buckets' first members; members of a crowd mostly share it.
+    stars = buckets.where("id <> a").where(_size_fits("n", "na")).groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
     stars = store(with_estimates(stars, reps), "stars")
     involved = buckets.select("id").distinct()
     texts = store(docs.select(F.col(key).cast("bigint").alias("id"), "text").join(involved, "id").dropDuplicates(["id"]), "texts")
     linker = Linker(texts)
-    linker.connect(stars, (1, None))
+    linker.connect(stars)
     # The best pairs of each stray first: most strays of a crowd join its component by them, and their other pairs are spared.
     tried = stars.select("a", "b")
     for most in (2, None):
