@@ -3,7 +3,8 @@
 A text's canonical form is lower-cased, loses its copyright lines, has equivalent spellings unified, and keeps only
 letters, digits and line ends; runs of anything else become one space. The whole canonical text (line ends as spaces)
 and each of its lines are hashed, and digests are matched with those of the known texts, so long texts cost one digest
-and no text is compared with another. Known texts up to ``INLINE_KNOWN`` are held in the expression; more of them are
+and no text is compared with another. The known texts are one-line notices and the full licences of ``licenses``, with and
+without title and appendix (``full_texts``). Known texts up to ``INLINE_KNOWN`` are held in the expression; more of them are
 hash-joined.
 
 Null and empty texts have the digest of the empty text and match nothing; known texts that are empty in canonical form
@@ -12,6 +13,9 @@ are ignored. Repeated rows give equal rows. Ties between licences with equal can
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,14 +77,19 @@ KNOWN = [
     ),
 ]
 
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|©|\(c\))[^\n]*"
+#: What may stand before a notice in its line; what makes a line a notice anywhere; what is a notice only where a paragraph or
+#: the text's second line begins, or after other notices. Wrapped lines of a body that begin with "copyright" are none.
+_LEAD = r"[ \t\r#*/;-]*"
+_YEAR = r"(?:19|20)\d\d"
+SURE_NOTICE = rf"(^|\n){_LEAD}(?:©|(?:copyright[ \t:,-]*(?:©|\(c\))|copyright[ \t:,-]*(?:{_YEAR}|[<\[{{])|\(c\)[ \t:,-]*(?:copyright\b|{_YEAR}|[<\[{{])))[^\n]*"
+FIRST_NOTICE = rf"(^|^[^\n]*\n|\n{_LEAD}\n)(?:{_LEAD}(?:copyright\b(?!\s+(?:holder|owner|notice|law|licen|statement|interest|protect|treat|act\b|and\b|or\b))|\(c\)[^\n]*\b{_YEAR}\b)[^\n]*(?:\n|$))+"
 NOT_KEPT = r"[^\p{L}\p{N}\n]+"
 EDGES = r" *\n[ \n]*"
 
 
 def canonical(text: Column) -> Column:
     """Canonical lines of a text, separated by line ends; no spaces at their edges and no empty lines between."""
-    x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    x = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SURE_NOTICE, "\n"), FIRST_NOTICE, "$1\n")
     x = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(x, NOT_KEPT, " "), "\n", " \n "), F.lit(" "))
     for word, same in EQUIVALENT:
         if word != same:
@@ -92,11 +101,57 @@ def whole(lines: Column) -> Column:
     return F.sha2(F.replace(lines, F.lit("\n"), F.lit(" ")), 256)
 
 
+def unwrapped(lines: Column) -> Column:
+    """The digest by which whole texts are looked up: spellings of two words are unified where a line ended in them, too."""
+    x = F.concat(F.lit(" "), F.replace(lines, F.lit("\n"), F.lit(" ")), F.lit(" "))
+    for word, same in EQUIVALENT:
+        if " " in word:
+            x = F.replace(x, F.lit(f" {word} "), F.lit(f" {same} "))
+    return F.sha2(F.trim(x), 256)
+
+
+#: Other titles of the licences that ``KNOWN`` has in full; the files of ``licenses`` begin with theirs.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "MIT/X11 License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC"],
+}
+#: Wordings that differ between published copies of a text, the first of them in our files: each is tried in all of a text.
+ADDRESS = r"51 Franklin St(?:reet)?, Fifth Floor, Boston, MA\s+02110-1301,?\s+USA"
+ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
+
+
+def _wordings(text: str) -> set[str]:
+    """A body as it is, with other addresses of its publisher, without the one at its top, with other links, without numbers."""
+    found = {text} | {re.sub(ADDRESS, x, text) for x in ADDRESSES}
+    found |= {re.sub(rf"\A\s*(?:{'|'.join(map(re.escape, [*ADDRESSES, '<https://fsf.org/>']))}|{ADDRESS})", "", x) for x in found}
+    if len(text) < 2000:
+        found |= {re.sub(r"(?m)^[ \t]*\d\.", "", x) for x in found}
+    return {re.sub("https?://", way, x) for x in found for way in ("http://", "https://")}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text): every full licence with and without title, "all rights reserved" (short ones) and appendix.
+
+    A file is its titles, one to a paragraph, its body, and its appendix if it has one, separated by lines of ``%%``.
+    """
+    parts = [(k, TITLES[k], [t]) for k, t in KNOWN if "\n" in t]
+    for file in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            titles, *rest = file.read_text(encoding="utf-8").split("\n%%\n")
+            parts.append((file.name[:-4].removesuffix("-Regents"), titles.split("\n\n"), rest))
+    found = set()
+    for name, titles, (body, *appendix) in parts:
+        for text in {x for whole_text in (body, "\n".join([body, *appendix])) for x in _wordings(whole_text)}:
+            for title in ["", *titles]:
+                found |= {(name, f"{title}\n\n{rights}\n\n{text}") for rights in ("", *(["All rights reserved."] if len(body) < 2000 else []))}
+    return sorted(found)
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """(digest, license): digests of known texts, each once."""
-    texts = known if isinstance(known, DataFrame) else spark.createDataFrame(KNOWN if known is None else known, "license string, text string")
+    texts = known if isinstance(known, DataFrame) else spark.createDataFrame([*KNOWN, *full_texts()] if known is None else known, "license string, text string")
     lines = texts.select("license", canonical(F.col("text")).alias("lines")).where("lines <> ''")
-    return lines.groupBy(whole(F.col("lines")).alias("digest")).agg(F.min("license").alias("license"))
+    return lines.groupBy(unwrapped(F.col("lines")).alias("digest")).agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", inline: int = INLINE_KNOWN) -> DataFrame:
@@ -108,12 +163,12 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", inline: int = I
     if len(some) <= inline:
         pairs = F.create_map(*(F.lit(x) for r in some for x in (r.digest, r.license))) if some else F.create_map().cast("map<string,string>")
         named = F.filter(F.transform(lines, lambda l: pairs[F.sha2(l, 256)]), lambda x: x.isNotNull())
-        return found.select(F.col("_key").alias(key), whole(F.col("_lines")).alias("digest"), F.coalesce(pairs[whole(F.col("_lines"))], F.lit("")).alias("license"), F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("notices"))
+        return found.select(F.col("_key").alias(key), whole(F.col("_lines")).alias("digest"), F.coalesce(pairs[unwrapped(F.col("_lines"))], F.lit("")).alias("license"), F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("notices"))
     # Digests of texts and lines meet the known ones in a hash join; only matches are grouped, by key and text.
-    found = found.select("_key", whole(F.col("_lines")).alias("digest"), F.transform(lines, lambda l: F.sha2(l, 256)).alias("_each"))
+    found = found.select("_key", whole(F.col("_lines")).alias("digest"), unwrapped(F.col("_lines")).alias("_whole"), F.transform(lines, lambda l: F.sha2(l, 256)).alias("_each"))
     each = found.select("_key", F.col("digest").alias("_digest"), F.explode(F.array_distinct("_each")).alias("digest")).join(known, "digest")
     notices = each.groupBy(F.col("_key").alias("_k"), F.col("_digest").alias("_d")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    out = found.drop("_each").join(known, "digest", "left").join(notices, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("digest") == F.col("_d")), "left")
+    out = found.drop("_each").join(known.select(F.col("digest").alias("_whole"), "license"), "_whole", "left").join(notices, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("digest") == F.col("_d")), "left")
     return out.select(F.col("_key").alias(key), "digest", F.coalesce("license", F.lit("")).alias("license"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
@@ -122,6 +177,10 @@ def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), known_digests(spark))
 
 
+#: The SQL knows the texts of ``KNOWN`` alone and takes every line that begins with "copyright" for a notice.
+COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|©|\(c\))[^\n]*"
+
+
 def _sql_canonical(x: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     x = f"regexp_replace(lower(coalesce({x}, '')), {q(COPYRIGHT_LINE)}, chr(10), 'g')"

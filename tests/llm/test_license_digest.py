@@ -1,5 +1,7 @@
 import hashlib
+import os
 import re
+import textwrap
 
 from sampleloom.llm import license_digest as ld
 
@@ -60,3 +62,29 @@ def test_empty_tables(spark):
     assert ld.scan(docs.limit(0), ld.known_digests(spark)).count() == 0
     none = ld.known_digests(spark, [("X", " !!! "), ("Y", "(c) 2000")])
     assert {r[2:] for r in rows(ld.scan(docs, none))} == {("", "")}
+
+
+def test_full_licences_in_any_wrapping(spark):
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(" ".join(p.split()), n) for p in re.split(r"\n[ \t]*\n", t))
+    folder = os.path.join(os.path.dirname(ld.__file__), "licenses")
+    rows, want = [], []
+    for name in sorted(os.listdir(folder)):
+        titles, *rest = open(os.path.join(folder, name), encoding="utf-8").read().split("\n%%\n")
+        title, name = titles.split("\n\n")[0], name[:-4].removesuffix("-Regents")
+        for head, tail in (("", ""), (f"{title}\n\nCopyright (c) 2020 Some One\n\n", ""), (title.upper() + "\n", "\n\n".join(["", *rest[1:]]))):
+            for n in (35, 60, 200):  # notices of the appendix keep their lines
+                rows.append((len(rows), head + wrap(rest[0], n) + tail))
+                want.append(name)
+    for n in (30, 47, 60, 79):
+        for title in ("MIT License\n\n", "The MIT License (MIT)\nCopyright The Authors\nCopyright Others\n\n", "# MIT License\n\nCopyright (c) 2020 A\nAll rights reserved.\n\n"):
+            rows.append((len(rows), title + wrap(MIT, n)))
+            want.append("MIT")
+    out = {r.doc_id: r for r in ld.scan(spark.createDataFrame(rows, "doc_id long, text string"), ld.known_digests(spark)).collect()}
+    assert [(i, out[i].license) for i in range(len(rows))] == list(enumerate(want))
+
+
+def test_only_notices_are_left_out(spark):
+    texts = ["a b\ncopyright holders be liable\nc", "a b copyright holders be liable c", "(c) You must retain\nthis", "Copyright 2020 Me\n\nx", "© me\nx", "x\n\nCopyright Me\n", "x"]
+    d = {r.doc_id: r.digest for r in ld.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ld.known_digests(spark)).collect()}
+    assert d[0] == d[1] == sha("a b copyright owners be liable c")
+    assert d[2] == sha("c you must retain this") and {d[3], d[4], d[5]} == {d[6]}
