@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and formats that are inferred from labelled credentials as probabilistic automata.
 
-The values that the patterns find in a bounded, hash-chosen sample of documents are the labelled credentials. For each
-kind, a prefix tree of their character classes is generalised by merging states whose outgoing frequencies are
-statistically compatible (Hoeffding bounds, with their successors), which leaves a small probabilistic automaton; a
-further automaton is learned from other tokens of the same texts. Every long enough token of every whole text is then
+The values that the patterns find in all documents are the labelled credentials, of which each kind learns from a bounded,
+hash-chosen number. For each kind, a prefix tree of their character classes is generalised by merging states whose
+outgoing frequencies are statistically compatible (Hoeffding bounds, with their successors), which leaves a small probabilistic automaton; a
+further automaton is learned from other tokens of hash-chosen texts. Every long enough token of every whole text is then
 scored by how much likelier the best format makes it than the background, and those beyond the threshold add spans of
 kind ``format``. Spans of the patterns always stay; a token that overlaps one of them is not scored again.
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, store, table, texts_of
 
 KINDS = ("assign", "access", "hex", "format")
-#: Documents that are looked through for labelled credentials, and distinct values and tokens that are learned from.
+#: Documents whose other tokens are the background (credentials are labelled in all), and distinct values and tokens that
+#: are learned from.
 SAMPLE_DOCS = 20_000
 LABELLED = 1500
 BACKGROUND = 3000
@@ -169,16 +170,18 @@ class Formats:
 
 
 def labelled_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(kind, value): distinct labelled credentials and background tokens of about ``sample_docs`` hash-chosen documents."""
+    """(kind, value): distinct labelled credentials of all documents, background tokens of about ``sample_docs`` hash-chosen ones."""
     rate = min(1.0, sample_docs / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit("credentials"), "doc_id"), F.lit(1 << 30)) < F.lit(rate * (1 << 30))).select("text")
+    chosen = F.pmod(F.xxhash64(F.lit("credentials"), "doc_id"), F.lit(1 << 30)) < F.lit(rate * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = set()
-            for text in texts_of(b):
+            for text, other in zip(texts_of(b), b.column(1).to_pylist()):
                 rows |= {("assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6}
                 rows |= {("access", m[0]) for m in ACCESS.finditer(text)} | {("hex", m[0]) for m in HEX.finditer(text)}
+                if not other:
+                    continue
                 at, rest = 0, []
                 for a, _, e in base_spans(text):
                     rest.append(text[at : max(at, a)])
@@ -188,7 +191,7 @@ def labelled_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
             found = sorted(rows)
             yield pa.record_batch([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["kind", "value"])
 
-    return chosen.mapInArrow(run, "kind string, value string").distinct()
+    return docs.select("text", chosen.alias("other")).mapInArrow(run, "kind string, value string").distinct()
 
 
 def fit(docs: DataFrame, labelled: int = LABELLED, background: int = BACKGROUND, sample_docs: int = SAMPLE_DOCS) -> Formats:

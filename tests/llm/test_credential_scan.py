@@ -86,3 +86,12 @@ def test_scan_redact_and_edge_cases(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert cs.scan(docs, cs.fit(docs)).count() == 0
+
+
+def test_labels_come_from_all_documents(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    few = cs.labelled_values(docs, sample_docs=5).collect()
+    assert {r.value for r in few if r.kind == "assign"} >= set(keys(300, 3))
+    assert 0 < sum(r.kind == "" for r in few) < sum(r.kind == "" for r in cs.labelled_values(docs).collect())
+    assert len(cs.fit(docs, sample_docs=5).automata) == 1
+    assert cs.fit(docs, labelled=100, sample_docs=5).automata[0].n[0] >= 100
