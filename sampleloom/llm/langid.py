@@ -12,7 +12,7 @@ Repeated rows get equal answers; without labelled rows every text is ``und``. Ex
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -208,25 +208,41 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows, all columns as they are, whose text has a language with a score of at least ``least``."""
+    """The rows, all columns as they are, with a word that clearly belongs to a language (see ``identified``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = labelled(shared.value, [x or "" for x in b.column(place).to_pylist()])
-            yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in rows], pa.bool_()))
+            texts = [x or "" for x in b.column(place).to_pylist()]
+            yield b.filter(pa.array(in_blocks(texts, lambda part: identified(shared.value, part, least), False), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def labelled(model: Model, texts: list[str]) -> list[tuple[str, float, str]]:
-    """Language, score and spans of each text; texts of like lengths are worked on together, in bounded blocks."""
+def identified(model: Model, texts: list[str], least: float) -> list[bool]:
+    """Whether a word of each text clearly belongs to one of the k languages, whichever and however many others there are.
+
+    Its posterior must lie ``least`` of the way from 1/k to 1, by ratio. Words in scripts of no language belong to none.
+    """
+    out = np.zeros(len(texts), bool)
+    if model.langs:
+        words = Words(texts)
+        s = model.word_scores(words)
+        if len(s):
+            sure = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
+            sure[~model.allowed[words.script].any(1)] = 0
+            out[words.doc[(sure >= len(model.langs) ** (least - 1)) & (words.n_letters > 0)]] = True
+    return out.tolist()
+
+
+def in_blocks(texts: list[str], work: Callable[[list[str]], list], none: object) -> list:
+    """What ``work`` gives for each text; texts of like lengths are worked on together, in bounded blocks."""
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    out, part, size = [("und", 0.0, "")] * len(texts), [], 0
+    out, part, size = [none] * len(texts), [], 0
     for i in [*order, None]:
         if part and (i is None or size + len(texts[i]) > BLOCK_CHARS):
-            for j, row in zip(part, label(model, [texts[j] for j in part])):
+            for j, row in zip(part, work([texts[j] for j in part])):
                 out[j] = row
             part, size = [], 0
         if i is not None:
@@ -235,6 +251,11 @@ def labelled(model: Model, texts: list[str]) -> list[tuple[str, float, str]]:
     return out
 
 
+def labelled(model: Model, texts: list[str]) -> list[tuple[str, float, str]]:
+    """Language, score and spans of each text."""
+    return in_blocks(texts, lambda part: label(model, part), ("und", 0.0, ""))
+
+
 def label(model: Model, texts: list[str]) -> list[tuple[str, float, str]]:
     """Language, score and spans of each text."""
     out = [("und", 0.0, "")] * len(texts)

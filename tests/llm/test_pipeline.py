@@ -83,3 +83,13 @@ def test_run(spark):
     n = out.count()
     assert n > 100 and out.columns == ["doc_id", "length", "bucket", "padded", "batch", "slot"]
     assert n == cp.run(spark, "/root/testdata/sf0.001").count()
+
+
+def test_even_mixes_stay_and_unknown_scripts_go(spark):
+    vocab = {lang: [f"{lang}{c}{d}" for c in "aeiou" for d in "rstln"] for lang in ("bq", "dx", "fz", "gw", "hj")}
+    for k in (1, 4, 5):
+        langs = list(vocab)[:k]
+        train = [(i, " ".join(random.Random(i).choices(vocab[x], k=30)), x, "s", 1) for i, x in enumerate(langs * 20)]
+        odd = [(1000, ". ".join(" ".join(vocab[x]) for x in langs), None, "s", 1), (1001, "漢字 漢字", None, "s", 1), (1002, "漢字 " + vocab["bq"][0], None, "s", 1), (1003, "1 2", None, "s", 1)]
+        kept = {r.doc_id for r in cp.identified(spark, spark.createDataFrame(train + odd, COLUMNS), "").collect()}
+        assert kept == {*range(len(train)), 1000, 1002}
