@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 #: Arrow batches that hold whole texts end at so many rows or bytes. Texts can be very long, so the bytes count.
 TEXT_BATCH_ROWS = 4096
 TEXT_BATCH_BYTES = 8 << 20
+#: Groups up to which a table with a row for each of them is broadcast.
+BROADCAST_GROUPS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +30,11 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS, size: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured (tests)."""
+    """The folder that driver and executors share; one of our own only where none is configured and all run on this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="sampleloom-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -45,12 +52,39 @@ def store(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored table that no later step reads."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, what: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function that stores tables in a folder of one run; the folder is deleted at the end, so results go elsewhere."""
+    folder, number = new_path(spark, what), count()
+    try:
+        yield lambda df, name: store(df, name, f"{folder}/{name}-{next(number)}")
+    finally:
+        _delete(spark, folder)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_digest(key: Column, text: Column) -> Column:
+    """128 bits that tell rows apart by key and text, nulls by themselves."""
+    part = lambda c, mark: F.coalesce(F.concat(F.lit(mark), c.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("\x1f", part(key, "k"), part(text, "t")).cast("binary")))
 
 
 def crc_fold(key: Column, folds: int) -> Column:
@@ -61,11 +95,13 @@ def crc_fold(key: Column, folds: int) -> Column:
 def bounded_sample(df: DataFrame, key: str, by: str, rows: int, salt: str) -> DataFrame:
     """About ``rows`` rows for each value of ``by``, chosen by a hash of ``key``: the same rows at every run and layout.
 
-    One counting pass over the two columns fixes each group's rate, so no group meets in one task.
+    One counting pass over the two columns fixes each group's rate, so no group meets in one task. Rates are broadcast up to
+    ``BROADCAST_GROUPS`` groups; beyond it the join shuffles and adaptive execution splits hot groups.
     """
     rates = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).select(by, F.least(F.lit(1.0), rows / F.col("_n")).alias("_rate"))
     draw = F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(F.broadcast(rates.limit(10_000)), by).where(draw < F.col("_rate")).drop("_rate")
+    small = rates.count() <= BROADCAST_GROUPS
+    return df.join(F.broadcast(rates) if small else rates, by).where(draw < F.col("_rate")).drop("_rate")
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -9,19 +9,22 @@ step a shingle.
 
 The steps: (1) texts with equal sets become one class, (2) its register values are banded, (3) each member is compared
 with the least of the first members of its buckets, so n members cost n pairs, (4) buckets that still hold several
-components compare their strays with the other members inside bounded blocks, the best pairs of each stray first and at
-last all, so no pair is missed and none is emitted that the sketches rule out, (5) pairs whose jointly estimated similarity could reach the threshold are verified on full
-sets, only between different components, and (6) links become components by alternating star
-operations. Nothing is collected. A pair at the threshold shares no band with probability 5e-6, and less beyond it.
+components are compared in bounded blocks, strays (members outside the bucket's largest component) with all members:
+first each stray's best pair is verified, then all that the sketches do not rule out, on full sets inside the block,
+which gives a link only where it joins two components there, and (5) links become components by alternating star
+operations. A block of n members so gives less than n rows, however many of its pairs fail; rejected pairs never leave
+it. Nothing is collected. A pair at the threshold shares no band with probability 5e-6, and less beyond it.
 
 Null and empty texts, and texts of white space, have empty sets, are linked with nothing and stay. Rows with a null id
-join their exact copies only. Repeated rows (equal id and text) get equal answers. Extra columns do not take part.
+are linked as others are; a component is named by the least id that is not null, and by null if there is none. Rows of
+one id with different texts are rows of their own. Repeated rows (equal id and text) get equal answers. Ids may have any
+type that sorts. Extra columns do not take part, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, store, table, texts_of
+from .common import discard, free_name, row_digest, scratch, small_batches, store, table, texts_of
 
 WORDS = 5
 #: Similarity from which two sets are linked, as a percentage.
@@ -40,9 +43,12 @@ BANDS, ROWS = 32, 4
 BASE, RATE = 1.001, 20.0
 #: Pairs whose estimate is this far below the threshold (4.5 standard deviations of the estimate) are not verified.
 SLACK = 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-#: Most members of one side of a block that is compared in one go.
-BLOCK = 256
-CHUNK = 1 << 20
+#: About the most members of one side of a block, and the most shingles that they have together (one member may have more).
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: Pairs that are compared at once, and characters of texts that are cut into shingles at once.
+PAIRS, CHUNK = 1 << 14, 1 << 20
+
+BLOCK_KEYS = ["band", "value", "x", "y"]
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -144,18 +150,33 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
+def _laws(j, u, v):
+    """Chances that a register of the first set is above and below the second's, and their slopes, at similarity ``j``."""
+    scale, log_base = (BASE - 1) / BASE, np.log(BASE)
+    x, y = np.clip(u - v * j, 0, 1), np.clip(v - u * j, 0, 1)
+    above, below = -np.log1p(-x * scale) / log_base, -np.log1p(-y * scale) / log_base
+    return above, below, -v * scale / ((1 - x * scale) * log_base), -u * scale / ((1 - y * scale) * log_base)
+
+
+def reaches(level: float, more: np.ndarray, less: np.ndarray, equal: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether ``estimate`` is at least ``level``: the likelihood is strictly concave, so its slope there tells."""
+    u, v = na / (na + nb), nb / (na + nb)
+    above, below, d_above, d_below = _laws(level, u, v)
+    tiny = 1e-12
+    slope = more * d_above / np.maximum(above, tiny) + less * d_below / np.maximum(below, tiny) - equal * (d_above + d_below) / np.maximum(1 - above - below, tiny)
+    return (slope >= 0) & (np.minimum(u / v, v / u) >= level)
+
+
 def estimate(more: np.ndarray, less: np.ndarray, equal: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """The similarity that is likeliest for so many registers of a above, below and equal to b's, and the sets' sizes.
 
     The likelihood is strictly concave in the similarity, so a ternary search finds its top.
     """
     u, v = na / (na + nb), nb / (na + nb)
-    scale = (BASE - 1) / BASE
-    p = lambda x: -np.log1p(-np.clip(x, 0, 1) * scale) / np.log(BASE)
     log = lambda x: np.log(np.maximum(x, 1e-12))
 
     def likelihood(j):
-        above, below = p(u - v * j), p(v - u * j)
+        above, below, _, _ = _laws(j, u, v)
         return more * log(above) + less * log(below) + equal * log(1 - above - below)
 
     lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
@@ -166,9 +187,19 @@ def estimate(more: np.ndarray, less: np.ndarray, equal: np.ndarray, na: np.ndarr
     return (lo + hi) / 2
 
 
+def counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many registers of each row of x are above, below and equal to those of y."""
+    ones = lambda b: np.bitwise_count(np.packbits(b, axis=1)).sum(1, dtype=np.int64)
+    more, equal = ones(x > y), ones(x == y)
+    return more, x.shape[1] - more - equal, equal
+
+
 def sketches(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(id, n, digest, registers): the size of each row's set, a digest of the set (null: empty), and its sketch."""
-    kind = dict(docs.dtypes)[key]
+    """(id, row, n, digest, registers): the size of each row's set, a digest of the set (null: empty), and its sketch.
+
+    ``row`` tells rows apart by id and text.
+    """
+    slim = docs.select(F.col(key).alias("id"), row_digest(F.col(key), F.col("text")).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,44 +209,47 @@ def sketches(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 n += [len(s) for s in sets]
                 digests += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 registers += [r.tobytes() if len(s) else None for r, s in zip(sketch(sets), sets)]
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], ["id", "n", "digest", "registers"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], ["id", "row", "n", "digest", "registers"])
 
-    return docs.select(key, "text").mapInArrow(run, f"id {kind}, n bigint, digest binary, registers binary")
+    return slim.mapInArrow(run, f"id {dict(slim.dtypes)['id']}, row binary, n bigint, digest binary, registers binary")
 
 
-def bands(reps: DataFrame) -> DataFrame:
-    """(band, value, id, n): the banded register values of each class."""
+def bands(classes: DataFrame) -> DataFrame:
+    """(band, value, c, n): the banded register values of each class."""
     step = ROWS * 2
     value = lambda i: F.xxhash64(F.substring(F.col("registers"), i * step + 1, step))
-    return reps.select("id", "n", F.posexplode(F.array(*(value(i) for i in range(BANDS)))).alias("band", "value"))
+    return classes.select("c", "n", F.posexplode(F.array(*(value(i) for i in range(BANDS)))).alias("band", "value"))
 
 
-def _size_fits(a: str, b: str):
-    """100 * intersection >= PERCENT * union needs sizes that are near enough."""
-    return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
+def _size_fits(a, b):
+    """100 * intersection >= PERCENT * union needs sizes that are near enough; for columns and for arrays."""
+    return (100 * a >= PERCENT * b) & (100 * b >= PERCENT * a)
 
 
-def with_estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Keeps the pairs (a, b) whose estimate may reach the threshold, with the estimate."""
-    one = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-    two = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+def with_estimates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Keeps the pairs (a, b) whose estimate may reach the threshold."""
+    one = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
+    two = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             if not t.num_rows:
                 continue
             col = dict(zip(t.schema.names, t.columns))
-            x, y = (np.frombuffer(b"".join(col[c].to_pylist()), np.uint16).reshape(t.num_rows, -1) for c in ("ra", "rb"))
-            more, less = (x > y).sum(1), (x < y).sum(1)
-            e = estimate(more, less, x.shape[1] - more - less, col["na"].to_numpy().astype(float), col["nb"].to_numpy().astype(float))
-            yield pa.record_batch([col["a"], col["b"], pa.array(e)], ["a", "b", "estimate"]).filter(pa.array(e >= PERCENT / 100 - SLACK))
+            x, y = (registers_of(col[c]) for c in ("ra", "rb"))
+            may = reaches(PERCENT / 100 - SLACK, *counts(x, y), *(col[c].to_numpy().astype(float) for c in ("na", "nb")))
+            yield pa.record_batch([col["a"], col["b"]], ["a", "b"]).filter(pa.array(may))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint, estimate double")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint")
+
+
+def registers_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    one, two = texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), texts.select(F.col("c").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -233,9 +267,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = store) -> DataFrame:
     """(id, component) of every linked id: the least id that it reaches, by alternating large and small stars."""
-    edges = store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -243,7 +277,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        new = store(small.distinct(), "edges")
+        new = keep(small.distinct(), "edges")
         said = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(edges)
         edges = new
@@ -252,129 +286,211 @@ def components(links: DataFrame) -> DataFrame:
         state = said
 
 
-def relabel(ids: DataFrame, comp: DataFrame, column: str) -> DataFrame:
-    """Adds ``column``: the component of ``ids[column's id]``, itself where it has no links."""
+def relabel(rows: DataFrame, comp: DataFrame, column: str) -> DataFrame:
+    """Adds "c" + ``column``: the component of the class in ``column``, itself where it has no links."""
     c = comp.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
-    return ids.join(c, F.col(column) == F.col("_id"), "left").withColumn("c" + column, F.coalesce("_component", column)).drop("_id", "_component")
+    return rows.join(c, F.col(column) == F.col("_id"), "left").withColumn("c" + column, F.coalesce("_component", column)).drop("_id", "_component")
 
 
 class Linker:
     """Components so far, joined by verified links."""
 
-    def __init__(self, texts: DataFrame):
-        self.texts, self.links, self.comp = texts, None, texts.sparkSession.createDataFrame([], "id bigint, component bigint")
+    def __init__(self, keep: Callable[[DataFrame, str], DataFrame], spark: SparkSession):
+        self.keep, self.links, self.comp = keep, None, spark.createDataFrame([], "id bigint, component bigint")
 
-    def connect(self, pairs: DataFrame) -> None:
-        """Verifies the pairs (a, b) between different components."""
-        if pairs.isEmpty():
-            return
-        apart = relabel(relabel(pairs, self.comp, "a"), self.comp, "b").where("ca <> cb").select("a", "b")
-        found = store(verified(apart, self.texts), "links")
+    def add(self, found: DataFrame) -> None:
+        """Takes verified links (a, b)."""
+        found = self.keep(found, "links")
         if not found.isEmpty():
-            self.links = found if self.links is None else store(self.links.unionByName(found), "links")
-            self.comp = components(self.links)
+            self.links = found if self.links is None else self.keep(self.links.unionByName(found), "links")
+            old, self.comp = self.comp, components(self.links, self.keep)
+            discard(old)
 
 
-def stray_pairs(buckets: DataFrame, comp: DataFrame, reps: DataFrame, most: int | None = None) -> DataFrame:
-    """(a, b, estimate) of members of a bucket that are in different components, where the estimate may reach the threshold;
-    with ``most``, only so many of the best for each stray and block.
+def blocks(buckets: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, value, x, y, side, c, n, cc, registers): the buckets that hold several components, as blocks.
 
-    Strays, the members outside a bucket's largest component, meet all members in blocks of at most about ``BLOCK`` by
-    ``BLOCK``; a pair is given by the first band that it shares.
+    Strays (side 0), the members outside a bucket's largest component, meet all members (side 1).
     """
-    member = store(relabel(buckets, comp, "id"), "members")
-    size = member.groupBy("band", "value", "cid").agg(F.count(F.lit(1)).alias("k"))
-    size = size.groupBy("band", "value").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("k", F.col("cid").alias("main"))).alias("top"))
-    mixed = size.where("kinds > 1").select("band", "value", "size", F.col("size").alias("_s"), "top.k", "top.main")
-    member = member.join(mixed, ["band", "value"]).join(reps.select("id", "registers"), "id")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    part = lambda n: F.pmod(F.xxhash64("id"), blocks(n).cast("bigint")).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    strays = F.col("size") - F.col("k")
-    columns = ["band", "value", "id", "n", "cid", "registers"]
-    left = member.where("cid <> main").select(*columns, F.lit(0).alias("side"), part(strays).alias("x"), each(F.col("size")).alias("y"))
-    right = member.select(*columns, F.lit(1).alias("side"), part(F.col("size")).alias("y"), each(strays).alias("x"))
-
-    def compare(band: int, side: np.ndarray, registers: list, ids: np.ndarray, ns: np.ndarray, comps: np.ndarray) -> list[tuple]:
-        mine, other = side == 0, side == 1
-        if not mine.any() or not other.any():
-            return []
-        every = np.frombuffer(b"".join(registers), np.uint16).reshape(len(side), -1)
-        (x, y), (ix, iy), (nx, ny), (cx, cy) = ((v[mine], v[other]) for v in (every, ids, ns, comps))
-        out = []
-        for i in range(len(ix)):
-            low, high = np.minimum(ny, nx[i]), np.maximum(ny, nx[i])
-            may = np.flatnonzero((cy != cx[i]) & (100 * low >= PERCENT * high))
-            if not len(may):
-                continue
-            same = x[i] == y[may]
-            first = same[:, : BANDS * ROWS].reshape(len(may), BANDS, ROWS).all(2).argmax(1)
-            may, same = may[first == band], same[first == band]
-            more, equal = (x[i] > y[may]).sum(1), same.sum(1)
-            e = estimate(more, same.shape[1] - more - equal, equal, np.full(len(may), float(nx[i])), ny[may].astype(float))
-            ok = np.flatnonzero(e >= PERCENT / 100 - SLACK)
-            if most and len(ok) > most:
-                ok = ok[np.argpartition(-e[ok], most)[:most]]
-            out.append((iy[may[ok]], np.full(len(ok), ix[i]), e[ok]))
-        return out
+    member = relabel(buckets, comp, "c")
+    size = member.groupBy("band", "value", "cc").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    size = size.groupBy("band", "value").agg(F.sum("k").alias("k"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("k", F.col("cc").alias("main"), "w")).alias("top"))
+    parts = lambda k, w: F.ceil(F.greatest(k / F.lit(float(BLOCK)), w / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+    mixed = size.where("kinds > 1").select("band", "value", "top.main", parts(F.col("k"), F.col("w")).alias("all"), parts(F.col("k") - F.col("top.k"), F.col("w") - F.col("top.w")).alias("apart"))
+    member = member.join(mixed, ["band", "value"]).join(classes.select("c", "registers"), "c")
+    part = lambda n: F.pmod(F.xxhash64("c"), F.col(n).cast("bigint")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["band", "value", "c", "n", "cc", "registers"]
+    left = member.where("cc <> main").select(*columns, F.lit(0).alias("side"), part("apart").alias("x"), each("all").alias("y"))
+    right = member.select(*columns, F.lit(1).alias("side"), part("all").alias("y"), each("apart").alias("x"))
+    return left.unionByName(right).select(*BLOCK_KEYS, "side", "c", "n", "cc", "registers")
+
+
+def pairs_in(t: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, block): rows of strays and of members that may be similar enough, from whole blocks in order of their sides.
+
+    A pair belongs to the first band that it shares; ``starts`` are the first rows of the blocks.
+    """
+    band, side, n, cc = (t.column(c).to_numpy() for c in ("band", "side", "n", "cc"))
+    registers = registers_of(t.column("registers"))
+    banded = registers[:, : BANDS * ROWS].copy().view(np.uint64)  # a band is one number
+    block = np.searchsorted(starts, np.arange(t.num_rows), "right") - 1
+    strays = np.flatnonzero(side == 0)
+    n_strays = np.bincount(block[strays], minlength=len(starts))
+    members = np.diff(np.append(starts, t.num_rows)) - n_strays
+    lo, size = (starts + n_strays)[block[strays]], members[block[strays]]
+    cut = np.searchsorted(np.cumsum(size), np.arange(PAIRS, size.sum() + PAIRS, PAIRS), "left") + 1
+    for a, e in zip([0, *cut[:-1].tolist()], cut.tolist()):
+        k, m = strays[a:e], size[a:e]
+        if not m.sum():
+            continue
+        i, j = np.repeat(k, m), np.repeat(lo[a:e] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        for p in range(0, len(i), 4 * PAIRS):
+            x, y = i[p : p + 4 * PAIRS], j[p : p + 4 * PAIRS]
+            ok = (cc[x] != cc[y]) & _size_fits(n[x], n[y])
+            x, y = x[ok], y[ok]
+            ok = (banded[x] == banded[y]).argmax(1) == band[x]
+            x, y = x[ok], y[ok]
+            ok = reaches(PERCENT / 100 - SLACK, *counts(registers[x], registers[y]), n[x].astype(float), n[y].astype(float))
+            if ok.any():
+                yield x[ok], y[ok], block[x[ok]]
+
+
+def by_block(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Brings the rows of each block together, strays first, and calls ``work`` with whole blocks and their first rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of their blocks; a block that goes on in the next batch is carried over."""
-        held: pa.Table | None = None
+        held: pa.Table | None = None  # a block that goes on in the next batch
         for b in chain(batches, [None]):
-            t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            new = [] if b is None or not b.num_rows else [pa.Table.from_batches([b])]
+            t = pa.concat_tables(([] if held is None else [held]) + new) if new or held is not None else None
             if t is None or not t.num_rows:
                 continue
-            k = np.stack([t.column(c).to_numpy() for c in ("band", "value", "x", "y")], 1)
-            cut = [*np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1)])).tolist(), t.num_rows]
-            done = len(cut) - 1 if b is None else len(cut) - 2
-            held = None if b is None else t.slice(cut[-2])
-            side, ids, ns, comps = (t.column(c).to_numpy() for c in ("side", "id", "n", "cid"))
-            registers, out = t.column("registers").slice(0, cut[done]).to_pylist(), []
-            for a, e in zip(cut[:done], cut[1 : done + 1]):
-                out += compare(int(k[a, 0]), side[a:e], registers[a:e], ids[a:e], ns[a:e], comps[a:e])
-            if out:
-                yield pa.record_batch([pa.array(np.concatenate(v)) for v in zip(*out)], ["a", "b", "estimate"])
-
-    blocks_of = left.unionByName(right).repartition("band", "value", "x", "y").sortWithinPartitions("band", "value", "x", "y")
-    found = blocks_of.mapInArrow(run, "a bigint, b bigint, estimate double")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("estimate").alias("estimate"))
+            k = np.stack([t.column(c).to_numpy() for c in BLOCK_KEYS], 1)
+            starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1)]))
+            end = t.num_rows if b is None else int(starts[-1])
+            held = None if b is None else t.slice(end)
+            if end:
+                yield from work(t.slice(0, end).combine_chunks(), starts[starts < end])
+
+    return rows.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "side").mapInArrow(run, schema)
+
+
+def best_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): each stray with the member of the largest estimate, of all its blocks."""
+
+    def work(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        registers, n, c = registers_of(t.column("registers")), t.column("n").to_numpy().astype(float), t.column("c").to_numpy()
+        for i, j, _ in pairs_in(t, starts):
+            e = estimate(*counts(registers[i], registers[j]), n[i], n[j])
+            order = np.lexsort((c[j], -e, i))
+            first = order[np.concatenate([[True], np.diff(i[order]) > 0])]
+            yield pa.record_batch([pa.array(c[i[first]]), pa.array(c[j[first]]), pa.array(e[first])], ["a", "b", "estimate"])
+
+    found = by_block(rows, work, "a bigint, b bigint, estimate double")
+    return found.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best")).select("a", "best.b")
+
+
+def in_question(rows: DataFrame) -> DataFrame:
+    """The rows of blocks that have a pair that may be similar enough, without the others."""
+
+    def work(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = np.zeros(t.num_rows, bool)
+        for i, j, _ in pairs_in(t, starts):
+            some[i], some[j] = True, True
+        yield from t.filter(pa.array(some)).to_batches()
+
+    return by_block(rows, work, rows.schema)
+
+
+def links_in_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): verified links that join components inside a block, none that its other links imply."""
+
+    def work(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows]):
+            part = t.slice(a, e - a).combine_chunks()
+            found = join_block(part)
+            if found:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    return by_block(rows.join(texts, "c").select(*BLOCK_KEYS, "side", "c", "n", "cc", "registers", "text"), work, "a bigint, b bigint")
+
+
+def join_block(t: pa.Table) -> list[tuple[int, int]]:
+    """Links between the components of one block, on full sets, at most one less than there are components."""
+    c, n, cc = (t.column(x).to_numpy() for x in ("c", "n", "cc"))
+    _, number = np.unique(cc, return_inverse=True)
+    root = np.arange(number.max() + 1)
+    texts = t.column("text").to_pylist()
+    distinct = {x: i for i, x in enumerate(dict.fromkeys(texts))}
+    sets = [s for p in chunks(list(distinct)) for s in shingles(p)]
+    own = np.array([distinct[x] for x in texts])
+    sizes = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(flat.max() + 1, bool)
+    out = []
+    for i, j, _ in pairs_in(t, np.zeros(1, np.int64)):
+        for k, lo, hi in zip(*((u := np.unique(i, return_index=True))[0].tolist(), u[1].tolist(), [*u[1][1:].tolist(), len(i)])):
+            mine = flat[first[own[k]] : first[own[k] + 1]]
+            mark[mine] = True
+            rest, step = j[lo:hi], 8
+            while len(rest := rest[root[number[rest]] != root[number[k]]]):
+                now, rest, step = rest[:step], rest[step:], 2 * step
+                both = np.array([np.count_nonzero(mark[flat[first[s] : first[s + 1]]]) for s in own[now].tolist()])
+                for w in now[100 * both >= PERCENT * (len(mine) + sizes[own[now]] - both)].tolist():
+                    if root[number[w]] != root[number[k]]:
+                        root[root == root[number[w]]] = root[number[k]]
+                        out.append((int(c[k]), int(c[w])))
+            mark[mine] = False
+    return out
+
+
+def labelled(docs: DataFrame, key: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(id, row, n, digest, component) of every row, ``component`` a number for the classes that are linked (null: empty set)."""
+    made = keep(sketches(docs, key), "sketches")
+    classes = made.where("digest is not null").groupBy("digest").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    classes = keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # numbers of this run only
+    banded = bands(classes)
+    # Buckets of one member go; the first member of the others is compared with the rest.
+    heads = banded.groupBy("band", "value").agg(F.min(F.struct("c", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "value", F.col("head.c").alias("a"), F.col("head.n").alias("na"))
+    buckets = keep(banded.join(heads, ["band", "value"]), "buckets")
+    involved = classes.join(buckets.select("c").distinct(), "c", "left_semi").select("c", "row")
+    texts = docs.select(row_digest(F.col(key), F.col("text")).alias("row"), "text").join(involved, "row").dropDuplicates(["row"]).drop("row")
+    texts = keep(texts, "texts")
+    linker = Linker(keep, docs.sparkSession)
+    # One pair for each member, with the least of its buckets' first members; members of a crowd mostly share it.
+    stars = buckets.where("c <> a").where(_size_fits(F.col("n"), F.col("na"))).groupBy(F.col("c").alias("b")).agg(F.min("a").alias("a"))
+    linker.add(verified(with_estimates(stars, classes), texts))
+    # Then the best pair of each stray: most strays of a crowd join its component by it, and their other pairs are spared.
+    buckets = buckets.select("band", "value", "c", "n")
+    linker.add(verified(keep(best_pairs(blocks(buckets, linker.comp, classes)), "best"), texts))
+    linker.add(links_in_blocks(keep(in_question(blocks(buckets, linker.comp, classes)), "in-question"), texts))
+    found = relabel(classes.select("digest", "c"), linker.comp, "c").select("digest", F.col("cc").alias("component"))
+    return made.select("id", "row", "n", "digest").join(found, "digest", "left")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row."""
     small_batches(docs.sparkSession)
-    made = store(sketches(docs, key), "sketches")
-    reps = store(made.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")).select(F.col("id").cast("bigint").alias("id"), "n", "registers", "digest"), "classes")
-    banded = bands(reps)
-    # Buckets of one member go; the first member of the others is compared with the rest.
-    heads = banded.groupBy("band", "value").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "value", F.col("head.id").alias("a"), F.col("head.n").alias("na"))
-    buckets = store(banded.join(heads, ["band", "value"]), "buckets")
-    # One pair for each member, with the least of its buckets' first members; members of a crowd mostly share it.
-    stars = buckets.where("id <> a").where(_size_fits("n", "na")).groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
-    stars = store(with_estimates(stars, reps), "stars")
-    involved = buckets.select("id").distinct()
-    texts = store(docs.select(F.col(key).cast("bigint").alias("id"), "text").join(involved, "id").dropDuplicates(["id"]), "texts")
-    linker = Linker(texts)
-    linker.connect(stars)
-    # The best pairs of each stray first: most strays of a crowd join its component by them, and their other pairs are spared.
-    tried = stars.select("a", "b")
-    for most in (2, None):
-        strays = stray_pairs(buckets.select("band", "value", "id", "n"), linker.comp, reps, most)
-        strays = store(strays.join(tried, ["a", "b"], "left_anti"), "strays")
-        linker.connect(strays)
-        tried = tried.unionByName(strays.select("a", "b"))
-    labelled = relabel(reps.select("digest", "id"), linker.comp, "id").select("digest", F.col("cid").alias("component"))
-    joined = made.select("id", "n", "digest").join(labelled, "digest", "left")
-    component = F.coalesce("component", "id")
-    return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    with scratch(docs.sparkSession, "near-duplicates") as keep:
+        rows = keep(labelled(docs, key, keep), "labelled")
+        least = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+        component = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least"))
+        out = rows.join(least, "component", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+        return store(out, "near-duplicates")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows, all columns as they are, that stand for their components; of repeated rows (equal id and text) one stays."""
-    kept = store(near_duplicates(docs, key).where("kept").select(F.col(key).alias("_kept")).distinct(), "kept")
-    rows = docs.withColumn("_hash", F.xxhash64("text")).join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates([key, "_hash"]).select(docs.columns)
+    """One row of each component, all columns as they are: that of the least id (null last), of rows with that id the one whose
+    digest is least. Rows without shingles stay, but of repeated rows (equal id and text) one stays."""
+    small_batches(docs.sparkSession)
+    name = free_name(docs.columns, "row")
+    with scratch(docs.sparkSession, "one-of-each") as keep:
+        rows = keep(labelled(docs, key, keep), "labelled")
+        chosen = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")).select(F.col("first.row").alias(name))
+        chosen = store(chosen.unionByName(rows.where("component is null").select(F.col("row").alias(name)).distinct()), "chosen")
+    return docs.withColumn(name, row_digest(F.col(key), F.col("text"))).join(chosen, name, "left_semi").dropDuplicates([name]).select(docs.columns)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def brute_set(text):
 
 
 def brute(rows):
-    """Components over all pairs that share a shingle."""
+    """Components over all pairs that share a shingle, of rows with different ids."""
     sets = {k: brute_set(t) for k, t in rows if k is not None}
     where, shared = defaultdict(list), defaultdict(int)
     for k, s in sets.items():
@@ -95,13 +95,69 @@ def corpus():
     return [*enumerate(rows, 5), (9000, None), (7, rows[2]), (None, rows[3]), (None, None), (9001, " ".join(word() for _ in range(30000)))]
 
 
-@pytest.mark.parametrize("block", [256, 16])
-def test_against_brute_force(spark, corpus, block, monkeypatch):
+@pytest.mark.parametrize("block, pairs", [(ss.BLOCK, ss.PAIRS), (16, 64)])
+def test_against_brute_force(spark, corpus, block, pairs, monkeypatch):
     monkeypatch.setattr(ss, "BLOCK", block)
+    monkeypatch.setattr(ss, "PAIRS", pairs)
     docs = spark.createDataFrame(corpus, "doc_id long, text string").selectExpr("*", "1 as id", "'a' as n")
     check(corpus, ss.near_duplicates(docs).collect())
 
 
+def test_slope_tells_whether_the_estimate_reaches():
+    rng = np.random.default_rng(5)
+    na, nb = rng.integers(100, 140, 3000).astype(float), rng.integers(100, 140, 3000).astype(float)
+    equal = rng.integers(100, 250, 3000)
+    more = rng.binomial(256 - equal, 0.5)
+    e = ss.estimate(more, 256 - equal - more, equal, na, nb)
+    far = abs(e - 0.63) > 1e-6
+    assert (ss.reaches(0.63, more, 256 - equal - more, equal, na, nb) == (e >= 0.63))[far].all() and 500 < (e >= 0.63).sum() < 2500
+
+
+def test_null_ids_repeated_ids_and_other_types(spark):
+    """Rows with null ids are linked, and rows of one id with different texts keep their own links; ids may be strings."""
+    rng = random.Random(4)
+    a, b = ([rng.choice("abcdefgh") + str(rng.randint(0, 999)) for _ in range(100)] for _ in range(2))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(a)), (None, near(a)), (5, " ".join(b)), (3, near(b)), (None, "alone in this table"), (None, "alone in this table"), (None, "1 2 3 4 5 6"), (8, None), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in ss.near_duplicates(docs).collect()), key=str)
+    # the two texts of id 5 belong to different components, named 5 and 3
+    assert got == sorted([(5, 5, True), (None, 5, False), (5, 3, False), (3, 3, True), (None, None, True), (None, None, True), (None, None, True), (8, 8, True), (8, 8, True), (8, 8, True)], key=str)
+    one = sorted([tuple(r) for r in ss.one_of_each(docs).collect()], key=str)
+    assert one == sorted([rows[0], rows[3], rows[4], rows[6], rows[7], rows[9]], key=str)
+    named = spark.createDataFrame([(f"x{k}", t) for k, t in rows[:1] + rows[3:4]], "doc_id string, text string")
+    assert {r.component_id for r in ss.near_duplicates(named).collect()} == {"x5", "x3"}
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7), (1, "a b", "x", 7), (2, "c d", "y", 8)], "doc_id long, text string, row string, _hash long")
+    assert sorted(tuple(r) for r in ss.one_of_each(docs).collect()) == [(1, "a b", "x", 7), (2, "c d", "y", 8)]
+
+
+def test_a_crowd_gives_rows_in_proportion(spark):
+    """Copies of one text that differ by 12 % of its words are mostly between 0.65 and 0.8 similar: a block takes each member
+    at most twice and gives fewer links than it has members, though nearly all pairs are candidates."""
+    made = {}
+    for n in (150, 600):
+        rng = random.Random(9)
+        base = [str(rng.randint(0, 10**6)) for _ in range(400)]
+        # each copy changes a run of words, so that one run costs about as many shingles as it has words
+        rows = []
+        for i in range(n):
+            at, k = rng.randint(0, 330), rng.randint(40, 60)
+            rows.append((i, " ".join([*base[:at], *(f"{i}x{j}" for j in range(k)), *base[at + k :]])))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        with ss.scratch(spark, "crowd") as keep:
+            classes = keep(ss.sketches(docs).select(ss.F.col("id").alias("c"), "n", "registers"), "classes")
+            none = spark.createDataFrame([], "id bigint, component bigint")
+            asked = keep(ss.in_question(ss.blocks(ss.bands(classes), none, classes)), "asked")
+            best = ss.best_pairs(asked).count()
+            links = [tuple(r) for r in ss.links_in_blocks(asked, docs.select(ss.F.col("doc_id").alias("c"), "text")).collect()]
+            made[n] = (asked.count() / n, best / n, len(links) / n)
+        check(rows, ss.near_duplicates(docs).collect())
+    assert all(asked <= 2 * ss.BANDS and best <= 1 and links <= asked / 2 for asked, best, links in made.values()), made
+
+
 def test_empty_and_single(spark):
     docs = spark.createDataFrame([(3, "a b c")], "doc_id long, text string")
     assert [tuple(r) for r in ss.near_duplicates(docs).collect()] == [(3, 1, 3, True)]
