@@ -2,25 +2,29 @@
 
 Documents are ordered by id over range partitions (the shards). Each task encodes its texts, gathers ids into blocks of
 about ``BLOCK_TOKENS`` and compresses every block by Re-Pair: pairs of neighbouring symbols that occur most often become
-nonterminals, round after round, until no pair is frequent. A round replaces up to ``PAIRS`` pairs at once, from left to
-right where occurrences overlap; pairs never reach over the end of a document. A block is a binary value with its rules,
+nonterminals, round after round, until no pair is frequent (``LEAST`` and ``SHARE``; a rule costs as much as some six
+occurrences save). A round replaces the pairs that are at least half as frequent as the most frequent one, up to ``PAIRS``;
+pairs never reach over the end of a document. A block is a binary value with its rules,
 the length of each rule's expansion, the symbols, and each document's first symbol and number of ids, so any document or
 range of ids is decoded without the rest. Blocks are rows of a Parquet table, which makes writing safe against lost
 executors.
 
-Encoding works on words between blanks, each distinct one encoded once for a batch and remembered up to ``CACHE`` words;
-no piece of the tokenizer reaches over a blank, so the ids are those of the whole text. Null texts count as empty and give
+Encoding works on words between ASCII blanks, each distinct one encoded once for a batch and remembered up to ``CACHE``
+words, where the tokenizer's normaliser and pre-tokenizer are those of ``BY_WORD``, so that no piece reaches over a blank and
+the ids are those of the whole text; other tokenizers encode whole texts. Null texts count as empty and give
 the end id only. Null ids come first; equal ids are ordered by a hash of their text. Repeated rows are rows of their own.
 An empty table gives an empty file. Extra columns do not take part.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +38,38 @@ from .common import small_batches, store, table
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 BLOCK_TOKENS = 1 << 19
-ROUNDS, PAIRS = 10, 256
-#: A pair is frequent if it occurs so often, and at least once in so many symbols.
-LEAST, SHARE = 8, 8192
+#: Most pairs that a round replaces at once, and bits of the table that tells which pairs may be frequent.
+PAIRS, SLOT_BITS = 4096, 18
+#: A pair is frequent if it occurs so often, and at least once in so many ids of its block.
+LEAST, SHARE = 8, 16384
 CACHE = 1_000_000
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIB")  # magic, first nonterminal, rules, symbols, documents, bytes of a symbol
 
-#: What may be cut off a word: a run of these between a letter that has no special cases and a blank (fixed values).
-_CUT = "([A-Za-zÀ-ÖØ-Þß-öø-ÿ])([.,!?;:|]+)([ \\t\\n\\r]|$)"
+#: Normalisers and pre-tokenizers that let no piece reach over ASCII white space, and lower-case ASCII (fixed values).
+BY_WORD = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: Punctuation that may be cut off a word's end, behind a letter that has no special cases: a-z, A-Z, U+00C0-U+00FF but for
+#: the two signs among them (fixed values).
+TAIL = b".,!?;:|#$%&*()\"-_=+/\\[]{}@^~`<>"
+#: Bytes of a tail; behind a longer one a word is cut within it or not at all, which changes no id.
+MOST_TAIL = 64
+BLANKS = b"\t\n\v\f\r "
+_BLANK, _TAIL, _LETTER = 1, 2, 3
+_KINDS = bytes(_BLANK if x in BLANKS else _TAIL if x in TAIL else _LETTER if chr(x).isalpha() and x < 0x80 else 0 for x in range(256))
+_LOWER = bytes(x + 32 if 0x41 <= x <= 0x5A else x for x in range(256))
 
 
 class Encoder:
-    """Ids of texts by a public tokenizer."""
+    """Ids of texts by a public tokenizer: by words where ``BY_WORD`` describes it, else by whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,53 +78,102 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
         # Words are encoded many at a time, with a special token between them, which ends whatever stands before it.
-        self.mark = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip)), None)
-        self.marked = self.tokenizer.token_to_id(self.mark) if self.mark else None
+        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)]
+        self.by_word = (spec.get("normalizer"), spec.get("pre_tokenizer")) == BY_WORD and len(marks) == len(spec["added_tokens"]) > 0 and all(m[:2] == marks[0][:2] and m.isascii() and m == m.lower() and " " not in m for m in marks)
+        self.mark = marks[0] if self.by_word else ""
+        self.marked = self.tokenizer.token_to_id(self.mark) if self.by_word else None
         self._forget()
 
     def _forget(self) -> None:
         self.known, self.flat, self.starts = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _whole(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.array([*e.ids, end], np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(p) for p in parts], np.int64)
+
+    def _encode(self, words: list[str]) -> None:
+        """Words that hold a mark's beginning are encoded alone, the others many at a time."""
+        odd = [w for w in words if self.mark[:2] in w]
+        many = [w for w in words if self.mark[:2] not in w]
+        parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        if many:
+            groups = [many[i : i + 256] for i in range(0, len(many), 256)]
+            ids = np.concatenate([np.array([*e.ids, self.marked], np.uint32) for e in self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.marked)
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            parts.append(ids[ids != self.marked])
+        for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False):
+            parts.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(e.ids)]))
+        flat, sizes, words = np.concatenate(parts), np.concatenate(sizes), [*many, *odd]
+        assert len(sizes) == len(words)
+        self.known.update(zip(words, range(len(self.starts) - 1, len(self.starts) - 1 + len(words))))
+        self.flat = np.concatenate([self.flat, flat])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
     def __call__(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text's followed by ``end``, and how many each text has."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        words = pc.split_pattern_regex(pc.replace_substring_regex(texts, _CUT, "\\1 \\2\\3"), "[ \\t\\n\\r]+")
-        flat_words = words.flatten()
-        if self.mark and not pc.any(pc.match_substring(texts, self.mark[:2])).as_py():
-            flat_words = pc.ascii_lower(flat_words)  # the tokenizer does so too; marks are spelled in one case only
-        each = flat_words.dictionary_encode()
+        if not self.by_word or not len(texts):
+            return self._whole(texts, end)
+        words, n_words = pieces(texts, not pc.any(pc.match_substring(texts, self.mark[:2])).as_py())
+        each = words.dictionary_encode()
         distinct, codes = each.dictionary.to_pylist(), each.indices.to_numpy()
         if len(self.known) + len(distinct) > CACHE:
             self._forget()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            # Words that hold a mark's beginning are encoded alone.
-            new.sort(key=lambda w: self.mark is None or self.mark[:2] in w)
-            joined = next((i for i, w in enumerate(new) if self.mark is None or self.mark[:2] in w), len(new))
-            parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-            if joined:
-                groups = [new[i : min(i + 256, joined)] for i in range(0, joined, 256)]
-                ids = np.concatenate([np.array([*e.ids, self.marked], np.uint32) for e in self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)])
-                ends = np.flatnonzero(ids == self.marked)
-                sizes.append(np.diff(ends, prepend=-1) - 1)
-                parts.append(ids[ids != self.marked])
-            for e in self.tokenizer.encode_batch_fast(new[joined:], add_special_tokens=False):
-                parts.append(np.array(e.ids, np.uint32))
-                sizes.append(np.array([len(e.ids)]))
-            sizes = np.concatenate(sizes)
-            assert len(sizes) == len(new)
-            self.known.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new))))
-            self.flat = np.concatenate([self.flat, *parts])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        at = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[codes]
+        self._encode([w for w in distinct if w not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
         # The end of a text is a word of its own, taken from one more place.
-        n_words = np.diff(words.offsets.to_numpy())
-        flat = np.concatenate([self.flat, np.array([end], np.uint32)])
-        first = np.insert(self.starts[at], np.cumsum(n_words), len(flat) - 1)
-        size = np.insert(self.starts[at + 1] - self.starts[at], np.cumsum(n_words), 1)
-        ids = flat[ragged(first, size)]
-        return ids, np.add.reduceat(size, np.concatenate([[0], np.cumsum(n_words + 1)[:-1]])) if len(texts) else np.zeros(0, np.int64)
+        word_ends = np.cumsum(n_words + 1) - 1
+        inside = np.ones(len(codes) + len(n_words), bool)
+        inside[word_ends] = False
+        starts, sizes = np.full(len(inside), len(self.flat), np.int64), np.ones(len(inside), np.int64)
+        starts[inside], sizes[inside] = first[codes], size[codes]
+        ids = np.append(self.flat, np.uint32(end))[ragged(starts, sizes)]
+        return ids, np.diff(np.cumsum(sizes)[word_ends], prepend=0)
+
+
+def pieces(texts: pa.Array, unmarked: bool) -> tuple[pa.Array, np.ndarray]:
+    """The words between ASCII blanks, and how many each text has. In texts without marks, A-Z are lower-cased, and
+    ``TAIL`` at a word's end behind a letter of ``STEM_ENDS`` is a word of its own: the tokenizer does both, too."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]].tobytes()
+    data, offsets = np.frombuffer(raw, np.uint8), offsets - offsets[0]
+    kind = np.frombuffer(raw.translate(_KINDS), np.uint8)
+    blank = kind == _BLANK
+    some = offsets[:-1] < offsets[1:]
+    first, last = offsets[:-1][some], offsets[1:][some] - 1
+    begins, ends = ~blank, ~blank
+    begins[1:] &= blank[:-1]
+    ends[:-1] &= blank[1:]
+    begins[first], ends[last] = ~blank[first], ~blank[last]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    n_pieces = np.ones(len(start), np.int64)
+    if unmarked:
+        tail, long = np.zeros(len(start), np.int64), np.flatnonzero(kind[end - 1] == _TAIL) if len(end) else start
+        while len(long) and tail[long[0]] < MOST_TAIL:
+            tail[long] += 1
+            long = long[end[long] - tail[long] > start[long]]
+            long = long[kind[end[long] - tail[long] - 1] == _TAIL]
+        stem = end - tail  # behind the last place before the tail
+        cut = (tail > 0) & (stem > start)
+        x = stem[cut] - 1
+        y = data[x]
+        cut[cut] = (kind[x] == _LETTER) | (y >= 0x80) & (y < 0xC0) & (y != 0x97) & (y != 0xB7) & (data[x - 1] == 0xC3)
+        n_pieces[cut] = 2
+    at = np.cumsum(n_pieces) - n_pieces
+    size = np.zeros(int(n_pieces.sum()), np.int64)
+    size[at] = end - start
+    if unmarked:
+        size[at[cut]] = stem[cut] - start[cut]
+        size[at[cut] + 1] = tail[cut]
+    kept = raw.translate(_LOWER if unmarked else None, BLANKS)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    words = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
+    return words, np.diff(np.concatenate([[0], np.cumsum(n_pieces)])[np.searchsorted(start, offsets)])
 
 
 @lru_cache(1)
@@ -117,55 +189,82 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def grammar(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (pairs), the length of each one's expansion, the symbols, and the number of symbols of each document."""
-    symbols = ids.astype(np.int64)
+def grammar(ids: np.ndarray, sizes: np.ndarray, base: int, pairs: int = PAIRS, least: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (pairs), the length of each one's expansion, the symbols, and the number of symbols of each document.
+
+    With ``pairs`` 1 a round replaces the most frequent pair (of equal ones the least), as Re-Pair does; with more, all
+    pairs that are at least half as frequent, up to so many. Where occurrences overlap, the more frequent pair has it; of
+    one pair's, every other one from the left. ``least`` is the number of occurrences from which a pair is frequent.
+    """
+    symbols = ids.astype(np.uint32)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
-    rules, lengths = [], []
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        code = (symbols[:-1] << 32) | symbols[1:]
-        may = ~last[:-1]
-        slot = ((code * -7046029254386353131) >> 44) & 0xFFFFF
-        count = np.bincount(slot[may], minlength=1 << 20)
-        least = max(LEAST, len(symbols) // SHARE)
-        full = np.flatnonzero(count >= least)
-        if not len(full):
-            break
-        if len(full) > PAIRS:
-            full = full[np.argpartition(-count[full], PAIRS)[:PAIRS]]
-        likely = np.zeros(1 << 20, bool)
-        likely[full] = True
-        where = np.flatnonzero(likely[slot] & may)
-        pairs, number, times = np.unique(code[where], return_inverse=True, return_counts=True)
-        best = np.argsort(-times, kind="stable")[:PAIRS]
-        best = best[times[best] >= least]
-        if not len(best):
+    rules, lengths = [np.zeros((0, 2), np.uint32)], np.ones(base, np.int64)
+    least = max(LEAST, len(symbols) // SHARE) if least is None else least
+
+    def slots_of(at: np.ndarray) -> np.ndarray:
+        """The slots of the pairs that begin at these places; pairs over a document's end share the last one."""
+        mixed = (symbols[at] * np.uint32(0x9E3779B1) ^ symbols[at + 1] * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
+        return np.where(last[at], np.uint32(1 << SLOT_BITS), mixed)
+
+    in_slots = lambda slots: np.bincount(slots, minlength=(1 << SLOT_BITS) + 1)
+    slot = slots_of(np.arange(max(0, len(symbols) - 1)))
+    count = in_slots(slot)
+    while len(symbols) > 1:
+        count[-1] = 0
+        # Pairs share slots: the likely ones are counted one by one, until none outside them can be more frequent.
+        floor = max(least, int(count.max()) // 2)
+        while True:
+            where = np.flatnonzero((count >= floor)[slot])
+            code, number, times = np.unique(symbols[where].astype(np.uint64) << np.uint64(32) | symbols[where + 1], return_inverse=True, return_counts=True)
+            most = int(times.max(initial=0))
+            if most >= floor or floor == least:
+                break
+            floor = max(least, most)
+        if most < least:
             break
-        rank = np.full(len(pairs), -1)
-        rank[best] = np.arange(len(best))
-        rule = rank[number]
-        where, rule = where[rule >= 0], rule[rule >= 0]
-        # Of overlapping occurrences, every other one from the left.
-        new_run = np.concatenate([[True], np.diff(where) > 1])
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(where)), 0))
-        take = (np.arange(len(where)) - run_start) % 2 == 0
-        where, rule = where[take], rule[take]
-        symbols[where] = base + len(rules) + rule
-        last[where] = last[where + 1]
+        best = np.argsort(-times, kind="stable")[:pairs]
+        best = best[times[best] >= max(least, most // 2)]
+        while True:
+            rank = np.full(len(code), len(code))
+            rank[best] = np.arange(len(best))
+            place, rule = where[rank[number] < len(best)], rank[number][rank[number] < len(best)]
+            near = np.diff(place) == 1
+            beaten = np.zeros(len(place), bool)
+            beaten[1:] = near & (rule[:-1] < rule[1:])
+            beaten[:-1] |= near & (rule[1:] < rule[:-1])
+            place, rule = place[~beaten], rule[~beaten]
+            run = np.concatenate([[True], np.diff(place) > 1])
+            start = np.maximum.accumulate(np.where(run, np.arange(len(place)), 0))
+            take = (np.arange(len(place)) - start) % 2 == 0
+            place, rule = place[take], rule[take]
+            # Rules whose pairs went to others mostly are left for a later round.
+            used = np.bincount(rule, minlength=len(best)) >= max(1, least // 2)
+            if used.all() or len(best) == 1:
+                break
+            best = best[used] if used.any() else best[:1]
+        # Only pairs that touch a replaced one change; two may touch the same pair between them.
+        apart = np.concatenate([[True], np.diff(place) > 2])
+        gone = np.concatenate([place, place + 1, (place - 1)[apart]])
+        count -= in_slots(slot[gone[(gone >= 0) & (gone < len(slot))]])
+        symbols[place] = (base + sum(map(len, rules)) + rule).astype(np.uint32)
+        last[place] = last[place + 1]
         keep = np.ones(len(symbols), bool)
-        keep[where + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        for p in pairs[best].tolist():
-            a, b = p >> 32, p & 0xFFFFFFFF
-            rules.append((a, b))
-            lengths.append(sum(1 if x < base else lengths[x - base] for x in (a, b)))
+        keep[place + 1] = False
+        keep = np.flatnonzero(keep)
+        symbols, last, slot = symbols[keep], last[keep], slot[keep[:-1]]
+        place = place - np.arange(len(place))
+        new = np.concatenate([place, (place - 1)[apart]])
+        new = new[(new >= 0) & (new < len(slot))]
+        slot[new] = slots_of(new)
+        count += in_slots(slot[new])
+        made = np.stack([code[best] >> np.uint64(32), code[best] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        rules.append(made)
+        lengths = np.concatenate([lengths, lengths[made].sum(1)])
     ends = np.flatnonzero(last) + 1
     counts = np.zeros(len(sizes), np.int64)
     counts[sizes > 0] = np.diff(np.concatenate([[0], ends]))
-    return np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32), symbols, counts
+    return np.concatenate(rules), lengths[base:].astype(np.uint32), symbols, counts
 
 
 def pack(ids: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -205,12 +304,22 @@ class Block:
         return table_[symbols]
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """The expansions of all rules one after the other, and where each begins; a rule's parts come before it."""
+        """The expansions of all symbols one after the other, and where each begins; a rule's parts come before it."""
         if self._whole is None:
-            parts: list[np.ndarray] = []
-            for a, b in self.rules.tolist():
-                parts.append(np.concatenate([np.array([x], np.uint32) if x < self.base else parts[x - self.base] for x in (a, b)]))
-            self._whole = np.concatenate([np.arange(self.base, dtype=np.uint32), *parts]), np.concatenate([np.arange(self.base), self.base + np.cumsum([0, *self.lengths[:-1]])]).astype(np.int64)
+            size = np.concatenate([np.ones(self.base, np.int64), self.lengths])
+            first = np.cumsum(size) - size
+            flat = np.arange(int(size.sum()), dtype=np.uint32)
+            level = [0] * len(size)
+            for i, (a, b) in enumerate(self.rules.tolist(), self.base):
+                level[i] = 1 + max(level[a], level[b])
+            level = np.array(level[self.base :], np.int64)
+            for k in range(1, int(level.max(initial=0)) + 1):
+                made = np.flatnonzero(level == k)
+                a, b = self.rules[made].T
+                at = first[self.base + made]
+                flat[ragged(at, size[a])] = flat[ragged(first[a], size[a])]
+                flat[ragged(at + size[a], size[b])] = flat[ragged(first[b], size[b])]
+            self._whole = flat, first
         return self._whole
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:

@@ -41,6 +41,54 @@ def test_forgetting_changes_nothing(tokenizer, monkeypatch):
         assert encode(pa.array([t]))[0].tolist() == want(tokenizer, t)
 
 
+def test_another_tokenizer_encodes_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, tokenizer = rp.Encoder(path), Tokenizer.from_file(path)
+    assert not encode.by_word and rp.Encoder(PATH).by_word
+    ids, sizes = encode(pa.array(TEXTS, pa.string()))
+    ends = np.cumsum(sizes)
+    for t, a, e in zip(TEXTS, ends - sizes, ends):
+        assert ids[a:e].tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+    assert encode(pa.array([], pa.string()))[0].tolist() == []
+
+
+def plain_repair(docs, base, least):
+    """Re-Pair by the book: the most frequent pair, of equal ones the least, becomes a symbol, from left to right."""
+    docs, rules = [list(d) for d in docs], []
+    while True:
+        count = {}
+        for d in docs:
+            for p in zip(d, d[1:]):
+                count[p] = count.get(p, 0) + 1
+        pair = min(count, key=lambda p: (-count[p], p), default=None)
+        if pair is None or count[pair] < least:
+            return rules, [x for d in docs for x in d]
+        for d in docs:
+            i = 0
+            while i < len(d) - 1:
+                if (d[i], d[i + 1]) == pair:
+                    d[i : i + 2] = [base + len(rules)]
+                i += 1
+        rules.append(pair)
+
+
+@pytest.mark.parametrize("alphabet", [2, 7, 40])
+def test_one_pair_a_round_is_re_pair(alphabet):
+    rng = np.random.default_rng(alphabet)
+    docs = [rng.integers(0, alphabet, rng.integers(0, 90)).astype(np.uint32) for _ in range(20)]
+    ids, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    for least in (2, 5):
+        rules, lengths, symbols, counts = rp.grammar(ids, sizes, alphabet, pairs=1, least=least)
+        want_rules, want_symbols = plain_repair([d.tolist() for d in docs], alphabet, least)
+        assert [tuple(r) for r in rules.tolist()] == want_rules and symbols.tolist() == want_symbols and counts.sum() == len(symbols)
+        # many pairs a round stop at the same place, and come near in size
+        rules, _, symbols, _ = rp.grammar(ids, sizes, alphabet, least=least)
+        left = {}
+        for p in (p for d in np.split(symbols, np.cumsum(rp.grammar(ids, sizes, alphabet, least=least)[3])[:-1]) for p in zip(d.tolist(), d.tolist()[1:])):
+            left[p] = left.get(p, 0) + 1
+        assert max(left.values(), default=0) < least and len(symbols) + len(rules) <= 1.2 * (len(want_symbols) + len(want_rules)) + 10
+
+
 @pytest.mark.parametrize("alphabet,n", [(1, 1000), (2, 5000), (50, 20000), (60000, 3000), (3, 0), (3, 1)])
 def test_blocks_round_trip_and_random_access(alphabet, n):
     rng = np.random.default_rng(alphabet)
