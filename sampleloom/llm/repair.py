@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -41,7 +43,7 @@ BLOCK_TOKENS = 1 << 19
 #: Most pairs that a round replaces at once, and bits of the table that tells which pairs may be frequent.
 PAIRS, SLOT_BITS = 4096, 18
 #: A pair is frequent if it occurs so often, and at least once in so many ids of its block.
-LEAST, SHARE = 8, 16384
+LEAST, SHARE = 8, 8192
 CACHE = 1_000_000
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIB")  # magic, first nonterminal, rules, symbols, documents, bytes of a symbol
@@ -62,6 +64,11 @@ BY_WORD = (
 TAIL = b".,!?;:|#$%&*()\"-_=+/\\[]{}@^~`<>"
 #: Bytes of a tail; behind a longer one a word is cut within it or not at all, which changes no id.
 MOST_TAIL = 64
+#: Words of letters whose lower case and normal form are one letter each, and how byte-level models spell bytes: printable
+#: ones as they are, the others from U+0100 on (fixed values).
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+SPELLED = {x: chr(x) if x in _PRINTED else chr(0x100 + sum(y not in _PRINTED for y in range(x))) for x in range(256)}
 BLANKS = b"\t\n\v\f\r "
 _BLANK, _TAIL, _LETTER = 1, 2, 3
 _KINDS = bytes(_BLANK if x in BLANKS else _TAIL if x in TAIL else _LETTER if chr(x).isalpha() and x < 0x80 else 0 for x in range(256))
@@ -73,6 +80,8 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
@@ -84,6 +93,13 @@ class Encoder:
         self.by_word = (spec.get("normalizer"), spec.get("pre_tokenizer")) == BY_WORD and len(marks) == len(spec["added_tokens"]) > 0 and all(m[:2] == marks[0][:2] and m.isascii() and m == m.lower() and " " not in m for m in marks)
         self.mark = marks[0] if self.by_word else ""
         self.marked = self.tokenizer.token_to_id(self.mark) if self.by_word else None
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_word &= bool(suffix)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.by_word:
+            self.ends_word[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer, self.words.pre_tokenizer = Sequence([]), CharDelimiterSplit(SPELLED[0x20])
         self._forget()
 
     def _forget(self) -> None:
@@ -93,25 +109,36 @@ class Encoder:
         parts = [np.array([*e.ids, end], np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(p) for p in parts], np.int64)
 
-    def _encode(self, words: list[str]) -> None:
-        """Words that hold a mark's beginning are encoded alone, the others many at a time."""
-        odd = [w for w in words if self.mark[:2] in w]
-        many = [w for w in words if self.mark[:2] not in w]
-        parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        if many:
+    def _encode(self, words: list[str]) -> np.ndarray:
+        """The places of new words: those of ``LETTERS`` go to the model as they are, without normaliser and pre-tokenizer,
+        which would leave them whole; others many at a time with marks between them; those that hold a mark's beginning alone."""
+        plain = [i for i, w in enumerate(words) if LETTERS.fullmatch(w)]
+        odd = [i for i, w in enumerate(words) if self.mark[:2] in w]
+        rest = set(range(len(words))).difference(plain, odd)
+        order, parts, sizes = [*plain, *sorted(rest), *odd], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        groups = [plain[i : i + 1024] for i in range(0, len(plain), 1024)]
+        spelled = [" ".join([words[i] for i in g]).lower().encode().decode("latin-1").translate(SPELLED) for g in groups]
+        for e in self.words.encode_batch_fast(spelled, add_special_tokens=False):
+            parts.append(np.array(e.ids, np.uint32))
+            sizes.append(np.diff(np.flatnonzero(self.ends_word[parts[-1]]), prepend=-1))
+        if rest:
+            many = [words[i] for i in sorted(rest)]
             groups = [many[i : i + 256] for i in range(0, len(many), 256)]
             ids = np.concatenate([np.array([*e.ids, self.marked], np.uint32) for e in self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)])
             ends = np.flatnonzero(ids == self.marked)
             sizes.append(np.diff(ends, prepend=-1) - 1)
             parts.append(ids[ids != self.marked])
-        for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False):
+        for e in self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False):
             parts.append(np.array(e.ids, np.uint32))
             sizes.append(np.array([len(e.ids)]))
-        flat, sizes, words = np.concatenate(parts), np.concatenate(sizes), [*many, *odd]
+        sizes = np.concatenate(sizes)
         assert len(sizes) == len(words)
-        self.known.update(zip(words, range(len(self.starts) - 1, len(self.starts) - 1 + len(words))))
-        self.flat = np.concatenate([self.flat, flat])
+        places = np.empty(len(words), np.int64)
+        places[order] = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(words))
+        self.known.update(zip(words, places.tolist()))
+        self.flat = np.concatenate([self.flat, *parts])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        return places
 
     def __call__(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text's followed by ``end``, and how many each text has."""
@@ -123,8 +150,9 @@ class Encoder:
         distinct, codes = each.dictionary.to_pylist(), each.indices.to_numpy()
         if len(self.known) + len(distinct) > CACHE:
             self._forget()
-        self._encode([w for w in distinct if w not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        at[new] = self._encode([distinct[i] for i in new.tolist()])
         first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
         # The end of a text is a word of its own, taken from one more place.
         word_ends = np.cumsum(n_words + 1) - 1
@@ -373,7 +401,9 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, key: str = "
         if held:
             yield flush()
 
-    ordered = docs.select(F.col(key).cast("bigint").alias("key"), "text").repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
+    # Rows of one id, even equal ones, are ranges of their own by a number that only deals them.
+    slim = docs.select(F.col(key).cast("bigint").alias("key"), "text", F.monotonically_increasing_id().alias("deal"))
+    ordered = slim.repartitionByRange("key", F.xxhash64("text"), "deal").sortWithinPartitions("key", F.xxhash64("text")).select("key", "text")
     return store(ordered.mapInArrow(run, "shard int, block int, start bigint, n_tokens bigint, ids array<bigint>, data binary"), "token-ids", path)
 
 

@@ -129,3 +129,12 @@ def test_files(spark, tokenizer):
         assert r.start == at and (r.n_tokens, r.ids_crc32) in [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in by[r.doc_id]]
         at += r.n_tokens
     assert rp.read(rp.write(docs.limit(0), PATH)).count() == 0
+
+
+def test_rows_of_one_id_are_dealt(spark, tokenizer):
+    docs = spark.createDataFrame([(None, "the same text again")] * 3000 + [(5, "other")], "doc_id long, text string").repartition(6)
+    blocks = rp.write(docs, PATH, block_tokens=400)
+    per_shard = [r["count"] for r in blocks.groupBy("shard").agg(rp.F.sum("n_tokens").alias("count")).collect()]
+    out = rp.read(blocks).orderBy("start").collect()
+    assert len(per_shard) > 1 and max(per_shard) < 0.7 * sum(per_shard)
+    assert len(out) == 3001 and [r.doc_id for r in out] == [None] * 3000 + [5] and [r.start for r in out[:3]] == [0, 5, 10]
