@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import f32, f64
 from . import kernels
-from .measure import look_ahead_peak, per_channel
+from .measure import by_run, look_ahead_peak, per_channel
 
 
 def filtered(frames: DataFrame, kind: str, hz: float, rate: int, q: float = 0.5**0.5, gain_db: float = 0.0) -> DataFrame:
@@ -18,13 +18,8 @@ def filtered(frames: DataFrame, kind: str, hz: float, rate: int, q: float = 0.5*
 
 
 def _gains(peaks: DataFrame, kernel) -> DataFrame:
-    """(clip, frame, gain) from (clip, frame, peak) by a recurrence over each clip."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        return pd.DataFrame({"clip": rows["clip"], "frame": rows["frame"], "gain": kernel(rows["peak"].to_numpy())})
-
-    return peaks.groupBy("clip").applyInPandas(run, "clip bigint, frame bigint, gain double")
+    """(clip, frame, gain) from (clip, frame, peak) by a recurrence over each clip; the kernel takes rows of peaks."""
+    return by_run(peaks, ["clip"], "peak", lambda x, n: (kernels.by_rows(kernel, x, n), n), "clip bigint, frame bigint, gain double")
 
 
 def limit(frames: DataFrame, rate: int, ceiling_db: float = -1.0, look_ms: float = 5.0, release_ms: float = 50.0) -> DataFrame:
@@ -42,20 +37,34 @@ def compress(frames: DataFrame, key: DataFrame, rate: int, threshold_db: float,
     return met.select("clip", "channel", "frame", f32(f64(F.col("sample")) * F.coalesce("gain", F.lit(1.0))).alias("sample"))
 
 
+def _lengthened(frames: DataFrame, kernel) -> DataFrame:
+    return by_run(frames, ["clip", "channel"], "sample", kernel, "clip bigint, channel int, frame bigint, sample float")
+
+
 def resample(frames: DataFrame, rate: int, to: int) -> DataFrame:
-    return per_channel(frames, lambda x: kernels.resample(x, to / rate))
+    return _lengthened(frames, lambda x, n: kernels.resample_runs(x, n, to / rate))
 
 
 def speed(frames: DataFrame, factor: float) -> DataFrame:
-    return per_channel(frames, lambda x: kernels.resample(x, 1 / factor))
+    return _lengthened(frames, lambda x, n: kernels.resample_runs(x, n, 1 / factor))
+
+
+def each_run(kernel):
+    """A kernel for runs from one for a single run's samples."""
+
+    def run(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = [np.asarray(kernel(p), np.float32) for p in np.split(x, np.cumsum(sizes)[:-1])]
+        return np.concatenate(out), np.array([len(p) for p in out], np.int64)
+
+    return run
 
 
 def tempo(frames: DataFrame, factor: float, rate: int) -> DataFrame:
-    return per_channel(frames, lambda x: kernels.tempo(x, factor, rate))
+    return _lengthened(frames, each_run(lambda x: kernels.tempo(x, factor, rate)))
 
 
 def pitch(frames: DataFrame, semitones: float, rate: int) -> DataFrame:
-    return per_channel(frames, lambda x: kernels.pitch(x, semitones, rate))
+    return _lengthened(frames, each_run(lambda x: kernels.pitch(x, semitones, rate)))
 
 
 def effect(frames: DataFrame, kind: str, rate: int, **settings) -> DataFrame:
@@ -70,7 +79,9 @@ def effect(frames: DataFrame, kind: str, rate: int, **settings) -> DataFrame:
         "phaser": lambda x: kernels.phaser(x, rate, settings["centre_hz"], settings["depth"], settings["hz"], settings["feedback"], settings["wet"]),
         "bitcrusher": lambda x: kernels.bitcrush(x, settings["bits"], settings["ratio"]),
     }[kind]
-    return per_channel(frames, run)
+    if kind in ("lowpass", "highpass"):
+        return per_channel(frames, run)
+    return _lengthened(frames, each_run(run))
 
 
 def spectrum(frames: DataFrame, rate: int, size: int) -> DataFrame:
@@ -89,7 +100,10 @@ def spectrogram(frames: DataFrame, rate: int, size: int, hop: int) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def magnitudes(samples: pd.Series) -> pd.Series:
-        return samples.map(lambda x: kernels.spectrum(np.asarray(x, np.float64), rate, size)[1])
+        rows = np.zeros((len(samples), size))
+        counts = samples.map(len).to_numpy()
+        rows[np.arange(size) < counts[:, None]] = np.concatenate([*samples, np.zeros(0)])
+        return pd.Series(list(kernels.spectra(rows)))
 
     listed = made.select("clip", "channel", "col", magnitudes(F.transform("_all", lambda x: x["sample"])).alias("m"))
     each = listed.select("clip", "channel", "col", F.posexplode("m").alias("bin", "magnitude"))

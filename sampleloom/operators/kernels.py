@@ -34,10 +34,42 @@ def biquad_coefficients(kind: str, hz: float, rate: float, q: float = math.sqrt(
     return tuple(x / den[0] for x in (*b, *den[1:]))
 
 
+def ragged(sizes: np.ndarray) -> np.ndarray:
+    """0 .. size - 1 of each size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def in_rows(x: np.ndarray, sizes: np.ndarray, most: int = 1 << 22):
+    """(which, places, inside, rows): runs of samples of about one size as rows that end in zeros, at most ``most`` samples at once
+    unless one run is longer; ``places`` says where in ``x`` each sample of ``rows[inside]`` stands."""
+    first, order, at = np.cumsum(sizes) - sizes, np.argsort(-sizes, kind="stable"), 0
+    while at < len(order):
+        width = max(1, int(sizes[order[at]]))
+        which = order[at : at + max(1, most // width)]
+        which = which[sizes[which] * 2 >= width]
+        which = order[at : at + max(1, len(which))]
+        at += len(which)
+        inside = np.arange(width) < sizes[which][:, None]
+        places = (first[which][:, None] + np.arange(width))[inside]
+        rows = np.zeros((len(which), width))
+        rows[inside] = x[places]
+        yield which, places, inside, rows
+
+
+def by_rows(kernel, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What ``kernel`` makes of each run of samples; it takes and gives rows of one width, zeros behind shorter runs."""
+    out = np.zeros(len(x))
+    for _, places, inside, rows in in_rows(x, sizes):
+        out[places] = kernel(rows)[inside]
+    return out
+
+
 def biquad(x: np.ndarray, coefficients: tuple[float, ...]) -> np.ndarray:
-    """The filtered samples in 64-bit floats; state never loses precision."""
+    """The filtered samples of one run or of rows, in 64-bit floats; state never loses precision."""
     b0, b1, b2, a1, a2 = coefficients
-    n = min(BLOCK, max(1, len(x)))
+    rows = np.atleast_2d(np.asarray(x, np.float64))
+    n = min(BLOCK, max(1, rows.shape[1]))
 
     def ring(y1: float, y2: float) -> np.ndarray:
         out = []
@@ -47,20 +79,19 @@ def biquad(x: np.ndarray, coefficients: tuple[float, ...]) -> np.ndarray:
         return np.array(out)
 
     r1, r2 = ring(1.0, 0.0), ring(0.0, 1.0)
-    # The all-pole impulse response, as a lower triangular matrix.
+    # The all-pole impulse response, as an upper triangular matrix.
     impulse = np.concatenate([[1.0], r1[:-1]])
-    matrix = np.tril(impulse[np.subtract.outer(np.arange(n), np.arange(n)).clip(0)])
-    padded = np.concatenate([[0.0, 0.0], np.asarray(x, np.float64)])
-    drive = b0 * padded[2:] + b1 * padded[1:-1] + b2 * padded[:-2]
-    y1 = y2 = 0.0
-    out = np.empty(len(drive))
-    for i in range(0, len(drive), n):
-        part = drive[i : i + n]
-        m = len(part)
-        y = matrix[:m, :m] @ part + y1 * r1[:m] + y2 * r2[:m]
-        out[i : i + m] = y
-        y1, y2 = y[-1], (y[-2] if m > 1 else y1)
-    return out
+    matrix = np.triu(impulse[np.subtract.outer(np.arange(n), np.arange(n)).T.clip(0)])
+    drive = b0 * rows
+    drive[:, 1:] += b1 * rows[:, :-1]
+    drive[:, 2:] += b2 * rows[:, :-2]
+    y1 = y2 = np.zeros((len(rows), 1))
+    for i in range(0, rows.shape[1], n):
+        m = min(n, rows.shape[1] - i)
+        y = drive[:, i : i + m] @ matrix[:m, :m] + y1 * r1[:m] + y2 * r2[:m]
+        drive[:, i : i + m] = y
+        y1, y2 = y[:, -1:], (y[:, -2:-1] if m > 1 else y1)
+    return drive.reshape(np.shape(x))
 
 
 def k_weighting(x: np.ndarray, rate: float) -> np.ndarray:
@@ -76,25 +107,50 @@ def k_weighting(x: np.ndarray, rate: float) -> np.ndarray:
     return biquad(biquad(x, shelf).astype(np.float32), high).astype(np.float32)
 
 
-def true_peak(x: np.ndarray) -> float:
-    """The largest magnitude at four places between samples, zeros beyond the ends."""
+def true_peak_kernel() -> np.ndarray:
+    """Weights of 32 samples at each of the four places between two: a sinc under a Blackman window."""
     i = np.arange(128)
-    t = i / 4 - 16
-    kernel = np.sinc(t) * (0.42 - 0.5 * np.cos(TURN * i / 127) + 0.08 * np.cos(2 * TURN * i / 127))
-    if not len(x):
-        return 0.0
-    padded = np.concatenate([np.zeros(16), x.astype(np.float64), np.zeros(16)])
-    taps = np.lib.stride_tricks.sliding_window_view(padded, 32)[: len(x)]
-    return max(float(np.abs(x).max()), float(np.abs(taps @ kernel.reshape(32, 4)).max()))
+    return (np.sinc(i / 4 - 16) * (0.42 - 0.5 * np.cos(TURN * i / 127) + 0.08 * np.cos(2 * TURN * i / 127))).reshape(32, 4)
+
+
+def true_peaks(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run, the largest magnitude at four places between samples, zeros beyond the ends."""
+    kernel, out = true_peak_kernel(), np.zeros(len(sizes))
+    for which, _, inside, rows in in_rows(x, sizes, 1 << 17):
+        padded = np.pad(rows, ((0, 0), (16, 16)))
+        top = np.abs(rows).max(1)
+        for lo in range(0, rows.shape[1], 1 << 15):
+            taps = np.lib.stride_tricks.sliding_window_view(padded[:, lo : lo + (1 << 15) + 31], 32, axis=1)[:, : rows.shape[1] - lo]
+            between = np.abs(taps @ kernel).max(2)
+            top = np.maximum(top, np.where(inside[:, lo : lo + (1 << 15)], between, 0).max(1))
+        out[which] = top
+    return out
+
+
+def followed(target: np.ndarray, down: float, up: float) -> np.ndarray:
+    """Gains that start at 1 and approach their targets in rows, by ``down`` where these are lower and ``up`` where higher:
+    over many rows all at once, over few one by one."""
+    shape, target = target.shape, np.atleast_2d(target)
+    out = np.empty(target.shape)
+    if len(target) >= 16:
+        g = np.ones(len(target))
+        for i in range(target.shape[1]):
+            t = target[:, i]
+            g = t + (g - t) * np.where(t < g, down, up)
+            out[:, i] = g
+        return out.reshape(shape)
+    for row, given in zip(out, target.tolist()):
+        g, made = 1.0, []
+        for t in given:
+            g = t + (g - t) * (down if t < g else up)
+            made.append(g)
+        row[:] = made
+    return out.reshape(shape)
 
 
 def limiter_gains(peak: np.ndarray, ceiling: float, release: float) -> np.ndarray:
-    """Gains from look-ahead peaks: down at once, up by an exponential that takes ``release`` frames."""
-    keep, g, out = math.exp(-1 / release) if release > 0 else 0.0, 1.0, []
-    for t in np.minimum(1.0, ceiling / np.maximum(peak, 1e-300)).tolist():
-        g = t if t < g else t + (g - t) * keep
-        out.append(g)
-    return np.array(out)
+    """Gains of rows of look-ahead peaks: down at once, up by an exponential that takes ``release`` frames."""
+    return followed(np.minimum(1.0, ceiling / np.maximum(peak, 1e-300)), 0.0, math.exp(-1 / release) if release > 0 else 0.0)
 
 
 def kaiser_table() -> np.ndarray:
@@ -104,23 +160,45 @@ def kaiser_table() -> np.ndarray:
 
 
 def resample(x: np.ndarray, ratio: float, frames: int | None = None) -> np.ndarray:
-    """Samples at places i / ratio, by a windowed sinc that is cut at 97 % of the lower rate; weights are made to sum to 1,
-    samples beyond an end are the last one."""
-    n = int(math.floor(len(x) * ratio + 0.5)) if frames is None else frames
-    if not len(x) or not n:
-        return np.zeros(n, np.float32)
+    """Samples of one run or of rows at places i / ratio, by a windowed sinc that is cut at 97 % of the lower rate; weights
+    are made to sum to 1, samples beyond an end are the last one."""
+    rows = np.atleast_2d(x)
+    size = rows.shape[1]
+    n = int(math.floor(size * ratio + 0.5)) if frames is None else frames
+    out = np.zeros((len(rows), n), np.float32)
     table, cutoff = kaiser_table(), 0.97 * min(ratio, 1.0)
     half = 32 / cutoff
-    out = np.empty(n, np.float32)
-    for lo in range(0, n, 4096):
+    for lo in range(0, n if size else 0, 4096):
         centre = np.arange(lo, min(lo + 4096, n)) / ratio
         first = np.ceil(centre - half).astype(np.int64)
         j = first[:, None] + np.arange(int(2 * half) + 2)
         at = np.abs(centre[:, None] - j) * cutoff * 512
         k = np.minimum(at.astype(np.int64), len(table) - 2)
         w = np.where(at <= 16384, table[k] + (table[k + 1] - table[k]) * (at - k), 0.0)
-        out[lo : lo + 4096] = (w * x[np.clip(j, 0, len(x) - 1)]).sum(1) / w.sum(1)
-    return out
+        w /= w.sum(1, keepdims=True)
+        j = np.clip(j, 0, size - 1)
+        if len(rows) < 4:
+            out[:, lo : lo + 4096] = [(w * r[j]).sum(1) for r in rows]
+        else:  # all rows by one matrix, which has a column for each place and is narrow
+            low = int(j.min())
+            matrix = np.zeros((len(centre), int(j.max()) + 1 - low))
+            np.add.at(matrix, (np.arange(len(centre))[:, None], j - low), w)
+            out[:, lo : lo + 4096] = rows[:, low : low + matrix.shape[1]] @ matrix.T
+    return out.reshape((*np.shape(x)[:-1], n))
+
+
+def resample_runs(x: np.ndarray, sizes: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Every run resampled, and the new sizes; runs of one size go together."""
+    made = np.floor(sizes * ratio + 0.5).astype(np.int64)
+    out, first, start = np.zeros(int(made.sum()), np.float32), np.cumsum(sizes) - sizes, np.cumsum(made) - made
+    for size in np.unique(sizes).tolist():
+        same = np.flatnonzero(sizes == size)
+        for i in range(0, len(same), step := max(1, (1 << 20) // max(1, size))):
+            part = same[i : i + step]
+            rows = x[first[part][:, None] + np.arange(size)].astype(np.float64)
+            new = resample(rows, ratio)
+            out[start[part][:, None] + np.arange(new.shape[1])] = new
+    return out, made
 
 
 def tempo(x: np.ndarray, factor: float, rate: int) -> np.ndarray:
@@ -158,15 +236,11 @@ def pitch(x: np.ndarray, semitones: float, rate: int) -> np.ndarray:
 
 
 def one_pole(x: np.ndarray, hz: float, rate: float, high: bool = False) -> np.ndarray:
-    """A first-order low-pass, or what is left above it."""
+    """A first-order low-pass by the trapezoid rule, or what is left above it, of rows."""
     g = math.tan(math.pi * min(hz, 0.49 * rate) / rate)
-    a, m, out = g / (1 + g), 0.0, []
-    for v in x.astype(np.float64).tolist():
-        step = (v - m) * a
-        low = step + m
-        m = low + step
-        out.append(v - low if high else low)
-    return np.array(out)
+    a = g / (1 + g)
+    low = biquad(x, (a, a, 0.0, 2 * a - 1, 0.0))
+    return x - low if high else low
 
 
 def compressor_gains(peak: np.ndarray, rate: float, threshold_db: float, ratio: float, attack_ms: float, release_ms: float, makeup_db: float = 0.0, depth: float = 1.0) -> np.ndarray:
@@ -174,12 +248,7 @@ def compressor_gains(peak: np.ndarray, rate: float, threshold_db: float, ratio:
     threshold, makeup = 10 ** (threshold_db / 20), 10 ** (makeup_db / 20)
     down, up = (math.exp(-1000 / (ms * rate)) if ms > 0 else 0.0 for ms in (attack_ms, release_ms))
     target = 1 - depth * (1 - np.where(peak > threshold, (threshold / np.maximum(peak, threshold)) ** (1 - 1 / ratio), 1.0))
-    g, out = 1.0, []
-    for t in target.tolist():
-        k = down if t < g else up
-        g = t + (g - t) * k
-        out.append(g * makeup)
-    return np.array(out)
+    return followed(target, down, up) * makeup
 
 
 def delay(x: np.ndarray, frames: float, feedback: float, wet: float) -> np.ndarray:
@@ -258,11 +327,10 @@ def bitcrush(x: np.ndarray, bits: float, ratio: float) -> np.ndarray:
     return np.sign(v) * np.floor(np.abs(v) + 0.5) / full
 
 
-def spectrum(x: np.ndarray, rate: float, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and magnitudes of the first ``size`` samples under a symmetric Hann window."""
+def spectra(rows: np.ndarray) -> np.ndarray:
+    """Magnitudes of rows of samples under a symmetric Hann window."""
+    size = rows.shape[1]
     window = 0.5 - 0.5 * np.cos(TURN * np.arange(size) / (size - 1))
-    padded = np.zeros(size)
-    padded[: min(size, len(x))] = x[:size]
-    m = np.abs(np.fft.rfft(padded * window)) / window.sum()
-    m[1:-1] *= 2
-    return np.arange(size // 2 + 1) * rate / size, m
+    m = np.abs(np.fft.rfft(rows * window, axis=1)) / window.sum()
+    m[:, 1:-1] *= 2
+    return m

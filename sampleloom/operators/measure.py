@@ -2,19 +2,25 @@
 loudness and true peak.
 
 All but the filters of loudness and the interpolation of true peaks are aggregates and windows, so partial aggregates
-combine before a shuffle; the two exceptions run one kernel for each channel of a clip.
+combine before a shuffle; the two exceptions run a kernel on many channels of clips at once.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.units import f64, from_db, to_db
 from . import kernels
 
+
 def level() -> Column:
     """The sample in 64-bit floats."""
     return f64(F.col("sample"))
@@ -102,15 +108,49 @@ def look_ahead_peak(frames: DataFrame, look: int) -> DataFrame:
     return linked.select("clip", "frame", F.max("x").over(Window.partitionBy("clip").orderBy("frame").rowsBetween(0, look)).alias("peak"))
 
 
-def per_channel(frames: DataFrame, kernel, schema: str = "clip bigint, channel int, frame bigint, sample float") -> DataFrame:
-    """Runs ``kernel(float32 samples) -> float32 samples`` on each channel of each clip, in order of frames."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        out = kernel(rows["sample"].to_numpy(np.float32))
-        return pd.DataFrame({"clip": rows["clip"].iloc[0], "channel": rows["channel"].iloc[0], "frame": np.arange(len(out)), "sample": np.asarray(out, np.float32)})
-
-    return frames.groupBy("clip", "channel").applyInPandas(run, schema)
+def by_run(rows: DataFrame, keys: list[str], value: str, kernel, schema: str) -> DataFrame:
+    """Deals the rows by ``keys`` and calls ``kernel(values, sizes)`` with many whole runs at once, each in order of frames.
+
+    The kernel gives (values, sizes) of as many runs; they are numbered from frame 0 on again. With a schema without a
+    frame a run gives one value. A run that goes on in the next batch waits for its end.
+    """
+    framed = " frame " in f" {schema} ".replace(",", " ")
+
+    def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        columns = [t.column(k).to_numpy() for k in keys]
+        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+        starts = np.flatnonzero(new)
+        out, sizes = kernel(t.column(value).to_numpy(), np.diff(np.append(starts, len(new))))
+        made = [np.repeat(c[starts], sizes) for c in columns] + ([kernels.ragged(sizes)] if framed else [])
+        return pa.record_batch([*map(pa.array, made), pa.array(out)], names).cast(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = [b.column(k)[b.num_rows - 1].as_py() for k in keys]
+            same = np.logical_and.reduce([b.column(k).to_numpy() == v for k, v in zip(keys, last)])
+            first = int(same.argmax())  # where the last run begins
+            if first or held and [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in keys] != last:
+                if held or first:
+                    yield work([*held, b.slice(0, first)] if first else held)
+                held = [b.slice(first)]
+            else:
+                held.append(b)
+        if held:
+            yield work(held)
+
+    fields = StructType.fromDDL(schema)
+    names, target = fields.names, to_arrow_schema(fields)
+    order = [*keys, "frame"]
+    return rows.select(*order, value).repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, fields)
+
+
+def per_channel(frames: DataFrame, kernel) -> DataFrame:
+    """Runs a kernel on each channel of each clip; it takes and gives rows of samples of one width."""
+    return by_run(frames, ["clip", "channel"], "sample", lambda x, n: (kernels.by_rows(kernel, x, n).astype(np.float32), n), "clip bigint, channel int, frame bigint, sample float")
 
 
 #: Weights of the channels of layouts with surround channels; all others weigh 1 (fixed values).
@@ -122,23 +162,22 @@ def loudness_blocks(frames: DataFrame, rate: int) -> DataFrame:
     shorter has one block."""
     block, step = int(np.floor(0.4 * rate + 0.5)), int(np.floor(0.1 * rate + 0.5))
     weighted = per_channel(frames, lambda x: kernels.k_weighting(x, rate))
-    size = weighted.groupBy("clip").agg((F.max("frame") + 1).alias("n"), (F.max("channel") + 1).alias("channels"))
+    clip = Window.partitionBy("clip")
     short = [F.when((F.col("channels") == k) & (F.col("channel") == c), w) for k, ws in CHANNEL_WEIGHTS.items() for c, w in enumerate(ws)]
-    # Windows are whole numbers of steps long: sum by step, then four neighbouring steps.
-    hops = block // step if block % step == 0 else None
-    joined = weighted.join(size, "clip")
     weight = F.coalesce(*short, F.lit(1.0))
-    if hops:
-        parts = joined.groupBy("clip", F.floor(F.col("frame") / step).cast("bigint").alias("block"), "n").agg(F.sum(level() * level() * weight).alias("p"))
-        order = Window.partitionBy("clip").orderBy("block").rowsBetween(0, hops - 1)
-        full = parts.withColumn("power", F.sum("p").over(order) / block).where(F.col("block") * step + block <= F.col("n"))
-    else:
-        last = F.floor(F.col("frame") / step).cast("bigint")
-        first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("frame") - block) / step).cast("bigint") + 1)
-        each = joined.withColumn("block", F.explode(F.sequence(first, last))).where(F.col("block") * step + block <= F.col("n"))
-        full = each.groupBy("clip", "block").agg((F.sum(level() * level() * weight) / block).alias("power"))
-    tiny = joined.where(F.col("n") < block).groupBy("clip", "n").agg((F.sum(level() * level() * weight) / F.col("n")).alias("power"))
-    return full.select("clip", "block", "power").unionByName(tiny.select("clip", F.lit(-1).cast("bigint").alias("block"), "power"))
+    # Windows are whole numbers of pieces long: sums by piece, then of neighbouring pieces. All follows the deal by clip.
+    piece = math.gcd(block, step)
+    parts = weighted.groupBy("clip", "channel", F.floor(F.col("frame") / piece).cast("bigint").alias("piece")).agg(F.sum(level() * level()).alias("p"), (F.max("frame") + 1).alias("end"))
+    parts = parts.withColumn("n", F.max("end").over(clip)).withColumn("channels", F.max("channel").over(clip) + 1)
+    parts = parts.groupBy("clip", "n", "piece").agg(F.sum(F.col("p") * weight).alias("p"))
+    # Differences of running sums, as windows may be many pieces long.
+    order = clip.orderBy("piece")
+    parts = parts.withColumn("before", F.sum("p").over(order) - F.col("p")).withColumn("after", F.lead("before", block // piece).over(order)).withColumn("all", F.sum("p").over(clip))
+    at = F.col("piece") * piece
+    full = (F.col("n") >= block) & (at % step == 0) & (at + block <= F.col("n"))
+    tiny = (F.col("n") < block) & (F.col("piece") == 0)
+    power = F.when(tiny, F.col("all") / F.col("n")).otherwise((F.coalesce("after", "all") - F.col("before")) / block)
+    return parts.where(full | tiny).select("clip", F.when(tiny, F.lit(-1)).otherwise(at / step).cast("bigint").alias("block"), F.greatest(power, F.lit(0.0)).alias("power"))
 
 
 def lufs(power: Column) -> Column:
@@ -148,19 +187,27 @@ def lufs(power: Column) -> Column:
 def gated(blocks: DataFrame) -> DataFrame:
     """(clip, lufs, range_lu, momentary): blocks of at least -70 LUFS whose loudness is at least their mean less 10; the range
     lies between the values at whole-number ranks of those blocks."""
-    b = blocks.withColumn("l", lufs(F.col("power")))
-    top = b.groupBy("clip").agg(F.max("l").alias("_top"), F.max("block").alias("_last"))
-    loud = b.where("l >= -70")
-    mean = loud.groupBy("clip").agg(lufs(F.avg("power")).alias("_mean"))
-    kept = loud.join(mean, "clip").where(F.col("l") >= F.col("_mean") - 10)
-    sizes = kept.groupBy("clip").agg(lufs(F.avg("power")).alias("lufs"), F.count(F.lit(1)).alias("_n"))
-    ranked = kept.withColumn("_r", F.row_number().over(Window.partitionBy("clip").orderBy("l")) - 1).join(sizes.drop("lufs"), "clip")
-    at = lambda rank: F.max(F.when(F.col("_r") == rank, F.col("l")))
-    ends = ranked.groupBy("clip").agg((at(F.least(F.floor(F.col("_n") * 95 / 100), F.col("_n") - 1)) - at(F.floor(F.col("_n") / 10))).alias("_range"))
-    out = top.join(sizes, "clip", "left").join(ends, "clip", "left")
+    clip = Window.partitionBy("clip")
     silent = F.lit(float("-inf"))
+    b = blocks.withColumn("l", lufs(F.col("power"))).withColumn("_mean", lufs(F.avg(F.when(F.col("l") >= -70, F.col("power"))).over(clip)))
+    b = b.withColumn("_kept", F.coalesce((F.col("l") >= -70) & (F.col("l") >= F.col("_mean") - 10), F.lit(False)))
+    b = b.withColumn("_n", F.count(F.when(F.col("_kept"), 1)).over(clip)).withColumn("_r", F.row_number().over(clip.orderBy(F.desc("_kept"), "l")) - 1)
+    at = lambda rank: F.max(F.when(F.col("_kept") & (F.col("_r") == rank), F.col("l")))
+    out = b.groupBy("clip").agg(
+        F.max("l").alias("_top"),
+        F.max("block").alias("_last"),
+        lufs(F.avg(F.when(F.col("_kept"), F.col("power")))).alias("_lufs"),
+        (at(F.least(F.floor(F.col("_n") * 95 / 100), F.col("_n") - 1)) - at(F.floor(F.col("_n") / 10))).alias("_range"),
+        F.max("_n").alias("_n"),
+    )
     short = F.col("_last") < 0  # one block, which no gate holds back
-    return out.select("clip", F.when(short, F.col("_top")).otherwise(F.coalesce("lufs", silent)).alias("lufs"), F.when(short, 0.0).otherwise(F.coalesce("_range", F.lit(0.0))).alias("range_lu"), F.when(short | F.col("lufs").isNotNull(), F.col("_top")).otherwise(silent).alias("momentary"))
+    some = F.col("_n") > 0
+    return out.select(
+        "clip",
+        F.when(short, F.col("_top")).when(some, F.col("_lufs")).otherwise(silent).alias("lufs"),
+        F.when(short | ~some, 0.0).otherwise(F.col("_range")).alias("range_lu"),
+        F.when(short | some, F.col("_top")).otherwise(silent).alias("momentary"),
+    )
 
 
 def loudness(frames: DataFrame, rate: int) -> DataFrame:
@@ -169,10 +216,6 @@ def loudness(frames: DataFrame, rate: int) -> DataFrame:
 
 def true_peak(frames: DataFrame) -> DataFrame:
     """(clip, true_peak, true_peak_db): the largest magnitude between samples, by fourfold interpolation."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("frame")["sample"].to_numpy(np.float32)
-        return pd.DataFrame({"clip": [rows["clip"].iloc[0]], "peak": [kernels.true_peak(x)]})
-
-    peaks = frames.groupBy("clip", "channel").applyInPandas(run, "clip bigint, peak double").groupBy("clip").agg(F.max("peak").alias("true_peak"))
+    each = by_run(frames, ["clip", "channel"], "sample", lambda x, n: (kernels.true_peaks(x, n), np.ones(len(n), np.int64)), "clip bigint, channel int, peak double")
+    peaks = each.groupBy("clip").agg(F.max("peak").alias("true_peak"))
     return peaks.select("clip", "true_peak", to_db(F.col("true_peak")).alias("true_peak_db"))

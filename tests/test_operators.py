@@ -218,3 +218,65 @@ def test_empty_tables(spark):
     f = frames_of(spark, {1: [[1.0]]}).where("false")
     for out in (shape.reverse(f), shape.to_mono(f), measure.clip_levels(f), levels.fade(f, 2, 2, "linear"), measure.silent_ranges(f, -40.0, 1, 1), dsp.filtered(f, "lowpass", 100.0, 1000)):
         assert out.count() == 0
+
+
+@pytest.mark.parametrize("partitions", [2, 8, 200])
+def test_loudness_at_any_partition_count(spark, partitions):
+    """Clips shorter than a block, of its length and longer, in one plan; against windows summed by hand."""
+    rate, rng = 1000, np.random.default_rng(8)
+    clips = {i: [rng.normal(0, 0.3, n), rng.normal(0, 0.1, n)] for i, n in enumerate((120, 399, 400, 1730))}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = {(r.clip, r.block): r.power for r in measure.loudness_blocks(frames_of(spark, clips), rate).collect()}
+        rows = {r.clip: r for r in measure.loudness(frames_of(spark, clips), rate).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = {}
+    for i, channels in clips.items():
+        p = sum(kernels.k_weighting(np.asarray(c, np.float32), rate).astype(np.float64) ** 2 for c in channels)
+        for b in range((len(p) - 400) // 100 + 1) if len(p) >= 400 else [-1]:
+            want[i, b] = p.mean() if b < 0 else p[b * 100 : b * 100 + 400].mean()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-5) for k in want)
+    for i in (0, 1):
+        assert rows[i].lufs == pytest.approx(-0.691 + 10 * math.log10(want[i, -1]), abs=1e-4) == rows[i].momentary and rows[i].range_lu == 0
+    assert rows[3].momentary == pytest.approx(-0.691 + 10 * math.log10(max(want[3, b] for b in range(14))), abs=1e-4)
+
+
+def test_loudness_where_blocks_are_no_multiple_of_steps(spark):
+    rate = 1005  # blocks of 402, steps of 101
+    x = np.random.default_rng(2).normal(0, 0.2, 900)
+    got = {r.block: r.power for r in measure.loudness_blocks(frames_of(spark, {1: [x]}), rate).collect()}
+    p = kernels.k_weighting(np.asarray(x, np.float32), rate).astype(np.float64) ** 2
+    assert got == {b: pytest.approx(p[b * 101 : b * 101 + 402].mean(), rel=1e-6) for b in range(5)}
+
+
+def test_runs_over_many_batches_are_whole(spark):
+    """Runs that span Arrow batches, end with them or are shorter reach the kernel whole and in order."""
+    sizes = {0: 7, 1: 10, 2: 3, 3: 25, 4: 1, 5: 10}
+    f = frames_of(spark, {i: [np.arange(n) + 100 * i] for i, n in sizes.items()})
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = measure.per_channel(f.coalesce(1), lambda x: np.cumsum(x, axis=1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for i, n in sizes.items():
+        assert [r.sample for r in sorted((r for r in got if r.clip == i), key=lambda r: r.frame)] == np.cumsum(np.arange(n) + 100.0 * i).tolist()
+    assert len(got) == sum(sizes.values())
+
+
+def test_kernels_of_rows_equal_those_of_one_run():
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 50, 700, 50, 33, 700, 2, 50, 50, 64, 300, 20, 20, 20, 20, 20, 20, 20])
+    x = rng.normal(0, 0.5, sizes.sum()).astype(np.float32)
+    runs = np.split(x, np.cumsum(sizes)[:-1])
+    c = kernels.biquad_coefficients("peaking", 900.0, 8000, 0.9, 5.0)
+    for kernel in (lambda r: kernels.biquad(r, c), lambda r: kernels.limiter_gains(np.abs(r), 0.5, 20.0), lambda r: kernels.compressor_gains(np.abs(r), 8000, -12.0, 4.0, 1.0, 20.0)):
+        assert np.allclose(kernels.by_rows(kernel, x, sizes), np.concatenate([kernel(np.asarray(r, np.float64)) for r in runs]), atol=1e-9)
+    out, made = kernels.resample_runs(x, sizes, 1.5)
+    assert all(np.allclose(a, kernels.resample(r, 1.5), atol=1e-6) for a, r in zip(np.split(out, np.cumsum(made)[:-1]), runs))
+    peaks = kernels.true_peaks(x, sizes)
+    assert np.allclose(peaks, [kernels.true_peaks(r, np.array([len(r)]))[0] for r in runs])
+    long = kernels.true_peaks(np.tile(x, 60), np.array([len(x) * 60]))[0]
+    assert long >= np.abs(x).max()
