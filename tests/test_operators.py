@@ -223,8 +223,8 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize("partitions", [2, 8, 200])
 def test_loudness_at_any_partition_count(spark, partitions):
     """Clips shorter than a block, of its length and longer, in one plan; against windows summed by hand."""
-    rate, rng = 1000, np.random.default_rng(8)
-    clips = {i: [rng.normal(0, 0.3, n), rng.normal(0, 0.1, n)] for i, n in enumerate((120, 399, 400, 1730))}
+    rate, rng = 4000, np.random.default_rng(8)
+    clips = {i: [rng.normal(0, 0.3, n), rng.normal(0, 0.1, n)] for i, n in enumerate((480, 1599, 1600, 6920))}
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
@@ -235,8 +235,8 @@ def test_loudness_at_any_partition_count(spark, partitions):
     want = {}
     for i, channels in clips.items():
         p = sum(kernels.k_weighting(np.asarray(c, np.float32), rate).astype(np.float64) ** 2 for c in channels)
-        for b in range((len(p) - 400) // 100 + 1) if len(p) >= 400 else [-1]:
-            want[i, b] = p.mean() if b < 0 else p[b * 100 : b * 100 + 400].mean()
+        for b in range((len(p) - 1600) // 400 + 1) if len(p) >= 1600 else [-1]:
+            want[i, b] = p.mean() if b < 0 else p[b * 400 : b * 400 + 1600].mean()
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-5) for k in want)
     for i in (0, 1):
         assert rows[i].lufs == pytest.approx(-0.691 + 10 * math.log10(want[i, -1]), abs=1e-4) == rows[i].momentary and rows[i].range_lu == 0
@@ -244,11 +244,11 @@ def test_loudness_at_any_partition_count(spark, partitions):
 
 
 def test_loudness_where_blocks_are_no_multiple_of_steps(spark):
-    rate = 1005  # blocks of 402, steps of 101
-    x = np.random.default_rng(2).normal(0, 0.2, 900)
+    rate = 4005  # blocks of 1602, steps of 401
+    x = np.random.default_rng(2).normal(0, 0.2, 3300)
     got = {r.block: r.power for r in measure.loudness_blocks(frames_of(spark, {1: [x]}), rate).collect()}
     p = kernels.k_weighting(np.asarray(x, np.float32), rate).astype(np.float64) ** 2
-    assert got == {b: pytest.approx(p[b * 101 : b * 101 + 402].mean(), rel=1e-6) for b in range(5)}
+    assert got == {b: pytest.approx(p[b * 401 : b * 401 + 1602].mean(), rel=1e-6) for b in range(5)}
 
 
 def test_runs_over_many_batches_are_whole(spark):
