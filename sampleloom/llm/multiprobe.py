@@ -3,13 +3,19 @@
 Every vector is scaled to length 1 and hashed in ``TABLES`` tables by ``FUNCTIONS`` Gaussian projections cut into steps
 of ``WIDTH``. A query visits, in each table, the buckets whose codes differ from its own by at most one step a function,
 in the order of the squared distances to the crossed boundaries (the estimated order of success), as many as a bounded
-sample needs for ``TARGET`` recall against brute force. Buckets of more than ``BUCKET_ROWS`` vectors are split into salted
-parts, and a query visits all of a bucket's parts. Candidates of all tables are merged and scored in double precision.
+sample needs for ``TARGET`` recall against brute force.
+
+Vectors are dealt by table and cell. A cell holds the buckets that agree in the first functions, as many of these as give
+about ``BUCKET_ROWS`` vectors a cell, so a query goes once to each cell that holds buckets on its list, not once to each
+bucket. Cells of more vectors are split into salted parts, and a query goes to all parts. A task scores the vectors of the
+visited buckets, keeps every one that could be among the nearest, and orders these by the exact measure on the original
+vectors and by id, so equal scores are cut by id and nothing is left to rerank; the best of all tables are merged.
 
 Equal vectors are indexed once, with their smallest ids, so a vector that is very common costs no more than a rare one.
-Queries that find too few candidates search all vectors in salted blocks. Vectors that are null, zero, hold null or
-non-finite components, or have another dimension than the most frequent one take no part, nor do rows with a null id.
-Repeated rows count once. Ties go to the smaller id. Extra columns do not take part.
+Queries that find too few candidates visit all buckets within a step, and those that still do search all vectors in salted
+blocks. Vectors that are null, zero, hold null or non-finite components, or have another dimension than the most frequent
+one take no part, nor do rows with a null id. Repeated rows count once. Ties go to the smaller id. Extra columns do not
+take part.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, store, table
+from .common import scratch, small_batches, store, table
 
 NEAREST = 5
 TABLES, FUNCTIONS, WIDTH = 6, 8, 2.0
@@ -30,8 +36,8 @@ TARGET = 0.96
 SAMPLE, SAMPLE_QUERIES = 4000, 200
 BUCKET_ROWS = 4096
 SALTS = 32
-#: Candidates of a query that are kept until they are scored exactly.
-SHORTLIST = 8
+#: Scores by matrix products are this far at most from the exact ones, by more than rounding explains.
+MARGIN = 1e-9
 #: Rows that are compared with a bucket's queries at once, and found rows that are kept before they are pruned.
 BLOCK, KEEP = 2048, 200_000
 
@@ -55,18 +61,41 @@ class Hasher:
     def codes(self, unit: np.ndarray, t: int) -> np.ndarray:
         return self._place(unit, t)[0] @ self.weights
 
+    def cells(self, unit: np.ndarray, t: int, first: int) -> np.ndarray:
+        """The cells of vectors, by the first functions."""
+        return self._place(unit, t)[0][:, :first] @ self.weights[:first]
+
+    def visited_cells(self, unit: np.ndarray, t: int, first: int, probes: int | None = None) -> list[np.ndarray]:
+        """For each query, the distinct cells of the buckets that it visits."""
+        best = self._best(unit, t, probes)
+        return [np.unique(w[:first] @ self.weights[:first] + self.steps[b, :first] @ self.weights[:first]) for w, b in zip(self._place(unit, t)[0], best)]
+
     def visits(self, unit: np.ndarray, t: int, probes: int | None = None) -> np.ndarray:
         """The codes that each query visits in table ``t``, likeliest first: (queries, probes)."""
-        whole, rest = self._place(unit, t)
+        return (self._place(unit, t)[0] @ self.weights)[:, None] + (self.steps @ self.weights)[self._best(unit, t, probes)]
+
+    def _best(self, unit: np.ndarray, t: int, probes: int | None) -> np.ndarray:
+        _, rest = self._place(unit, t)
         cost = (rest**2) @ (self.steps == -1).T + ((1 - rest) ** 2) @ (self.steps == 1).T
         n = min(probes or self.probes, len(self.steps))
         best = np.argpartition(cost, n - 1, axis=1)[:, :n] if n < len(self.steps) else np.argsort(cost, axis=1)
-        best = np.take_along_axis(best, np.take_along_axis(cost, best, 1).argsort(1, kind="stable"), 1)
-        return (whole @ self.weights)[:, None] + (self.steps @ self.weights)[best]
+        return np.take_along_axis(best, np.take_along_axis(cost, best, 1).argsort(1, kind="stable"), 1)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows multiplied by powers of two, which changes no cosine, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0))[1])
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    x = scaled(vectors)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The measure: cosines of the rows of x and y in double precision."""
+    x, y = scaled(x), scaled(y)
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
 def probes_for(sample: np.ndarray, queries: int, nearest: int = NEAREST, target: float = TARGET) -> int:
@@ -91,8 +120,8 @@ def probes_for(sample: np.ndarray, queries: int, nearest: int = NEAREST, target:
 
 
 def valid_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id, embedding array<double>) of the rows that take part."""
-    x = F.col(column).cast("array<double>")
+    """(id, embedding) of the rows that take part; floats stay floats, other numbers become doubles."""
+    x = F.col(column) if dict(vectors.dtypes)[column] == "array<float>" else F.col(column).cast("array<double>")
     sound = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False))
     rows = vectors.where(F.col(key).isNotNull() & sound).select(F.col(key).alias("id"), x.alias("embedding"))
     dim = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
@@ -109,12 +138,12 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def hashed(rows: DataFrame, hasher: Hasher, visits: bool) -> DataFrame:
-    """(tab, bucket, rid, embedding): a row for each table, or for each bucket that a query visits."""
+def hashed(rows: DataFrame, hasher: Hasher, first: int, visits: bool) -> DataFrame:
+    """(tab, cell, rid, embedding): a row for each table, or for each cell with buckets that a query visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,12 +152,11 @@ def hashed(rows: DataFrame, hasher: Hasher, visits: bool) -> DataFrame:
                 part = b.slice(lo, step)
                 x = unit(_matrix(part.column(1)))
                 for t in range(TABLES):
-                    codes = hasher.visits(x, t) if visits else hasher.codes(x, t)[:, None]
-                    n = codes.shape[1]
-                    pick = pa.array(np.repeat(np.arange(len(x)), n))
-                    yield pa.record_batch([pa.array(np.full(len(pick), t, np.int32)), pa.array(codes.ravel()), part.column(0).take(pick), part.column(1).take(pick)], ["tab", "bucket", "rid", "embedding"])
+                    cells = hasher.visited_cells(x, t, first) if visits else hasher.cells(x, t, first)[:, None]
+                    pick = pa.array(np.repeat(np.arange(len(x)), [len(c) for c in cells]))
+                    yield pa.record_batch([pa.array(np.full(len(pick), t, np.int32)), pa.array(np.concatenate(list(cells))), part.column(0).take(pick), part.column(1).take(pick)], ["tab", "cell", "rid", "embedding"])
 
-    return rows.select("rid", "embedding").mapInArrow(run, "tab int, bucket bigint, rid bigint, embedding array<double>")
+    return rows.select("rid", "embedding").mapInArrow(run, f"tab int, cell bigint, rid bigint, embedding {dict(rows.dtypes)['embedding']}")
 
 
 def _best(q: np.ndarray, r: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,91 +170,117 @@ def _best(q: np.ndarray, r: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.nd
     return q[rank < keep], r[rank < keep], s[rank < keep]
 
 
-def candidates(index: DataFrame, probes: DataFrame, shortlist: int = SHORTLIST) -> DataFrame:
-    """(q, r, score): the best candidates of each query within each task. Rows meet by (tab, bucket, part)."""
-    many = index.groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET_ROWS).select("tab", "bucket", F.ceil(F.col("_n") / BUCKET_ROWS).cast("int").alias("_parts"))
+def _near(q: np.ndarray, x: np.ndarray, seen: np.ndarray | None, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, exact score) of all that may be among the ``keep`` nearest rows of each query, of those it has ``seen``."""
+    score = unit(q) @ unit(x).T
+    if seen is not None:
+        score[~seen] = -np.inf
+    n = min(keep, len(x))
+    edge = np.partition(score, len(x) - n, axis=1)[:, len(x) - n]
+    i, j = np.nonzero((score >= edge[:, None] - MARGIN) & np.isfinite(score))
+    parts = [_best(i[lo : lo + 65536], j[lo : lo + 65536], cosine(q[i[lo : lo + 65536]], x[j[lo : lo + 65536]]), keep) for lo in range(0, len(i), 65536)]
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (i, j, np.zeros(0))
+
+
+def candidates(index: DataFrame, probes: DataFrame, hasher: Hasher | None, keep: int) -> DataFrame:
+    """(q, r, score): the ``keep`` best candidates of each query within each task. Rows meet by (tab, cell, part), and a query
+    sees the rows of the buckets on its list, all rows without a hasher."""
+    many = index.groupBy("tab", "cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET_ROWS).select("tab", "cell", F.ceil(F.col("_n") / BUCKET_ROWS).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
-    left = index.join(many, ["tab", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("rid"), parts.cast("bigint")).cast("int")).withColumn("side", F.lit(1))
-    right = probes.join(many, ["tab", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("side", F.lit(0))
-    columns = ["tab", "bucket", "part", "side", "rid", "embedding"]
-    met = right.select(columns).unionByName(left.select(columns)).repartition("tab", "bucket", "part").sortWithinPartitions("tab", "bucket", "part", "side")
+    left = index.join(many, ["tab", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("rid"), parts.cast("bigint")).cast("int")).withColumn("side", F.lit(1))
+    right = probes.join(many, ["tab", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("side", F.lit(0))
+    columns = ["tab", "cell", "part", "side", "rid", "embedding"]
+    met = right.select(columns).unionByName(left.select(columns)).repartition("tab", "cell", "part").sortWithinPartitions("tab", "cell", "part", "side", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, queries, ids = None, [], []
+        key, queries = None, []
         found, rows = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
             k = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
-            side, rid, x = b.column(3).to_numpy(), b.column(4).to_numpy(), unit(_matrix(b.column(5)))
+            side, rid, x = b.column(3).to_numpy(), b.column(4).to_numpy(), _matrix(b.column(5))
             cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1) | (side[1:] != side[:-1])]))
             for a, e in zip(cut.tolist(), [*cut[1:].tolist(), b.num_rows]):
-                here = tuple(k[a])
+                here = tuple(k[a].tolist())
                 if here != key:
-                    key, queries, ids = here, [], []
+                    key, queries = here, []
                 if side[a] == 0:
-                    queries.append(x[a:e])
-                    ids.append(rid[a:e])
+                    for lo in range(a, e, 256):
+                        hi = min(e, lo + 256)
+                        queries.append((rid[lo:hi], x[lo:hi], None if hasher is None else hasher.visits(unit(x[lo:hi]), here[0])))
                     continue
-                for q, qid in zip(queries, ids):  # both come in batches, so blocks are bounded
-                    s = q @ x[a:e].T
-                    n = min(shortlist, e - a)
-                    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    found.append((np.repeat(qid, n), rid[a:e][top.ravel()], np.take_along_axis(s, top, 1).ravel()))
-                    rows += top.size
+                if hasher is not None and queries:
+                    codes, bucket = np.unique(hasher.codes(unit(x[a:e]), here[0]), return_inverse=True)
+                for qid, q, visits in queries:  # both sides come in batches, so blocks are bounded
+                    seen = None
+                    if visits is not None:
+                        at = np.minimum(np.searchsorted(codes, visits), len(codes) - 1)
+                        hit = codes[at] == visits
+                        asked = np.zeros((len(q), len(codes)), bool)
+                        asked[np.nonzero(hit)[0], at[hit]] = True
+                        seen = asked[:, bucket]
+                    i, j, s = _near(q, x[a:e], seen, keep)
+                    found.append((qid[i], rid[a:e][j], s))
+                    rows += len(s)
                     if rows > KEEP:
-                        found = [_best(*(np.concatenate(c) for c in zip(*found)), shortlist)]
+                        found = [_best(*(np.concatenate(c) for c in zip(*found)), keep)]
                         if len(found[0][0]) > KEEP // 2:
                             yield pa.record_batch([*map(pa.array, found.pop())], ["q", "r", "score"])
                         rows = len(found[0][0]) if found else 0
         if found:
-            yield pa.record_batch([*map(pa.array, _best(*(np.concatenate(c) for c in zip(*found)), shortlist))], ["q", "r", "score"])
+            yield pa.record_batch([*map(pa.array, _best(*(np.concatenate(c) for c in zip(*found)), keep))], ["q", "r", "score"])
 
     return met.mapInArrow(run, "q bigint, r bigint, score double")
 
 
-def exact(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(q, r, ids, score): the cosine of the original vectors in double precision."""
-    one, two = reps.select(F.col("rid").alias("q"), F.col("embedding").alias("x")), reps.select(F.col("rid").alias("r"), F.col("embedding").alias("y"), "ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = _matrix(b.column(3)), _matrix(b.column(4))
-            s = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) if b.num_rows else np.zeros(0)
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(s)], ["q", "r", "ids", "score"])
-
-    return pairs.join(one, "q").join(two, "r").select("q", "r", "ids", "x", "y").mapInArrow(run, "q bigint, r bigint, ids array<bigint>, score double")
+def merged(found: DataFrame, keep: int) -> DataFrame:
+    """The best of what all tasks have found."""
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))
+    return found.groupBy("q", "r").agg(F.max("score").alias("score")).withColumn("_rank", rank).where(F.col("_rank") <= keep).drop("_rank")
 
 
-def shortlisted(found: DataFrame, shortlist: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))
-    return found.groupBy("q", "r").agg(F.max("score").alias("score")).withColumn("_rank", rank).where(F.col("_rank") <= shortlist).select("q", "r")
+def functions_of_cells(sample: np.ndarray, rows: int, hasher: Hasher) -> int:
+    """The least number of functions by which cells hold ``BUCKET_ROWS`` of so many vectors on average over the vectors."""
+    x = unit(sample)
+    for first in range(1, FUNCTIONS):
+        _, n = np.unique(hasher.cells(x, 0, first), return_counts=True)
+        if (n / len(x)) @ (n / len(x)) * rows <= BUCKET_ROWS:
+            return first
+    return FUNCTIONS
 
 
 def search(vectors: DataFrame, queries, key: str = "vec_id", column: str = "embedding", nearest: int = NEAREST, probes: int | None = None) -> DataFrame:
     """(query_id, rank, key, score): the nearest rows of every row for which ``queries``, a function of the id's column, holds."""
-    spark = vectors.sparkSession
+    spark, keep = vectors.sparkSession, nearest + 1  # a query is among its own candidates
     small_batches(spark, BLOCK)
-    rows = store(valid_vectors(vectors, key, column).select(F.col("id").cast("bigint").alias("id"), "embedding"), "vectors")
-    reps = store(distinct_vectors(rows, nearest + 1), "distinct-vectors")
-    sample = [r.embedding for r in reps.orderBy(F.xxhash64("rid")).limit(SAMPLE).select("embedding").collect()]  # bounded: SAMPLE vectors
-    dim = len(sample[0]) if sample else 1
-    hasher = Hasher(dim, probes or (probes_for(np.array(sample), SAMPLE_QUERIES, nearest) if sample else 1))
-    asked = rows.where(queries(F.col("id"))).select(F.col("id").alias("query_id"), "embedding").distinct()
-    members = store(asked.join(reps.select("rid", "embedding"), "embedding").select("query_id", F.col("rid").alias("q")), "queries")
-    wanted = reps.join(members.select(F.col("q").alias("rid")).distinct(), "rid", "left_semi")
-    pairs = store(shortlisted(candidates(hashed(reps, hasher, False), hashed(wanted, hasher, True)), nearest + 3), "candidates")
-    # Queries whose candidates, with all ids of equal vectors, are too few look at all vectors, in salted blocks.
-    ids = pairs.join(reps.select(F.col("rid").alias("r"), F.size("ids").alias("n")), "r").groupBy("q").agg(F.sum("n").alias("n"))
-    short = store(members.select("q").distinct().join(ids, "q", "left").where(F.coalesce("n", F.lit(0)) <= nearest).select(F.col("q").alias("rid")), "short-queries")
-    if not short.isEmpty():
-        everywhere = lambda df: df.select(F.lit(0).alias("tab"), F.lit(0).cast("bigint").alias("bucket"), "rid", "embedding")
-        rest = shortlisted(candidates(everywhere(reps), everywhere(reps.join(short, "rid", "left_semi"))), nearest + 3)
-        pairs = store(pairs.join(short, pairs.q == short.rid, "left_anti").unionByName(rest), "candidates")
-    scored = exact(pairs, reps).select("q", "score", F.explode("ids").alias("id"))
-    mine = members.join(scored, "q").where("id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return mine.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", F.col("id").alias(key), "score")
+    with scratch(spark, "neighbours") as kept:
+        rows = kept(valid_vectors(vectors, key, column).select(F.col("id").cast("bigint").alias("id"), "embedding"), "vectors")
+        reps = kept(distinct_vectors(rows, keep), "distinct-vectors")
+        sample = np.array([r.embedding for r in reps.orderBy(F.xxhash64("rid")).limit(SAMPLE).select("embedding").collect()], np.float64)  # bounded: SAMPLE vectors
+        dim = sample.shape[1] if len(sample) else 1
+        hasher = Hasher(dim, probes or (probes_for(sample, SAMPLE_QUERIES, nearest) if len(sample) else 1))
+        first = functions_of_cells(sample, reps.count(), hasher) if len(sample) else FUNCTIONS
+        asked = rows.where(queries(F.col("id"))).select(F.col("id").alias("query_id"), "embedding").distinct()
+        members = kept(asked.join(reps.select("rid", "embedding"), "embedding").select("query_id", F.col("rid").alias("q")), "queries")
+        wanted = members.select(F.col("q").alias("rid")).distinct()
+        index = hashed(reps, hasher, first, False)
+        pairs = kept(merged(candidates(index, hashed(reps.join(wanted, "rid", "left_semi"), hasher, first, True), hasher, keep), keep), "candidates")
+        # Queries whose candidates, with all ids of equal vectors, are too few look further, at last at all vectors.
+        all_near = Hasher(dim, len(hasher.steps))
+        everywhere = lambda df: df.select(F.lit(0).alias("tab"), F.lit(0).cast("bigint").alias("cell"), "rid", "embedding")
+        for wider in (all_near, None):
+            ids = pairs.join(reps.select(F.col("rid").alias("r"), F.size("ids").alias("n")), "r").groupBy("q").agg(F.sum("n").alias("n"))
+            short = kept(wanted.join(ids.withColumnRenamed("q", "rid"), "rid", "left").where(F.coalesce("n", F.lit(0)) <= nearest).select("rid"), "short-queries")
+            if short.isEmpty():
+                break
+            again = reps.join(short, "rid", "left_semi")
+            rest = candidates(index, hashed(again, wider, first, True), wider, keep) if wider else candidates(everywhere(reps), everywhere(again), None, keep)
+            pairs = kept(pairs.join(short, pairs.q == short.rid, "left_anti").unionByName(merged(rest, keep)), "candidates")
+        scored = pairs.join(reps.select(F.col("rid").alias("r"), "ids"), "r").select("q", "score", F.explode("ids").alias("id"))
+        mine = members.join(scored, "q").where("id <> query_id")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return store(mine.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", F.col("id").alias(key), "score"), "nearest")
 
 
 def op4_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,47 @@ def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert found(mp.search(df, lambda i: i % 50 == 0, probes=1)) == {0: [(1, 0.0), (2, -1.0)]}
     assert mp.search(df.limit(0), lambda i: i % 50 == 0).count() == 0
+
+
+def test_scaled_copies_are_cut_by_id(spark):
+    """Equal cosines, by powers of two and by other factors: the smaller ids come first, however many tie."""
+    v = np.random.default_rng(6).normal(size=8)
+    rows = [(i, (v * 2.0**i).tolist()) for i in range(1, 41)] + [(50, v.tolist())] + [(i, (-v * 2.0 ** (i - 70)).tolist()) for i in range(60, 80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = found(mp.search(df, lambda i: i % 50 == 0))
+    assert [i for i, _ in out[50]] == [1, 2, 3, 4, 5] and all(s == pytest.approx(1) for _, s in out[50])
+
+
+def test_as_many_as_asked(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, lambda i: i % 50 == 0, 20)
+    for probes in (7000, 1):  # with one bucket a table, most queries find too few and look further
+        out = found(mp.search(df, lambda i: i % 50 == 0, nearest=20, probes=probes))
+        assert all(len(v) == 20 for v in out.values()) and out.keys() == want.keys()
+    assert {q: [i for i, _ in v] for q, v in out.items()}.keys() == want.keys()
+    out = found(mp.search(df, lambda i: i % 50 == 0, nearest=20, probes=7000))
+    assert np.mean([len({i for i, _ in out[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1e200, -1e200]), (3, [3e-170, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = found(mp.search(df, lambda i: i == 0))
+    assert [i for i, _ in out[0]] == [1, 3, 2] and np.allclose([s for _, s in out[0]], [1, 0.5**0.5, 0])
+
+
+def test_recall_among_clusters(spark):
+    """Clusters of very different sizes, and more vectors than a cell holds."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 32))
+    which = np.minimum((60 * rng.random(12_000) ** 2).astype(int), 59)
+    x = (centres[which] + rng.normal(0, 0.25, (12_000, 32))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    out = found(mp.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 50 == 0))
+    unit = mp.unit(x.astype(np.float64))
+    score = unit[::50] @ unit.T
+    score[np.arange(240), np.arange(240) * 50] = -2
+    want = np.argsort(-score, axis=1)[:, :5]
+    assert np.mean([len({i for i, _ in out[50 * k]} & set(w.tolist())) / 5 for k, w in enumerate(want)]) >= 0.9
