@@ -4,8 +4,8 @@ A text's canonical form is lower-cased, loses its copyright lines, has equivalen
 letters, digits and line ends; runs of anything else become one space. The whole canonical text (line ends as spaces)
 and each of its lines are hashed, and digests are matched with those of the known texts, so long texts cost one digest
 and no text is compared with another. The known texts are one-line notices and the full licences of ``licenses``, with and
-without title and appendix (``full_texts``). Known texts up to ``INLINE_KNOWN`` are held in the expression; more of them are
-hash-joined.
+without title and appendix (``full_texts``). Digests are computed once and stored; whole texts and lines then meet the known
+digests in hash joins, however many are known, and only matches are grouped, by a number of the row.
 
 Null and empty texts have the digest of the empty text and match nothing; known texts that are empty in canonical form
 are ignored. Repeated rows give equal rows. Ties between licences with equal canonical texts go to the smaller id.
@@ -19,9 +19,7 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-
-INLINE_KNOWN = 500
+from .common import scratch, store, table
 
 #: Equivalent spellings: the word on the left counts as the word on the right (fixed values).
 EQUIVALENT = [
@@ -90,10 +88,18 @@ EDGES = r" *\n[ \n]*"
 def canonical(text: Column) -> Column:
     """Canonical lines of a text, separated by line ends; no spaces at their edges and no empty lines between."""
     x = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SURE_NOTICE, "\n"), FIRST_NOTICE, "$1\n")
-    x = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(x, NOT_KEPT, " "), "\n", " \n "), F.lit(" "))
-    for word, same in EQUIVALENT:
-        if word != same:
-            x = F.replace(x, F.lit(f" {word} "), F.lit(f" {same} "))
+    return _tidy(_unified(F.regexp_replace(F.regexp_replace(x, NOT_KEPT, " "), "\n", " \n "), EQUIVALENT))
+
+
+def _unified(x: Column, spellings: list[tuple[str, str]]) -> Column:
+    """Every word has blanks of its own on both sides, so that one replacement takes none from the next."""
+    x = F.concat(F.lit(" "), F.regexp_replace(x, " +", "  "), F.lit(" "))
+    for word, same in spellings:
+        x = F.replace(x, F.lit(f" {word.replace(' ', '  ')} "), F.lit(f" {same.replace(' ', '  ')} "))
+    return x
+
+
+def _tidy(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, " +", " "), EDGES, "\n"), "^[ \n]+|[ \n]+$", "")
 
 
@@ -103,11 +109,7 @@ def whole(lines: Column) -> Column:
 
 def unwrapped(lines: Column) -> Column:
     """The digest by which whole texts are looked up: spellings of two words are unified where a line ended in them, too."""
-    x = F.concat(F.lit(" "), F.replace(lines, F.lit("\n"), F.lit(" ")), F.lit(" "))
-    for word, same in EQUIVALENT:
-        if " " in word:
-            x = F.replace(x, F.lit(f" {word} "), F.lit(f" {same} "))
-    return F.sha2(F.trim(x), 256)
+    return F.sha2(_tidy(_unified(F.replace(lines, F.lit("\n"), F.lit(" ")), [(word, same) for word, same in EQUIVALENT if " " in word])), 256)
 
 
 #: Other titles of the licences that ``KNOWN`` has in full; the files of ``licenses`` begin with theirs.
@@ -154,22 +156,18 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame
     return lines.groupBy(unwrapped(F.col("lines")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", inline: int = INLINE_KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, digest, license, notices): the digest of the canonical text, the licence that this text is, and the licences
     that lines of it are, sorted and comma-joined; empty where there is none."""
-    lines = F.split("_lines", "\n")
-    found = docs.select(F.col(key).alias("_key"), canonical(F.col("text")).alias("_lines"))
-    some = known.limit(inline + 1).collect()  # at most inline + 1 rows
-    if len(some) <= inline:
-        pairs = F.create_map(*(F.lit(x) for r in some for x in (r.digest, r.license))) if some else F.create_map().cast("map<string,string>")
-        named = F.filter(F.transform(lines, lambda l: pairs[F.sha2(l, 256)]), lambda x: x.isNotNull())
-        return found.select(F.col("_key").alias(key), whole(F.col("_lines")).alias("digest"), F.coalesce(pairs[unwrapped(F.col("_lines"))], F.lit("")).alias("license"), F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("notices"))
-    # Digests of texts and lines meet the known ones in a hash join; only matches are grouped, by key and text.
-    found = found.select("_key", whole(F.col("_lines")).alias("digest"), unwrapped(F.col("_lines")).alias("_whole"), F.transform(lines, lambda l: F.sha2(l, 256)).alias("_each"))
-    each = found.select("_key", F.col("digest").alias("_digest"), F.explode(F.array_distinct("_each")).alias("digest")).join(known, "digest")
-    notices = each.groupBy(F.col("_key").alias("_k"), F.col("_digest").alias("_d")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    out = found.drop("_each").join(known.select(F.col("digest").alias("_whole"), "license"), "_whole", "left").join(notices, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("digest") == F.col("_d")), "left")
-    return out.select(F.col("_key").alias(key), "digest", F.coalesce("license", F.lit("")).alias("license"), F.coalesce("notices", F.lit("")).alias("notices"))
+    lines = docs.select(F.col(key).alias("key"), canonical(F.col("text")).alias("lines"))
+    each = F.array_distinct(F.transform(F.split("lines", "\n"), lambda line: F.sha2(line, 256)))
+    digests = lines.select(F.monotonically_increasing_id().alias("row"), "key", whole(F.col("lines")).alias("digest"), unwrapped(F.col("lines")).alias("whole"), each.alias("each"))
+    with scratch(docs.sparkSession, "licences") as keep:
+        digests = keep(digests, "digests")
+        notices = digests.select("row", F.explode("each").alias("line")).join(known.select(F.col("digest").alias("line"), "license"), "line")
+        notices = notices.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+        found = digests.drop("each").join(known.select(F.col("digest").alias("whole"), "license"), "whole", "left").join(notices, "row", "left")
+        return store(found.select(F.col("key").alias(key), "digest", F.coalesce("license", F.lit("")).alias("license"), F.coalesce("notices", F.lit("")).alias("notices")), "licences")
 
 
 def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,10 +182,9 @@ COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|©|\(c\))[^\n]*"
 def _sql_canonical(x: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     x = f"regexp_replace(lower(coalesce({x}, '')), {q(COPYRIGHT_LINE)}, chr(10), 'g')"
-    x = f"' ' || regexp_replace(regexp_replace({x}, {q(NOT_KEPT)}, ' ', 'g'), chr(10), ' ' || chr(10) || ' ', 'g') || ' '"
+    x = f"' ' || regexp_replace(regexp_replace(regexp_replace({x}, {q(NOT_KEPT)}, ' ', 'g'), chr(10), ' ' || chr(10) || ' ', 'g'), ' +', '  ', 'g') || ' '"
     for word, same in EQUIVALENT:
-        if word != same:
-            x = f"replace({x}, {q(f' {word} ')}, {q(f' {same} ')})"
+        x = f"replace({x}, {q(' ' + word.replace(' ', '  ') + ' ')}, {q(' ' + same.replace(' ', '  ') + ' ')})"
     return f"regexp_replace(regexp_replace(regexp_replace({x}, ' +', ' ', 'g'), {q(EDGES)}, chr(10), 'g'), {q('^[ \\n]+|[ \\n]+$')}, '', 'g')"
 
 

@@ -54,7 +54,24 @@ def test_against_brute_force(spark):
     got = rows(ld.scan(docs, known))
     assert got == sorted(want, key=str)
     assert [r[2] for r in got if r[0] in (1, 9)] == ["MIT", ""] and [r[3] for r in got if r[0] == 5] == ["CC-BY-NC-4.0"] * 2
-    assert rows(ld.scan(docs, known, inline=2)) == got  # the hash join gives the same
+
+
+def test_the_query_joins(spark):
+    """Whole texts and lines are joined with the known digests."""
+    plans = []
+    store = ld.store
+    ld.store = lambda df, what: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), store(df, what))[1]
+    try:
+        ld.op8_license_digest(spark, "/root/testdata/sf0.001")
+    finally:
+        ld.store = store
+    assert len(plans) == 1 and plans[0].count("Join") == 3 and "map(" not in plans[0]
+
+
+def test_spellings_that_share_blanks(spark):
+    docs = spark.createDataFrame([(1, "v2 v2 v2\nsub license sub\nlicense"), (2, "version 2 version 2 version 2\nsublicense sublicense")], "doc_id long, text string")
+    known = ld.known_digests(spark, [("X", "v2 version 2 v2 sublicense sub license")])
+    assert {r.doc_id: (r.license, r.notices) for r in ld.scan(docs, known).collect()} == {1: ("X", ""), 2: ("X", "")}
 
 
 def test_empty_tables(spark):
