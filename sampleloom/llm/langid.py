@@ -114,7 +114,8 @@ class Words:
 def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each word, all texts in lockstep: texts that are over leave the front."""
     n, k = scores.shape
-    labels = np.zeros(n, np.uint8)
+    kind = np.min_scalar_type(max(k - 1, 0))
+    labels = np.zeros(n, kind)
     if not n or k < 2:
         return labels
     firsts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -122,8 +123,8 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
     order = np.argsort(-sizes, kind="stable")
     firsts, sizes = firsts[order], sizes[order]
     live = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # texts with more than t words
-    back = np.empty((n, k), np.uint8)
-    stay = np.arange(k, dtype=np.uint8)
+    back = np.empty((n, k), kind)
+    stay = np.arange(k, dtype=kind)
     best = scores[firsts].astype(np.float64)
     for t in range(1, sizes[0]):
         m = live[t]
@@ -134,7 +135,7 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
         back[at] = np.where(v >= jump, stay, top[:, None])
         np.maximum(v, jump, out=v)
         v += scores[at]
-    state = best.argmax(1).astype(np.uint8)
+    state = best.argmax(1).astype(kind)
     labels[firsts + sizes - 1] = state
     for t in range(sizes[0] - 1, 0, -1):
         m = live[t]

@@ -1,9 +1,9 @@
 """Packing into optimal length buckets: dynamic programming over the global histogram, then token-budget batches.
 
 Every document is padded to its bucket's upper length. The bucket lengths that minimise all padding follow exactly from
-a dynamic program over the histogram of lengths of all documents. Lengths up to ``EXACT`` have bins of their own,
-longer ones share bins of ``1 / EXACT`` relative width, so the histogram has a bounded number of rows whatever the
-corpus holds. Inside a bucket, documents are numbered in a hashed order and cut into batches of as many rows as the
+a dynamic program over the histogram of lengths of all documents, a row for each length. Documents of so many different
+lengths have at least half the square of that number in words, so the histogram has at most the square root of twice all
+words as rows (a few million for 100 TB), and the program takes time in proportion to them. Inside a bucket, documents are numbered in a hashed order and cut into batches of as many rows as the
 token budget holds; a document over the budget is a batch of its own. Numbering deals each bucket to shards of about
 ``SHARD_ROWS`` rows, so that no bucket meets in one task.
 
@@ -21,7 +21,6 @@ from .common import store, table
 
 BUCKETS = 12
 BUDGET = 32_768
-EXACT = 1024
 SHARD_ROWS = 2000
 
 
@@ -31,42 +30,41 @@ def word_count(text: Column) -> Column:
 
 
 def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Largest length and number of rows of each bin, ascending: at most about ``EXACT`` bins for every doubling of length."""
-    n = F.col("length")
-    step = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)) / EXACT))))
-    got = lengths.groupBy(F.when(n <= EXACT, n.cast("double")).otherwise(F.floor(n / step) * step).alias("_bin")).agg(F.max("length").alias("top"), F.count(F.lit(1)).alias("rows")).toPandas().sort_values("top")
-    return got["top"].to_numpy(np.int64), got["rows"].to_numpy(np.int64)
+    """Every length that occurs, ascending, and its number of rows."""
+    got = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("rows")).toPandas().sort_values("length")
+    return got["length"].to_numpy(np.int64), got["rows"].to_numpy(np.int64)
 
 
 def boundaries(tops: np.ndarray, rows: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """The upper lengths of at most ``buckets`` buckets with the least sum of padded lengths.
+    """The upper lengths of at most ``buckets`` buckets with the least sum of padded lengths, in whole numbers.
 
-    best(k, j) = min over i of best(k - 1, i) + tops[j] * rows in (i, j]. The cost has the quadrangle inequality, so the
-    best i grows with j and each layer is found by halving.
+    best(k, j) = min over i of best(k - 1, i) + tops[j] * rows in (i, j]. For each i this is a line in tops[j] whose slope
+    falls with i, so a layer is one walk along the lower hull of the lines.
     """
     n = len(tops)
     if not n:
         return []
     if n <= buckets:
         return tops.tolist()
-    below = np.concatenate([[0], np.cumsum(rows)]).astype(np.float64)
-    length = tops.astype(np.float64)
-    best = np.concatenate([[0.0], np.full(n, np.inf)])
+    length, below = tops.tolist(), [0, *np.cumsum(rows).tolist()]
+    best: list[int | None] = [0] + [None] * n
     choices = []
     for _ in range(buckets):
-        new, choice = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        new[0] = 0.0
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            i = np.arange(a, min(b, j - 1) + 1)
-            cost = best[i] + length[j - 1] * (below[j] - below[i])
-            x = int(cost.argmin())
-            new[j], choice[j] = cost[x], i[x]
-            todo += [(lo, j - 1, a, int(i[x])), (j + 1, hi, int(i[x]), b)]
+        new: list[int | None] = [0] + [None] * n
+        choice, hull, at = [0] * (n + 1), [], 0
+        for j in range(1, n + 1):
+            if (new_at := best[j - 1]) is not None:
+                while len(hull) > 1:
+                    (b1, m1, _), (b2, m2, _) = hull[-2:]  # the last line goes if the new one beats it where it would begin
+                    if (new_at - b1) * (m2 - m1) > (b2 - b1) * (below[j - 1] - m1):
+                        break
+                    hull.pop()
+                hull.append((new_at, below[j - 1], j - 1))
+                at = min(at, len(hull) - 1)
+            x = length[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][0] - x * hull[at + 1][1] < hull[at][0] - x * hull[at][1]:
+                at += 1
+            new[j], choice[j] = x * below[j] + hull[at][0] - x * hull[at][1], hull[at][2]
         choices.append(choice)
         best = new
     out, j = [], n
@@ -74,7 +72,7 @@ def boundaries(tops: np.ndarray, rows: np.ndarray, buckets: int = BUCKETS) -> li
         if j == 0:
             break
         out.append(int(tops[j - 1]))
-        j = int(choice[j])
+        j = choice[j]
     return out[::-1]
 
 

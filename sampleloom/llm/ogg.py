@@ -3,7 +3,9 @@
 Each payload becomes ``STREAMS`` logical streams of unsigned 8-bit samples. Packets are dealt to the streams in
 turn, cut into lacing values, laid into pages of at most 255 segments (packets may continue on later pages) and
 protected by the container's checksum. Reading verifies every page, skips to the next capture pattern after a
-damaged one, reassembles packets, separates the logical streams and derives packet times from granule positions.
+damaged one, reassembles packets, separates the logical streams, derives packet times from granule positions, and counts
+what is damaged or missing, a lost end as well as a lost page. A payload that comes back shorter than it was stored counts
+as a fault of its own.
 
 Null payloads count as empty; an empty text gives one block of 64 zero bytes. Equal texts give equal bytes: serial
 numbers come from the stream's position, not from the row. Repeated rows, ties and extra columns change nothing.
@@ -74,38 +76,44 @@ def mux(payload: bytes, n_bytes: int | None = None, streams: int = STREAMS, pack
     return b"".join(x[3] for x in sorted(pages, key=lambda x: x[:3]))
 
 
-def pages(media: bytes) -> Iterator[tuple[dict, memoryview]]:
-    """Header fields and body of every page whose checksum holds; damaged stretches are skipped and reported by a field."""
-    at, view, skipped = 0, memoryview(media), 0
+def pages(media: bytes) -> tuple[list[tuple[dict, memoryview]], int]:
+    """Header fields and body of every page whose checksum holds, and how many stretches of other bytes stand before,
+    between and behind them."""
+    found, at, end, stretches, view = [], 0, 0, 0, memoryview(media)
     while (at := media.find(b"OggS", at)) >= 0:
         if at + 27 <= len(media):
             _, version, flags, granule, serial, number, crc, n = _PAGE.unpack_from(media, at)
             lacing = media[at + 27 : at + 27 + n]
-            end = at + 27 + n + sum(lacing)
-            if version == 0 and len(lacing) == n and end <= len(media) and page_checksum(media[at : at + 22] + bytes(4) + media[at + 26 : end]) == crc:
-                yield {"flags": flags, "granule": granule, "serial": serial, "number": number, "lacing": lacing, "skipped": skipped}, view[at + 27 + n : end]
-                at, skipped = end, 0
+            over = at + 27 + n + sum(lacing)
+            if version == 0 and len(lacing) == n and over <= len(media) and page_checksum(media[at : at + 22] + bytes(4) + media[at + 26 : over]) == crc:
+                found.append(({"flags": flags, "granule": granule, "serial": serial, "number": number, "lacing": lacing}, view[at + 27 + n : over]))
+                stretches += at > end
+                at = end = over
                 continue
-        skipped, at = skipped + 1, at + 4
+        at += 4
+    return found, stretches + (end < len(media))
 
 
 def demux(media: bytes) -> tuple[dict[int, list[tuple[int, int, bytes]]], int, int]:
-    """Packets of each serial as (first sample, end sample, bytes), the number of sound pages, and of damaged captures or gaps.
+    """Packets of each serial as (first sample, end sample, bytes), the number of sound pages, and of faults.
 
-    A packet that misses a part is dropped. A page's granule position is the end of its last complete packet; the
-    ends of the packets before follow from their lengths.
+    Faults are stretches of bytes that are no sound page, also behind the last one, gaps in a stream's page numbers,
+    streams without a last page or with pages behind it, and packets that are still open at the end. A packet that
+    misses a part is dropped. A page's granule position is the end of its last complete packet; the ends of the packets
+    before follow from their lengths.
     """
     found: dict[int, list[tuple[int, int, bytes]]] = {}
     open_parts: dict[int, list | None] = {}
     expected: dict[int, int] = {}
-    sound = damaged = 0
-    for head, body in pages(media):
+    over: dict[int, bool] = {}
+    sound, damaged = pages(media)
+    for head, body in sound:
         serial = head["serial"]
-        sound, damaged = sound + 1, damaged + head["skipped"]
         part = open_parts.pop(serial, None)
         if head["number"] != expected.get(serial, 0):
             damaged, part = damaged + 1, None
-        expected[serial] = head["number"] + 1
+        damaged += over.get(serial, False)
+        expected[serial], over[serial] = head["number"] + 1, bool(head["flags"] & LAST)
         if not head["flags"] & CONTINUED:
             part = []
         whole, at, size = [], 0, 0
@@ -128,7 +136,8 @@ def demux(media: bytes) -> tuple[dict[int, list[tuple[int, int, bytes]]], int, i
             end = start
         if timed:
             found.setdefault(serial, []).extend(reversed(timed))
-    return found, sound, damaged
+    damaged += sum(not last for last in over.values()) + len(open_parts)
+    return found, len(sound), damaged
 
 
 def payload_of(streams: dict[int, list[tuple[int, int, bytes]]]) -> tuple[bytes, int]:
@@ -195,6 +204,7 @@ def media_digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
                 m = m or b""
                 streams, sound, damaged = demux(m)
                 payload, n = payload_of(streams)
+                damaged += len(payload) < max(n, 1)
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(payload, streams, sound, damaged), sound, damaged))
             cols = list(zip(*rows)) or [[]] * 9
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types[1:]))], names)

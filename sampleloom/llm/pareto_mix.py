@@ -10,7 +10,8 @@ sum over bins names the bin of the cut, and only that bin's documents are ranked
 
 Null texts have size 0 and are taken 0 times as words; null sources form one source that comes last. Random numbers
 are a hash of the key, so reruns agree; ties go to the smaller key, then the smaller size. Repeated rows are rows of
-their own. An empty table gives an empty mix. Extra columns do not take part.
+their own. An empty table gives an empty mix. Texts may have any length: only their words are counted. Extra columns do not
+take part, and come back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import BROADCAST_GROUPS, free_name, store, table
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -28,8 +29,6 @@ SHARE = 1.5
 MOST = 2
 BINS = 1 << 16
 PASSES = 3
-#: Sources up to which their table is broadcast; beyond it joins shuffle and adaptive execution splits hot sources.
-BROADCAST_SOURCES = 10_000
 
 
 def words(text: Column) -> Column:
@@ -111,7 +110,7 @@ def mix(docs: DataFrame, key: str = "doc_id", weight: Column | None = None, weig
     slim = store(slim, "mix-sizes")
     sources = with_sources(source_targets(slim, weights, share, most), slim.groupBy("source").agg(F.sum(F.col("size") * F.col("weight")).alias("source_weighted")), False)
     sources = store(sources, "mix-sources")
-    small = sources.count() <= BROADCAST_SOURCES
+    small = sources.count() <= BROADCAST_GROUPS
     return sample(slim, sources, small).withColumnRenamed("key", key)
 
 
@@ -120,10 +119,11 @@ def repeated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
     Equal ids with equal texts of one source are the same row here; their copies are added.
     """
-    copies = mix(docs, key, **options).groupBy(F.col(key).alias("_k"), F.col("tie").alias("_t"), F.col("source").alias("_s")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_tie", F.xxhash64("text")).dropDuplicates([key, "_tie", "source"])
-    met = rows.join(copies, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_tie") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    tie, k, t, src, n, copy = (free_name(docs.columns, x) for x in ("_tie", "_k", "_t", "_s", "_copies", "_copy"))
+    copies = mix(docs, key, **options).groupBy(F.col(key).alias(k), F.col("tie").alias(t), F.col("source").alias(src)).agg(F.sum("copies").cast("int").alias(n)).where(F.col(n) > 0)
+    rows = docs.withColumn(tie, F.xxhash64("text")).dropDuplicates([key, tie, "source"])
+    met = rows.join(copies, F.col(key).eqNullSafe(F.col(k)) & (F.col(tie) == F.col(t)) & F.col("source").eqNullSafe(F.col(src)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
 
 
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,21 @@ def test_viterbi_against_all_paths():
         assert got[doc == d].tolist() == brute_viterbi(scores[doc == d], 1.0)
 
 
+def test_many_languages():
+    scores = np.full((400, 300), -5.0)
+    want = np.repeat([299, 3, 257, 255], 100)
+    scores[np.arange(400), want] = 0
+    assert (langid.viterbi(scores, np.zeros(400, int), 1.0) == want).all()
+
+
+def test_samples_leave_no_group_out(spark):
+    """Groups have no cap, whether their rates are broadcast or not."""
+    from sampleloom.llm import common
+
+    docs = spark.range(30_000).selectExpr("id", "id % 11000 as g")
+    assert common.bounded_sample(docs, "id", "g", 5, "x").count() == 30_000
+
+
 def test_trigrams_do_not_cross_texts():
     a = langid.Words(["abc def", "ghi"])
     b = langid.Words(["ghi"])

@@ -47,6 +47,20 @@ def test_damage_is_found_and_the_rest_read():
     assert sum(map(len, found.values())) < sum(map(len, whole.values()))
 
 
+def test_a_lost_end_is_a_fault(spark):
+    """Cut files, files without their last page or with bytes behind it, and streams that go on behind their last page."""
+    payload, n = ogg.padded("abc" * 100000)
+    media = ogg.mux(payload, n)
+    starts = [i for i in range(len(media)) if media.startswith(b"OggS", i)]
+    cases = {"whole": media, "cut": media[:-3000], "cut by a byte": media[:-1], "no last page": media[: starts[-1]], "only heads": media[: starts[2]], "bytes behind": media + b"x", "bytes before": b"y" + media, "twice": media + media, "empty": b""}
+    rows = [(k, v) for k, v in cases.items()]
+    out = {r.doc_id: r for r in ogg.media_digests(spark.createDataFrame(rows, "doc_id string, media binary")).collect()}
+    assert {k for k, r in out.items() if r.n_damaged == 0} == {"whole"}
+    assert out["bytes behind"].payload_bytes == out["bytes before"].payload_bytes == len(payload) > out["cut by a byte"].payload_bytes
+    found, sound, damaged = ogg.demux(media[: starts[-1]])
+    assert damaged == 1 and sound == len(starts) - 1
+
+
 def test_query_rows(spark):
     rows = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "ü" * 70000), (5, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as media")

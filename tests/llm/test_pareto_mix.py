@@ -83,3 +83,12 @@ def test_ties_repeated_rows_and_empty(spark):
     assert len(out) == 8 and sum(r.copies * r.size for r in out) == 36
     assert pm.mix(docs.limit(0)).count() == 0
     assert sorted(map(tuple, pm.mix(docs).collect()), key=str) == sorted(map(tuple, out), key=str)
+
+
+def test_long_texts_and_columns_of_any_name(spark):
+    rows = [(i, "w " * n, "s", f"x{i}", i, -i) for i, n in enumerate((10, 400_000, 3, 7, 20_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _tie string, _copy int, _k int")
+    got = sorted(map(tuple, pm.repeated(docs).collect()))
+    assert set(got) <= set(rows) and sum(len(r[1]) // 2 for r in got) >= 400_000
+    sizes = {r.doc_id: r.size for r in pm.mix(docs).collect()}
+    assert sizes == {0: 10, 1: 400_000, 2: 3, 3: 7, 4: 20_000}
