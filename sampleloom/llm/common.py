@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Arrow batches that hold whole texts end at so many rows or bytes. Texts can be very long, so the bytes count.
 TEXT_BATCH_ROWS = 4096
 TEXT_BATCH_BYTES = 8 << 20
+BATCH_SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 #: Groups up to which a table with a row for each of them is broadcast.
 BROADCAST_GROUPS = 10_000
 
@@ -24,9 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS, size: int = TEXT_BATCH_BYTES) -> None:
-    """Bounds what a Python worker holds at once: ``size`` bytes of texts or one text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Bounds what a Python worker holds at once: ``size`` bytes of texts or one text. Results that are not stored yet run
+    with these settings, so they stay; ``scratch`` puts them back."""
+    for name, value in zip(BATCH_SETTINGS, (rows, size)):
+        spark.conf.set(name, str(value))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,12 +66,17 @@ def discard(df: DataFrame) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession, what: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """A function that stores tables in a folder of one run; the folder is deleted at the end, so results go elsewhere."""
+def scratch(spark: SparkSession, what: str, rows: int = TEXT_BATCH_ROWS) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function that stores tables in a folder of one run, with ``small_batches`` meanwhile; the folder is deleted and the
+    settings are put back at the end, so results go elsewhere."""
     folder, number = new_path(spark, what), count()
+    before = {name: spark.conf.get(name) for name in BATCH_SETTINGS}
+    small_batches(spark, rows)
     try:
         yield lambda df, name: store(df, name, f"{folder}/{name}-{next(number)}")
     finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
         _delete(spark, folder)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, store, table
+from .common import scratch, store, table
 
 NEAREST = 5
 TABLES, FUNCTIONS, WIDTH = 6, 8, 2.0
@@ -253,8 +253,7 @@ def functions_of_cells(sample: np.ndarray, rows: int, hasher: Hasher) -> int:
 def search(vectors: DataFrame, queries, key: str = "vec_id", column: str = "embedding", nearest: int = NEAREST, probes: int | None = None) -> DataFrame:
     """(query_id, rank, key, score): the nearest rows of every row for which ``queries``, a function of the id's column, holds."""
     spark, keep = vectors.sparkSession, nearest + 1  # a query is among its own candidates
-    small_batches(spark, BLOCK)
-    with scratch(spark, "neighbours") as kept:
+    with scratch(spark, "neighbours", BLOCK) as kept:
         rows = kept(valid_vectors(vectors, key, column).select(F.col("id").cast("bigint").alias("id"), "embedding"), "vectors")
         reps = kept(distinct_vectors(rows, keep), "distinct-vectors")
         sample = np.array([r.embedding for r in reps.orderBy(F.xxhash64("rid")).limit(SAMPLE).select("embedding").collect()], np.float64)  # bounded: SAMPLE vectors

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, row_digest, scratch, small_batches, store, table, texts_of
+from .common import discard, free_name, row_digest, scratch, store, table, texts_of
 
 WORDS = 5
 #: Similarity from which two sets are linked, as a percentage.
@@ -472,7 +472,6 @@ def labelled(docs: DataFrame, key: str, keep: Callable[[DataFrame, str], DataFra
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row."""
-    small_batches(docs.sparkSession)
     with scratch(docs.sparkSession, "near-duplicates") as keep:
         rows = keep(labelled(docs, key, keep), "labelled")
         least = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
@@ -484,7 +483,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of each component, all columns as they are: that of the least id (null last), of rows with that id the one whose
     digest is least. Rows without shingles stay, but of repeated rows (equal id and text) one stays."""
-    small_batches(docs.sparkSession)
     name = free_name(docs.columns, "row")
     with scratch(docs.sparkSession, "one-of-each") as keep:
         rows = keep(labelled(docs, key, keep), "labelled")

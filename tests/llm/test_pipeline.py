@@ -78,6 +78,22 @@ def test_empty_tables(spark, docs):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_long_texts_and_columns_of_any_name(spark, docs):
+    """Columns that have the names of our own come through all stages as they are; so does a very long text."""
+    rows = [(*map(list(r.asDict().values()).__getitem__, range(5)), f"h{i}", i, -i, "k") for i, r in enumerate(docs.where("doc_id < 60").collect())]
+    rows.append((70_000, rows[0][1] + " " + " ".join(f"und der{i} the and" for i in range(100_000)), "en", "s", 9, "long", 1, 2, "k"))
+    df = spark.createDataFrame(rows, COLUMNS + ", _hash string, _tie int, row int, key string")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, stage in cp.STAGES[:4]:
+        own = lambda rows: {(r.doc_id, r._hash, r._tie, r.row, r.key) for r in rows}
+        before = own(df.collect())
+        df = spark.createDataFrame(stage(spark, df, "").collect(), df.schema)
+        assert df.count() and own(df.collect()) <= before
+        if name != "mixing to target weights":
+            assert df.where("doc_id = 70000").count() == 1
+    assert batch and cp.packed(spark, df, "").count() == df.count()
+
+
 def test_run(spark):
     out = cp.run(spark, "/root/testdata/sf0.001")
     n = out.count()
