@@ -65,21 +65,30 @@ class Hasher:
         """The cells of vectors, by the first functions."""
         return self._place(unit, t)[0][:, :first] @ self.weights[:first]
 
-    def visited_cells(self, unit: np.ndarray, t: int, first: int, probes: int | None = None) -> list[np.ndarray]:
-        """For each query, the distinct cells of the buckets that it visits."""
-        best = self._best(unit, t, probes)
-        return [np.unique(w[:first] @ self.weights[:first] + self.steps[b, :first] @ self.weights[:first]) for w, b in zip(self._place(unit, t)[0], best)]
+    def visited_cells(self, unit: np.ndarray, t: int, first: int, probes: int | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each query, the distinct cells of the buckets that it visits, and the cost of the last of these buckets."""
+        best, cost = self._best(unit, t, probes)
+        cells = [np.unique(w[:first] @ self.weights[:first] + self.steps[b, :first] @ self.weights[:first]) for w, b in zip(self._place(unit, t)[0], best)]
+        return cells, np.take_along_axis(cost, best[:, -1:], 1)[:, 0]
+
+    def visited(self, query: np.ndarray, row: np.ndarray, t: int, last: np.ndarray) -> np.ndarray:
+        """Whether the bucket of each row is one that the query beside it visits: within a step a function, and no dearer than
+        the last one on its list."""
+        whole, rest = self._place(query, t)
+        step = self._place(row, t)[0] - whole
+        cost = np.where(step < 0, rest**2, np.where(step > 0, (1 - rest) ** 2, 0.0)).sum(1)
+        return (np.abs(step) <= 1).all(1) & (cost <= last + 1e-9)
 
     def visits(self, unit: np.ndarray, t: int, probes: int | None = None) -> np.ndarray:
         """The codes that each query visits in table ``t``, likeliest first: (queries, probes)."""
-        return (self._place(unit, t)[0] @ self.weights)[:, None] + (self.steps @ self.weights)[self._best(unit, t, probes)]
+        return (self._place(unit, t)[0] @ self.weights)[:, None] + (self.steps @ self.weights)[self._best(unit, t, probes)[0]]
 
-    def _best(self, unit: np.ndarray, t: int, probes: int | None) -> np.ndarray:
+    def _best(self, unit: np.ndarray, t: int, probes: int | None) -> tuple[np.ndarray, np.ndarray]:
         _, rest = self._place(unit, t)
         cost = (rest**2) @ (self.steps == -1).T + ((1 - rest) ** 2) @ (self.steps == 1).T
         n = min(probes or self.probes, len(self.steps))
         best = np.argpartition(cost, n - 1, axis=1)[:, :n] if n < len(self.steps) else np.argsort(cost, axis=1)
-        return np.take_along_axis(best, np.take_along_axis(cost, best, 1).argsort(1, kind="stable"), 1)
+        return np.take_along_axis(best, np.take_along_axis(cost, best, 1).argsort(1, kind="stable"), 1), cost
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -143,7 +152,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def hashed(rows: DataFrame, hasher: Hasher, first: int, visits: bool) -> DataFrame:
-    """(tab, cell, rid, embedding): a row for each table, or for each cell with buckets that a query visits."""
+    """(tab, cell, rid, embedding, last): a row for each table, or for each cell with buckets that a query visits, with the
+    cost of the last bucket that it visits there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,11 +162,11 @@ def hashed(rows: DataFrame, hasher: Hasher, first: int, visits: bool) -> DataFra
                 part = b.slice(lo, step)
                 x = unit(_matrix(part.column(1)))
                 for t in range(TABLES):
-                    cells = hasher.visited_cells(x, t, first) if visits else hasher.cells(x, t, first)[:, None]
-                    pick = pa.array(np.repeat(np.arange(len(x)), [len(c) for c in cells]))
-                    yield pa.record_batch([pa.array(np.full(len(pick), t, np.int32)), pa.array(np.concatenate(list(cells))), part.column(0).take(pick), part.column(1).take(pick)], ["tab", "cell", "rid", "embedding"])
+                    cells, last = hasher.visited_cells(x, t, first) if visits else (hasher.cells(x, t, first)[:, None], np.zeros(len(x)))
+                    pick = np.repeat(np.arange(len(x)), [len(c) for c in cells])
+                    yield pa.record_batch([pa.array(np.full(len(pick), t, np.int32)), pa.array(np.concatenate(list(cells))), part.column(0).take(pa.array(pick)), part.column(1).take(pa.array(pick)), pa.array(last[pick])], ["tab", "cell", "rid", "embedding", "last"])
 
-    return rows.select("rid", "embedding").mapInArrow(run, f"tab int, cell bigint, rid bigint, embedding {dict(rows.dtypes)['embedding']}")
+    return rows.select("rid", "embedding").mapInArrow(run, f"tab int, cell bigint, rid bigint, embedding {dict(rows.dtypes)['embedding']}, last double")
 
 
 def _best(q: np.ndarray, r: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,16 +180,45 @@ def _best(q: np.ndarray, r: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.nd
     return q[rank < keep], r[rank < keep], s[rank < keep]
 
 
-def _near(q: np.ndarray, x: np.ndarray, seen: np.ndarray | None, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, exact score) of all that may be among the ``keep`` nearest rows of each query, of those it has ``seen``."""
-    score = unit(q) @ unit(x).T
-    if seen is not None:
-        score[~seen] = -np.inf
-    n = min(keep, len(x))
-    edge = np.partition(score, len(x) - n, axis=1)[:, len(x) - n]
-    i, j = np.nonzero((score >= edge[:, None] - MARGIN) & np.isfinite(score))
-    parts = [_best(i[lo : lo + 65536], j[lo : lo + 65536], cosine(q[i[lo : lo + 65536]], x[j[lo : lo + 65536]]), keep) for lo in range(0, len(i), 65536)]
-    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (i, j, np.zeros(0))
+class Block:
+    """Queries of one cell, and what a task has found for them."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, last: np.ndarray):
+        self.ids, self.x, self.unit, self.last = ids, x, unit(x), last
+
+    def meet(self, rid: np.ndarray, x: np.ndarray, ux: np.ndarray, visited, edges: dict[int, float], keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, exact score) of rows that may be among the ``keep`` nearest of those that a query visits.
+
+        ``edges`` has scores that each query's ``keep``-th nearest reaches for certain; a query without one takes it from
+        the rows that it visits here.
+        """
+        score = self.unit @ ux.T
+        edge = np.array([edges.get(q, -np.inf) for q in self.ids.tolist()])
+        found = []
+        for some, lo in ((np.flatnonzero(np.isfinite(edge)), -MARGIN), (np.flatnonzero(np.isinf(edge)), None)):
+            for a in range(0, len(some), 256 if lo is not None else 32):
+                q = some[a : a + (256 if lo is not None else 32)]
+                part = score[q]
+                i, j = np.nonzero(part >= edge[q][:, None] + lo) if lo is not None else (m.ravel() for m in np.indices(part.shape))
+                ok = visited(self.unit[q[i]], ux[j], self.last[q[i]])
+                i, j = i[ok], j[ok]
+                if lo is None and len(i):
+                    part[:] = -np.inf
+                    part[i, j] = score[q[i], j]
+                    n = min(keep, len(x))
+                    least = np.partition(part, len(x) - n, axis=1)[:, len(x) - n]
+                    ok = part[i, j] >= least[i] - MARGIN
+                    i, j = i[ok], j[ok]
+                for p in range(0, len(i), 65536):
+                    k, r = q[i[p : p + 65536]], j[p : p + 65536]
+                    found.append(_best(self.ids[k], rid[r], cosine(self.x[k], x[r]), keep))
+        if not found:
+            return self.ids[:0], rid[:0], np.zeros(0)
+        q, r, s = _best(*(np.concatenate(c) for c in zip(*found)), keep)
+        full = np.flatnonzero(np.concatenate([q[keep - 1 :] == q[: len(q) - keep + 1], np.zeros(min(len(q), keep - 1), bool)])) + keep - 1 if len(q) >= keep else []
+        for at in full:
+            edges[int(q[at])] = max(float(s[at]), edges.get(int(q[at]), -np.inf))
+        return q, r, s
 
 
 def candidates(index: DataFrame, probes: DataFrame, hasher: Hasher | None, keep: int) -> DataFrame:
@@ -189,44 +228,35 @@ def candidates(index: DataFrame, probes: DataFrame, hasher: Hasher | None, keep:
     parts = F.coalesce("_parts", F.lit(1))
     left = index.join(many, ["tab", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("rid"), parts.cast("bigint")).cast("int")).withColumn("side", F.lit(1))
     right = probes.join(many, ["tab", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("side", F.lit(0))
-    columns = ["tab", "cell", "part", "side", "rid", "embedding"]
+    columns = ["tab", "cell", "part", "side", "rid", "embedding", "last"]
     met = right.select(columns).unionByName(left.select(columns)).repartition("tab", "cell", "part").sortWithinPartitions("tab", "cell", "part", "side", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, queries = None, []
+        key, blocks, edges = None, [], {}
         found, rows = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
             k = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
-            side, rid, x = b.column(3).to_numpy(), b.column(4).to_numpy(), _matrix(b.column(5))
+            side, rid, x, last = b.column(3).to_numpy(), b.column(4).to_numpy(), _matrix(b.column(5)), b.column(6).to_numpy()
+            ux = unit(x)
             cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1) | (side[1:] != side[:-1])]))
             for a, e in zip(cut.tolist(), [*cut[1:].tolist(), b.num_rows]):
                 here = tuple(k[a].tolist())
                 if here != key:
-                    key, queries = here, []
+                    key, blocks = here, []
                 if side[a] == 0:
-                    for lo in range(a, e, 256):
-                        hi = min(e, lo + 256)
-                        queries.append((rid[lo:hi], x[lo:hi], None if hasher is None else hasher.visits(unit(x[lo:hi]), here[0])))
+                    blocks.append(Block(rid[a:e], x[a:e], last[a:e]))
                     continue
-                if hasher is not None and queries:
-                    codes, bucket = np.unique(hasher.codes(unit(x[a:e]), here[0]), return_inverse=True)
-                for qid, q, visits in queries:  # both sides come in batches, so blocks are bounded
-                    seen = None
-                    if visits is not None:
-                        at = np.minimum(np.searchsorted(codes, visits), len(codes) - 1)
-                        hit = codes[at] == visits
-                        asked = np.zeros((len(q), len(codes)), bool)
-                        asked[np.nonzero(hit)[0], at[hit]] = True
-                        seen = asked[:, bucket]
-                    i, j, s = _near(q, x[a:e], seen, keep)
-                    found.append((qid[i], rid[a:e][j], s))
-                    rows += len(s)
+                visited = (lambda q, r, until, t=here[0]: hasher.visited(q, r, t, until)) if hasher is not None else (lambda q, r, until: np.ones(len(q), bool))
+                for block in blocks:  # both sides come in batches, so blocks are bounded
+                    found.append(block.meet(rid[a:e], x[a:e], ux[a:e], visited, edges, keep))
+                    rows += len(found[-1][2])
                     if rows > KEEP:
                         found = [_best(*(np.concatenate(c) for c in zip(*found)), keep)]
                         if len(found[0][0]) > KEEP // 2:
                             yield pa.record_batch([*map(pa.array, found.pop())], ["q", "r", "score"])
+                            edges.clear()
                         rows = len(found[0][0]) if found else 0
         if found:
             yield pa.record_batch([*map(pa.array, _best(*(np.concatenate(c) for c in zip(*found)), keep))], ["q", "r", "score"])
@@ -267,7 +297,7 @@ def search(vectors: DataFrame, queries, key: str = "vec_id", column: str = "embe
         pairs = kept(merged(candidates(index, hashed(reps.join(wanted, "rid", "left_semi"), hasher, first, True), hasher, keep), keep), "candidates")
         # Queries whose candidates, with all ids of equal vectors, are too few look further, at last at all vectors.
         all_near = Hasher(dim, len(hasher.steps))
-        everywhere = lambda df: df.select(F.lit(0).alias("tab"), F.lit(0).cast("bigint").alias("cell"), "rid", "embedding")
+        everywhere = lambda df: df.select(F.lit(0).alias("tab"), F.lit(0).cast("bigint").alias("cell"), "rid", "embedding", F.lit(0.0).alias("last"))
         for wider in (all_near, None):
             ids = pairs.join(reps.select(F.col("rid").alias("r"), F.size("ids").alias("n")), "r").groupBy("q").agg(F.sum("n").alias("n"))
             short = kept(wanted.join(ids.withColumnRenamed("q", "rid"), "rid", "left").where(F.coalesce("n", F.lit(0)) <= nearest).select("rid"), "short-queries")

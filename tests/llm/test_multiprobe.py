@@ -37,6 +37,12 @@ def test_visits_come_in_order_of_estimated_success():
         best = sorted(cost.values())[:50]
         code = {int((whole[0] + step) @ h.weights): c for step, c in ((np.array(s), c) for s, c in cost.items())}
         assert np.allclose([code[int(v)] for v in visits[0]], best)
+        # A row is seen exactly if its bucket is on the list.
+        rows = mp.unit(np.random.default_rng(2).normal(size=(300, 16)))
+        _, last = h.visited_cells(x, t, 2)
+        for q in range(len(x)):
+            seen = h.visited(np.repeat(x[q : q + 1], 300, 0), rows, t, np.repeat(last[q], 300))
+            assert (seen == np.isin(h.codes(rows, t), visits[q])).all() and set(h.cells(rows[seen], t, 2)) <= set(h.visited_cells(x, t, 2)[0][q])
 
 
 def test_recall_and_scores(spark):
