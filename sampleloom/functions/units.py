@@ -81,8 +81,41 @@ def ratio_half_up(numerator: Column, denominator: Column) -> Column:
     return F.floor((2 * n + d) / (2 * d)).cast("bigint")
 
 
+#: Offset and prime of the 64-bit FNV-1a hash (fixed values).
+FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
+
+
 def fnv1a(text: Column) -> Column:
-    """FNV-1a of 32 bits over the bytes of a text."""
-    codes = F.transform(F.sequence(F.lit(1), (F.length(F.hex(text.cast("binary"))) / 2).cast("int")), lambda i: F.conv(F.substring(F.hex(text.cast("binary")), ((i - 1) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint"))
-    start = F.lit(2166136261).cast("bigint")
-    return F.when(F.length(text) == 0, start).otherwise(F.aggregate(codes, start, lambda h, c: F.pmod((h.bitwiseXOR(c)).cast("decimal(20,0)") * 16777619, F.lit(4294967296).cast("decimal(20,0)")).cast("bigint")))
+    """FNV-1a of 64 bits over the bytes of a text, as 16 hexadecimal digits; products are exact in decimals."""
+    raw = F.hex(text.cast("binary"))
+    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(raw), F.lit(1)), F.lit(2)), lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("bigint"))
+    whole = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+
+    def step(h: Column, c: Column) -> Column:
+        low = F.pmod(h, whole(256)).cast("bigint")
+        mixed = h - low.cast("decimal(20,0)") + low.bitwiseXOR(c).cast("decimal(20,0)")
+        return F.pmod((mixed.cast("decimal(20,0)") * F.lit(str(FNV_PRIME)).cast("decimal(13,0)")).cast("decimal(38,0)"), whole(1 << 64)).cast("decimal(38,0)")
+
+    hashed = F.when(F.length(text) == 0, whole(FNV_OFFSET)).otherwise(F.aggregate(codes, whole(FNV_OFFSET), step))
+    return F.lpad(F.lower(F.conv(hashed.cast("string"), 10, 16)), 16, "0")
+
+
+def splitmix64(x: Column) -> Column:
+    """The next value of a 64-bit counter generator from its state, as a bigint's bits (products wrap around)."""
+    wrapped = lambda v: F.when(v >= whole(1 << 63), v - whole(1 << 64)).otherwise(v).cast("bigint")
+    whole = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    unsigned = lambda v: F.when(v < 0, v.cast("decimal(38,0)") + whole(1 << 64)).otherwise(v.cast("decimal(38,0)"))
+    add = lambda v, n: wrapped(F.pmod(unsigned(v) + whole(n), whole(1 << 64)))
+
+    def times(v: Column, n: int) -> Column:
+        """Halves of 32 bits keep every product below 10^38."""
+        high, low = F.floor(unsigned(v) / whole(1 << 32)).cast("decimal(10,0)"), F.pmod(unsigned(v), whole(1 << 32)).cast("decimal(10,0)")
+        n = F.lit(str(n)).cast("decimal(20,0)")
+        top = F.pmod((high * n).cast("decimal(38,0)"), whole(1 << 32)).cast("decimal(10,0)") * F.lit(str(1 << 32)).cast("decimal(10,0)")
+        return wrapped(F.pmod(top.cast("decimal(38,0)") + (low * n).cast("decimal(38,0)"), whole(1 << 64)))
+
+    shift = lambda v, k: F.shiftrightunsigned(v, k)
+    x = add(x, 0x9E3779B97F4A7C15)
+    x = times(x.bitwiseXOR(shift(x, 30)), 0xBF58476D1CE4E5B9)
+    x = times(x.bitwiseXOR(shift(x, 27)), 0x94D049BB133111EB)
+    return x.bitwiseXOR(shift(x, 31))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import f32, f64
 from . import kernels
-from .measure import by_run, look_ahead_peak, per_channel
+from .measure import by_run, fine_peaks, look_ahead_peak, per_channel, true_peak
+from .shape import TURN, lengths
 
 
 def filtered(frames: DataFrame, kind: str, hz: float, rate: int, q: float = 0.5**0.5, gain_db: float = 0.0) -> DataFrame:
@@ -19,7 +20,7 @@ def filtered(frames: DataFrame, kind: str, hz: float, rate: int, q: float = 0.5*
 
 def _gains(peaks: DataFrame, kernel) -> DataFrame:
     """(clip, frame, gain) from (clip, frame, peak) by a recurrence over each clip; the kernel takes rows of peaks."""
-    return by_run(peaks, ["clip"], "peak", lambda x, n: (kernels.by_rows(kernel, x, n), n), "clip bigint, frame bigint, gain double")
+    return by_run(peaks, ["clip"], "peak", lambda x, n, _: (kernels.by_rows(kernel, x, n), n), "clip bigint, frame bigint, gain double")
 
 
 def limit(frames: DataFrame, rate: int, ceiling_db: float = -1.0, look_ms: float = 5.0, release_ms: float = 50.0) -> DataFrame:
@@ -42,46 +43,80 @@ def _lengthened(frames: DataFrame, kernel) -> DataFrame:
 
 
 def resample(frames: DataFrame, rate: int, to: int) -> DataFrame:
-    return _lengthened(frames, lambda x, n: kernels.resample_runs(x, n, to / rate))
+    return _lengthened(frames, lambda x, n, _: kernels.resample_runs(x, n, to / rate))
 
 
 def speed(frames: DataFrame, factor: float) -> DataFrame:
-    return _lengthened(frames, lambda x, n: kernels.resample_runs(x, n, 1 / factor))
+    return _lengthened(frames, lambda x, n, _: kernels.resample_runs(x, n, 1 / factor))
 
 
-def each_run(kernel):
-    """A kernel for runs from one for a single run's samples."""
-
-    def run(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = [np.asarray(kernel(p), np.float32) for p in np.split(x, np.cumsum(sizes)[:-1])]
+def tempo(frames: DataFrame, factor: float, rate: int) -> DataFrame:
+    """Another speed at the same pitch. The first channel decides where each block is taken from, so channels stay in step;
+    blocks overlap by halves under a window, whose weights are divided out. Blocks are joined with the frames that they
+    take, so only the search runs over a whole channel."""
+    if factor == 1:
+        return frames
+    window, hop, _ = kernels.tempo_sizes(rate)
+
+    def search(x: np.ndarray, sizes: np.ndarray, _) -> tuple[np.ndarray, np.ndarray]:
+        out = [kernels.tempo_places(p, factor, rate) for p in np.split(x, np.cumsum(sizes)[:-1])]
         return np.concatenate(out), np.array([len(p) for p in out], np.int64)
 
-    return run
-
-
-def tempo(frames: DataFrame, factor: float, rate: int) -> DataFrame:
-    return _lengthened(frames, each_run(lambda x: kernels.tempo(x, factor, rate)))
+    blocks = by_run(frames.where("channel = 0"), ["clip", "channel"], "sample", search, "clip bigint, channel int, frame bigint, place bigint")
+    taken = blocks.select("clip", (F.col("frame") * hop).alias("_at"), "place", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("_i"))
+    weight = f32(0.5 - 0.5 * F.cos((F.col("_i") + 0.5) / window * TURN))
+    taken = taken.select("clip", (F.col("place") + F.col("_i")).alias("frame"), (F.col("_at") + F.col("_i")).alias("_to"), weight.alias("_w"))
+    added = frames.join(taken, ["clip", "frame"]).groupBy("clip", "channel", F.col("_to").alias("frame")).agg(F.sum(f64(f32(F.col("sample") * F.col("_w")))).alias("_x"), F.sum(f64(F.col("_w"))).alias("_w"))
+    size = lengths(frames).select("clip", "channels", F.round(F.col("frames") / factor).cast("bigint").alias("_n")).where("_n > 0")
+    grid = size.select("clip", "_n", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)).alias("channel")).select("clip", "channel", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("frame"))
+    return grid.join(added, ["clip", "channel", "frame"], "left").select("clip", "channel", "frame", f32(F.when(F.col("_w") > 1e-12, f32(F.col("_x")) / f32(F.col("_w"))).otherwise(0.0)).alias("sample"))
 
 
 def pitch(frames: DataFrame, semitones: float, rate: int) -> DataFrame:
-    return _lengthened(frames, each_run(lambda x: kernels.pitch(x, semitones, rate)))
+    """Another pitch at the same length: another tempo, played at another speed, cut or filled with zeros."""
+    ratio = 2 ** (semitones / 12)
+    played = speed(tempo(frames, 1 / ratio, rate), ratio)
+    size = lengths(frames)
+    grid = size.select("clip", "frames", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)).alias("channel")).select("clip", "channel", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("frames") - 1)).alias("frame"))
+    return grid.join(played, ["clip", "channel", "frame"], "left").select("clip", "channel", "frame", F.coalesce("sample", F.lit(0.0).cast("float")).alias("sample"))
 
 
 def effect(frames: DataFrame, kind: str, rate: int, **settings) -> DataFrame:
-    """One of the bus effects, by name."""
-    run = {
-        "lowpass": lambda x: kernels.one_pole(x, settings["hz"], rate),
-        "highpass": lambda x: kernels.one_pole(x, settings["hz"], rate, high=True),
-        "delay": lambda x: kernels.delay(x, settings["seconds"] * rate, settings["feedback"], settings["wet"]),
-        "reverb": lambda x: kernels.reverb(x, rate, settings["decay_s"], settings["wet"]),
-        "chorus": lambda x: kernels.modulated_delay(x, rate, settings["delay_ms"], settings["depth_ms"], settings["hz"], settings["wet"], 2, 80.0),
-        "flanger": lambda x: kernels.modulated_delay(x, rate, settings["delay_ms"], settings["depth_ms"], settings["hz"], settings["wet"], 1, 20.0),
-        "phaser": lambda x: kernels.phaser(x, rate, settings["centre_hz"], settings["depth"], settings["hz"], settings["feedback"], settings["wet"]),
-        "bitcrusher": lambda x: kernels.bitcrush(x, settings["bits"], settings["ratio"]),
-    }[kind]
+    """One of the bus effects, by name; many clips are worked on at once, channel by channel."""
     if kind in ("lowpass", "highpass"):
-        return per_channel(frames, run)
-    return _lengthened(frames, each_run(run))
+        return per_channel(frames, lambda x: kernels.one_pole(x, settings["hz"], rate, kind == "highpass"))
+    moved = lambda x, c, taps, longest: kernels.modulated_delay(x, rate, settings["delay_ms"], settings["depth_ms"], settings["hz"], settings.get("feedback", 0.0), settings.get("stereo_phase", 0.0), settings["wet"], taps, longest, c)
+    work = {
+        "delay": lambda x, c: kernels.delay(x, settings["seconds"] * rate, settings["feedback"], settings["wet"]),
+        "reverb": lambda x, c: kernels.reverb(x, rate, settings["decay_s"], settings.get("damping", 0.0), settings["wet"], c),
+        "chorus": lambda x, c: moved(x, c, 2, 80.0),
+        "flanger": lambda x, c: moved(x, c, 1, 20.0),
+        "phaser": lambda x, c: kernels.phaser(x, rate, settings["centre_hz"], settings["depth"], settings["hz"], settings["feedback"], settings.get("stereo_phase", 0.0), settings["wet"], c),
+        "bitcrusher": lambda x, c: kernels.bitcrush(x, settings["bits"], settings["ratio"], settings.get("wet", 1.0)),
+    }[kind]
+
+    def run(x: np.ndarray, sizes: np.ndarray, channels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros(len(x), np.float32)
+        for c in np.unique(channels).tolist():
+            mine = np.repeat(channels == c, sizes)
+            out[mine] = kernels.by_rows(lambda rows: work(rows, c), x[mine], sizes[channels == c])
+        return out, sizes
+
+    return _lengthened(frames, run)
+
+
+def limit_true_peak(frames: DataFrame, rate: int, ceiling_db: float = -1.0, look_ms: float = 5.0, release_ms: float = 50.0, margin_db: float = 0.3) -> DataFrame:
+    """Keeps linked channels under the ceiling between samples, too: eightfold reconstruction finds the peaks, and what the
+    finished clip still has beyond the ceiling is taken from all of it."""
+    protected = 10 ** ((ceiling_db - margin_db) / 20) * (1 - 8 * 2.0**-23)
+    linked = fine_peaks(frames).groupBy("clip", "frame").agg(F.max("peak").alias("peak"))
+    look = int(np.floor(look_ms * rate / 1000 + 0.5))
+    ahead = linked.select("clip", "frame", F.max("peak").over(Window.partitionBy("clip").orderBy("frame").rowsBetween(0, look)).alias("peak"))
+    gains = _gains(ahead, lambda p: kernels.limiter_gains(p, protected, release_ms * rate / 1000))
+    out = frames.join(gains, ["clip", "frame"]).select("clip", "channel", "frame", f32(f64(F.col("sample")) * F.col("gain")).alias("sample"))
+    found = fine_peaks(out).groupBy("clip").agg(F.max("peak").alias("_a")).join(true_peak(out).select("clip", F.col("true_peak").alias("_b")), "clip")
+    over = found.select("clip", F.least(F.lit(1.0), F.lit(protected) / F.greatest("_a", "_b", F.lit(1e-300))).alias("_c"))
+    return out.join(over, "clip").select("clip", "channel", "frame", f32(f64(F.col("sample")) * F.col("_c")).alias("sample"))
 
 
 def spectrum(frames: DataFrame, rate: int, size: int) -> DataFrame:

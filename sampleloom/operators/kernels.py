@@ -201,38 +201,34 @@ def resample_runs(x: np.ndarray, sizes: np.ndarray, ratio: float) -> tuple[np.nd
     return out, made
 
 
-def tempo(x: np.ndarray, factor: float, rate: int) -> np.ndarray:
-    """Another speed at the same pitch: overlapping windows, each from near its due place where it continues best."""
-    window = max(256, int(math.floor(0.05 * rate + 0.5)))
-    window += window % 2
-    hop, radius = window // 2, window // 8
-    n = int(math.floor(len(x) / factor + 0.5))
-    if len(x) <= window or factor == 1:
-        return resample(x, n / max(1, len(x)), n) if len(x) <= window and factor != 1 else x.copy()
-    shape = 0.5 - 0.5 * np.cos(TURN * (np.arange(window) + 0.5) / window)
-    out, weight = np.zeros(n + window), np.zeros(n + window)
-    source, last = np.concatenate([x, np.zeros(window + hop)]).astype(np.float64), 0
-    for block, at in enumerate(range(0, n, hop)):
+def tempo_sizes(rate: int) -> tuple[int, int, int]:
+    """Window, hop and search radius of changes of tempo."""
+    window = max(256, int(math.floor(0.05 * rate + 0.5))) & ~1
+    return window, window // 2, window // 8
+
+
+def tempo_places(x: np.ndarray, factor: float, rate: int) -> np.ndarray:
+    """Where each block of another tempo is taken from: near its due place, where every other sample of half a window is
+    most like what follows the block before."""
+    window, hop, radius = tempo_sizes(rate)
+    n, frames = len(x), int(math.floor(len(x) / factor + 0.5))
+    source, last, out = np.concatenate([x, np.zeros(hop)]).astype(np.float64), 0, []
+    for block in range(-(-frames // hop)):
         due = int(math.floor(block * hop * factor + 0.5))
-        best = min(due, len(x) - 1)
-        if block:
-            template = source[last + hop : last + hop + window : 2]
-            places = np.arange(max(0, due - radius), min(len(x) - 1, due + radius) + 1)
-            if len(places):
-                views = np.lib.stride_tricks.sliding_window_view(source, window)[places][:, ::2]
-                power = np.sqrt((views**2).sum(1))
-                score = np.where(power > 0, views @ template / np.maximum(power, 1e-300), 0.0)
-                best = int(places[score.argmax()])
-        out[at : at + window] += source[best : best + window] * shape
-        weight[at : at + window] += shape
+        if due >= n:
+            break
+        best = due
+        if block and last + hop < n:
+            size = min(hop, n - last - hop)
+            template = source[last + hop : last + hop + size : 2]
+            places = np.arange(max(0, due - radius), min(n - 1, due + radius) + 1)
+            views = np.lib.stride_tricks.sliding_window_view(source, size)[places][:, ::2]
+            energy = (views**2).sum(1)
+            score = np.where(energy > 0, views @ template / np.sqrt(np.where(energy > 0, energy, 1.0)), 0.0)
+            best = int(places[score.argmax()])
+        out.append(best)
         last = best
-    return (out[:n] / np.maximum(weight[:n], 1e-9)).astype(np.float32)
-
-
-def pitch(x: np.ndarray, semitones: float, rate: int) -> np.ndarray:
-    """Another pitch at the same length."""
-    ratio = 2 ** (semitones / 12)
-    return resample(tempo(x, 1 / ratio, rate), 1 / ratio, len(x))
+    return np.array(out, np.int64)
 
 
 def one_pole(x: np.ndarray, hz: float, rate: float, high: bool = False) -> np.ndarray:
@@ -252,79 +248,122 @@ def compressor_gains(peak: np.ndarray, rate: float, threshold_db: float, ratio:
 
 
 def delay(x: np.ndarray, frames: float, feedback: float, wet: float) -> np.ndarray:
-    """An echo that feeds back, between samples by straight lines; blocks are as long as the echo allows."""
-    whole, rest = int(frames), frames - int(frames)
-    line = np.concatenate([np.zeros(whole + 2), x.astype(np.float64)])
-    base, heard = whole + 2, np.zeros(len(x))
-    step = max(1, whole)
-    for i in range(0, len(x), step):
-        at = np.arange(i, min(i + step, len(x))) + base - whole
-        heard[i : i + step] = line[at] * (1 - rest) + line[at - 1] * rest
-        line[base + i : base + i + len(at)] += feedback * heard[i : i + step]
-    return x * (1 - wet) + heard * wet
-
-
-def modulated_delay(x: np.ndarray, rate: float, delay_ms: float, depth_ms: float, hz: float, wet: float, taps: int, longest_ms: float) -> np.ndarray:
-    """Chorus (two taps a quarter turn apart) and flanger (one): delays that a sine moves."""
-    n = np.arange(len(x))
-    heard = np.zeros(len(x))
-    padded = x.astype(np.float64)
-    for k in range(taps):
-        ms = np.clip(delay_ms + depth_ms * np.sin(TURN * (n * hz / rate + k / 4)), 1.0, longest_ms)
-        place = n - ms * rate / 1000
-        low = np.floor(place).astype(np.int64)
-        pick = lambda i: np.where(i >= 0, padded[np.clip(i, 0, max(0, len(x) - 1))], 0.0)
-        heard += (pick(low) * (low + 1 - place) + pick(low + 1) * (place - low)) / taps
-    return x * (1 - wet) + heard * wet
-
-
-def reverb(x: np.ndarray, rate: float, decay_s: float, wet: float, channel: int = 0) -> np.ndarray:
-    """Four combs side by side and two all-passes in a row (lengths in seconds are fixed values)."""
-    total = np.zeros(len(x))
-    for length in (0.0297, 0.0371, 0.0411, 0.0437):
-        size = max(1, int(round((length + 0.0011 * channel) * rate)))
+    """An echo that feeds back, of rows, between samples by straight lines; blocks are as long as the echo allows."""
+    rows = np.atleast_2d(x).astype(np.float64)
+    whole, rest, width = int(frames), frames - int(frames), rows.shape[1]
+    line, heard = np.concatenate([np.zeros((len(rows), whole + 2)), rows], 1), np.zeros_like(rows)
+    base, step = whole + 2, max(1, whole)
+    for i in range(0, width, step):
+        at = np.arange(i, min(i + step, width)) + base - whole
+        heard[:, i : i + step] = line[:, at] * (1 - rest) + line[:, at - 1] * rest
+        line[:, base + i : base + i + len(at)] += feedback * heard[:, i : i + step]
+    return (rows * (1 - wet) + heard * wet).reshape(np.shape(x))
+
+
+def modulated_delay(x: np.ndarray, rate: float, delay_ms: float, depth_ms: float, hz: float, feedback: float, spread: float, wet: float, taps: int, longest_ms: float, channel: int = 0) -> np.ndarray:
+    """Chorus (two taps a quarter turn apart) and flanger (one) of rows: delays that a sine moves, fed back; ``spread`` turns
+    the sine of the second channel."""
+    rows = np.atleast_2d(x).astype(np.float64)
+    width = rows.shape[1]
+    turns = np.arange(width) * hz / rate + channel * spread
+    delays = [np.clip((delay_ms + depth_ms * np.sin(TURN * (turns + k / 4))) * rate / 1000, 1.0, longest_ms * rate / 1000) for k in range(taps)]
+    before = int(longest_ms * rate / 1000) + 2
+    line, heard = np.concatenate([np.zeros((len(rows), before)), rows], 1), np.zeros_like(rows)
+    # A block is shorter than every delay, so what it reads is there.
+    step = max(1, int(math.ceil(min(d.min() for d in delays))) - 1) if feedback and width else max(1, width)
+    for i in range(0, width, step):
+        at = np.arange(i, min(i + step, width))
+        for d in delays:
+            place = at + before - d[at]
+            low = np.floor(place).astype(np.int64)
+            rest = place - low
+            heard[:, at] += (line[:, low] * (1 - rest) + line[:, np.minimum(low + 1, at + before)] * rest) / taps
+        line[:, at + before] += feedback * heard[:, at]
+    return (rows * (1 - wet) + heard * wet).reshape(np.shape(x))
+
+
+def reverb(x: np.ndarray, rate: float, decay_s: float, damping: float, wet: float, channel: int = 0) -> np.ndarray:
+    """Four damped combs side by side and two all-passes in a row, of rows (lengths in seconds are fixed values)."""
+    rows = np.atleast_2d(x).astype(np.float64)
+    width = rows.shape[1]
+    size_of = lambda seconds: max(1, int(math.floor((seconds + 0.0011 * channel) * rate + 0.5)))
+    y = np.zeros_like(rows)
+    for seconds in (0.0297, 0.0371, 0.0411, 0.0437):
+        size = size_of(seconds)
         back = 10 ** (-60 * size / (rate * decay_s) / 20)
-        line = x.astype(np.float64).copy()
-        for i in range(size, len(line), size):
-            line[i : i + size] += back * line[i - size : i - size + len(line[i : i + size])]
-        total[size:] += line[: len(line) - size] if size < len(line) else 0.0
-    y = total / 4
-    for length in (0.005, 0.0017):
-        size = max(1, int(round(length * rate)))
-        line = np.concatenate([np.zeros(size), y])
-        out = np.zeros(len(y))
-        for i in range(0, len(y), size):
-            old = line[i : i + size][: len(out[i : i + size])]
-            out[i : i + size] = old - 0.5 * line[size + i : size + i + len(old)]
-            line[size + i : size + i + len(old)] += 0.5 * old
+        line, memory = np.concatenate([np.zeros((len(rows), size)), rows], 1), np.zeros((len(rows), 1))
+        for i in range(0, width, size):
+            d = line[:, i : i + size][:, : width - i]
+            damped = biquad(d, (1 - damping, 0.0, 0.0, -damping, 0.0)) + memory * damping ** np.arange(1, d.shape[1] + 1)
+            line[:, size + i : size + i + d.shape[1]] += back * damped
+            memory = damped[:, -1:]
+        y += line[:, :width] / 4
+    for seconds in (0.005, 0.0017):
+        size = size_of(seconds)
+        line, out = np.zeros((len(rows), size + width)), np.empty_like(y)
+        for i in range(0, width, size):
+            m = min(size, width - i)
+            out[:, i : i + m] = line[:, i : i + m] - 0.5 * y[:, i : i + m]
+            line[:, size + i : size + i + m] = y[:, i : i + m] + 0.5 * out[:, i : i + m]
         y = out
-    return x * (1 - wet) + y * wet
+    return (rows * (1 - wet) + y * wet).reshape(np.shape(x))
 
 
-def phaser(x: np.ndarray, rate: float, centre_hz: float, depth: float, hz: float, feedback: float, wet: float) -> np.ndarray:
-    """Four all-pass stages whose frequency a sine moves, fed back from the last sample."""
-    n = np.arange(len(x))
-    f = np.clip(centre_hz * 2 ** (depth * np.sin(TURN * n * hz / rate)), 1.0, 0.45 * rate)
+def phaser(x: np.ndarray, rate: float, centre_hz: float, depth: float, hz: float, feedback: float, spread: float, wet: float, channel: int = 0) -> np.ndarray:
+    """Four all-pass stages whose frequency a sine moves, fed back from the last sample, of rows all at once."""
+    rows = np.atleast_2d(x).astype(np.float64)
+    f = np.clip(centre_hz * 2 ** (depth * np.sin(TURN * (np.arange(rows.shape[1]) * hz / rate + channel * spread))), 1.0, 0.45 * rate)
     g = np.tan(np.pi * f / rate)
-    a = ((g - 1) / (g + 1)).tolist()
-    old, kept, last, out = [0.0] * 4, [0.0] * 4, 0.0, []
-    for v, k in zip(x.astype(np.float64).tolist(), a):
-        y = v + feedback * last
-        for s in range(4):
-            z = k * y + old[s] - k * kept[s]
-            old[s], kept[s], y = y, z, z
-        last = y
-        out.append(v * (1 - wet) + y * wet)
-    return np.array(out)
-
-
-def bitcrush(x: np.ndarray, bits: float, ratio: float) -> np.ndarray:
-    """Holds samples at a lower rate and rounds them to a number of bits."""
-    held = np.floor(np.arange(len(x)) * ratio + 1e-9)
-    first = np.searchsorted(held, held, "left")
-    full = 2 ** (bits - 1)
-    v = np.clip(x[first].astype(np.float64), -1, 1) * full
-    return np.sign(v) * np.floor(np.abs(v) + 0.5) / full
+    state, last, out = [np.zeros(len(rows)) for _ in range(4)], np.zeros(len(rows)), np.empty_like(rows)
+    for i, a in enumerate(((g - 1) / (g + 1)).tolist()):
+        y = rows[:, i] + feedback * last
+        for k in range(4):
+            z = a * y + state[k]
+            state[k], y = y - a * z, z
+        last = out[:, i] = y
+    return (rows * (1 - wet) + out * wet).reshape(np.shape(x))
+
+
+def bitcrush(x: np.ndarray, bits: float, ratio: float, wet: float = 1.0) -> np.ndarray:
+    """Holds samples of rows at a lower rate and rounds them to a number of bits, between two numbers by their mix."""
+    rows = np.atleast_2d(x).astype(np.float64)
+    held = np.floor(np.arange(rows.shape[1]) * ratio + 1e-9)
+    v = np.clip(rows[:, np.searchsorted(held, held, "left")], -1, 1)
+
+    def rounded(b: int) -> np.ndarray:
+        full = 2.0 ** (b - 1)
+        return np.clip(np.sign(v) * np.floor(np.abs(v) * full + 0.5), -full, full - 1) / full
+
+    low = rounded(int(bits))
+    crushed = low + (rounded(min(24, int(bits) + 1)) - low) * (bits - int(bits))
+    return (rows * (1 - wet) + crushed * wet).reshape(np.shape(x))
+
+
+def fine_kernel() -> np.ndarray:
+    """Weights of 64 samples at seven places between two, each place's summing to 1: a sinc under a Blackman window."""
+    t = np.arange(64)[:, None] - 31 - np.arange(1, 8) / 8
+    w = np.sinc(t) * (0.42 + 0.5 * np.cos(TURN * t / 64) + 0.08 * np.cos(TURN * t / 32))
+    return w / w.sum(0)
+
+
+def fine_peaks(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each sample of each run the largest magnitude from it to the next one by eightfold reconstruction; the first
+    and last samples answer for what rings before and after the run, too."""
+    kernel, out = fine_kernel(), np.zeros(len(x))
+    for which, places, inside, rows in in_rows(x, sizes, 1 << 16):
+        n, width = sizes[which], rows.shape[1]
+        padded = np.pad(rows, ((0, 0), (63, 64)))
+        top = np.empty((len(rows), width + 64))  # from 32 places before the run on
+        for lo in range(0, width + 64, 1 << 14):
+            views = np.lib.stride_tricks.sliding_window_view(padded[:, lo : lo + (1 << 14) + 63], 64, axis=1)[:, : width + 64 - lo]
+            top[:, lo : lo + (1 << 14)] = np.abs(views @ kernel).max(2)
+        peak = np.maximum(np.abs(rows), top[:, 32 : 32 + width])
+        peak[:, 0] = np.maximum(peak[:, 0], top[:, :32].max(1))
+        at = np.arange(width + 64) - 32
+        rings = np.where((at >= n[:, None]) & (at < n[:, None] + 32), top, 0).max(1)
+        peak[np.arange(len(rows)), n - 1] = np.maximum(peak[np.arange(len(rows)), n - 1], rings)
+        out[places] = peak[inside]
+    return out
 
 
 def spectra(rows: np.ndarray) -> np.ndarray:

@@ -109,7 +109,8 @@ def look_ahead_peak(frames: DataFrame, look: int) -> DataFrame:
 
 
 def by_run(rows: DataFrame, keys: list[str], value: str, kernel, schema: str) -> DataFrame:
-    """Deals the rows by ``keys`` and calls ``kernel(values, sizes)`` with many whole runs at once, each in order of frames.
+    """Deals the rows by ``keys`` and calls ``kernel(values, sizes, last key of each run)`` with many whole runs at once, each
+    in order of frames.
 
     The kernel gives (values, sizes) of as many runs; they are numbered from frame 0 on again. With a schema without a
     frame a run gives one value. A run that goes on in the next batch waits for its end.
@@ -121,7 +122,7 @@ def by_run(rows: DataFrame, keys: list[str], value: str, kernel, schema: str) ->
         columns = [t.column(k).to_numpy() for k in keys]
         new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
         starts = np.flatnonzero(new)
-        out, sizes = kernel(t.column(value).to_numpy(), np.diff(np.append(starts, len(new))))
+        out, sizes = kernel(t.column(value).to_numpy(), np.diff(np.append(starts, len(new))), columns[-1][starts])
         made = [np.repeat(c[starts], sizes) for c in columns] + ([kernels.ragged(sizes)] if framed else [])
         return pa.record_batch([*map(pa.array, made), pa.array(out)], names).cast(target)
 
@@ -150,7 +151,7 @@ def by_run(rows: DataFrame, keys: list[str], value: str, kernel, schema: str) ->
 
 def per_channel(frames: DataFrame, kernel) -> DataFrame:
     """Runs a kernel on each channel of each clip; it takes and gives rows of samples of one width."""
-    return by_run(frames, ["clip", "channel"], "sample", lambda x, n: (kernels.by_rows(kernel, x, n).astype(np.float32), n), "clip bigint, channel int, frame bigint, sample float")
+    return by_run(frames, ["clip", "channel"], "sample", lambda x, n, _: (kernels.by_rows(kernel, x, n).astype(np.float32), n), "clip bigint, channel int, frame bigint, sample float")
 
 
 #: Weights of the channels of layouts with surround channels; all others weigh 1 (fixed values).
@@ -216,6 +217,11 @@ def loudness(frames: DataFrame, rate: int) -> DataFrame:
 
 def true_peak(frames: DataFrame) -> DataFrame:
     """(clip, true_peak, true_peak_db): the largest magnitude between samples, by fourfold interpolation."""
-    each = by_run(frames, ["clip", "channel"], "sample", lambda x, n: (kernels.true_peaks(x, n), np.ones(len(n), np.int64)), "clip bigint, channel int, peak double")
+    each = by_run(frames, ["clip", "channel"], "sample", lambda x, n, _: (kernels.true_peaks(x, n), np.ones(len(n), np.int64)), "clip bigint, channel int, peak double")
     peaks = each.groupBy("clip").agg(F.max("peak").alias("true_peak"))
     return peaks.select("clip", "true_peak", to_db(F.col("true_peak")).alias("true_peak_db"))
+
+
+def fine_peaks(frames: DataFrame) -> DataFrame:
+    """(clip, channel, frame, peak): magnitudes up to the next sample by eightfold reconstruction."""
+    return by_run(frames, ["clip", "channel"], "sample", lambda x, n, _: (kernels.fine_peaks(x, n), n), "clip bigint, channel int, frame bigint, peak double")

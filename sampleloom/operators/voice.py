@@ -1,35 +1,78 @@
-"""Texts as invented speech: syllables of whole texts, their lengths, and where they fall in time."""
+"""Texts as invented speech: words, syllables and pauses of whole texts, their lengths, and where they fall in time."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Letters that make syllables of up to three, and characters that are a syllable each (code-point ranges, fixed values).
+#: Classes of characters (code-point ranges, fixed values): letters that make syllables of up to three, characters that are a
+#: syllable each, marks that belong to what they follow, joiners that sound as nothing inside a word, pauses, and ends.
 ALPHA = "a-zA-Z0-9\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}\\x{370}-\\x{3FF}\\x{400}-\\x{4FF}"
-SYLLABIC = "\\x{3040}-\\x{30FA}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7A3}"
-SYLLABLE_MS, WORD_GAP_MS, PAUSE_MS, END_MS = 120, 45, 220, 380
+SYLLABIC = "\\x{3040}-\\x{30FA}\\x{30FD}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7A3}"
+COMBINING = "\\x{300}-\\x{36F}\\x{1AB0}-\\x{1AFF}\\x{1DC0}-\\x{1DFF}\\x{20D0}-\\x{20FF}\\x{FE00}-\\x{FE0F}\\x{FE20}-\\x{FE2F}\\x{30FC}\\x{200D}"
+JOINER = "'\\x{2019}\\x{2010}\\-"
+PAUSE = ",;:\\x{3001}\\x{FF0C}\\x{FF1A}\\x{FF1B}"
+END = ".?!\\x{2026}\\x{3002}\\x{FF0E}\\x{FF1F}\\x{FF01}"
+#: A word with marks and joiners inside, and what stands between it and the next.
+WORD = f"([{ALPHA}{SYLLABIC}](?:[{ALPHA}{SYLLABIC}{COMBINING}{JOINER}]*[{ALPHA}{SYLLABIC}{COMBINING}])?)([^{ALPHA}{SYLLABIC}]*)"
+#: A mark behind a joiner has nothing to belong to; at a word's end it goes.
+LOOSE = f"[{JOINER}][{JOINER}{COMBINING}]*$"
+SYLLABLE = f"(?:[{ALPHA}][{COMBINING}]*){{1,3}}|[{SYLLABIC}][{COMBINING}]*"
+SYLLABLE_MS, LAST_MS, WORD_GAP_MS, PAUSE_MS, PHRASE_MS = 120, 36, 45, 220, 380
 
 
 def syllables(text: Column) -> Column:
     """The syllables of a text in order."""
-    return F.regexp_extract_all(text, F.lit(f"[{ALPHA}]{{1,3}}|[{SYLLABIC}]"), 0)
+    return F.regexp_extract_all(text, F.lit(SYLLABLE), 0)
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"[{ALPHA}{SYLLABIC}]+"), 0)
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), 1), lambda w: F.regexp_replace(w, LOOSE, ""))
+
+
+def between(text: Column) -> Column:
+    """What stands behind each word."""
+    return F.regexp_extract_all(text, F.lit(WORD), 2)
+
+
+def _ends(gap: Column) -> Column:
+    return gap.rlike(f"[{END}]")
+
+
+def _pauses(gap: Column) -> Column:
+    return F.regexp_count(gap, F.lit(f"[{PAUSE}]"))
+
+
+def gap_ms(gap: Column) -> Column:
+    """The rest between two words: that of a phrase's end, of each of its pauses, or of a word."""
+    return F.when(_ends(gap), F.lit(PHRASE_MS)).when(_pauses(gap) > 0, _pauses(gap) * PAUSE_MS).otherwise(F.lit(WORD_GAP_MS))
 
 
 def segments(docs: DataFrame, key: str) -> DataFrame:
-    """(key, words, syllables, pauses, ends, duration_ms) of each whole text."""
-    count = lambda pattern: F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("bigint")
-    counted = docs.select(key, F.coalesce(F.size(words(F.coalesce("text", F.lit("")))), F.lit(0)).cast("bigint").alias("words"), F.size(syllables(F.coalesce("text", F.lit("")))).cast("bigint").alias("syllables"), count("[,;:]").alias("pauses"), count("[.?!]").alias("ends"))
-    return counted.withColumn("duration_ms", F.col("syllables") * SYLLABLE_MS + F.greatest(F.col("words") - 1, F.lit(0).cast("bigint")) * WORD_GAP_MS + F.col("pauses") * PAUSE_MS + F.col("ends") * END_MS)
+    """(key, words, syllables, pauses, phrases, duration_ms) of each whole text in even delivery.
+
+    Pauses count inside phrases, between their words; the last syllable of a phrase is longer. Null and empty texts have
+    nothing.
+    """
+    text = F.coalesce("text", F.lit(""))
+    split = docs.select(key, words(text).alias("_words"), between(text).alias("_gaps"))
+    inner = F.slice("_gaps", F.lit(1), F.greatest(F.size("_gaps") - 1, F.lit(0)))
+    total = lambda x, f: F.aggregate(x, F.lit(0).cast("bigint"), lambda s, v: s + f(v))
+    counted = split.select(
+        key,
+        F.size("_words").cast("bigint").alias("words"),
+        total(F.col("_words"), lambda w: F.regexp_count(w, F.lit(SYLLABLE))).alias("syllables"),
+        total(inner, lambda g: F.when(_ends(g), 0).otherwise(_pauses(g))).alias("pauses"),
+        F.when(F.size("_words") > 0, F.size(F.filter(inner, _ends)) + 1).otherwise(0).cast("bigint").alias("phrases"),
+        total(inner, gap_ms).alias("_rest"),
+    )
+    return counted.select(key, "words", "syllables", "pauses", "phrases", (F.col("syllables") * SYLLABLE_MS + F.col("phrases") * LAST_MS + F.col("_rest")).alias("duration_ms"))
 
 
 def placed_words(docs: DataFrame, key: str, rate: int) -> DataFrame:
     """(key, position, word, on): each word's first frame, from the running sum of lengths rounded once."""
-    each = docs.select(key, F.posexplode(words(F.coalesce("text", F.lit("")))).alias("position", "word"))
-    micros = (F.size(syllables(F.col("word"))) * SYLLABLE_MS + WORD_GAP_MS).cast("bigint") * 1000
-    before = F.coalesce(F.sum(micros).over(Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    text = F.coalesce("text", F.lit(""))
+    each = docs.select(key, F.posexplode(F.arrays_zip(words(text).alias("word"), between(text).alias("gap"))).alias("position", "_w")).select(key, "position", "_w.word", "_w.gap")
+    length = F.size(syllables(F.col("word"))) * SYLLABLE_MS + F.when(_ends(F.col("gap")), LAST_MS).otherwise(0) + gap_ms(F.col("gap"))
+    before = F.coalesce(F.sum(length.cast("bigint") * 1000).over(Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return each.select(key, "position", "word", F.floor((before * rate + 500_000) / 1_000_000).cast("bigint").alias("on"))

@@ -331,27 +331,45 @@ def render_notes(spark, d):
 
 # Voice and texts -------------------------------------------------------------------------------------------------------
 
-_ALPHA = "a-zA-Z0-9\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}\\x{370}-\\x{3FF}\\x{400}-\\x{4FF}"
-_SYL = "\\x{3040}-\\x{30FA}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7A3}"
+_V = {"w": f"[{voice.ALPHA}{voice.SYLLABIC}](?:[{voice.ALPHA}{voice.SYLLABIC}{voice.COMBINING}{voice.JOINER}]*[{voice.ALPHA}{voice.SYLLABIC}{voice.COMBINING}])?", "gap": f"[^{voice.ALPHA}{voice.SYLLABIC}]*", "loose": voice.LOOSE.replace("'", "''"), "syl": voice.SYLLABLE, "end": f"[{voice.END}]", "pause": f"[{voice.PAUSE}]"}
+_V["w"] = _V["w"].replace("'", "''")
+
+
+def _spoken(key: str, table: str) -> str:
+    """A row for each word: its syllables, whether it ends a phrase, and the pauses behind it."""
+    return f"""t AS (SELECT {key}, regexp_extract_all(coalesce(text, ''), '({_V['w']})({_V['gap']})', 1) AS w, regexp_extract_all(coalesce(text, ''), '({_V['w']})({_V['gap']})', 2) AS g FROM {table}),
+e AS (SELECT {key}, len(w) AS n, unnest(range(len(w))) AS position, regexp_replace(unnest(w), '{_V['loose']}', '') AS word, unnest(g) AS gap FROM t),
+x AS (SELECT *, len(regexp_extract_all(word, '{_V['syl']}')) AS syl, regexp_matches(gap, '{_V['end']}') AS ended, len(regexp_extract_all(gap, '{_V['pause']}')) AS p FROM e),
+y AS (SELECT *, CASE WHEN ended THEN 380 WHEN p > 0 THEN 220 * p ELSE 45 END AS rest FROM x)"""
 
 
 @query(
     "speech_segments",
-    f"""WITH c AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[{_ALPHA}{_SYL}]+')) AS BIGINT) AS words, CAST(len(regexp_extract_all(text, '[{_ALPHA}]{{1,3}}|[{_SYL}]')) AS BIGINT) AS syllables,
-CAST(len(regexp_extract_all(text, '[,;:]')) AS BIGINT) AS pauses, CAST(len(regexp_extract_all(text, '[.?!]')) AS BIGINT) AS ends FROM c)
-SELECT *, syllables * 120 + greatest(words - 1, 0) * 45 + pauses * 220 + ends * 380 AS duration_ms FROM n""",
+    f"""WITH {_spoken('doc_id', 'documents')}, s AS (SELECT doc_id, count(*) AS words, sum(syl) AS syllables, sum(CASE WHEN position < n - 1 AND NOT ended THEN p ELSE 0 END) AS pauses,
+sum(CASE WHEN position = n - 1 OR ended THEN 1 ELSE 0 END) AS phrases, sum(CASE WHEN position < n - 1 THEN rest ELSE 0 END) AS rest FROM y GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(words, 0) AS BIGINT) AS words, CAST(coalesce(syllables, 0) AS BIGINT) AS syllables, CAST(coalesce(pauses, 0) AS BIGINT) AS pauses, CAST(coalesce(phrases, 0) AS BIGINT) AS phrases,
+CAST(coalesce(syllables * 120 + phrases * 36 + rest, 0) AS BIGINT) AS duration_ms FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id""",
 )
 def speech_segments(spark, d):
     return voice.segments(b.table(spark, d, "documents"), "doc_id")
 
 
-@query("spoken_words")
+@query(
+    "spoken_words",
+    f"""WITH {_spoken('conv_id, turn', 'conversations')}, z AS (SELECT *, coalesce(sum((syl * 120 + CASE WHEN ended THEN 36 ELSE 0 END + rest) * 1000) OVER (PARTITION BY conv_id, turn ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS us FROM y)
+SELECT conv_id, turn, CAST(position AS INT) AS position, word, CAST((us * 48000 + 500000) // 1000000 AS BIGINT) AS "on" FROM z""",
+)
 def spoken_words(spark, d):
     turns = b.table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
     return voice.placed_words(turns, "id", 48_000).select("id.conv_id", "id.turn", "position", "word", "on")
 
 
-@query("name_hashes")
+@query(
+    "name_hashes",
+    f"""WITH RECURSIVE {TRIGGER_SQL}, names AS (SELECT DISTINCT name FROM triggers), h(name, i, h) AS (SELECT name, 0, 14695981039346656037::HUGEINT FROM names
+UNION ALL SELECT name, i + 1, xor(h, ascii(substr(name, i + 1, 1))::HUGEINT) * 1099511628211 % 18446744073709551616 FROM h WHERE i < length(name))
+SELECT name, lpad(lower(to_hex(h::UBIGINT)), 16, '0') AS hash FROM h WHERE i = length(name)""",
+)
 def name_hashes(spark, d):
     return b.triggers(spark, d).select("name").distinct().select("name", units.fnv1a(F.col("name")).alias("hash"))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sampleloom.functions import units
-from sampleloom.operators import dsp, kernels, levels, measure, mixing, shape, synth, timeline
+from sampleloom.operators import dsp, kernels, levels, measure, mixing, shape, synth, timeline, voice
 from sampleloom.sources import containers
 
 
@@ -122,30 +122,146 @@ def test_resample_keeps_a_sine():
     assert len(y) == 3000 and np.abs(y - want)[200:-200].max() < 1e-3
 
 
-def test_tempo_and_pitch_keep_what_they_promise():
+def plain_tempo(channels, factor, rate):
+    """Overlap and add by the sample; the first channel decides."""
+    n = len(channels[0])
+    frames = int(math.floor(n / factor + 0.5))
+    window = max(256, int(math.floor(rate * 0.05 + 0.5))) & ~1
+    hop, radius, out, weights, last = window // 2, window // 8, np.zeros((len(channels), frames)), np.zeros(frames), 0
+    for block, at in enumerate(range(0, frames, hop)):
+        due = int(math.floor(block * hop * factor + 0.5))
+        if due >= n:
+            break
+        best = due
+        if block and last + hop < n:
+            top, template = -math.inf, last + hop
+            for c in range(max(0, due - radius), min(due + radius, n - 1) + 1):
+                size = min(hop, n - template, n - c)
+                a, b = channels[0][template : template + size : 2].astype(float), channels[0][c : c + size : 2].astype(float)
+                score = a @ b / math.sqrt(b @ b) if b @ b > 0 else 0.0
+                if score > top + 1e-12:
+                    top, best = score, c
+        size = min(window, frames - at, n - best)
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * (np.arange(size) + 0.5) / window)
+        weights[at : at + size] += w
+        for k, c in enumerate(channels):
+            out[k, at : at + size] += c[best : best + size] * w
+        last = best
+    return np.where(weights > 1e-12, out / np.maximum(weights, 1e-12), 0)
+
+
+def test_tempo_and_pitch_keep_what_they_promise(spark):
     rate = 8000
     x = np.sin(2 * np.pi * 220 * np.arange(rate) / rate).astype(np.float32)
+    f = frames_of(spark, {1: [x, 0.5 * x]})
     hz = lambda y: np.abs(np.fft.rfft(y * np.hanning(len(y)))).argmax() * rate / len(y)
-    slow = kernels.tempo(x, 0.5, rate)
-    assert len(slow) == 2 * rate and hz(slow) == pytest.approx(220, abs=3)
-    high = kernels.pitch(x, 12, rate)
+    slow = dsp.tempo(f, 0.5, rate)
+    left, right = np.array(samples(slow)), np.array(samples(slow, 1, 1))
+    assert len(left) == 2 * rate and hz(left) == pytest.approx(220, abs=3) and np.allclose(right, 0.5 * left, atol=1e-6)  # channels stay in step
+    high = np.array(samples(dsp.pitch(f, 12, rate)))
     assert len(high) == rate and hz(high) == pytest.approx(440, abs=6)
 
 
+def test_tempo_against_the_plain_form(spark):
+    rng, rate = np.random.default_rng(4), 4000
+    channels = [rng.normal(0, 0.3, 1500).astype(np.float32), rng.normal(0, 0.3, 1500).astype(np.float32)]
+    for factor in (0.8, 1.7):
+        out = dsp.tempo(frames_of(spark, {1: channels}), factor, rate)
+        want = plain_tempo(channels, factor, rate)
+        for c in (0, 1):
+            assert np.allclose(samples(out, 1, c), want[c], atol=1e-5)
+
+
 def test_effects():
     x = np.zeros(4000, np.float32)
     x[0] = 1
     echo = kernels.delay(x, 100, 0.5, 1.0)
     assert [i for i in np.flatnonzero(np.abs(echo) > 1e-9)[:3]] == [100, 200, 300] and echo[200] == pytest.approx(0.5)
-    tail = kernels.reverb(x, 8000, 0.5, 1.0)
-    assert np.abs(tail[3500:]).max() < np.abs(tail[:2000]).max() and np.isfinite(tail).all()
     low, high = kernels.one_pole(x, 500, 8000), kernels.one_pole(x, 500, 8000, True)
     assert np.allclose(low + high, x)
-    assert len(set(kernels.bitcrush(np.linspace(-1, 1, 64).astype(np.float32), 3, 0.25).tolist())) <= 9
+    assert len(set(kernels.bitcrush(np.linspace(-1, 1, 64).astype(np.float32), 3, 0.25).tolist())) <= 8
+    steps = kernels.bitcrush(np.linspace(-1, 1, 999), 2.5, 1.0)  # half of each of two quantizers, below full scale
+    assert steps.max() == pytest.approx((0.5 + 0.75) / 2) and steps.min() == -1
     gains = kernels.compressor_gains(np.full(3000, 1.0), 8000, -20.0, 4.0, 1.0, 10.0)
     assert gains[-1] == pytest.approx(10 ** (-15 / 20), abs=1e-3)
 
 
+def test_recurrent_effects_against_their_plain_forms():
+    rng, rate = np.random.default_rng(9), 2000
+    rows = rng.normal(0, 0.3, (3, 500))
+
+    def line(size):
+        return [0.0] * size, [0]
+
+    def plain_reverb(x, channel, decay, damping, wet):
+        size = lambda s: max(1, int(math.floor((s + 0.0011 * channel) * rate + 0.5)))
+        combs = [[[0.0] * size(s), 0, 0.0] for s in (0.0297, 0.0371, 0.0411, 0.0437)]
+        passes = [[[0.0] * size(s), 0] for s in (0.005, 0.0017)]
+        out = []
+        for v in x:
+            y = 0.0
+            for c in combs:
+                d = c[0][c[1]]
+                c[2] = d * (1 - damping) + c[2] * damping
+                c[0][c[1]] = v + c[2] * 10 ** (-60 * len(c[0]) / (rate * decay) / 20)
+                c[1] = (c[1] + 1) % len(c[0])
+                y += d / 4
+            for p in passes:
+                z = p[0][p[1]] - 0.5 * y
+                p[0][p[1]] = y + 0.5 * z
+                p[1] = (p[1] + 1) % len(p[0])
+                y = z
+            out.append(v * (1 - wet) + y * wet)
+        return out
+
+    def plain_modulated(x, channel, delay, depth, hz, feedback, spread, wet, taps):
+        ring, out = [0.0] * 400, []
+        for i, v in enumerate(x):
+            heard = 0.0
+            for k in range(taps):
+                d = (delay + depth * math.sin(2 * math.pi * (i * hz / rate + channel * spread + k / 4))) * rate / 1000
+                low = math.floor(i - d)
+                rest = i - d - low
+                heard += (ring[low % 400] * (1 - rest) + ring[(low + 1) % 400] * rest) / taps
+            ring[i % 400] = v + feedback * heard
+            out.append(v * (1 - wet) + heard * wet)
+        return out
+
+    def plain_phaser(x, channel, centre, depth, hz, feedback, spread, wet):
+        state, last, out = [0.0] * 4, 0.0, []
+        for i, v in enumerate(x):
+            f = min(0.45 * rate, max(1.0, centre * 2 ** (depth * math.sin(2 * math.pi * (i * hz / rate + channel * spread)))))
+            g = math.tan(math.pi * f / rate)
+            a, y = (g - 1) / (g + 1), v + feedback * last
+            for k in range(4):
+                z = a * y + state[k]
+                state[k], y = y - a * z, z
+            last = y
+            out.append(v * (1 - wet) + y * wet)
+        return out
+
+    for c in (0, 1):
+        got = kernels.reverb(rows, rate, 0.8, 0.3, 0.6, c)
+        assert all(np.allclose(g, plain_reverb(r, c, 0.8, 0.3, 0.6)) for g, r in zip(got, rows))
+        for taps, longest in ((2, 80.0), (1, 20.0)):
+            got = kernels.modulated_delay(rows, rate, 8.0, 5.0, 3.0, 0.4, 0.25, 0.5, taps, longest, c)
+            assert all(np.allclose(g, plain_modulated(r, c, 8.0, 5.0, 3.0, 0.4, 0.25, 0.5, taps)) for g, r in zip(got, rows))
+        got = kernels.phaser(rows, rate, 300.0, 1.5, 4.0, 0.3, 0.5, 0.7, c)
+        assert all(np.allclose(g, plain_phaser(r, c, 300.0, 1.5, 4.0, 0.3, 0.5, 0.7)) for g, r in zip(got, rows))
+
+
+def test_true_peak_limiter(spark):
+    rate, n = 8000, np.arange(1200)
+    x = 0.99 * np.sin(2 * np.pi * (n / 4 + 1 / 8)) / np.sin(np.pi / 4)  # samples stay near 1, what is between them does not
+    f = frames_of(spark, {1: [x, 0.2 * x], 2: [np.full(40, 0.1)], 3: [np.zeros(1)]})
+    assert measure.true_peak(f).where("clip = 1").first().true_peak > 1.2
+    out = dsp.limit_true_peak(f, rate, -1.0)
+    ceiling = 10 ** (-1.3 / 20)
+    assert measure.true_peak(out).where("clip = 1").first().true_peak <= ceiling and measure.fine_peaks(out).groupBy().max("peak").first()[0] <= ceiling
+    assert near(samples(out, 2), [0.1] * 40) and samples(out, 3) == [0.0] and len(samples(out, 1, 1)) == 1200
+    assert np.allclose(np.array(samples(out, 1, 1)), 0.2 * np.array(samples(out)), atol=1e-6)  # linked
+
+
 @pytest.mark.parametrize("box,kind", [("wav", "u8"), ("wav", "s16"), ("wav", "s24"), ("wav", "f32"), ("wav", "f64"), ("aiff", "s8"), ("aiff", "s16"), ("aiff", "s24"), ("aiff", "f32"), ("au", "s16"), ("au", "s32"), ("au", "f64"), ("caf", "s24"), ("caf", "f32")])
 def test_container_round_trips(box, kind):
     x = np.random.default_rng(3).uniform(-1, 1, (33, 2)).astype(np.float32)
@@ -179,7 +295,8 @@ def test_units(spark):
     assert got == [0.5, 1.5, 2.0, 62.5, 3723.5, None, None]
     names = {r.n: r.m for r in spark.createDataFrame([(x,) for x in ("C4", "A4", "Bb3", "F#-1", "H2", "C11")], "n string").select("n", units.note_to_midi(F.col("n")).alias("m")).collect()}
     assert names == {"C4": 60, "A4": 69, "Bb3": 58, "F#-1": 6, "H2": None, "C11": None}
-    assert spark.range(1).select(units.fnv1a(F.lit("a"))).first()[0] == 0xE40C292C
+    assert [r.h for r in spark.createDataFrame([(0, ""), (1, "a"), (2, "foobar")], "i int, t string").select("i", units.fnv1a(F.col("t")).alias("h")).orderBy("i").collect()] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8"]
+    assert spark.range(1).select(units.splitmix64(F.lit(0).cast("bigint"))).first()[0] == 0xE220A8397B1DCDAF - (1 << 64)
     assert spark.range(1).select(units.format_duration(F.lit(3723.4996))).first()[0] == "1:02:03.500"
 
 
@@ -280,3 +397,13 @@ def test_kernels_of_rows_equal_those_of_one_run():
     assert np.allclose(peaks, [kernels.true_peaks(r, np.array([len(r)]))[0] for r in runs])
     long = kernels.true_peaks(np.tile(x, 60), np.array([len(x) * 60]))[0]
     assert long >= np.abs(x).max()
+
+
+def test_speech_segments(spark):
+    texts = ["Don't stop, my 'dear' friend!", "well-known ... x", "Hello, world. ,, Again?", "e\u0301te\u0301", "\u30ab\u30fc\u30c9\u3001\u6f22\u5b57\u3002", ",.;", None, "a,,b, c,"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: (r.words, r.syllables, r.pauses, r.phrases) for r in voice.segments(docs, "id").collect()}
+    # don't: don, t; stop: sto, p; my; dear: dea, r; friend: fri, end
+    assert got == {0: (5, 9, 1, 1), 1: (2, 5, 0, 2), 2: (3, 6, 1, 2), 3: (1, 1, 0, 1), 4: (2, 4, 1, 1), 5: (0, 0, 0, 0), 6: (0, 0, 0, 0), 7: (3, 3, 3, 1)}
+    placed = {(r.id, r.position): (r.word, r.on) for r in voice.placed_words(docs, "id", 1000).collect()}
+    assert placed[0, 0] == ("Don't", 0) and placed[0, 1] == ("stop", 285) and placed[0, 2] == ("my", 285 + 460) and placed[2, 2] == ("Again", 240 + 220 + 240 + 36 + 380)
