@@ -109,7 +109,8 @@ def whole(lines: Column) -> Column:
 
 def unwrapped(lines: Column) -> Column:
     """The digest by which whole texts are looked up: spellings of two words are unified where a line ended in them, too."""
-    return F.sha2(_tidy(_unified(F.replace(lines, F.lit("\n"), F.lit(" ")), [(word, same) for word, same in EQUIVALENT if " " in word])), 256)
+    x = _unified(F.replace(lines, F.lit("\n"), F.lit(" ")), [(word, same) for word, same in EQUIVALENT if " " in word])
+    return F.sha2(F.trim(F.regexp_replace(x, " +", " ")), 256)
 
 
 #: Other titles of the licences that ``KNOWN`` has in full; the files of ``licenses`` begin with theirs.
