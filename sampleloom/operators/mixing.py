@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,55 +15,102 @@ from .shape import TURN
 SOUND_SPEED = 343.3
 
 
-def sequence_choice(triggers: DataFrame, sources: int) -> DataFrame:
+#: Frames of the stretches by which the triggers of one name are dealt: a name may have a large part of all triggers.
+SPAN = 1 << 27
+
+
+def _running(rows: DataFrame, by: str, value: Column, name: str, span: int) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the same key up to this one, by (frame, seq). Rows are summed
+    within stretches of time; what comes before a stretch is a sum over one row for each earlier one."""
+    parted = rows.withColumn("_part", F.floor(F.col("frame") / span).cast("bigint")).withColumn("_value", value)
+    before = F.sum("_sum").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = parted.groupBy(by, "_part").agg(F.sum("_value").alias("_sum")).select(F.col(by).alias("_k"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("_value").over(Window.partitionBy(by, "_part").orderBy("frame", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    met = parted.withColumn("_inside", inside).join(sums, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    return met.select(*rows.columns, (F.col("_inside") + F.col("_before")).alias(name))
+
+
+def sequence_choice(triggers: DataFrame, sources: int, span: int = SPAN) -> DataFrame:
     """Adds ``choice``: each name takes its sources in turn."""
-    order = Window.partitionBy("name").orderBy("frame", "seq")
-    return triggers.withColumn("choice", F.pmod(F.row_number().over(order) - 1, F.lit(sources)))
+    numbered = _running(triggers, "name", F.lit(1), "_n", span)
+    return numbered.withColumn("choice", F.pmod(F.col("_n") - 1, F.lit(sources))).drop("_n")
+
+
+def islands(triggers: DataFrame, gap: int, by: str, span: int = SPAN) -> DataFrame:
+    """Adds ``island``: a number that goes up, within each key, where the trigger before is at least ``gap`` frames ago."""
+    parted = triggers.withColumn("_part", F.floor(F.col("frame") / span).cast("bigint"))
+    last = F.max("_last").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = parted.groupBy(by, "_part").agg(F.max("frame").alias("_last")).select(F.col(by).alias("_k"), F.col("_part").alias("_p"), last.alias("_before"))
+    own = F.lag("frame").over(Window.partitionBy(by, "_part").orderBy("frame", "seq"))
+    met = parted.withColumn("_own", own).join(ends, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    since = F.col("frame") - F.coalesce("_own", "_before")
+    marked = met.select(*triggers.columns, F.when(since >= gap, 1).otherwise(0).alias("_new"))
+    return _running(marked, by, F.col("_new"), "island", span).drop("_new")
+
+
+def _folded(triggers: DataFrame, keys: list[str], fold, name: str) -> DataFrame:
+    """Adds a boolean column by a fold over the frames of each run of equal keys; runs are dealt over tasks and read in order, one batch at a
+    time. ``fold(state, frames)`` gives (answers, state) and starts from None."""
+    columns = [c for c in triggers.columns if c != "island"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for rows in batches:
+            if not len(rows):
+                continue
+            heads = rows[keys].fillna("\0null").to_numpy(object)
+            starts = np.flatnonzero(np.concatenate([[True], (heads[1:] != heads[:-1]).any(1)]))
+            frames, out = rows["frame"].to_numpy(), np.empty(len(rows), bool)
+            for a, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+                if tuple(heads[a]) != key:
+                    key, state = tuple(heads[a]), None
+                out[a:e], state = fold(state, frames[a:e])
+            yield rows[columns].assign(**{name: out})
+
+    schema = ", ".join(f"{c} {t}" for c, t in triggers.dtypes if c != "island")
+    return triggers.repartition(*keys).sortWithinPartitions(*keys, "frame", "seq").mapInPandas(run, f"{schema}, {name} boolean")
 
 
 def min_gap(triggers: DataFrame, gap: int, by: str = "name") -> DataFrame:
     """Adds ``started``: a trigger starts if the last one of its key that did is at least ``gap`` frames ago.
 
-    A start depends on the one before, so this is a fold over each key; keys are dealt over tasks and read in order, one
-    batch at a time, with two numbers of state.
+    A start depends on the one before, so this is a fold; a trigger that has no other within the gap before it starts for
+    certain, so every key's time is cut there and the islands are dealt over tasks. Inside one, the fold jumps from start to
+    start.
     """
-    names = triggers.columns
-    ordered = triggers.repartition(by).sortWithinPartitions(by, "frame", "seq")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        for rows in batches:
-            started = []
-            for k, f in zip(rows[by].tolist(), rows["frame"].tolist()):
-                if k != key:
-                    key, last = k, None
-                ok = last is None or f - last >= gap
-                last = f if ok else last
-                started.append(ok)
-            yield rows.assign(started=started)
+    def fold(last: int | None, frames: np.ndarray) -> tuple[np.ndarray, int | None]:
+        started, at = np.zeros(len(frames), bool), 0 if last is None else int(np.searchsorted(frames, last + gap))
+        while at < len(frames):
+            started[at], last = True, int(frames[at])
+            at = max(at + 1, int(np.searchsorted(frames, last + gap)))
+        return started, last
 
-    schema = ", ".join(f"{c} {t}" for c, t in triggers.dtypes)
-    return ordered.mapInPandas(run, f"{schema}, started boolean").select(*names, "started")
+    return _folded(islands(triggers, gap, by), [by, "island"], fold, "started")
 
 
 def admitted(triggers: DataFrame, length: int, most: int, by: str = "name") -> DataFrame:
-    """Adds ``admitted``: a start is refused while ``most`` instances of its key, each ``length`` frames long, still sound."""
-    ordered = triggers.repartition(by).sortWithinPartitions(by, "frame", "seq")
+    """Adds ``admitted``: a start is refused while ``most`` instances of its key, each ``length`` frames long, still sound.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ends = None, []
-        for rows in batches:
-            out = []
-            for k, f in zip(rows[by].tolist(), rows["frame"].tolist()):
-                if k != key:
-                    key, ends = k, []
-                ends = [e for e in ends if e > f]  # at most ``most`` are left
-                out.append(len(ends) < most)
-                if out[-1]:
-                    ends.append(f + length)
-            yield rows.assign(admitted=out)
-
-    return ordered.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in triggers.dtypes) + ", admitted boolean")
+    Nothing sounds any more ``length`` frames after a trigger, so every key's time is cut where that long nothing came, and
+    the islands are dealt over tasks.
+    """
+
+    def fold(ends: list[int] | None, frames: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        ends, out, at = list(ends or []), np.zeros(len(frames), bool), 0  # ends of what sounds, in order: at most ``most``
+        while at < len(frames):
+            f = int(frames[at])
+            while ends and ends[0] <= f:
+                ends.pop(0)
+            if len(ends) < most:
+                out[at] = True
+                ends.append(f + length)
+                at += 1
+            else:  # all until the first of them ends are refused
+                at = int(np.searchsorted(frames, ends[0]))
+        return out, ends
+
+    return _folded(islands(triggers, length, by), [by, "island"], fold, "admitted")
 
 
 def physical_voices(voices: DataFrame, most: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ticks, frames and controls: tempo maps, note times, ramps and lanes found as of a frame, grids of beats.
 
-Whole-number arithmetic is exact in decimals and rounds once. As-of lookups are one union and one window per key, so
-neither side is broadcast and no pair of rows is made that is not wanted.
+Whole-number arithmetic is exact in decimals and rounds once. As-of lookups are one union and one window per key and stretch
+of time, so neither side is broadcast and no pair of rows is made that is not wanted.
 """
 
 from __future__ import annotations
@@ -14,17 +14,38 @@ from .levels import curve
 from .shape import TURN
 
 
-def as_of(rows: DataFrame, changes: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
-    """Each row with the values of the last change of its keys at or before it; later changes win ties, none gives null."""
-    both = changes.select(*keys, F.col(at), F.lit(0).alias("_side"), F.struct(*values).alias("_v"), *(F.lit(None).cast(t).alias(f"_r_{c}") for c, t in rows.dtypes if c not in [*keys, at]))
+def as_of(rows: DataFrame, changes: DataFrame, keys: list[str], at: str, values: list[str], span: int | None = None) -> DataFrame:
+    """Each row with the values of the last change of its keys at or before it; of changes at one place the greatest values,
+    none gives null.
+
+    With ``span``, keys are dealt by stretches of so many frames, so that one busy key is many tasks' work: what held at
+    the end of a stretch's predecessors comes from one row for each stretch.
+    """
     rest = [c for c in rows.columns if c not in [*keys, at]]
-    mine = rows.select(*keys, F.col(at), F.lit(1).alias("_side"), F.lit(None).cast(both.schema["_v"].dataType).alias("_v"), *(F.col(c).alias(f"_r_{c}") for c in rest))
-    order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    last = F.last("_v", ignorenulls=True).over(order.orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.unionByName(mine).withColumn("_found", last).where("_side = 1")
+    changed = changes.select(*keys, F.col(at), F.lit(0).alias("_side"), F.struct(*values).alias("_v"), *(F.lit(None).cast(dict(rows.dtypes)[c]).alias(f"_r_{c}") for c in rest))
+    mine = rows.select(*keys, F.col(at), F.lit(1).alias("_side"), F.lit(None).cast(changed.schema["_v"].dataType).alias("_v"), *(F.col(c).alias(f"_r_{c}") for c in rest))
+    both = changed.unionByName(mine).withColumn("_part", F.floor(F.col(at) / span).cast("bigint") if span else F.lit(0))
+    last = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys, "_part").orderBy(at, "_side", "_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_found", last).where("_side = 1")
+    if span:
+        ends = both.groupBy(*keys, "_part").agg(F.max(F.when(F.col("_side") == 0, F.struct(F.col(at), F.col("_v")))).alias("_end"))
+        carried = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        names = [f"_k{i}" for i in range(len(keys))]
+        ends = ends.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("_part").alias("_p"), carried["_v"].alias("_before"))
+        same = F.col("_part") == F.col("_p")
+        for k, n in zip(keys, names):
+            same = same & F.col(k).eqNullSafe(F.col(n))
+        found = found.join(ends, same, "left").withColumn("_found", F.coalesce("_found", "_before"))
     return found.select(*keys, at, *(F.col(f"_r_{c}").alias(c) for c in rest), *(F.col(f"_found.{v}").alias(v) for v in values))
 
 
+#: Changes of tempo up to which a tempo map is one array beside every row; longer maps are looked up by stretches of ticks.
+MAP_CHANGES = 256
+MAP_SPAN = 1 << 16
+#: Frames of a stretch of a control lane.
+LANE_SPAN = 1 << 27
+
+
 def tempo_map(changes: DataFrame, rate: int, ticks_per_quarter: int) -> DataFrame:
     """(tick, milli_bpm, before): for each change of tempo, the frames before it as an exact sum over 1e9ths.
 
@@ -39,7 +60,14 @@ def tempo_map(changes: DataFrame, rate: int, ticks_per_quarter: int) -> DataFram
 
 def ticks_to_frames(rows: DataFrame, column: str, tempos: DataFrame, rate: int, ticks_per_quarter: int) -> DataFrame:
     """Adds ``<column>_frame``: the frame of a tick under a tempo map, halves up."""
-    rated = as_of(rows.withColumnRenamed(column, "tick"), tempos.select(F.lit(0).alias("_k"), F.col("tick"), F.col("tick").alias("_from"), "milli_bpm", "before").drop("_k"), [], "tick", ["_from", "milli_bpm", "before"])
+    named = rows.withColumnRenamed(column, "tick")
+    entry = F.struct("tick", "milli_bpm", "before")
+    if tempos.limit(MAP_CHANGES + 1).count() <= MAP_CHANGES:
+        whole = tempos.agg(F.array_sort(F.collect_list(entry)).alias("_map"))  # one row of at most MAP_CHANGES entries
+        rated = named.crossJoin(F.broadcast(whole)).withColumn("_t", F.try_element_at(F.filter("_map", lambda x: x["tick"] <= F.col("tick")), F.lit(-1)))
+        rated = rated.select(*named.columns, F.col("_t.tick").alias("_from"), "_t.milli_bpm", "_t.before")
+    else:
+        rated = as_of(named, tempos.select("tick", F.col("tick").alias("_from"), "milli_bpm", "before"), [], "tick", ["_from", "milli_bpm", "before"], MAP_SPAN)
     frames = F.col("before") + ((F.col("tick") - F.col("_from")).cast("decimal(20,0)") * F.lit(rate * 60_000).cast("decimal(14,0)") / (F.col("milli_bpm") * ticks_per_quarter).cast("decimal(18,0)")).cast("decimal(30,9)")
     return rated.withColumn(f"{column}_frame", F.floor(frames + 0.5).cast("bigint")).withColumnRenamed("tick", column).drop("_from", "milli_bpm", "before")
 
@@ -73,10 +101,11 @@ def ramps(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.withColumn("origin", F.lag("value", 1).over(order)).withColumn("origin", F.coalesce("origin", F.lit(1.0)))
 
 
-def lanes(rows: DataFrame, note_changes: DataFrame, instrument_changes: DataFrame) -> DataFrame:
-    """The control value of each (instrument, note, frame): the note's own lane before its instrument's."""
-    own = as_of(rows, note_changes, ["instrument", "note"], "frame", ["value"]).withColumnRenamed("value", "_own")
-    both = as_of(own, instrument_changes, ["instrument"], "frame", ["value"])
+def lanes(rows: DataFrame, note_changes: DataFrame, instrument_changes: DataFrame, span: int = LANE_SPAN) -> DataFrame:
+    """The control value of each (instrument, note, frame): the note's own lane before its instrument's. An instrument may
+    hold a large part of all rows, so its lane is looked up by stretches of ``span`` frames."""
+    own = as_of(rows, note_changes, ["instrument", "note"], "frame", ["value"], span).withColumnRenamed("value", "_own")
+    both = as_of(own, instrument_changes, ["instrument"], "frame", ["value"], span)
     return both.withColumn("value", F.coalesce("_own", "value")).drop("_own")
 
 

@@ -149,7 +149,14 @@ def min_gap(spark, d):
     return mixing.min_gap(b.triggers(spark, d), 60_000_000, "key").select("seq", "key", "started")
 
 
-@query("instance_limit")
+@query(
+    "instance_limit",
+    f"""WITH RECURSIVE {TRIGGER_SQL}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY name ORDER BY frame, seq) AS i FROM triggers),
+g(name, i, seq, ends, admitted) AS (SELECT name, i, seq, [frame + 40000000], true FROM o WHERE i = 1
+UNION ALL SELECT o.name, o.i, o.seq, CASE WHEN len(list_filter(g.ends, lambda e: e > o.frame)) < 4 THEN list_append(list_filter(g.ends, lambda e: e > o.frame), o.frame + 40000000) ELSE list_filter(g.ends, lambda e: e > o.frame) END,
+len(list_filter(g.ends, lambda e: e > o.frame)) < 4 FROM g JOIN o ON o.name = g.name AND o.i = g.i + 1)
+SELECT seq, name, admitted FROM g""",
+)
 def instance_limit(spark, d):
     return mixing.admitted(b.triggers(spark, d), 40_000_000, 4, "name").select("seq", "name", "admitted")
 
@@ -239,12 +246,12 @@ def bus_routing(spark, d):
 
 @query(
     "solo_routing",
-    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, c_nationkey + 1 + CAST(c_custkey % 3 AS INT) AS dst FROM customer WHERE c_custkey % 5 = 0),
+    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, c_nationkey + 1 + CAST(c_custkey % 3 AS INT) AS dst FROM customer),
 down(bus) AS (SELECT 7 UNION SELECT dst FROM e JOIN down ON e.src = down.bus), up(bus) AS (SELECT 7 UNION SELECT src FROM e JOIN up ON e.dst = up.bus)
 SELECT DISTINCT src, dst FROM e WHERE src IN (SELECT bus FROM down) OR (src IN (SELECT bus FROM up) AND dst IN (SELECT bus FROM up))""",
 )
 def solo_routing(spark, d):
-    c = b.table(spark, d, "customer").where("c_custkey % 5 = 0")
+    c = b.table(spark, d, "customer")
     edges = c.select(F.col("c_nationkey").alias("src"), (F.col("c_nationkey") + 1 + (F.col("c_custkey") % 3).cast("int")).alias("dst")).distinct()
     return mixing.solo_edges(edges, [7])
 
@@ -256,13 +263,13 @@ _INC = "CAST(floor(greatest(0.0, least(24000.0, {0})) / 48000 * 4294967296.0 + 0
 
 @query(
     "oscillators",
-    f"""WITH {NOTE_SQL}, p AS (SELECT note, {_INC.format('440 * pow(2.0::DOUBLE, (midi - 69) * 100 / 1200.0::DOUBLE)')} AS inc FROM notes WHERE note % 50 = 0),
+    f"""WITH {NOTE_SQL}, p AS (SELECT note, {_INC.format('440 * pow(2.0::DOUBLE, (midi - 69) * 100 / 1200.0::DOUBLE)')} AS inc FROM notes),
 t AS (SELECT note, i AS frame, (inc * i) % 4294967296 / 4294967296.0 AS t, inc / 4294967296.0 AS dt FROM p, generate_series(0, 31) g(i)),
 c AS (SELECT *, CASE WHEN t < dt THEN 2 * (t / dt) - (t / dt) * (t / dt) - 1 WHEN t > 1 - dt THEN ((t - 1) / dt) * ((t - 1) / dt) + 2 * ((t - 1) / dt) + 1 ELSE 0 END AS edge FROM t)
 SELECT note, CAST(frame AS BIGINT) AS frame, {r6('CASE WHEN t < 0.25 THEN 1.0 ELSE -1.0 END')} AS pulse, {r6('CASE WHEN t < 0.5 THEN 4 * t - 1 ELSE 3 - 4 * t END')} AS triangle, {r6('2 * t - 1 - edge')} AS saw FROM c""",
 )
 def oscillators(spark, d):
-    each = synth.exploded(b.notes(spark, d).where("note % 50 = 0"), F.lit(32))
+    each = synth.exploded(b.notes(spark, d), F.lit(32))
     step = synth.increment(units.cents_to_hz((F.col("midi") - 69) * 100), 48_000)
     t = synth.phase(step, F.col("frame"))
     return each.select("note", "frame", rounded(synth.wave(t, "pulse", 0.25)).alias("pulse"), rounded(synth.wave(t, "triangle")).alias("triangle"), rounded(synth.smooth_wave(t, step / float(synth.CYCLE), "saw")).alias("saw"))
@@ -310,22 +317,22 @@ def effect_render(spark, d):
     return synth.render_effects(_effects(spark, d), 8000).select("effect", "frame", rounded(F.col("sample"), 5).alias("sample"))
 
 
-@query("drum_levels", f"WITH {NOTE_SQL} SELECT note, CAST(i AS BIGINT) AS frame, {r6('pow(1 - i / CAST(40 + velocity AS DOUBLE), 2) * least(1.0, i / 5.0::DOUBLE)')} AS level FROM notes, generate_series(0, 39) g(i) WHERE note % 20 = 0")
+@query("drum_levels", f"WITH {NOTE_SQL} SELECT note, CAST(i AS BIGINT) AS frame, {r6('pow(1 - i / CAST(40 + velocity AS DOUBLE), 2) * least(1.0, i / 5.0::DOUBLE)')} AS level FROM notes, generate_series(0, 39) g(i)")
 def drum_levels(spark, d):
-    each = synth.exploded(b.notes(spark, d).where("note % 20 = 0"), F.lit(40))
+    each = synth.exploded(b.notes(spark, d), F.lit(40))
     rest = 1 - F.col("frame") / (40 + F.col("velocity"))
     return each.select("note", "frame", rounded(rest * rest * F.least(F.lit(1.0), F.col("frame") / 5)).alias("level"))
 
 
 @query(
     "render_notes",
-    f"""WITH {NOTE_SQL}, p AS (SELECT track, start AS "on", start + length AS "off", {_INC.format('440 * pow(2.0::DOUBLE, (midi - 69) * 100 / 1200.0::DOUBLE)')} AS inc, volume / 15.0::DOUBLE * (velocity / 127.0::DOUBLE) AS amp FROM notes WHERE note % 10 = 0),
+    f"""WITH {NOTE_SQL}, p AS (SELECT track, start AS "on", start + length AS "off", {_INC.format('440 * pow(2.0::DOUBLE, (midi - 69) * 100 / 1200.0::DOUBLE)')} AS inc, volume / 15.0::DOUBLE * (velocity / 127.0::DOUBLE) AS amp FROM notes),
 t AS (SELECT track, "on" + i AS frame, i AS age, "off" - "on" AS held, (inc * i) % 4294967296 / 4294967296.0 AS t, amp FROM p, generate_series(0, 123) g(i) WHERE i < "off" - "on" + 64),
 l AS (SELECT *, CASE WHEN least(age, held) < 32 THEN least(age, held) / 32.0::DOUBLE WHEN least(age, held) < 96 THEN 1 - 0.5 * (least(age, held) - 32) / 64.0::DOUBLE ELSE 0.5::DOUBLE END * CASE WHEN age < held THEN 1.0 ELSE 1 - (age - held) / 64.0::DOUBLE END AS env FROM t)
 SELECT track, frame, round(CAST(CAST(sum((CASE WHEN t < 0.5 THEN 4 * t - 1 ELSE 3 - 4 * t END) * env * amp) * 0.25 AS FLOAT) AS DOUBLE), 5) + 0.0 AS sample FROM l GROUP BY track, frame""",
 )
 def render_notes(spark, d):
-    n = b.notes(spark, d).where("note % 10 = 0").select("track", F.col("start").alias("on"), (F.col("start") + F.col("length")).alias("off"), ((F.col("midi") - 69) * 100).alias("cents"), (F.col("volume") / 15 * (F.col("velocity") / 127)).alias("amplitude"))
+    n = b.notes(spark, d).select("track", F.col("start").alias("on"), (F.col("start") + F.col("length")).alias("off"), ((F.col("midi") - 69) * 100).alias("cents"), (F.col("volume") / 15 * (F.col("velocity") / 127)).alias("amplitude"))
     return synth.render_notes(n, 48_000).select("track", "frame", rounded(F.col("sample"), 5).alias("sample"))
 
 

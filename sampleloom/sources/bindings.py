@@ -64,10 +64,10 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same relations as common table expressions of SQL.
-LINE_SQL = """line AS (SELECT l_suppkey AS clip, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS frame,
+LINE_SQL = """line AS MATERIALIZED (SELECT l_suppkey AS clip, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS frame,
   CAST((l_quantity - 25.5::DOUBLE) / 25.5::DOUBLE AS FLOAT) AS l, CAST((l_discount - 0.05::DOUBLE) * 10::DOUBLE AS FLOAT) AS r FROM lineitem),
-frames AS (SELECT clip, 0 AS channel, frame, l AS sample FROM line UNION ALL SELECT clip, 1, frame, r FROM line)"""
-EMB_SQL = "frames AS (SELECT vec_id AS clip, 0 AS channel, i - 1 AS frame, embedding[i] AS sample FROM embeddings, generate_series(1, 64) t(i))"
+frames AS MATERIALIZED (SELECT clip, 0 AS channel, frame, l AS sample FROM line UNION ALL SELECT clip, 1, frame, r FROM line)"""
+EMB_SQL = "frames AS MATERIALIZED (SELECT vec_id AS clip, 0 AS channel, i - 1 AS frame, embedding[i] AS sample FROM embeddings, generate_series(1, 64) t(i))"
 TRIGGER_SQL = "triggers AS (SELECT event_id AS seq, CAST(floor(epoch_us(ts) / 1000.0::DOUBLE) AS BIGINT) AS frame, event_type AS name, user_id AS key, value AS gain FROM events)"
 NOTE_SQL = """notes AS (SELECT o_orderkey AS note, CAST(o_custkey % 8 AS INT) AS track, o_orderkey * 7 % 20000 AS start, 12 + o_orderkey % 5 * 12 AS length,
   CAST(36 + o_orderkey % 60 AS INT) AS midi, CAST(o_orderkey % 16 AS INT) AS volume, CAST(1 + o_orderkey % 8 AS INT) AS gate,

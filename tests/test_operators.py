@@ -407,3 +407,43 @@ def test_speech_segments(spark):
     assert got == {0: (5, 9, 1, 1), 1: (2, 5, 0, 2), 2: (3, 6, 1, 2), 3: (1, 1, 0, 1), 4: (2, 4, 1, 1), 5: (0, 0, 0, 0), 6: (0, 0, 0, 0), 7: (3, 3, 3, 1)}
     placed = {(r.id, r.position): (r.word, r.on) for r in voice.placed_words(docs, "id", 1000).collect()}
     assert placed[0, 0] == ("Don't", 0) and placed[0, 1] == ("stop", 285) and placed[0, 2] == ("my", 285 + 460) and placed[2, 2] == ("Again", 240 + 220 + 240 + 36 + 380)
+
+
+def test_stretches_change_nothing(spark):
+    """Lookups, counts and folds dealt by stretches of time give what one task for each key gives; null keys and ties too."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(f), str(k) if k else None, int(k), float(f % 7)) for i, (f, k) in enumerate(zip(rng.integers(0, 2000, 1500), rng.integers(0, 4, 1500)))]
+    t = spark.createDataFrame(rows, "seq long, frame long, name string, key long, gain double")
+    changes = t.where("seq % 9 = 0").select("name", "frame", "gain")
+    one = sorted(timeline.as_of(t.select("name", "frame", "seq"), changes, ["name"], "frame", ["gain"]).collect(), key=str)
+    for span in (1, 64, 5000):
+        assert sorted(timeline.as_of(t.select("name", "frame", "seq"), changes, ["name"], "frame", ["gain"], span).collect(), key=str) == one
+    order, turns = sorted(rows, key=lambda r: (r[1], r[0])), {}
+    want = {}
+    for r in order:
+        want[r[0]] = turns[r[2]] = (turns.get(r[2], -1) + 1) % 3
+    for span in (1, 64, 5000):
+        assert {r.seq: r.choice for r in mixing.sequence_choice(t, 3, span).collect()} == want
+    last, ends, started, admitted, number, island = {}, {}, {}, {}, {}, {}
+    for seq, f, name, _, _ in order:
+        started[seq] = f - last.get(name, -100) >= 12
+        if started[seq]:
+            last[name] = f
+        sounding = [e for e in ends.get(name, []) if e > f]
+        admitted[seq] = len(sounding) < 3
+        ends[name] = sounding + [f + 12] * admitted[seq]
+        number[name] = number.get(name, (0, f))[0] + (f - number.get(name, (0, f))[1] >= 5), f
+        island[seq] = number[name][0]
+    assert {r.seq: r.started for r in mixing.min_gap(t, 12).collect()} == started
+    assert {r.seq: r.admitted for r in mixing.admitted(t, 12, 3).collect()} == admitted
+    for span in (1, 64, 5000):
+        assert {r.seq: r.island for r in mixing.islands(t, 5, "name", span).collect()} == island
+
+
+def test_tempo_maps_of_any_length(spark):
+    ticks = spark.range(400).selectExpr("id as note", "id * 37 % 3000 as start")
+    changes = spark.range(300).selectExpr("id * 9 as tick", "cast(60000 + id * 131 % 90000 as int) as milli_bpm")
+    tempos = timeline.tempo_map(changes, 48_000, 48)
+    long = {r.note: r.start_frame for r in timeline.ticks_to_frames(ticks, "start", tempos, 48_000, 48).collect()}
+    short = {r.note: r.start_frame for r in timeline.ticks_to_frames(ticks.where("start < 900"), "start", tempos.where("tick < 900"), 48_000, 48).collect()}
+    assert len(long) == 400 and len(short) > 50 and all(long[k] == v for k, v in short.items())
