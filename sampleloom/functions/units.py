@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,22 +102,22 @@ def fnv1a(text: Column) -> Column:
     return F.lpad(F.lower(F.conv(hashed.cast("string"), 10, 16)), 16, "0")
 
 
-def splitmix64(x: Column) -> Column:
-    """The next value of a 64-bit counter generator from its state, as a bigint's bits (products wrap around)."""
-    wrapped = lambda v: F.when(v >= whole(1 << 63), v - whole(1 << 64)).otherwise(v).cast("bigint")
-    whole = lambda n: F.lit(str(n)).cast("decimal(38,0)")
-    unsigned = lambda v: F.when(v < 0, v.cast("decimal(38,0)") + whole(1 << 64)).otherwise(v.cast("decimal(38,0)"))
-    add = lambda v, n: wrapped(F.pmod(unsigned(v) + whole(n), whole(1 << 64)))
-
-    def times(v: Column, n: int) -> Column:
-        """Halves of 32 bits keep every product below 10^38."""
-        high, low = F.floor(unsigned(v) / whole(1 << 32)).cast("decimal(10,0)"), F.pmod(unsigned(v), whole(1 << 32)).cast("decimal(10,0)")
-        n = F.lit(str(n)).cast("decimal(20,0)")
-        top = F.pmod((high * n).cast("decimal(38,0)"), whole(1 << 32)).cast("decimal(10,0)") * F.lit(str(1 << 32)).cast("decimal(10,0)")
-        return wrapped(F.pmod(top.cast("decimal(38,0)") + (low * n).cast("decimal(38,0)"), whole(1 << 64)))
-
-    shift = lambda v, k: F.shiftrightunsigned(v, k)
-    x = add(x, 0x9E3779B97F4A7C15)
-    x = times(x.bitwiseXOR(shift(x, 30)), 0xBF58476D1CE4E5B9)
-    x = times(x.bitwiseXOR(shift(x, 27)), 0x94D049BB133111EB)
-    return x.bitwiseXOR(shift(x, 31))
+#: Step and multipliers of a 64-bit counter generator (fixed values).
+COUNTER_STEP, COUNTER_MIX = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+
+
+def counter_mix(x: np.ndarray) -> np.ndarray:
+    """Mixes 64-bit numbers; products wrap around, which columns of Spark do not do."""
+    for shift, by in COUNTER_MIX:
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def splitmix64(state: Column) -> Column:
+    """The next value of a 64-bit counter generator from its state, as a bigint's bits, by Arrow batches."""
+
+    @F.pandas_udf("bigint")
+    def mixed(x: pd.Series) -> pd.Series:
+        return pd.Series(counter_mix(x.to_numpy(np.int64).view(np.uint64) + np.uint64(COUNTER_STEP)).view(np.int64))
+
+    return mixed(state)

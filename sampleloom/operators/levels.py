@@ -3,10 +3,12 @@ level is needed first."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.units import f32, f64, from_db
+from ..functions.units import COUNTER_STEP, counter_mix, f32, f64, from_db
 from .measure import clip_levels, loudness, true_peak
 from .shape import TURN, with_length
 
@@ -75,10 +77,28 @@ def round_away(x: Column) -> Column:
     return F.signum(x) * F.floor(F.abs(x) + 0.5)
 
 
-def quantize(frames: DataFrame, kind: str) -> DataFrame:
-    """(clip, channel, frame, code): full scale is 2^(bits-1); codes are kept in range, unsigned ones are offset."""
+def dither(channel: Column, frame: Column, seed: int) -> Column:
+    """Triangular noise of up to one code, drawn for a place: two draws of a 64-bit counter generator that starts at a mix of
+    seed and channel, so any frame is drawn without those before it, by Arrow batches."""
+
+    @F.pandas_udf("double")
+    def noise(c: pd.Series, f: pd.Series) -> pd.Series:
+        step, place = np.uint64(COUNTER_STEP), f.to_numpy(np.int64).view(np.uint64) * np.uint64(2)
+        start = counter_mix(np.uint64(seed % (1 << 64)) ^ ((c.to_numpy(np.int64).view(np.uint64) + np.uint64(1)) * step))
+        one, two = ((counter_mix(start + (place + np.uint64(k)) * step) >> np.uint64(11)).astype(np.float64) / (1 << 53) for k in (1, 2))
+        return pd.Series(one - two)
+
+    return noise(channel, frame)
+
+
+def quantize(frames: DataFrame, kind: str, seed: int | None = None) -> DataFrame:
+    """(clip, channel, frame, code): full scale is 2^(bits-1); codes are kept in range, unsigned ones are offset. With a seed,
+    triangular noise is added before rounding."""
     full = float(1 << (BITS[kind] - 1))
-    code = F.greatest(F.lit(-full), F.least(F.lit(full - 1), round_away(f64(F.col("sample")) * full)))
+    exact = f64(F.col("sample")) * full
+    if seed is not None:
+        exact = exact + dither(F.col("channel"), F.col("frame"), seed)
+    code = F.greatest(F.lit(-full), F.least(F.lit(full - 1), round_away(exact)))
     return frames.select("clip", "channel", "frame", (code + (128 if kind == "u8" else 0)).cast("bigint").alias("code"))
 
 

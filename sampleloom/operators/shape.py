@@ -20,6 +20,29 @@ def lengths(frames: DataFrame) -> DataFrame:
     return frames.groupBy("clip").agg((F.max("frame") + 1).alias("frames"), (F.max("channel") + 1).alias("channels"))
 
 
+def faults(frames: DataFrame) -> DataFrame:
+    """(clip, fault) of clips that are none: samples that are null or not finite, frames below 0, channels or frames that are
+    missing, and places that occur more than once. One aggregate for each channel, then one for each clip."""
+    x = f64(F.col("sample"))
+    odd = F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True))
+    by = frames.groupBy("clip", "channel").agg(F.count(F.when(odd, 1)).alias("odd"), F.count(F.lit(1)).alias("n"), F.count_distinct("frame").alias("places"), F.min("frame").alias("first"), F.max("frame").alias("last"))
+    clips = by.groupBy("clip").agg(F.sum("odd").alias("odd"), F.sum(F.col("n") - F.col("places")).alias("twice"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("places").alias("least"), F.count(F.lit(1)).alias("channels"), F.min("channel").alias("low"), F.max("channel").alias("high"))
+    named = {
+        "not finite": F.col("odd") > 0,
+        "twice": F.col("twice") > 0,
+        "before the start": (F.col("first") < 0) | (F.col("low") < 0),
+        "frames missing": F.col("least") < F.col("last") + 1,
+        "channels missing": F.col("channels") < F.col("high") + 1,
+    }
+    return clips.select("clip", F.explode(F.array(*(F.when(wrong, F.lit(name)) for name, wrong in named.items()))).alias("fault")).where("fault is not null")
+
+
+def mismatches(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(clip, first, second) of clips whose numbers of channels differ: they cannot be mixed, joined or crossfaded."""
+    a, b = (lengths(f).select("clip", F.col("channels").alias(name)) for f, name in ((first, "first"), (second, "second")))
+    return a.join(b, "clip").where("first <> second")
+
+
 def with_length(frames: DataFrame) -> DataFrame:
     return frames.join(lengths(frames), "clip")
 

@@ -189,6 +189,44 @@ for _kind in ("u8", "s16", "s24"):
     query(f"quantize_{_kind}", f"WITH {LINE_SQL} SELECT clip, channel, frame, CAST(greatest(-{_full}, least({_full} - 1, sign({S}) * floor(abs({S}) * {_full} + 0.5))) AS BIGINT) + {128 if _kind == 'u8' else 0} AS code FROM frames")(_quantize)
 
 
+def _mixed_sql(x: str) -> str:
+    """Two rounds of multiplying and shifting in 64 bits."""
+    for by, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = f"(CAST(CAST(xor({x}, {x} >> {by}) AS UHUGEINT) * {k}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT))"
+    return x
+
+
+def _draw_sql(k: int) -> str:
+    return f"(SELECT xor(z, z >> 31) >> 11 FROM (SELECT {_mixed_sql('y')} AS z FROM (SELECT CAST((CAST(start AS UHUGEINT) + (frame * 2 + {k + 1})::UHUGEINT * {levels.COUNTER_STEP}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS y)))"
+
+
+@query(
+    "quantize_s16_dither",
+    f"""WITH {LINE_SQL}, c AS MATERIALIZED (SELECT DISTINCT channel FROM frames), s AS MATERIALIZED (SELECT channel, xor(z, z >> 31) AS start FROM (SELECT channel, {_mixed_sql('y')} AS z FROM
+(SELECT channel, xor(7::UBIGINT, CAST((channel + 1)::UHUGEINT * {levels.COUNTER_STEP}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT)) AS y FROM c))),
+d AS (SELECT clip, f.channel, frame, {S} * 32768 + ({_draw_sql(0)} / 9007199254740992.0::DOUBLE - {_draw_sql(1)} / 9007199254740992.0::DOUBLE) AS x FROM frames f JOIN s ON s.channel = f.channel)
+SELECT clip, channel, frame, CAST(greatest(-32768.0, least(32767.0, sign(x) * floor(abs(x) + 0.5))) AS BIGINT) AS code FROM d""",
+)
+def quantize_s16_dither(spark, d):
+    return levels.quantize(b.line_frames(spark, d), "s16", 7)
+
+
+@query(
+    "clip_faults",
+    f"""WITH {LINE_SQL}, o AS (SELECT clip, CAST(channel + clip % 3 // 2 AS INT) AS channel, CASE WHEN clip % 5 = 0 AND frame = 3 THEN 4 WHEN clip % 7 = 0 THEN frame - 1 ELSE frame END AS frame, CASE WHEN clip % 4 = 0 AND frame = 2 THEN 'nan'::FLOAT ELSE sample END AS sample FROM frames),
+k AS (SELECT clip, channel, frame, count(*) AS n, count(*) FILTER (WHERE isnan(sample)) AS odd FROM o GROUP BY 1, 2, 3),
+h AS (SELECT clip, channel, sum(odd) AS odd, sum(n - 1) AS twice, count(*) AS places, min(frame) AS a, max(frame) AS e FROM k GROUP BY 1, 2),
+c AS (SELECT clip, sum(odd) AS odd, sum(twice) AS twice, min(places) AS places, min(a) AS a, max(e) AS e, count(*) AS channels, max(channel) AS high FROM h GROUP BY 1)
+SELECT clip, 'not finite' AS fault FROM c WHERE odd > 0 UNION ALL SELECT clip, 'twice' FROM c WHERE twice > 0 UNION ALL SELECT clip, 'before the start' FROM c WHERE a < 0
+UNION ALL SELECT clip, 'frames missing' FROM c WHERE places < e + 1 UNION ALL SELECT clip, 'channels missing' FROM c WHERE channels < high + 1""",
+)
+def clip_faults(spark, d):
+    """What is wrong with clips that were damaged in four ways."""
+    c, f = F.col("clip"), F.col("frame")
+    odd = b.line_frames(spark, d).select("clip", (F.col("channel") + (c % 3 / 2).cast("int")).cast("int").alias("channel"), F.when((c % 5 == 0) & (f == 3), 4).when(c % 7 == 0, f - 1).otherwise(f).alias("frame"), F.when((c % 4 == 0) & (f == 2), F.lit(float("nan")).cast("float")).otherwise(F.col("sample")).alias("sample"))
+    return shape.faults(odd)
+
+
 _CODE = f"CAST(greatest(-32768.0, least(32767.0, sign({S}) * floor(abs({S}) * 32768.0 + 0.5))) AS INT)"
 
 

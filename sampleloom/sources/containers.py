@@ -123,15 +123,87 @@ def _chunks(data: bytes, at: int, size: str, even: bool) -> Iterator[tuple[bytes
         at += n + (n % 2 if even else 0)
 
 
+def companded(kind: str) -> np.ndarray:
+    """The 16-bit code of each byte of G.711 (biases and inverted bits are fixed values)."""
+    byte = np.arange(256)
+    raw = byte ^ (0xFF if kind == "ulaw" else 0x55)
+    exponent, mantissa = raw >> 4 & 7, raw & 15
+    if kind == "ulaw":
+        size = (mantissa * 8 + 132 << exponent) - 132
+        return np.where(raw & 128, -size, size)
+    size = np.where(exponent == 0, mantissa * 16 + 8, mantissa * 16 + 264 << np.maximum(exponent - 1, 0))
+    return np.where(raw & 128, size, -size)
+
+
+#: Format tags of samples (fixed values), and what follows them where a tag stands in a longer identifier.
+LINEAR, FLOAT, ALAW, ULAW, EXTENSIBLE = 1, 3, 6, 7, 0xFFFE
+SUBFORMAT = bytes.fromhex("000000001000800000aa00389b71")
+
+
+def wav_chunks(data: bytes) -> list[tuple[bytes, bytes]]:
+    """All chunks in order; the size of a first data chunk of all ones is that of the ds64 chunk before it. A chunk that is
+    longer than the file, or than what the file says of itself, is an error."""
+    wide = data[:4] in (b"RF64", b"BW64")
+    end = len(data) if wide else 8 + struct.unpack_from("<I", data, 4)[0]
+    if end > len(data):
+        raise ValueError("the file ends too soon")
+    at, out, size64 = 12, [], None
+    while at < end:
+        if end - at < 8:
+            raise ValueError("a chunk's head is cut off")
+        name, n = struct.unpack_from("<4sI", data, at)
+        if wide and name == b"data" and n == 0xFFFFFFFF:
+            if size64 is None:
+                raise ValueError("no ds64 chunk before the data")
+            n = size64
+        if n > end - at - 8:
+            raise ValueError("a chunk is longer than its file")
+        out.append((name, data[at + 8 : at + 8 + n]))
+        if name == b"ds64":
+            size64 = struct.unpack_from("<Q", out[-1][1], 8)[0]
+        at += 8 + n + n % 2
+    return out
+
+
+def wav_tags(chunks: list[tuple[bytes, bytes]]) -> dict[str, str]:
+    """The INFO tags by their four-letter names; of repeated ones the first."""
+    tags: dict[str, str] = {}
+    for name, body in chunks:
+        if name == b"LIST" and body[:4] == b"INFO":
+            for tag, value in _chunks(body, 4, "<4sI", True):
+                tags.setdefault(tag.decode("ascii", "replace"), value.decode("utf-8").rstrip("\0"))
+    return tags
+
+
+def decode_wav(data: bytes) -> tuple[np.ndarray, int, str]:
+    """All data chunks one after the other; a fact chunk says how many frames of them count for codes that are not linear."""
+    chunks = wav_chunks(data)
+    parts = dict(reversed(chunks))
+    tag, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", parts[b"fmt "])
+    if tag == EXTENSIBLE:
+        valid, = struct.unpack_from("<H", parts[b"fmt "], 18)
+        if valid not in (0, bits) or parts[b"fmt "][26:40] != SUBFORMAT:
+            raise ValueError("only whole samples of known formats")
+        tag, = struct.unpack_from("<H", parts[b"fmt "], 24)
+    kind = {LINEAR: "u8" if bits == 8 else f"s{bits}", FLOAT: f"f{bits}", ALAW: "alaw", ULAW: "ulaw"}.get(tag)
+    if kind not in (*KINDS, "alaw", "ulaw") or kind == "s8" or channels == 0 or align != channels * ((bits + 7) // 8) or b"data" not in parts:
+        raise ValueError(f"no samples of format {tag} with {bits} bits in {channels} channels")
+    body = b"".join(body for name, body in chunks if name == b"data")
+    if len(body) % align:
+        raise ValueError("a frame is cut off")
+    if kind[0] != "a" and kind != "ulaw":
+        x = from_pcm(body, kind, channels)
+        if not np.isfinite(x).all():
+            raise ValueError("a sample is not finite")
+        return x, rate, kind
+    x = (companded(kind)[np.frombuffer(body, np.uint8)] / 32768).astype(np.float32).reshape(-1, channels)
+    return x[: struct.unpack_from("<I", parts[b"fact"])[0]] if len(parts.get(b"fact", b"")) >= 4 else x, rate, kind
+
+
 def decode(data: bytes) -> tuple[np.ndarray, int, str]:
     """(samples, rate, kind) of a container's bytes."""
     if data[:4] in (b"RIFF", b"RF64", b"BW64") and data[8:12] == b"WAVE":
-        parts = dict(reversed(list(_chunks(data, 12, "<4sI", True))))
-        tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", parts[b"fmt "])
-        if tag == 0xFFFE:
-            tag = struct.unpack_from("<H", parts[b"fmt "], 24)[0]
-        kind = {1: "u8" if bits == 8 else f"s{bits}", 3: f"f{bits}"}[tag]
-        return from_pcm(parts[b"data"], kind, channels), rate, kind
+        return decode_wav(data)
     if data[:4] == b"FORM" and data[8:12] in (b"AIFF", b"AIFC"):
         parts = dict(reversed(list(_chunks(data, 12, ">4sI", True))))
         channels, n, bits = struct.unpack_from(">hIh", parts[b"COMM"])
@@ -166,7 +238,7 @@ def encode_clips(clips: DataFrame, container: str, kind: str, rate: int) -> Data
 
 
 def decode_files(files: DataFrame, key: str = "clip") -> DataFrame:
-    """(key, rate, kind, frames, channels array<array<float>>, error) of each file's bytes; null samples where it failed."""
+    """(key, rate, kind, frames, channels array<array<float>>, tags, error) of each file's bytes; null samples where it failed."""
     key_type = dict(files.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +247,15 @@ def decode_files(files: DataFrame, key: str = "clip") -> DataFrame:
             for data in b.column(1).to_pylist():
                 try:
                     x, rate, kind = decode(data or b"")
-                    rows.append((rate, kind, len(x), [c.tolist() for c in x.T], None))
+                    tags = wav_tags(wav_chunks(data)) if data[8:12] == b"WAVE" else {}
+                    rows.append((rate, kind, len(x), [c.tolist() for c in x.T], list(tags.items()), None))
                 except (ValueError, KeyError, struct.error) as bad:
-                    rows.append((None, None, None, None, f"{type(bad).__name__}: {bad}"))
-            cols = list(zip(*rows)) or [[]] * 5
-            types = [pa.int32(), pa.string(), pa.int64(), pa.list_(pa.list_(pa.float32())), pa.string()]
-            yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], ["key", "rate", "kind", "frames", "channels", "error"])
+                    rows.append((None, None, None, None, None, f"{type(bad).__name__}: {bad}"))
+            cols = list(zip(*rows)) or [[]] * 6
+            types = [pa.int32(), pa.string(), pa.int64(), pa.list_(pa.list_(pa.float32())), pa.map_(pa.string(), pa.string()), pa.string()]
+            yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], ["key", "rate", "kind", "frames", "channels", "tags", "error"])
 
-    return files.select(key, "content").mapInArrow(run, f"key {key_type}, rate int, kind string, frames bigint, channels array<array<float>>, error string").withColumnRenamed("key", key)
+    return files.select(key, "content").mapInArrow(run, f"key {key_type}, rate int, kind string, frames bigint, channels array<array<float>>, tags map<string,string>, error string").withColumnRenamed("key", key)
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small fixtures whose results are known or computed the plain way."""
 
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -296,7 +297,7 @@ def test_units(spark):
     names = {r.n: r.m for r in spark.createDataFrame([(x,) for x in ("C4", "A4", "Bb3", "F#-1", "H2", "C11")], "n string").select("n", units.note_to_midi(F.col("n")).alias("m")).collect()}
     assert names == {"C4": 60, "A4": 69, "Bb3": 58, "F#-1": 6, "H2": None, "C11": None}
     assert [r.h for r in spark.createDataFrame([(0, ""), (1, "a"), (2, "foobar")], "i int, t string").select("i", units.fnv1a(F.col("t")).alias("h")).orderBy("i").collect()] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8"]
-    assert spark.range(1).select(units.splitmix64(F.lit(0).cast("bigint"))).first()[0] == 0xE220A8397B1DCDAF - (1 << 64)
+    assert spark.range(1).select(units.splitmix64(F.col("id"))).first()[0] == 0xE220A8397B1DCDAF - (1 << 64)
     assert spark.range(1).select(units.format_duration(F.lit(3723.4996))).first()[0] == "1:02:03.500"
 
 
@@ -447,3 +448,63 @@ def test_tempo_maps_of_any_length(spark):
     long = {r.note: r.start_frame for r in timeline.ticks_to_frames(ticks, "start", tempos, 48_000, 48).collect()}
     short = {r.note: r.start_frame for r in timeline.ticks_to_frames(ticks.where("start < 900"), "start", tempos.where("tick < 900"), 48_000, 48).collect()}
     assert len(long) == 400 and len(short) > 50 and all(long[k] == v for k, v in short.items())
+
+
+def test_faults_and_mismatches(spark):
+    good = [(1, c, f, 0.5) for c in (0, 1) for f in range(4)]
+    odd = [(2, 0, 0, float("nan")), (2, 0, 1, 0.0), (3, 0, 0, 0.0), (3, 0, 2, 0.0), (4, 1, 0, 0.0), (5, 0, 0, 0.0), (5, 0, 0, 0.0), (6, 0, -1, 0.0), (6, 0, 0, None), (7, 0, 0, 0.0), (7, 1, 0, 0.0), (7, 1, 1, 0.0)]
+    f = spark.createDataFrame(good + odd, "clip long, channel int, frame long, sample float")
+    assert sorted(map(tuple, shape.faults(f).collect())) == [(2, "not finite"), (3, "frames missing"), (4, "channels missing"), (5, "twice"), (6, "before the start"), (6, "not finite"), (7, "frames missing")]
+    assert [tuple(r) for r in shape.mismatches(f, f.where("channel = 0")).orderBy("clip").collect()] == [(1, 2, 1), (7, 2, 1)]
+
+
+def test_dither_is_of_a_place(spark):
+    """The same noise for a frame whatever else is drawn, in range, triangular, other for other channels and seeds."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for shift, by in units.COUNTER_MIX:
+            x = (x ^ (x >> shift)) * by & mask
+        return x ^ (x >> 31)
+
+    def plain(channel, frames, seed):
+        state, out = mix((seed ^ (channel + 1) * units.COUNTER_STEP) & mask), []
+        for _ in range(2 * frames):
+            state = (state + units.COUNTER_STEP) & mask
+            out.append((mix(state) >> 11) / (1 << 53))
+        return [a - b for a, b in zip(out[::2], out[1::2])]
+
+    rows = spark.range(3000).selectExpr("id as frame", "cast(id % 2 as int) as channel")
+    for seed in (7, -1):
+        got = {r.frame: r.x for r in rows.select("frame", levels.dither(F.col("channel"), F.col("frame"), seed).alias("x")).collect()}
+        want = [plain(c, 3000, seed) for c in (0, 1)]
+        assert all(x == want[f % 2][f] for f, x in got.items()) and 0.35 < np.std(list(got.values())) < 0.46
+    quiet = frames_of(spark, {1: [np.zeros(500)]})
+    assert {r.code for r in levels.quantize(quiet, "s16", 3).collect()} <= {-1, 0, 1} and {r.code for r in levels.quantize(quiet, "s16").collect()} == {0}
+
+
+def test_wav_as_users_have_it():
+    x = np.random.default_rng(3).uniform(-1, 1, (40, 2)).astype(np.float32)
+    plain = containers.encode(x, 8000, "wav", "s16")
+    head, body = plain[12:36], plain[44:]
+    chunk = lambda name, data, size=None: name + struct.pack("<I", len(data) if size is None else size) + data + bytes(len(data) % 2)
+    riff = lambda chunks, kind=b"RIFF": kind + struct.pack("<I", 0xFFFFFFFF if kind != b"RIFF" else 4 + len(chunks)) + b"WAVE" + chunks
+    want = containers.decode(plain)[0]
+    info = chunk(b"LIST", b"INFO" + chunk(b"INAM", b"A name\0") + chunk(b"IART", "Éa".encode()))
+    parted = riff(chunk(b"junk", b"odd") + head + chunk(b"data", body[:60]) + info + chunk(b"data", body[60:]))
+    assert (containers.decode(parted)[0] == want).all() and containers.wav_tags(containers.wav_chunks(parted)) == {"INAM": "A name", "IART": "Éa"}
+    wide = riff(chunk(b"ds64", struct.pack("<QQQI", 0, len(body), 40, 0)) + head + chunk(b"data", body, 0xFFFFFFFF) + info, b"RF64")
+    assert (containers.decode(wide)[0] == want).all() and containers.wav_tags(containers.wav_chunks(wide))["INAM"] == "A name"
+    for tag, kind in ((6, "alaw"), (7, "ulaw")):
+        fmt = chunk(b"fmt ", struct.pack("<HHIIHH", tag, 1, 8000, 8000, 1, 8))
+        y, rate, said = containers.decode(riff(fmt + chunk(b"fact", struct.pack("<I", 250)) + chunk(b"data", bytes(range(256)))))
+        assert said == kind and len(y) == 250 and np.abs(y).max() < 1
+    for bad in (plain[:-10], riff(head), riff(head + b"dat"), riff(head + chunk(b"data", body[:-1])), riff(head + chunk(b"data", body, 0xFFFFFFFF), b"RF64"), riff(chunk(b"fmt ", struct.pack("<HHIIHH", 2, 2, 8000, 1, 4, 16)) + chunk(b"data", body)), containers.encode(np.full((2, 1), np.nan, np.float32), 8000, "wav", "f32")):
+        with pytest.raises((ValueError, KeyError, struct.error)):
+            containers.decode(bad)
+
+
+def test_companding_of_files_is_that_of_columns(spark):
+    bytes_ = spark.range(256).select(F.col("id").cast("int").alias("b"))
+    rows = bytes_.select("b", levels.ulaw_decode(F.col("b")).alias("u"), levels.alaw_decode(F.col("b")).alias("a")).orderBy("b").collect()
+    assert [r.u for r in rows] == containers.companded("ulaw").tolist() and [r.a for r in rows] == containers.companded("alaw").tolist()
