@@ -83,6 +83,18 @@ def ratio_half_up(numerator: Column, denominator: Column) -> Column:
     return F.floor((2 * n + d) / (2 * d)).cast("bigint")
 
 
+def length_ticks(denominator: Column, dots: Column, ticks_per_quarter: int) -> Column:
+    """Ticks of a note of 1/denominator with dots, each of which adds half of what came before; null unless they are whole."""
+    whole, halves = F.lit(4 * ticks_per_quarter), F.pow(F.lit(2.0), dots).cast("bigint")
+    part = (whole / denominator).cast("bigint")
+    return F.when((denominator > 0) & (dots >= 0) & (whole % F.greatest(denominator, F.lit(1)) == 0) & (part % halves == 0), 2 * part - (part / halves).cast("bigint"))
+
+
+def resampled_index(frame: Column, rate: int, to: int) -> Column:
+    """Where a boundary lies after resampling, halves up: boundaries are mapped and subtracted, never rounded lengths added."""
+    return F.floor(frame * (to / rate) + 0.5).cast("bigint")
+
+
 #: Offset and prime of the 64-bit FNV-1a hash (fixed values).
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 

@@ -124,6 +124,53 @@ def steal_victim(voices: DataFrame) -> DataFrame:
     return voices.groupBy("quantum").agg(F.min_by("voice", F.struct("priority", "start", "voice")).alias("voice"))
 
 
+def quietest_victim(voices: DataFrame) -> DataFrame:
+    """(quantum, voice): the voice that goes first where the quietest does, of equally loud ones the oldest."""
+    return voices.groupBy("quantum").agg(F.min_by("voice", F.struct("level", "start", "voice")).alias("voice"))
+
+
+#: Speakers of each layout, clockwise: channel, and the direction to the right and ahead (fixed values).
+_Q, _T, _S, _C = 0.5**0.5, 0.75**0.5, 0.9396926207859084, -0.3420201433256687
+SPEAKERS = {
+    "quad": [(0, -_Q, _Q), (1, _Q, _Q), (3, _Q, -_Q), (2, -_Q, -_Q)],
+    "5.1": [(0, -0.5, _T), (2, 0.0, 1.0), (1, 0.5, _T), (5, _S, _C), (4, -_S, _C)],
+    "7.1": [(0, -0.5, _T), (2, 0.0, 1.0), (1, 0.5, _T), (7, 1.0, 0.0), (5, 0.5, -_T), (4, -0.5, -_T), (6, -1.0, 0.0)],
+}
+LAYOUT_CHANNELS = {"quad": 4, "5.1": 6, "7.1": 8}
+
+
+def speaker_gains(x: Column, z: Column, layout: str) -> Column:
+    """An array of each channel's gain for a direction (right, ahead): of the pair of neighbours that the direction lies
+    between, each as much as it takes, to one power in all. No direction is straight ahead."""
+    norm = F.sqrt(x * x + z * z)
+    aim = F.struct(F.when(norm < 1e-12, 0.0).otherwise(x / norm).alias("x"), F.when(norm < 1e-12, 1.0).otherwise(z / norm).alias("z"))
+    ring = SPEAKERS[layout]
+    pairs = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("a", "ax", "az", "b", "bx", "bz"), (*one, *two)))) for one, two in zip(ring, [*ring[1:], ring[0]])))
+
+    def solved(p: Column, v: Column) -> Column:
+        det = p["ax"] * p["bz"] - p["bx"] * p["az"]
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), ((v["x"] * p["bz"] - v["z"] * p["bx"]) / det).alias("ga"), ((v["z"] * p["ax"] - v["x"] * p["az"]) / det).alias("gb"))
+
+    def gains(p: Column) -> Column:
+        ga, gb = F.greatest(p["ga"], F.lit(0.0)), F.greatest(p["gb"], F.lit(0.0))
+        each = F.sequence(F.lit(0), F.lit(LAYOUT_CHANNELS[layout] - 1))
+        return F.transform(each, lambda c: F.when(c == p["a"], ga).when(c == p["b"], gb).otherwise(0.0) / F.sqrt(ga * ga + gb * gb))
+
+    found = F.flatten(F.transform(F.array(aim), lambda v: F.filter(F.transform(pairs, lambda p: solved(p, v)), lambda p: (p["ga"] >= -1e-12) & (p["gb"] >= -1e-12))))
+    return F.element_at(F.transform(F.slice(found, 1, 1), gains), 1)
+
+
+def seen_by(dx: Column, dy: Column, dz: Column, forward: tuple[float, float, float], up: tuple[float, float, float]) -> tuple[Column, Column]:
+    """How far a relative place lies to the right of and ahead of a listener who looks forward."""
+    length = lambda v: sum(x * x for x in v) ** 0.5
+    f = tuple(v / length(forward) for v in forward)
+    r = (f[1] * up[2] - f[2] * up[1], f[2] * up[0] - f[0] * up[2], f[0] * up[1] - f[1] * up[0])
+    if length(r) < 1e-9:
+        raise ValueError("a listener looks across, not along, what is up")
+    r = tuple(v / length(r) for v in r)
+    return tuple(dx * float(v[0]) + dy * float(v[1]) + dz * float(v[2]) for v in (r, f))
+
+
 def place_2d(x: Column, y: Column, width: float, near: float, far: float, model: str) -> tuple[Column, Column]:
     """Pan and gain of a place on a plane."""
     d = F.sqrt(x * x + y * y)

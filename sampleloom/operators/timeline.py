@@ -109,6 +109,13 @@ def lanes(rows: DataFrame, note_changes: DataFrame, instrument_changes: DataFram
     return both.withColumn("value", F.coalesce("_own", "value")).drop("_own")
 
 
+def marker_at(rows: DataFrame, markers: DataFrame, keys: list[str], values: list[str], span: int = LANE_SPAN) -> DataFrame:
+    """Each row (keys, frame) with the values of the marker (keys, start, end) that holds its frame, the one that starts last;
+    null where none does. Markers of one kind do not reach over the next one's start."""
+    found = as_of(rows, markers.withColumnRenamed("start", "frame"), keys, "frame", ["end", *values], span)
+    return found.select(*rows.columns, *(F.when(F.col("frame") < F.col("end"), F.col(v)).alias(v) for v in values))
+
+
 def macro_index(age: Column, hz: int, rate: int, size: int, loop_from: int | None) -> Column:
     """Which value of a macro applies at an age in frames: the last one is held, or a loop runs from an index on."""
     step = F.floor(age * hz / rate).cast("bigint")

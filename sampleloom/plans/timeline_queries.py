@@ -217,6 +217,28 @@ def place_3d(spark, d):
     return out.select("voice", *(rounded(F.col(c)).alias(c) for c in ("distance", "gain", "left", "right", "ratio")))
 
 
+_SPEAKERS = ", ".join(f"({i}, {a[0]}, {a[1]!r}::DOUBLE, {a[2]!r}::DOUBLE, {b_[0]}, {b_[1]!r}::DOUBLE, {b_[2]!r}::DOUBLE)" for i, (a, b_) in enumerate(zip(mixing.SPEAKERS["5.1"], [*mixing.SPEAKERS["5.1"][1:], mixing.SPEAKERS["5.1"][0]])))
+
+
+@query(
+    "speaker_pan_51",
+    f"""WITH {TRIGGER_SQL}, e AS (SELECT seq, key % 31 - 15.5::DOUBLE AS x, gain / 100 AS y, key % 17 - 8.5::DOUBLE AS z FROM triggers),
+q AS (SELECT seq, (x + 2 * z) / sqrt(5.0::DOUBLE) AS r, (2 * x - z) / sqrt(5.0::DOUBLE) AS f FROM e), d AS (SELECT seq, r / sqrt(r * r + f * f) AS x, f / sqrt(r * r + f * f) AS z FROM q),
+p(i, a, ax, az, b, bx, bz) AS (VALUES {_SPEAKERS}), g AS (SELECT seq, i, a, b, (x * bz - z * bx) / (ax * bz - bx * az) AS ga, (z * ax - x * az) / (ax * bz - bx * az) AS gb FROM d, p),
+h AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY i) AS k FROM g WHERE ga >= -1e-12 AND gb >= -1e-12)
+SELECT seq, CAST(c AS INT) AS channel, {r6('CASE WHEN c = a THEN greatest(ga, 0.0) / sqrt(ga * ga + gb * gb) WHEN c = b THEN greatest(gb, 0.0) / sqrt(ga * ga + gb * gb) ELSE 0.0 END')} AS gain FROM h, generate_series(0, 5) t(c) WHERE k = 1""",
+)
+def speaker_pan_51(spark, d):
+    """Gains of six channels for a listener who looks along (2, 0, -1)."""
+    right, ahead = mixing.seen_by((F.col("key") % 31 - 15.5), F.col("gain") / 100, (F.col("key") % 17 - 8.5), (2.0, 0.0, -1.0), (0.0, 1.0, 0.0))
+    return b.triggers(spark, d).select("seq", F.posexplode(mixing.speaker_gains(right, ahead, "5.1")).alias("channel", "gain")).withColumn("gain", rounded(F.col("gain")))
+
+
+@query("quietest_victims", f"WITH {_VOICES} SELECT quantum, voice FROM (SELECT *, row_number() OVER (PARTITION BY quantum ORDER BY level, start, voice) AS r FROM v) WHERE r = 1")
+def quietest_victims(spark, d):
+    return mixing.quietest_victim(_voices(spark, d))
+
+
 # Buses ---------------------------------------------------------------------------------------------------------------
 
 _BUS_SQL = f"""{LINE_SQL}, v AS (SELECT f.clip % 4 AS bus, channel, frame + f.clip % 7 * 10 AS frame, CAST(CAST({S} * 0.5 AS FLOAT) AS DOUBLE) AS x FROM frames f),
@@ -371,6 +393,31 @@ def spoken_words(spark, d):
     return voice.placed_words(turns, "id", 48_000).select("id.conv_id", "id.turn", "position", "word", "on")
 
 
+@query(
+    "spoken_at",
+    f"""WITH {_spoken('conv_id, turn', 'conversations')}, z AS (SELECT *, coalesce(sum((syl * 120 + CASE WHEN ended THEN 36 ELSE 0 END + rest) * 1000) OVER (PARTITION BY conv_id, turn ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS us FROM y),
+m AS (SELECT conv_id, turn, word, CAST((us * 48000 + 500000) // 1000000 AS BIGINT) AS a, CAST((us * 48000 + 500000) // 1000000 AS BIGINT) + syl * 5760 AS e FROM z), r AS (SELECT conv_id, turn, CAST(i * 24000 AS BIGINT) AS frame FROM (SELECT DISTINCT conv_id, turn FROM conversations), generate_series(0, 9) t(i))
+SELECT r.conv_id, r.turn, r.frame, CASE WHEN r.frame < m.e THEN m.word END AS word FROM r ASOF LEFT JOIN m ON m.conv_id = r.conv_id AND m.turn = r.turn AND r.frame >= m.a""",
+)
+def spoken_at(spark, d):
+    """The word that is spoken at every half second of the first five of each turn."""
+    turns = b.table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    placed = voice.placed_words(turns, "id", 48_000).withColumn("end", F.col("on") + F.size(voice.syllables(F.col("word"))) * (48 * voice.SYLLABLE_MS))
+    rows = turns.select("id").distinct().select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("id", (F.col("i") * 24_000).cast("bigint").alias("frame"))
+    return timeline.marker_at(rows, placed.select("id", F.col("on").alias("start"), "end", "word"), ["id"], ["word"]).select("id.conv_id", "id.turn", "frame", "word")
+
+
+@query("note_ticks", "SELECT p_partkey AS part, CAST(CASE WHEN 192 % (p_size % 8 + 1) = 0 AND (192 // (p_size % 8 + 1)) % (1 << (p_size % 3)) = 0 THEN 2 * (192 // (p_size % 8 + 1)) - (192 // (p_size % 8 + 1)) // (1 << (p_size % 3)) END AS BIGINT) AS ticks FROM part")
+def note_ticks(spark, d):
+    return b.table(spark, d, "part").select(F.col("p_partkey").alias("part"), units.length_ticks(F.col("p_size") % 8 + 1, F.col("p_size") % 3, 48).alias("ticks"))
+
+
+@query("resampled_positions", f"WITH {NOTE_SQL} SELECT note, CAST(floor(start * (44100 / 48000.0::DOUBLE) + 0.5) AS BIGINT) AS start_frame, CAST(floor((start + length) * (44100 / 48000.0::DOUBLE) + 0.5) AS BIGINT) - CAST(floor(start * (44100 / 48000.0::DOUBLE) + 0.5) AS BIGINT) AS frames FROM notes")
+def resampled_positions(spark, d):
+    start, end = (units.resampled_index(x, 48_000, 44_100) for x in (F.col("start"), F.col("start") + F.col("length")))
+    return b.notes(spark, d).select("note", start.alias("start_frame"), (end - start).alias("frames"))
+
+
 @query(
     "name_hashes",
     f"""WITH RECURSIVE {TRIGGER_SQL}, names AS (SELECT DISTINCT name FROM triggers), h(name, i, h) AS (SELECT name, 0, 14695981039346656037::HUGEINT FROM names

@@ -508,3 +508,27 @@ def test_companding_of_files_is_that_of_columns(spark):
     bytes_ = spark.range(256).select(F.col("id").cast("int").alias("b"))
     rows = bytes_.select("b", levels.ulaw_decode(F.col("b")).alias("u"), levels.alaw_decode(F.col("b")).alias("a")).orderBy("b").collect()
     assert [r.u for r in rows] == containers.companded("ulaw").tolist() and [r.a for r in rows] == containers.companded("alaw").tolist()
+
+
+def test_speaker_pairs_and_looks(spark):
+    """Straight at a speaker it sounds alone; between two at equal angles both equally; power is one all round."""
+    rows = [(0, -0.5, 0.75**0.5), (1, 0.0, 1.0), (2, 0.0, 0.0), (3, 0.0, -1.0), *((10 + i, math.sin(i), math.cos(i)) for i in range(40))]
+    d = spark.createDataFrame(rows, "i int, x double, z double")
+    for layout, n in mixing.LAYOUT_CHANNELS.items():
+        got = {r.i: r.g for r in d.select("i", mixing.speaker_gains(F.col("x"), F.col("z"), layout).alias("g")).collect()}
+        assert all(len(g) == n and sum(x * x for x in g) == pytest.approx(1) and min(g) >= 0 and sum(x > 1e-9 for x in g) <= 2 for g in got.values())
+        assert got[1] == pytest.approx(got[2]) and near([got[3][5 if n > 4 else 3]], [0.5**0.5])
+        if n > 4:
+            assert got[0][0] == pytest.approx(1) and got[1][2] == pytest.approx(1)
+    right, ahead = spark.range(1).select(*mixing.seen_by(F.lit(1.0), F.lit(2.0), F.lit(3.0), (0.0, 0.0, -2.0), (0.0, 1.0, 0.0))).first()
+    assert (right, ahead) == (1.0, -3.0)
+    with pytest.raises(ValueError):
+        mixing.seen_by(F.lit(1.0), F.lit(2.0), F.lit(3.0), (0.0, 1.0, 0.0), (0.0, 2.0, 0.0))
+
+
+def test_markers_hold_frames(spark):
+    rows = spark.createDataFrame([("a", f) for f in (0, 5, 9, 10, 14, 15, 30)] + [("b", 3)], "k string, frame long")
+    markers = spark.createDataFrame([("a", 5, 10, "x"), ("a", 10, 15, "y")], "k string, start long, end long, v string")
+    for span in (1, 7, 100):
+        got = {(r.k, r.frame): r.v for r in timeline.marker_at(rows, markers, ["k"], ["v"], span).collect()}
+        assert got == {("a", 0): None, ("a", 5): "x", ("a", 9): "x", ("a", 10): "y", ("a", 14): "y", ("a", 15): None, ("a", 30): None, ("b", 3): None}
