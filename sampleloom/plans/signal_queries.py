@@ -166,7 +166,34 @@ def normalize_rms(spark, d):
     return report.select("clip", rounded(F.col("measured")).alias("measured"), rounded(F.col("gain_db")).alias("gain_db"))
 
 
-@query("normalize_lufs")
+def _k_weighting_sql(rate: int) -> str:
+    """w(clip, channel, frame, x): the two filters before loudness, the second over what the first gives in 32 bits."""
+
+    def stage(k: float, q: float, gain: float | None) -> list[float]:
+        den = 1 + k / q + k * k
+        top = gain**0.4996667741545416 if gain else 0.0
+        b = [(gain + top * k / q + k * k) / den, 2 * (k * k - gain) / den, (gain - top * k / q + k * k) / den] if gain else [1.0, -2.0, 1.0]
+        return [*b, 2 * (k * k - 1) / den, (1 - k / q + k * k) / den]
+
+    one = stage(math.tan(math.pi * 1681.974450955533 / rate), 0.7071752369554196, 10 ** (3.999843853973347 / 20))
+    two = stage(math.tan(math.pi * 38.13547087602444 / rate), 0.5003270373238773, None)
+    filtered = lambda c, x, x1, x2, y1, y2: f"({c[0]!r}::DOUBLE * {x} + {c[1]!r}::DOUBLE * {x1} + {c[2]!r}::DOUBLE * {x2} - ({c[3]!r}::DOUBLE) * {y1} - ({c[4]!r}::DOUBLE) * {y2})"
+    y = filtered(one, S, "r.x1", "r.x2", "r.y1", "r.y2")
+    return f"""r(clip, channel, frame, x1, x2, y1, y2, z1, z2) AS (SELECT clip, channel, -1, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT clip, channel FROM frames)
+UNION ALL SELECT clip, channel, frame, x, x1, y, y1, {filtered(two, 'CAST(CAST(y AS FLOAT) AS DOUBLE)', 'CAST(CAST(y1 AS FLOAT) AS DOUBLE)', 'CAST(CAST(y2 AS FLOAT) AS DOUBLE)', 'z1', 'z2')}, z1
+FROM (SELECT r.clip, r.channel, f.frame, {S} AS x, r.x1, {y} AS y, r.y1, r.y2, r.z1, r.z2 FROM r JOIN frames f ON f.clip = r.clip AND f.channel = r.channel AND f.frame = r.frame + 1)),
+w AS (SELECT clip, channel, frame, CAST(CAST(z1 AS FLOAT) AS DOUBLE) AS x FROM r WHERE frame >= 0)"""
+
+
+@query(
+    "normalize_lufs",
+    f"""WITH RECURSIVE {LINE_SQL}, {_k_weighting_sql(48_000)}, n AS (SELECT clip, max(frame) + 1 AS n FROM w GROUP BY clip),
+b AS (SELECT n.clip, CASE WHEN n < 19200 THEN -1 ELSE i END AS block, least(n, 19200) AS size, CASE WHEN n < 19200 THEN 0 ELSE i * 4800 END AS a FROM n, generate_series(0, CASE WHEN n < 19200 THEN 0 ELSE (n - 19200) // 4800 END) t(i)),
+p AS (SELECT b.clip, block, sum(x * x) / any_value(size) AS p FROM b JOIN w ON w.clip = b.clip AND w.frame >= a AND w.frame < a + size GROUP BY 1, 2),
+l AS (SELECT *, -0.691::DOUBLE + 10 * log10(p) AS l FROM p), g AS (SELECT *, -0.691::DOUBLE + 10 * log10(avg(p) FILTER (WHERE l >= -70) OVER (PARTITION BY clip)) - 10 AS gate FROM l),
+m AS (SELECT clip, -0.691::DOUBLE + 10 * log10(avg(p)) AS measured FROM g WHERE block < 0 OR (l >= -70 AND l >= gate) GROUP BY clip)
+SELECT clip, round(measured, 6) + 0.0 AS measured, round(-16.0 - measured, 6) + 0.0 AS gain_db FROM m""",
+)
 def normalize_lufs(spark, d):
     report = levels.normalize(b.line_frames(spark, d), -16.0, "lufs", b.LINE_RATE)[1]
     return report.select("clip", rounded(F.col("measured")).alias("measured"), rounded(F.col("gain_db")).alias("gain_db"))
@@ -476,30 +503,32 @@ def _named(name: str, run, sql: str | None = None):
     query(name, sql)(lambda spark, d: shown(run(spark, d)))
 
 
-def _resample_weights() -> str:
-    """(phase, tap, weight) of resampling 3 : 2, where places between samples repeat after three: a sinc under a Kaiser window
-    of beta 10, read from a table with steps of 1/512 by straight lines, cut at 97 %, weights made to sum to 1."""
+def _resample_weights(num: int, den: int) -> str:
+    """(phase, tap, weight) of resampling by den / num, where places between samples repeat after ``den``: a sinc under a
+    Kaiser window of beta 10, read from a table with steps of 1/512 by straight lines, cut at 97 % of the lower rate, weights
+    made to sum to 1."""
     import numpy as np
 
-    d = np.arange(16385) / 512
+    d, cut = np.arange(16385) / 512, 0.97 * min(1.0, den / num)
     table = np.sinc(d) * np.i0(10 * np.sqrt(np.maximum(0, 1 - (d / 32) ** 2))) / np.i0(10.0)
     rows = []
-    for phase in range(3):
-        taps = np.arange(-33, 35)
-        at = np.abs(phase * 2 % 3 / 3 - taps) * 0.97 * 512
+    for phase in range(den):
+        taps = np.arange(-50, 51)
+        at = np.abs(phase * num % den / den - taps) * cut * 512
         w = np.where(at <= 16384, np.interp(at, np.arange(16385), table), 0)
         rows += [f"({phase}, {t}, {x!r}::DOUBLE)" for t, x in zip(taps.tolist(), (w / w.sum()).tolist()) if x]
     return ", ".join(rows)
 
 
-_named(
-    "resample_3_2",
-    lambda s, d: dsp.resample(b.emb_frames(s, d), 1000, 1500),
-    f"""WITH {EMB_SQL}, w(phase, tap, v) AS (VALUES {_resample_weights()}), i AS (SELECT i, i % 3 AS phase, i * 2 // 3 AS base FROM generate_series(0, 95) t(i)),
-c AS (SELECT DISTINCT clip FROM frames) SELECT clip, 0 AS channel, CAST(i AS BIGINT) AS frame, round(CAST(CAST(sum({S} * v) AS FLOAT) AS DOUBLE), 6) + 0.0 AS sample
-FROM i JOIN w USING (phase) JOIN frames f ON f.frame = greatest(0, least(63, base + tap)) GROUP BY clip, i""",
-)
-_named("speed", lambda s, d: dsp.speed(b.emb_frames(s, d), 1.25))
+def _resample_sql(num: int, den: int) -> str:
+    made = (64 * den * 2 + num) // (2 * num)
+    return f"""WITH {EMB_SQL}, w(phase, tap, v) AS (VALUES {_resample_weights(num, den)}), i AS (SELECT i, i % {den} AS phase, i * {num} // {den} AS base FROM generate_series(0, {made - 1}) t(i))
+SELECT clip, 0 AS channel, CAST(i AS BIGINT) AS frame, round(CAST(CAST(sum({S} * v) AS FLOAT) AS DOUBLE), 6) + 0.0 AS sample
+FROM i JOIN w USING (phase) JOIN frames f ON f.frame = greatest(0, least(63, base + tap)) GROUP BY clip, i"""
+
+
+_named("resample_3_2", lambda s, d: dsp.resample(b.emb_frames(s, d), 1000, 1500), _resample_sql(2, 3))
+_named("speed", lambda s, d: dsp.speed(b.emb_frames(s, d), 1.25), _resample_sql(5, 4))
 _named("tempo", lambda s, d: dsp.tempo(b.line_frames(s, d), 0.8, 4000))
 _named("pitch", lambda s, d: dsp.pitch(b.line_frames(s, d), 3.0, 4000))
 _named(
