@@ -3,9 +3,9 @@
 The values that the patterns find in all documents are the labelled credentials, of which each kind learns from a bounded,
 hash-chosen number. For each kind, a prefix tree of their character classes is generalised by merging states whose
 outgoing frequencies are statistically compatible (Hoeffding bounds, with their successors), which leaves a small probabilistic automaton; a
-further automaton is learned from other tokens of hash-chosen texts. Every long enough token of every whole text is then
-scored by how much likelier the best format makes it than the background, and those beyond the threshold add spans of
-kind ``format``. Spans of the patterns always stay; a token that overlaps one of them is not scored again.
+further automaton is learned from other tokens of hash-chosen texts. Every long enough token of every whole text that the
+patterns' spans do not cover already is then scored by how much likelier the best format makes it than the background, and
+those beyond the threshold add spans of kind ``format``, which may reach over spans of the patterns; these always stay.
 
 Null texts count as empty and have no spans. Repeated rows give equal rows. With fewer than ``LEAST_LABELLED`` labelled
 values of a kind, that kind has no automaton. Positions are code points, ends exclusive. Extra columns are ignored by
@@ -39,8 +39,8 @@ LEAST_TOTAL, LEAST_EACH = 12.0, 0.6
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-BACKGROUND_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+#: Tokens have the characters of labelled values, without dots at their edges.
+TOKEN, BACKGROUND_TOKEN = (re.compile(rf"[A-Za-z0-9+/_=.-]{{{n},}}") for n in (16, 8))
 
 _CLASS = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U")}
 CLASSES = "dhlHU+/_.=-"
@@ -153,20 +153,31 @@ class Formats:
     def gain(self, token: str) -> float:
         return max(a.score(token) for a in self.automata) - self.background.score(token) if self.automata else -math.inf
 
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """The patterns' spans and those that the formats add, sorted."""
+    def scored(self, text: str) -> tuple[list[tuple[int, int, int]], dict[int, float]]:
+        """The patterns' spans and those that the formats add, sorted, and the gains of the latter by their starts."""
         base = base_spans(text)
         if not self.automata:
-            return base
-        more, k, edge = [], 0, 0
+            return base, {}
+        gains, more, k, covered = {}, [], 0, []
         for m in TOKEN.finditer(text):
-            a, e = m.span()
-            while k < len(base) and base[k][0] < e:
-                edge = max(edge, base[k][2])
+            token = m[0].strip(".")
+            if len(token) < 16:
+                continue
+            a = m.start() + len(m[0]) - len(m[0].lstrip("."))
+            e = a + len(token)
+            while k < len(base) and base[k][0] < e:  # base spans as stretches that do not touch
+                if covered and base[k][0] <= covered[-1][1]:
+                    covered[-1][1] = max(covered[-1][1], base[k][2])
+                else:
+                    covered.append([base[k][0], base[k][2]])
                 k += 1
-            if edge <= a and (gain := self.gain(m[0])) >= LEAST_TOTAL and gain >= LEAST_EACH * (e - a):
+            if not any(lo <= a and e <= hi for lo, hi in covered[-1:]) and (gain := self.gain(token)) >= LEAST_TOTAL and gain >= LEAST_EACH * (e - a):
                 more.append((a, 3, e))
-        return sorted(base + more)
+                gains[a] = gain
+        return sorted(base + more), gains
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        return self.scored(text)[0]
 
 
 def labelled_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -187,7 +198,8 @@ def labelled_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
                     rest.append(text[at : max(at, a)])
                     at = max(at, e)
                 for part in [*rest, text[at:]]:
-                    rows |= {("", t) for t in set(BACKGROUND_TOKEN.findall(part)) if hashlib.md5(t.encode()).digest()[0] < 16}
+                    tokens = {t.strip(".") for t in BACKGROUND_TOKEN.findall(part)}
+                    rows |= {("", t) for t in tokens if len(t) >= 8 and hashlib.md5(t.encode()).digest()[0] < 16}
             found = sorted(rows)
             yield pa.record_batch([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["kind", "value"])
 
@@ -206,7 +218,8 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, formats: Formats, key: str = "doc_id") -> DataFrame:
-    """(key, n_assign, n_access, n_hex, n_format, base_sha256, spans) of every row."""
+    """(key, n_assign, n_access, n_hex, n_format, base_sha256, spans, gains) of every row; ``gains`` says by how many nats each
+    format span's best format beats the background, as start:gain."""
     shared = docs.sparkSession.sparkContext.broadcast(formats)  # a few automata
     kind = dict(docs.dtypes)[key]
 
@@ -214,14 +227,14 @@ def scan(docs: DataFrame, formats: Formats, key: str = "doc_id") -> DataFrame:
         for b in batches:
             rows = []
             for text in texts_of(b):
-                spans = shared.value.spans(text)
+                spans, gains = shared.value.scored(text)
                 base = [s for s in spans if s[1] < 3]
                 n = [sum(s[1] == k for s in spans) for k in range(4)]
-                rows.append((*n, hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(spans)))
-            cols = list(zip(*rows)) or [[]] * 6
-            yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], ["key", "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"])
+                rows.append((*n, hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(spans), ",".join(f"{a}:{gains[a]:.3f}" for a in sorted(gains))))
+            cols = list(zip(*rows)) or [[]] * 7
+            yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], ["key", "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans", "gains"])
 
-    return docs.select(key, "text").mapInArrow(run, f"key {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_format bigint, base_sha256 string, spans string").withColumnRenamed("key", key)
+    return docs.select(key, "text").mapInArrow(run, f"key {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_format bigint, base_sha256 string, spans string, gains string").withColumnRenamed("key", key)
 
 
 def redact(docs: DataFrame, formats: Formats, mark: str = "<secret>", length: str | None = None) -> DataFrame:

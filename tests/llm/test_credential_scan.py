@@ -83,6 +83,20 @@ def test_scan_redact_and_edge_cases(spark):
     assert clean[1000].spans == "x"
 
 
+def test_tokens_that_reach_over_base_spans_and_dots():
+    """A longer credential that holds a run of hex digits or stands partly in a base span is scored whole; covered ones are
+    not scored again; dots count inside a token."""
+    rng = random.Random(4)
+    long = lambda: "sk_" + "".join(rng.choices("0123456789abcdef", k=30)) + "." + "".join(rng.choices("GHJKMNPQ", k=12))
+    formats = cs.Formats({"assign": [long() for _ in range(300)]}, words(2000, 2))
+    key = long()
+    text = f"see {key}. And token={key} here"
+    spans, gains = formats.scored(text)
+    assert (4, 3, 4 + len(key)) in spans and (7, 2, 37) in spans and set(gains) == {4} and gains[4] > cs.LEAST_TOTAL
+    assert [s for s in spans if s[1] == 0] == [(text.index("token="), 0, text.index(" here"))]
+    assert set(brute_base(text)) <= set(spans)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert cs.scan(docs, cs.fit(docs)).count() == 0
