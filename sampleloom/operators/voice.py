@@ -14,7 +14,8 @@ JOINER = "'\\x{2019}\\x{2010}\\-"
 PAUSE = ",;:\\x{3001}\\x{FF0C}\\x{FF1A}\\x{FF1B}"
 END = ".?!\\x{2026}\\x{3002}\\x{FF0E}\\x{FF1F}\\x{FF01}"
 #: A word with marks and joiners inside, and what stands between it and the next.
-WORD = f"([{ALPHA}{SYLLABIC}](?:[{ALPHA}{SYLLABIC}{COMBINING}{JOINER}]*[{ALPHA}{SYLLABIC}{COMBINING}])?)([^{ALPHA}{SYLLABIC}]*)"
+WORD_ONLY = f"[{ALPHA}{SYLLABIC}](?:[{ALPHA}{SYLLABIC}{COMBINING}{JOINER}]*[{ALPHA}{SYLLABIC}{COMBINING}])?"
+WORD = f"({WORD_ONLY})([^{ALPHA}{SYLLABIC}]*)"
 #: A mark behind a joiner has nothing to belong to; at a word's end it goes.
 LOOSE = f"[{JOINER}][{JOINER}{COMBINING}]*$"
 SYLLABLE = f"(?:[{ALPHA}][{COMBINING}]*){{1,3}}|[{SYLLABIC}][{COMBINING}]*"
@@ -55,18 +56,15 @@ def segments(docs: DataFrame, key: str) -> DataFrame:
     nothing.
     """
     text = F.coalesce("text", F.lit(""))
-    split = docs.select(key, words(text).alias("_words"), between(text).alias("_gaps"))
-    inner = F.slice("_gaps", F.lit(1), F.greatest(F.size("_gaps") - 1, F.lit(0)))
-    total = lambda x, f: F.aggregate(x, F.lit(0).cast("bigint"), lambda s, v: s + f(v))
-    counted = split.select(
-        key,
-        F.size("_words").cast("bigint").alias("words"),
-        total(F.col("_words"), lambda w: F.regexp_count(w, F.lit(SYLLABLE))).alias("syllables"),
-        total(inner, lambda g: F.when(_ends(g), 0).otherwise(_pauses(g))).alias("pauses"),
-        F.when(F.size("_words") > 0, F.size(F.filter(inner, _ends)) + 1).otherwise(0).cast("bigint").alias("phrases"),
-        total(inner, gap_ms).alias("_rest"),
-    )
-    return counted.select(key, "words", "syllables", "pauses", "phrases", (F.col("syllables") * SYLLABLE_MS + F.col("phrases") * LAST_MS + F.col("_rest")).alias("duration_ms"))
+    # Letters stand in words only, so a text without all but words, pauses and ends is a short one of three signs.
+    signs = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, WORD_ONLY, "w"), f"[{PAUSE}]", ","), f"[{END}]", ".")
+    split = docs.select(key, F.regexp_count(text, F.lit(SYLLABLE)).cast("bigint").alias("syllables"), F.regexp_replace(signs, "[^w,.]+", "").alias("_signs"))
+    phrases = F.regexp_extract_all("_signs", F.lit("w(?:[w,]*w)?"), 0)
+    split = split.select(key, "syllables", F.size(phrases).cast("bigint").alias("phrases"), F.array_join(phrases, ".").alias("_signs"))
+    count = lambda pattern: F.regexp_count("_signs", F.lit(pattern)).cast("bigint")
+    counted = split.select(key, count("w").alias("words"), "syllables", count(",").alias("pauses"), "phrases", count(",+").alias("_paused"))
+    rest = (F.col("words") - F.col("phrases") - F.col("_paused")) * WORD_GAP_MS + F.col("pauses") * PAUSE_MS + F.greatest(F.col("phrases") - 1, F.lit(0).cast("bigint")) * PHRASE_MS
+    return counted.select(key, "words", "syllables", "pauses", "phrases", (F.col("syllables") * SYLLABLE_MS + F.col("phrases") * LAST_MS + rest).alias("duration_ms"))
 
 
 def placed_words(docs: DataFrame, key: str, rate: int) -> DataFrame:
