@@ -109,3 +109,58 @@ def test_labels_come_from_all_documents(spark):
     assert 0 < sum(r.kind == "" for r in few) < sum(r.kind == "" for r in cs.labelled_values(docs).collect())
     assert len(cs.fit(docs, sample_docs=5).automata) == 1
     assert cs.fit(docs, labelled=100, sample_docs=5).automata[0].n[0] >= 100
+
+
+def plain_merge(words, alpha):
+    """The same inference by the book, over prefixes: a state is a set of merged prefixes, and counts come from the words."""
+    bound = math.sqrt(0.5 * math.log(2 / alpha))
+    classed = [w.translate(cs._TO_CLASS) for w in words]
+    visits, ends, kids = {}, {}, {}
+    for w in classed:
+        for i in range(len(w) + 1):
+            visits[w[:i]] = visits.get(w[:i], 0) + 1
+            if i < len(w):
+                kids.setdefault(w[:i], {})[w[i]] = w[: i + 1]
+        ends[w] = ends.get(w, 0) + 1
+    n, end, moves = dict(visits), {p: ends.get(p, 0) for p in visits}, {p: dict(kids.get(p, {})) for p in visits}
+    taken = {p: {c: visits[q] for c, q in moves[p].items()} for p in visits}
+
+    def alike(a, b):
+        most = bound * (n[a] ** -0.5 + n[b] ** -0.5)
+        if abs(end[a] / n[a] - end[b] / n[b]) > most or any(abs(taken[a].get(c, 0) / n[a] - taken[b].get(c, 0) / n[b]) > most for c in {*taken[a], *taken[b]}):
+            return False
+        return all((moves[a][c], moves[b][c]) == (a, b) or alike(moves[a][c], moves[b][c]) for c in {*taken[a]} & {*taken[b]})
+
+    def fold(a, b):
+        n[a] += n[b]
+        end[a] += end[b]
+        for c, q in list(moves[b].items()):
+            taken[a][c] = taken[a].get(c, 0) + taken[b][c]
+            if c in moves[a]:
+                fold(moves[a][c], q)
+            else:
+                moves[a][c] = q
+
+    kept = [""]
+    while True:
+        frontier = [(p, c, q) for p in kept for c, q in sorted(moves[p].items()) if q not in kept]
+        if not frontier:
+            break
+        p, c, q = max(frontier, key=lambda x: n[x[2]])
+        red = next((k for k in kept if alike(k, q)), None)
+        if red is None:
+            kept.append(q)
+        else:
+            moves[p][c] = red
+            fold(red, q)
+    return {(n[p], end[p], tuple(sorted((c, t, n[moves[p][c]]) for c, t in taken[p].items()))) for p in kept}, len(kept)
+
+
+def test_merging_against_the_plain_form():
+    rng = random.Random(12)
+    cases = [keys(60, 2), words(150, 3), ["ab1", "cd2", "ef3"] * 30, ["".join(rng.choices("a1Z-", k=rng.randint(0, 6))) for _ in range(300)], [""], ["a" * k for k in range(1, 40)]]
+    for sample in cases:
+        for alpha in (0.05, 0.5):
+            got = cs.Automaton(sample).generalise(alpha)
+            states = {(got.n[s], got.ends[s], tuple(sorted((c, t, got.n[got.moves[s][c]]) for c, t in got.taken[s].items()))) for s in range(len(got.n))}
+            assert (states, len(got.n)) == plain_merge(sample, alpha)

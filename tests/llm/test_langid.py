@@ -90,3 +90,68 @@ def test_nothing_learned(spark):
 def test_held_out_accuracy(spark):
     out = langid.op2_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.97
+
+
+def plain_label(model, text, penalty):
+    """One text by the definitions: words of letters and marks, sums of their trigrams' log probabilities, all paths' best."""
+    import unicodedata
+
+    words, at = [], 0
+    for i, c in enumerate([*text, " "]):
+        if unicodedata.category(c)[0] in "LM":
+            continue
+        if i > at:
+            words.append((at, i))
+        at = i + 1
+    if not any(unicodedata.category(c)[0] == "L" for c in text):
+        return "und", 0.0, ""
+
+    def code(c2, c1, c):
+        x = (c * 0x9E3779B1 + c1 * 0x85EBCA77 + c2 * 0xC2B2AE3D) % (1 << 32)
+        x = (x ^ x >> 15) * 0x2C1B3C6D % (1 << 32)
+        return x >> 17
+
+    def script(c):
+        return next((k for k, name in enumerate(langid.SCRIPTS) for lo, hi in langid.SCRIPT_RANGES.get(name, ()) if lo <= ord(c) <= hi), 0)
+
+    scores, letters = [], []
+    for a, e in words:
+        low = [ord(c.lower()) if unicodedata.category(c)[0] == "L" and len(c.lower()) == 1 else ord(c) for c in text[a:e]]
+        s = sum(model.logp[code(x, y, z)].astype(np.float64) for x, y, z in zip([0, 0, *low], [0, *low], [*low, 0]))
+        may = model.allowed[script(text[a])]
+        scores.append(np.where(may, s - s.max(), -1e4) if may.any() else np.zeros(len(s)))
+        letters.append(sum(unicodedata.category(c)[0] == "L" for c in text[a:e]))
+    k = len(model.langs)
+    best, back = [scores[0][x] for x in range(k)], []
+    for s in scores[1:]:
+        top = max(range(k), key=lambda x: best[x])
+        back.append([x if best[x] >= best[top] - penalty else top for x in range(k)])
+        best = [max(best[x], best[top] - penalty) + s[x] for x in range(k)]
+    path = [max(range(k), key=lambda x: best[x])]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    path = path[::-1]
+    share = [sum(n for n, x in zip(letters, path) if x == lang) for lang in range(k)]
+    top = max(range(k), key=lambda x: share[x])
+    mine = [np.exp(s[x]) / np.exp(s).sum() * n for s, n, x in zip(scores, letters, path) if x == top]
+    return model.langs[top], share[top] / sum(letters) * sum(mine) / share[top], path
+
+
+def test_query_against_the_plain_form(spark):
+    """Every row of the query: fold, language and score."""
+    import zlib
+
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    from sampleloom.llm.common import crc_fold
+    from pyspark.sql import functions as F
+
+    model = langid.fit(docs.where(crc_fold(F.col("doc_id"), 4) != 2))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    out = langid.op2_language_id(spark, data).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    for r in out[::3]:
+        lang, score, _ = plain_label(model, texts[r.doc_id] or "", langid.SWITCH_PENALTY)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3, r.doc_id
