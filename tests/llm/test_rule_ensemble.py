@@ -74,3 +74,22 @@ def test_held_out(spark):
     auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
     assert auc > 0.95, auc
     print("auc", auc, sum(r.predicted == r.quality for r in out) / len(out))
+
+
+def test_query_against_the_plain_form(spark, monkeypatch):
+    """Every row of the query: the rules of the model that it learned, over each text's own statistics; labels of the fold that
+    is held out are not learned from."""
+    import zlib
+
+    learn, made = re_.fit, []
+    monkeypatch.setattr(re_, "fit", lambda rows: made.append((learn(rows), {r.doc_id for r in rows.collect()})) or made[0][0])
+    data = "/root/testdata/sf0.01"
+    out = re_.op10_rule_ensemble(spark, data).collect()
+    model, used = made[0]
+    texts_ = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert len(out) == len(texts_) and used and not {r.doc_id for r in out if r.held_out} & used
+    for r in out:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3)
+        s = re_.statistics(texts_[r.doc_id] or "")
+        total = model.intercept + sum(w for rule, w in model.rules if all((s[f] <= t) == below for f, below, t in rule))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)))
