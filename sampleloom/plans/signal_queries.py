@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.units import f64, format_duration, frame_index, parse_time, rounded
@@ -567,11 +568,10 @@ for _name, _settings, _sql in (
 @query("loudness")
 def loudness(spark, d):
     """Loudness of long programmes: the lines of all suppliers one after the other, four clips at 4 kHz."""
-    from pyspark.sql import Window
-
-    line = b.line_stereo(spark, d).withColumn("group", F.col("clip") % 4)
-    order = Window.partitionBy("group").orderBy("clip", "frame")
-    frames = line.select(F.col("group").alias("clip"), (F.row_number().over(order) - 1).cast("bigint").alias("frame"), F.posexplode(F.array("l", "r")).alias("channel", "sample"))
+    line = b.line_stereo(spark, d)
+    before = F.sum("n").over(Window.partitionBy("group").orderBy("clip").rowsBetween(Window.unboundedPreceding, -1))
+    place = line.groupBy("clip", (F.col("clip") % 4).alias("group")).agg(F.count(F.lit(1)).alias("n")).select("clip", "group", F.coalesce(before, F.lit(0)).alias("before"))
+    frames = line.join(place, "clip").select(F.col("group").alias("clip"), (F.col("frame") + F.col("before")).alias("frame"), F.posexplode(F.array("l", "r")).alias("channel", "sample"))
     return measure.loudness(frames, 4000).select("clip", *(rounded(F.col(c), 4).alias(c) for c in ("lufs", "range_lu", "momentary")))
 
 
