@@ -159,23 +159,26 @@ def kaiser_table() -> np.ndarray:
     return np.sinc(d) * np.i0(10 * np.sqrt(np.maximum(0, 1 - (d / 32) ** 2))) / np.i0(10.0)
 
 
+def sinc_weights(centre: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(samples, weights) for each place between samples: a windowed sinc that is cut at 97 % of the lower rate; weights sum to 1."""
+    table, cutoff = kaiser_table(), 0.97 * min(ratio, 1.0)
+    half = 32 / cutoff
+    j = np.ceil(centre - half).astype(np.int64)[:, None] + np.arange(int(2 * half) + 2)
+    at = np.abs(centre[:, None] - j) * cutoff * 512
+    k = np.minimum(at.astype(np.int64), len(table) - 2)
+    w = np.where(at <= 16384, table[k] + (table[k + 1] - table[k]) * (at - k), 0.0)
+    return j, w / w.sum(1, keepdims=True)
+
+
 def resample(x: np.ndarray, ratio: float, frames: int | None = None) -> np.ndarray:
-    """Samples of one run or of rows at places i / ratio, by a windowed sinc that is cut at 97 % of the lower rate; weights
-    are made to sum to 1, samples beyond an end are the last one."""
+    """Samples of one run or of rows at places i / ratio; samples beyond an end are the last one."""
     rows = np.atleast_2d(x)
     size = rows.shape[1]
     n = int(math.floor(size * ratio + 0.5)) if frames is None else frames
     out = np.zeros((len(rows), n), np.float32)
-    table, cutoff = kaiser_table(), 0.97 * min(ratio, 1.0)
-    half = 32 / cutoff
     for lo in range(0, n if size else 0, 4096):
         centre = np.arange(lo, min(lo + 4096, n)) / ratio
-        first = np.ceil(centre - half).astype(np.int64)
-        j = first[:, None] + np.arange(int(2 * half) + 2)
-        at = np.abs(centre[:, None] - j) * cutoff * 512
-        k = np.minimum(at.astype(np.int64), len(table) - 2)
-        w = np.where(at <= 16384, table[k] + (table[k + 1] - table[k]) * (at - k), 0.0)
-        w /= w.sum(1, keepdims=True)
+        j, w = sinc_weights(centre, ratio)
         j = np.clip(j, 0, size - 1)
         if len(rows) < 4:
             out[:, lo : lo + 4096] = [(w * r[j]).sum(1) for r in rows]

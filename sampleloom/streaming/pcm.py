@@ -1,4 +1,4 @@
-"""Incremental decoding and encoding of PCM: chunks of bytes of any length give the frames that the whole would give."""
+"""Incremental decoding, encoding and resampling of PCM: chunks of any length give the frames that the whole would give."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import kernels
 from ..sources.containers import from_pcm, to_pcm
 
 FRAMES = "stream string, channel int, frame bigint, sample float"
@@ -33,6 +34,44 @@ def decode(chunks: DataFrame, kind: str, channels: int, big: bool = False) -> Da
     return chunks.select("stream", "seq", "data").groupBy("stream").applyInPandasWithState(run, FRAMES, "pending binary, done bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+RESAMPLER = "pending binary, start bigint, head float, inputs bigint, outputs bigint"
+
+
+def resample(chunks: DataFrame, rate: int, to: int) -> DataFrame:
+    """(stream, channel, frame, sample) at another rate, of chunks (stream, channel, seq, samples, last) that come in order of
+    seq over triggers; ``last`` marks a stream's last chunk. A sample is given once all samples that it needs are there, the
+    rest with the last chunk, so the whole gives what resampling it at once gives. State is as many samples as one output
+    needs, and counts."""
+    ratio = to / rate
+    half = 32 / (0.97 * min(ratio, 1.0))
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending, start, head, inputs, outputs = state.get if state.exists else (b"", 0, 0.0, 0, 0)
+        rows = pd.concat(list(parts)).sort_values("seq")
+        new = np.concatenate([np.zeros(0, np.float32), *(np.asarray(x, np.float32) for x in rows["samples"] if x is not None)])
+        held = np.concatenate([np.frombuffer(bytes(pending), np.float32), new])
+        head = float(new[0]) if not inputs and len(new) else head
+        inputs, over = inputs + len(new), bool(rows["last"].any())
+        target = int(np.floor(inputs * ratio + 0.5))
+        ready = target if over else min(target, max(outputs, int(np.ceil((inputs - half) * ratio))))
+        out, first = [np.zeros(0, np.float32)], outputs
+        for lo in range(first, ready if len(held) else first, 4096):
+            j, w = kernels.sinc_weights(np.arange(lo, min(lo + 4096, ready)) / ratio, ratio)
+            x = held[np.clip(j - start, 0, len(held) - 1)]
+            out.append((w * np.where(j < 0, head, x)).sum(1).astype(np.float32))
+        made = np.concatenate(out)
+        outputs = first + len(made)
+        keep = max(start, min(int(max(0, np.ceil(outputs / ratio - half))), inputs - 1))
+        if over:
+            state.remove()
+        else:
+            state.update((held[keep - start :].tobytes(), keep, head, inputs, outputs))
+        yield pd.DataFrame({"stream": key[0], "channel": np.full(len(made), key[1], np.int32), "frame": np.arange(first, outputs), "sample": made})
+
+    slim = chunks.select("stream", "channel", "seq", "samples", "last")
+    return slim.groupBy("stream", "channel").applyInPandasWithState(run, FRAMES, RESAMPLER, "append", GroupStateTimeout.NoTimeout)
+
+
 def leftovers(chunks: DataFrame, kind: str, channels: int) -> DataFrame:
     """(stream, bytes): streams that end inside a frame, from all their chunks."""
     width = int(kind[1:]) // 8 * channels

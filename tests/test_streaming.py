@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sampleloom.operators import mixing
+from sampleloom.operators import kernels, mixing
 from sampleloom.sources import bindings, containers
 from sampleloom.streaming import events, pcm
 
@@ -41,6 +41,19 @@ def test_pcm_chunks(spark, tmp_path, cut):
     assert b"".join(bytes(r.data) for r in packed) == data
 
 
+@pytest.mark.parametrize("rate,to", [(1000, 1500), (1500, 1000), (44100, 48000)])
+def test_resampling_as_in_a_batch(spark, tmp_path, rate, to):
+    x = np.random.default_rng(rate).normal(0, 0.3, (2, 700)).astype(np.float32)
+    cuts = [0, 1, 3, 90, 91, 400, 700]
+    chunks = [[("s", c, i, x[c, a:e].tolist(), e == 700) for c in (0, 1)] for i, (a, e) in enumerate(zip(cuts, cuts[1:]))]
+    df = spark.createDataFrame([], "stream string, channel int, seq long, samples array<float>, last boolean")
+    rows = drained(pcm.resample(stream_of(df, str(tmp_path), chunks, "seq"), rate, to), f"rate{to}{rate}").collect()
+    for c in (0, 1):
+        got = [r["sample"] for r in sorted((r for r in rows if r.channel == c), key=lambda r: r.frame)]
+        want = kernels.resample(x[c], to / rate)
+        assert len(got) == len(want) and np.allclose(got, want, atol=1e-6)
+
+
 def test_min_gap_as_in_a_batch(spark, tmp_path):
     t = bindings.triggers(spark, DATA).orderBy("frame", "seq")
     rows = [tuple(r) for r in t.collect()]
