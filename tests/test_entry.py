@@ -7,7 +7,7 @@ import __spark_entry__
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["measure_levels", "silent_ranges", "crossfade", "filter_peaking", "tempo_map", "control_lanes", "min_gap", "place_3d", "solo_routing", "effect_render", "round_trip_aiff_s24"]
+SAMPLE = ["measure_levels", "silent_ranges", "crossfade", "filter_peaking", "tempo_map", "control_lanes", "min_gap", "instance_limit", "place_3d", "speaker_pan_51", "solo_routing", "effect_render", "round_trip_aiff_s24", "resample_3_2", "compressor", "normalize_lufs", "quantize_s16_dither", "clip_faults", "speech_segments", "spoken_at"]
 
 
 @pytest.fixture(scope="module")
