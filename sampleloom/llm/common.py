@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Arrow batches that hold whole texts end at so many rows or bytes. Texts can be very long, so the bytes count.
 TEXT_BATCH_ROWS = 4096
-TEXT_BATCH_BYTES = 8 << 20
+TEXT_BATCH_BYTES = 4 << 20
 BATCH_SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 #: Groups up to which a table with a row for each of them is broadcast.
 BROADCAST_GROUPS = 10_000

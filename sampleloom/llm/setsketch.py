@@ -46,7 +46,7 @@ SLACK = 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: About the most members of one side of a block, and the most shingles that they have together (one member may have more).
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Pairs that are compared at once, and characters of texts that are cut into shingles at once.
-PAIRS, CHUNK = 1 << 14, 1 << 20
+PAIRS, CHUNK = 1 << 12, 1 << 19
 
 BLOCK_KEYS = ["band", "value", "x", "y"]
 
