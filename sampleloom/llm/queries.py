@@ -10,6 +10,7 @@ from .pareto_mix import OP7_SQL, op7_pareto_mix
 from .repair import op6_repair
 from .rule_ensemble import op10_rule_ensemble
 from .setsketch import op5_near_duplicates
+from .simplex_kmeans import OP11_SQL, op11_simplex_kmeans
 
 QUERIES = {
     "op1_ogg": op1_ogg,
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_license_digest": op8_license_digest,
     "op9_length_buckets": op9_length_buckets,
     "op10_rule_ensemble": op10_rule_ensemble,
+    "op11_simplex_kmeans": op11_simplex_kmeans,
 }
-ORACLES: dict[str, str] = {"op7_pareto_mix": OP7_SQL, "op8_license_digest": OP8_SQL}
+ORACLES: dict[str, str] = {"op7_pareto_mix": OP7_SQL, "op8_license_digest": OP8_SQL, "op11_simplex_kmeans": OP11_SQL}
