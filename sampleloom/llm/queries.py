@@ -7,6 +7,7 @@ from .license_digest import OP8_SQL, op8_license_digest
 from .multiprobe import op4_multiprobe
 from .ogg import op1_ogg
 from .pareto_mix import OP7_SQL, op7_pareto_mix
+from .prefix_counts import op13_prefix_counts
 from .repair import op6_repair
 from .rule_ensemble import op10_rule_ensemble
 from .setsketch import op5_near_duplicates
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_length_buckets": op9_length_buckets,
     "op10_rule_ensemble": op10_rule_ensemble,
     "op11_simplex_kmeans": op11_simplex_kmeans,
+    "op13_prefix_counts": op13_prefix_counts,
 }
 ORACLES: dict[str, str] = {"op7_pareto_mix": OP7_SQL, "op8_license_digest": OP8_SQL, "op11_simplex_kmeans": OP11_SQL}

@@ -69,6 +69,9 @@ MOST_TAIL = 64
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 SPELLED = {x: chr(x) if x in _PRINTED else chr(0x100 + sum(y not in _PRINTED for y in range(x))) for x in range(256)}
+#: Accents that join some small letter a-z in normal form C, but not its capital (fixed values: diaeresis, ring, caron,
+#: macron below, diaeresis with acute).
+SMALL_ONLY = "\u0308\u030a\u030c\u0331\u0344"
 BLANKS = b"\t\n\v\f\r "
 _BLANK, _TAIL, _LETTER = 1, 2, 3
 _KINDS = bytes(_BLANK if x in BLANKS else _TAIL if x in TAIL else _LETTER if chr(x).isalpha() and x < 0x80 else 0 for x in range(256))
@@ -145,7 +148,7 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.by_word or not len(texts):
             return self._whole(texts, end)
-        words, n_words = pieces(texts, not pc.any(pc.match_substring(texts, self.mark[:2])).as_py())
+        words, n_words = pieces(texts, caseless(texts, {self.mark[:2]}))
         each = words.dictionary_encode()
         distinct, codes = each.dictionary.to_pylist(), each.indices.to_numpy()
         if len(self.known) + len(distinct) > CACHE:
@@ -164,6 +167,12 @@ class Encoder:
         return ids, np.diff(np.cumsum(sizes)[word_ends], prepend=0)
 
 
+def caseless(texts: pa.Array, marks: set[str]) -> bool:
+    """Whether A-Z may be lower-cased before anything else in all texts: none holds a special token's beginning or an accent
+    of ``SMALL_ONLY``."""
+    return not any(pc.any(pc.match_substring(texts, m)).as_py() for m in {*marks, *SMALL_ONLY})
+
+
 def pieces(texts: pa.Array, unmarked: bool) -> tuple[pa.Array, np.ndarray]:
     """The words between ASCII blanks, and how many each text has. In texts without marks, A-Z are lower-cased, and
     ``TAIL`` at a word's end behind a letter of ``STEM_ENDS`` is a word of its own: the tokenizer does both, too."""

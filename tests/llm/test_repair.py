@@ -21,7 +21,7 @@ def want(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-TEXTS = ["", " ", "Hello, world. it's 'so' DON'T!? a|b | c||", "x y z\x0bq\x1cw", "İ, İ. ß. É, é, e,́ x", "<|endoftext|>, <|startoftext|> a<|endoftext|>b.", "1.5, 22; (a), 'a', a', 'll. we'll, ,,, a.,", "漢字、テスト。 Ж. ж, ", "a" * 5000, "tab\tnew\nline\r\nend.", None, "ends with,", "'s, 't. x's. ''s", "ſ. K, Å."]
+TEXTS = ["", " ", "Hello, world. it's 'so' DON'T!? a|b | c||", "x y z\x0bq\x1cw", "İ, İ. ß. É, é, e,́ x", "<|endoftext|>, <|startoftext|> a<|endoftext|>b.", "1.5, 22; (a), 'a', a', 'll. we'll, ,,, a.,", "漢字、テスト。 Ж. ж, ", "a" * 5000, "tab\tnew\nline\r\nend.", None, "ends with,", "'s, 't. x's. ''s", "ſ. K, Å.", "J\u030c H\u0331x T\u0344", "W\u030a Y\u030a. T\u0308"]
 
 
 def test_ids_are_those_of_the_whole_text(tokenizer):
