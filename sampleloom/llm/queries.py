@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from .alignment import op12_alignment
 from .credential_scan import op3_secret_scan
 from .langid import op2_language_id
 from .length_buckets import op9_length_buckets
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_length_buckets": op9_length_buckets,
     "op10_rule_ensemble": op10_rule_ensemble,
     "op11_simplex_kmeans": op11_simplex_kmeans,
+    "op12_alignment": op12_alignment,
     "op13_prefix_counts": op13_prefix_counts,
 }
 ORACLES: dict[str, str] = {"op7_pareto_mix": OP7_SQL, "op8_license_digest": OP8_SQL, "op11_simplex_kmeans": OP11_SQL}
