@@ -65,13 +65,33 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+#: Tables that results read later on, by session; see ``lend``.
+_lent: dict[str, list[str]] = {}
+
+
+def lend(df: DataFrame, what: str) -> DataFrame:
+    """``store`` for a table that a result reads only when it is computed, so that its maker can't delete it. Once the
+    result is stored, ``release`` does."""
+    spark = df.sparkSession
+    path = new_path(spark, what)
+    _lent.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return store(df, what, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all lent tables of this session: nothing that is still to be computed may read them."""
+    for path in _lent.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
 @contextmanager
-def scratch(spark: SparkSession, what: str, rows: int = TEXT_BATCH_ROWS) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """A function that stores tables in a folder of one run, with ``small_batches`` meanwhile; the folder is deleted and the
-    settings are put back at the end, so results go elsewhere."""
+def scratch(spark: SparkSession, what: str, rows: int | None = TEXT_BATCH_ROWS) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function that stores tables in a folder of one run, with ``small_batches`` meanwhile (but without rows); the folder is
+    deleted and the settings are put back at the end, so results go elsewhere."""
     folder, number = new_path(spark, what), count()
-    before = {name: spark.conf.get(name) for name in BATCH_SETTINGS}
-    small_batches(spark, rows)
+    before = {name: spark.conf.get(name) for name in BATCH_SETTINGS if rows}
+    if rows:
+        small_batches(spark, rows)
     try:
         yield lambda df, name: store(df, name, f"{folder}/{name}-{next(number)}")
     finally:

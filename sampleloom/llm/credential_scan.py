@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, store, table, texts_of
+from .common import scratch, small_batches, table, texts_of
 
 KINDS = ("assign", "access", "hex", "format")
 #: Documents whose other tokens are the background (credentials are labelled in all), and distinct values and tokens that
@@ -39,8 +39,11 @@ LEAST_TOTAL, LEAST_EACH = 12.0, 0.6
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Tokens have the characters of labelled values, without dots at their edges.
-TOKEN, BACKGROUND_TOKEN = (re.compile(rf"[A-Za-z0-9+/_=.-]{{{n},}}") for n in (16, 8))
+#: Candidates have the characters of labelled values and at least as many as the shortest of them, without dots at their edges.
+SHORTEST = 6
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=.-]{{{SHORTEST},}}")
+#: Class strings whose gains a worker remembers, and tokens that are no credentials.
+GAINS = 1 << 18
 
 _CLASS = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U")}
 CLASSES = "dhlHU+/_.=-"
@@ -52,7 +55,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
     Runs of hex digits and keys are maximal, so asking for their least length inside the pattern drops the same ones.
     """
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= SHORTEST]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(found)
@@ -150,18 +153,38 @@ class Formats:
         self.automata = [Automaton(v).generalise(alpha) for _, v in sorted(labelled.items()) if len(v) >= LEAST_LABELLED]
         self.background = Automaton(background).generalise(alpha)
 
+        self._gains: dict[str, float] = {}
+        self._plain: set[str] = set()
+
     def gain(self, token: str) -> float:
-        return max(a.score(token) for a in self.automata) - self.background.score(token) if self.automata else -math.inf
+        """By how many nats the best format beats the background; this depends on the token's classes alone."""
+        classes = token.translate(_TO_CLASS)
+        found = self._gains.get(classes)
+        if found is None:
+            if len(self._gains) >= GAINS:
+                self._gains.clear()
+            found = self._gains[classes] = max(a.score(token) for a in self.automata) - self.background.score(token) if self.automata else -math.inf
+        return found
+
+    def beats(self, token: str) -> bool:
+        """Whether a token without dots at its edges is long enough and likely enough."""
+        return len(token) >= SHORTEST and (gain := self.gain(token)) >= LEAST_TOTAL and gain >= LEAST_EACH * len(token)
 
     def scored(self, text: str) -> tuple[list[tuple[int, int, int]], dict[int, float]]:
         """The patterns' spans and those that the formats add, sorted, and the gains of the latter by their starts."""
         base = base_spans(text)
-        if not self.automata:
+        # Most texts hold no token that beats the background, and most tokens have been seen before.
+        new = set(TOKEN.findall(text)) - self._plain if self.automata else set()
+        plain = {t for t in new if not self.beats(t.strip("."))}
+        if len(self._plain) + len(plain) > GAINS:
+            self._plain.clear()
+        self._plain |= plain
+        if len(plain) == len(new):
             return base, {}
         gains, more, k, covered = {}, [], 0, []
         for m in TOKEN.finditer(text):
             token = m[0].strip(".")
-            if len(token) < 16:
+            if not self.beats(token):
                 continue
             a = m.start() + len(m[0]) - len(m[0].lstrip("."))
             e = a + len(token)
@@ -171,9 +194,9 @@ class Formats:
                 else:
                     covered.append([base[k][0], base[k][2]])
                 k += 1
-            if not any(lo <= a and e <= hi for lo, hi in covered[-1:]) and (gain := self.gain(token)) >= LEAST_TOTAL and gain >= LEAST_EACH * (e - a):
+            if not any(lo <= a and e <= hi for lo, hi in covered[-1:]):
                 more.append((a, 3, e))
-                gains[a] = gain
+                gains[a] = self.gain(token)
         return sorted(base + more), gains
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
@@ -189,7 +212,7 @@ def labelled_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
         for b in batches:
             rows = set()
             for text, other in zip(texts_of(b), b.column(1).to_pylist()):
-                rows |= {("assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6}
+                rows |= {("assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= SHORTEST}
                 rows |= {("access", m[0]) for m in ACCESS.finditer(text)} | {("hex", m[0]) for m in HEX.finditer(text)}
                 if not other:
                     continue
@@ -198,8 +221,8 @@ def labelled_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
                     rest.append(text[at : max(at, a)])
                     at = max(at, e)
                 for part in [*rest, text[at:]]:
-                    tokens = {t.strip(".") for t in BACKGROUND_TOKEN.findall(part)}
-                    rows |= {("", t) for t in tokens if len(t) >= 8 and hashlib.md5(t.encode()).digest()[0] < 16}
+                    tokens = {t.strip(".") for t in TOKEN.findall(part)}
+                    rows |= {("", t) for t in tokens if len(t) >= SHORTEST and hashlib.md5(t.encode()).digest()[0] < 16}
             found = sorted(rows)
             yield pa.record_batch([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["kind", "value"])
 
@@ -208,9 +231,10 @@ def labelled_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
 
 def fit(docs: DataFrame, labelled: int = LABELLED, background: int = BACKGROUND, sample_docs: int = SAMPLE_DOCS) -> Formats:
     """Learns formats from at most ``labelled`` distinct values of each kind and ``background`` other tokens, by hash order."""
-    found = store(labelled_values(docs, sample_docs), "labelled")
-    take = lambda kind, n: sorted(r.value for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(n).select("value").collect())
-    return Formats({k: take(k, labelled) for k in KINDS[:3]}, take("", background))
+    with scratch(docs.sparkSession, "credentials") as keep:  # nothing of them stays
+        found = keep(labelled_values(docs, sample_docs), "labelled")
+        take = lambda kind, n: sorted(r.value for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(n).select("value").collect())
+        return Formats({k: take(k, labelled) for k in KINDS[:3]}, take("", background))
 
 
 def spans_text(spans: list[tuple[int, int, int]]) -> str:

@@ -13,11 +13,13 @@ table gives no batches. Extra columns do not take part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import lend, scratch, store, table
 
 BUCKETS = 12
 BUDGET = 32_768
@@ -76,20 +78,24 @@ def boundaries(tops: np.ndarray, rows: np.ndarray, buckets: int = BUCKETS) -> li
     return out[::-1]
 
 
-def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(key, length, bucket, padded, batch, slot): the bucket of each row, and its place in its batch of that bucket."""
-    lengths = store(docs.select(F.col(key).alias("key"), (word_count(F.col("text")) if length is None else F.coalesce(length.cast("bigint"), F.lit(0).cast("bigint"))).alias("length")), "pack-lengths")
+def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS, keep: Callable[[DataFrame, str], DataFrame] = lend) -> DataFrame:
+    """(key, length, bucket, padded, batch, slot): the bucket of each row, and its place in its batch of that bucket. The
+    result reads a table that ``keep`` stores."""
+    # Rows are dealt by a number of their own, so repeated ids of one length are not one shard's.
+    lengths = docs.select(F.col(key).alias("key"), (word_count(F.col("text")) if length is None else F.coalesce(length.cast("bigint"), F.lit(0).cast("bigint"))).alias("length"), F.monotonically_increasing_id().alias("row"))
+    lengths = keep(lengths, "pack-lengths")
     tops, rows = histogram(lengths)
     bounds = boundaries(tops, rows, buckets) or [0]
     held = np.bincount(np.searchsorted(bounds, tops), rows, len(bounds)).astype(np.int64)
     padded = F.element_at(F.lit(bounds), F.col("bucket") + 1)
     shards = F.element_at(F.lit([int(x) // shard_rows + 1 for x in held]), F.col("bucket") + 1)
     placed = lengths.withColumn("bucket", F.size(F.filter(F.lit(bounds[:-1] or [bounds[0]]), lambda b: b < F.col("length"))) if len(bounds) > 1 else F.lit(0))
-    placed = placed.withColumn("padded", padded.cast("bigint")).withColumn("_order", F.xxhash64(F.lit("pack"), "key", "length")).withColumn("_shard", F.pmod(F.col("_order"), shards.cast("bigint")))
+    placed = placed.withColumn("padded", padded.cast("bigint")).withColumn("_order", F.xxhash64(F.lit("pack"), "key", "length"))
+    placed = placed.withColumn("_shard", F.pmod(F.xxhash64("_order", "row"), shards.cast("bigint")))
     counts = placed.groupBy("bucket", "_shard").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("bucket", "_shard", F.coalesce(before, F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("_order", "key", "length")) - 1
+    number = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("_order", "key", "length", "row")) - 1
     numbered = placed.withColumn("_number", number).join(offsets, ["bucket", "_shard"])
     room = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(budget) / F.greatest(F.col("padded"), F.lit(1).cast("bigint"))).cast("bigint"))
     place = F.col("_before") + F.col("_number")
@@ -98,4 +104,5 @@ def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, buc
 
 def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket, batch and place of every document, its words as tokens."""
-    return pack(table(spark, sf_dir, "documents"))
+    with scratch(spark, "packing", None) as keep:
+        return store(pack(table(spark, sf_dir, "documents"), keep=keep), "packed")

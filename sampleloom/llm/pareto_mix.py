@@ -16,10 +16,12 @@ take part, and come back as they are, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_GROUPS, free_name, store, table
+from .common import BROADCAST_GROUPS, free_name, lend, scratch, store, table
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -73,7 +75,7 @@ def _fill(rows: DataFrame, small: bool) -> DataFrame:
     return cut.select("source", F.col("_bin").alias("_cut"), (F.col("_room") - F.col("_before")).alias("_room"))
 
 
-def sample(sizes: DataFrame, sources: DataFrame, small: bool, passes: int = PASSES) -> DataFrame:
+def sample(sizes: DataFrame, sources: DataFrame, small: bool, passes: int = PASSES, keep: Callable[[DataFrame, str], DataFrame] = lend) -> DataFrame:
     """Copies of each row of (key, source, size, weight): certain ones plus the Pareto sample."""
     rows = with_sources(sizes, sources, small)
     expected = F.when(F.col("source_weighted") > 0, F.col("target") * F.col("weight") / F.col("source_weighted")).otherwise(F.lit(0.0))
@@ -94,24 +96,25 @@ def sample(sizes: DataFrame, sources: DataFrame, small: bool, passes: int = PASS
         edge = Window.partitionBy("source").orderBy("_q", "key", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
         ranked = joined.where("_edge").withColumn("_take", F.sum("size").over(edge) <= F.col("_room"))
         others = joined.where(~F.col("_edge")).withColumn("_take", F.col("_free") & (F.col("_cut").isNull() | (F.col("_bin") < F.col("_cut"))))
-        rows = store(others.unionByName(ranked).withColumn("_drawn", F.when(F.col("_take"), 1).otherwise(F.col("_drawn"))).drop("_free", "_edge", "_take", "_cut", "_room"), "mix")
+        rows = keep(others.unionByName(ranked).withColumn("_drawn", F.when(F.col("_take"), 1).otherwise(F.col("_drawn"))).drop("_free", "_edge", "_take", "_cut", "_room"), "mix")
         taken = rows.groupBy("source").agg(F.sum(F.col("_drawn") * F.col("size")).alias("_sum"))
         rows = with_sources(rows, taken, small).withColumn("_due", F.col("target") - F.col("_sure") - F.col("_sum")).drop("_sum")
     return rows.withColumn("copies", (F.col("_certain") + F.col("_drawn")).cast("int")).drop(*(c for c in rows.columns if c.startswith("_")))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", weight: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(key, tie, source, size, source_size, target, copies) of every row; ``tie`` is a hash of the text.
+def mix(docs: DataFrame, key: str = "doc_id", weight: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, keep: Callable[[DataFrame, str], DataFrame] = lend) -> DataFrame:
+    """(key, tie, source, size, source_size, target, copies) of every row; ``tie`` is a hash of the text. The result reads
+    tables that ``keep`` stores.
 
     ``weight`` makes documents of a source unequally likely; with weights, a document's copies are its expected number
     rounded up or down, which may exceed ``most``.
     """
     slim = docs.select(F.col(key).alias("key"), F.col("source").alias("source"), words(F.col("text")).alias("size"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"), F.xxhash64("text").alias("tie"))
-    slim = store(slim, "mix-sizes")
+    slim = keep(slim, "mix-sizes")
     sources = with_sources(source_targets(slim, weights, share, most), slim.groupBy("source").agg(F.sum(F.col("size") * F.col("weight")).alias("source_weighted")), False)
-    sources = store(sources, "mix-sources")
+    sources = keep(sources, "mix-sources")
     small = sources.count() <= BROADCAST_GROUPS
-    return sample(slim, sources, small).withColumnRenamed("key", key)
+    return sample(slim, sources, small, keep=keep).withColumnRenamed("key", key)
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
@@ -120,7 +123,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     Equal ids with equal texts of one source are the same row here; their copies are added.
     """
     tie, k, t, src, n, copy = (free_name(docs.columns, x) for x in ("_tie", "_k", "_t", "_s", "_copies", "_copy"))
-    copies = mix(docs, key, **options).groupBy(F.col(key).alias(k), F.col("tie").alias(t), F.col("source").alias(src)).agg(F.sum("copies").cast("int").alias(n)).where(F.col(n) > 0)
+    with scratch(docs.sparkSession, "mix", None) as keep:
+        copies = mix(docs, key, keep=keep, **options).groupBy(F.col(key).alias(k), F.col("tie").alias(t), F.col("source").alias(src)).agg(F.sum("copies").cast("int").alias(n)).where(F.col(n) > 0)
+        copies = lend(copies, "copies")
     rows = docs.withColumn(tie, F.xxhash64("text")).dropDuplicates([key, tie, "source"])
     met = rows.join(copies, F.col(key).eqNullSafe(F.col(k)) & (F.col(tie) == F.col(t)) & F.col("source").eqNullSafe(F.col(src)))
     return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
@@ -128,8 +133,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix of all sources takes."""
-    mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    with scratch(spark, "mix", None) as keep:
+        mixed = mix(table(spark, sf_dir, "documents"), keep=keep)
+        return store(mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")), "mixed")
 
 
 OP7_SQL = """

@@ -6,8 +6,8 @@ the rules' 0/1 columns keeps few of them, and those are compiled into one Spark
 the rules that hold, through the logistic function. All labelled rows take part; nothing is collected but the model.
 
 Null texts count as empty and get a score like any other. Labels other than 0 and 1 and null labels are left out. If
-only one label occurs, every score is that label's share (0.5 without labels). Repeated rows get equal scores. Extra
-columns do not take part.
+only one label occurs, every score is 0.0025 or 0.9975 after it (0.5 without labels). Repeated label rows of one document
+count as often as they are there. Repeated rows get equal scores. Extra columns do not take part.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, small_batches, store, table, texts_of
+from .common import crc_fold, scratch, store, table, texts_of
 
 TREES, DEPTH = 24, 3
 LASSO = 0.002
@@ -147,10 +147,10 @@ def fit(labelled: DataFrame, label: str = "label", trees: int = TREES, depth: in
 
 def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labelled rows of four folds in five."""
-    small_batches(spark)
-    stats = store(with_statistics(table(spark, sf_dir, "documents")), "statistics")
-    held_out = crc_fold(F.col("doc_id"), 5) == 0
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    train = store(stats.where(~held_out).join(labels, "doc_id"), "labelled-statistics")
-    score = fit(train).score()
-    return stats.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+    with scratch(spark, "quality") as keep:
+        stats = keep(with_statistics(table(spark, sf_dir, "documents")), "statistics")
+        held_out = crc_fold(F.col("doc_id"), 5) == 0
+        labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+        train = keep(stats.where(~held_out).join(labels, "doc_id"), "labelled")
+        score = fit(train).score()
+        return store(stats.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted")), "quality")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, row_digest, scratch, store, table, texts_of
+from .common import discard, free_name, lend, row_digest, scratch, store, table, texts_of
 
 WORDS = 5
 #: Similarity from which two sets are linked, as a percentage.
@@ -487,7 +487,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     with scratch(docs.sparkSession, "one-of-each") as keep:
         rows = keep(labelled(docs, key, keep), "labelled")
         chosen = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")).select(F.col("first.row").alias(name))
-        chosen = store(chosen.unionByName(rows.where("component is null").select(F.col("row").alias(name)).distinct()), "chosen")
+        chosen = lend(chosen.unionByName(rows.where("component is null").select(F.col("row").alias(name)).distinct()), "chosen")
     return docs.withColumn(name, row_digest(F.col(key), F.col("text"))).join(chosen, name, "left_semi").dropDuplicates([name]).select(docs.columns)
 
 
