@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import f32, f64
-from . import kernels
-from .measure import by_run, fine_peaks, look_ahead_peak, per_channel, true_peak
+from . import kernels, scans
+from .measure import fine_peaks, look_ahead_peak, true_peak
+from .runs import by_run
 from .shape import TURN, lengths
 
 
 def filtered(frames: DataFrame, kind: str, hz: float, rate: int, q: float = 0.5**0.5, gain_db: float = 0.0) -> DataFrame:
     coefficients = kernels.biquad_coefficients(kind, hz, rate, q, gain_db)
-    return per_channel(frames, lambda x: kernels.biquad(x, coefficients))
+    return scans.filtered(frames, coefficients).withColumn("sample", f32(F.col("sample")))
 
 
 def _gains(peaks: DataFrame, kernel) -> DataFrame:
@@ -26,7 +27,7 @@ def _gains(peaks: DataFrame, kernel) -> DataFrame:
 def limit(frames: DataFrame, rate: int, ceiling_db: float = -1.0, look_ms: float = 5.0, release_ms: float = 50.0) -> DataFrame:
     """Keeps linked channels under the ceiling, looking ahead by a window."""
     look = int(np.floor(look_ms * rate / 1000 + 0.5))
-    gains = _gains(look_ahead_peak(frames, look), lambda p: kernels.limiter_gains(p, 10 ** (ceiling_db / 20), release_ms * rate / 1000))
+    gains = scans.limiter_gains(look_ahead_peak(frames, look), 10 ** (ceiling_db / 20), release_ms * rate / 1000)
     return frames.join(gains, ["clip", "frame"]).select("clip", "channel", "frame", f32(F.col("sample") * f32(F.col("gain"))).alias("sample"))
 
 
@@ -84,7 +85,7 @@ def pitch(frames: DataFrame, semitones: float, rate: int) -> DataFrame:
 def effect(frames: DataFrame, kind: str, rate: int, **settings) -> DataFrame:
     """One of the bus effects, by name; many clips are worked on at once, channel by channel."""
     if kind in ("lowpass", "highpass"):
-        return per_channel(frames, lambda x: kernels.one_pole(x, settings["hz"], rate, kind == "highpass"))
+        return scans.filtered(frames, kernels.one_pole_coefficients(settings["hz"], rate, kind == "highpass")).withColumn("sample", f32(F.col("sample")))
     moved = lambda x, c, taps, longest: kernels.modulated_delay(x, rate, settings["delay_ms"], settings["depth_ms"], settings["hz"], settings.get("feedback", 0.0), settings.get("stereo_phase", 0.0), settings["wet"], taps, longest, c)
     work = {
         "delay": lambda x, c: kernels.delay(x, settings["seconds"] * rate, settings["feedback"], settings["wet"]),
@@ -111,8 +112,7 @@ def limit_true_peak(frames: DataFrame, rate: int, ceiling_db: float = -1.0, look
     protected = 10 ** ((ceiling_db - margin_db) / 20) * (1 - 8 * 2.0**-23)
     linked = fine_peaks(frames).groupBy("clip", "frame").agg(F.max("peak").alias("peak"))
     look = int(np.floor(look_ms * rate / 1000 + 0.5))
-    ahead = linked.select("clip", "frame", F.max("peak").over(Window.partitionBy("clip").orderBy("frame").rowsBetween(0, look)).alias("peak"))
-    gains = _gains(ahead, lambda p: kernels.limiter_gains(p, protected, release_ms * rate / 1000))
+    gains = scans.limiter_gains(scans.ahead_max(linked, "peak", look), protected, release_ms * rate / 1000)
     out = frames.join(gains, ["clip", "frame"]).select("clip", "channel", "frame", f32(f64(F.col("sample")) * F.col("gain")).alias("sample"))
     found = fine_peaks(out).groupBy("clip").agg(F.max("peak").alias("_a")).join(true_peak(out).select("clip", F.col("true_peak").alias("_b")), "clip")
     over = found.select("clip", F.least(F.lit(1.0), F.lit(protected) / F.greatest("_a", "_b", F.lit(1e-300))).alias("_c"))

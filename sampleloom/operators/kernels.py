@@ -94,7 +94,7 @@ def biquad(x: np.ndarray, coefficients: tuple[float, ...]) -> np.ndarray:
     return drive.reshape(np.shape(x))
 
 
-def k_weighting(x: np.ndarray, rate: float) -> np.ndarray:
+def k_weights(rate: float) -> tuple[tuple[float, ...], ...]:
     """The two filters before loudness; the second reads what the first gives in 32-bit floats (fixed values)."""
     k = math.tan(math.pi * 1681.974450955533 / rate)
     vh = 10 ** (3.999843853973347 / 20)
@@ -104,7 +104,14 @@ def k_weighting(x: np.ndarray, rate: float) -> np.ndarray:
     k, q = math.tan(math.pi * 38.13547087602444 / rate), 0.5003270373238773
     den = 1 + k / q + k * k
     high = (1.0, -2.0, 1.0, 2 * (k * k - 1) / den, (1 - k / q + k * k) / den)
-    return biquad(biquad(x, shelf).astype(np.float32), high).astype(np.float32)
+    return shelf, high
+
+
+def k_weighting(x: np.ndarray, rate: float) -> np.ndarray:
+    """Both filters on samples or rows that are at hand."""
+    for coefficients in k_weights(rate):
+        x = biquad(x, coefficients).astype(np.float32)
+    return x
 
 
 def true_peak_kernel() -> np.ndarray:
@@ -149,7 +156,7 @@ def followed(target: np.ndarray, down: float, up: float) -> np.ndarray:
 
 
 def limiter_gains(peak: np.ndarray, ceiling: float, release: float) -> np.ndarray:
-    """Gains of rows of look-ahead peaks: down at once, up by an exponential that takes ``release`` frames."""
+    """Gains of rows of look-ahead peaks that are at hand: down at once, up by an exponential that takes ``release`` frames."""
     return followed(np.minimum(1.0, ceiling / np.maximum(peak, 1e-300)), 0.0, math.exp(-1 / release) if release > 0 else 0.0)
 
 
@@ -234,12 +241,16 @@ def tempo_places(x: np.ndarray, factor: float, rate: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def one_pole(x: np.ndarray, hz: float, rate: float, high: bool = False) -> np.ndarray:
-    """A first-order low-pass by the trapezoid rule, or what is left above it, of rows."""
+def one_pole_coefficients(hz: float, rate: float, high: bool = False) -> tuple[float, ...]:
+    """A first-order low-pass by the trapezoid rule, or what is left above it, as a biquad."""
     g = math.tan(math.pi * min(hz, 0.49 * rate) / rate)
     a = g / (1 + g)
-    low = biquad(x, (a, a, 0.0, 2 * a - 1, 0.0))
-    return x - low if high else low
+    return (1 - a, a - 1, 0.0, 2 * a - 1, 0.0) if high else (a, a, 0.0, 2 * a - 1, 0.0)
+
+
+def one_pole(x: np.ndarray, hz: float, rate: float, high: bool = False) -> np.ndarray:
+    """That filter on samples or rows that are at hand."""
+    return biquad(x, one_pole_coefficients(hz, rate, high))
 
 
 def compressor_gains(peak: np.ndarray, rate: float, threshold_db: float, ratio: float, attack_ms: float, release_ms: float, makeup_db: float = 0.0, depth: float = 1.0) -> np.ndarray:

@@ -8,17 +8,14 @@ combine before a shuffle; the two exceptions run a kernel on many channels of cl
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from ..functions.units import f64, from_db, to_db
-from . import kernels
+from ..functions.units import f32, f64, from_db, to_db
+from . import kernels, scans
+from .runs import by_run, per_channel  # noqa: F401
 
 
 def level() -> Column:
@@ -105,53 +102,7 @@ def boundaries(frames: DataFrame, requests: DataFrame) -> DataFrame:
 def look_ahead_peak(frames: DataFrame, look: int) -> DataFrame:
     """(clip, frame, peak): the largest magnitude of any channel from this frame on to ``look`` frames later."""
     linked = frames.groupBy("clip", "frame").agg(F.max(F.abs(level())).alias("x"))
-    return linked.select("clip", "frame", F.max("x").over(Window.partitionBy("clip").orderBy("frame").rowsBetween(0, look)).alias("peak"))
-
-
-def by_run(rows: DataFrame, keys: list[str], value: str, kernel, schema: str) -> DataFrame:
-    """Deals the rows by ``keys`` and calls ``kernel(values, sizes, last key of each run)`` with many whole runs at once, each
-    in order of frames.
-
-    The kernel gives (values, sizes) of as many runs; they are numbered from frame 0 on again. With a schema without a
-    frame a run gives one value. A run that goes on in the next batch waits for its end.
-    """
-    framed = " frame " in f" {schema} ".replace(",", " ")
-
-    def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        columns = [t.column(k).to_numpy() for k in keys]
-        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
-        starts = np.flatnonzero(new)
-        out, sizes = kernel(t.column(value).to_numpy(), np.diff(np.append(starts, len(new))), columns[-1][starts])
-        made = [np.repeat(c[starts], sizes) for c in columns] + ([kernels.ragged(sizes)] if framed else [])
-        return pa.record_batch([*map(pa.array, made), pa.array(out)], names).cast(target)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            last = [b.column(k)[b.num_rows - 1].as_py() for k in keys]
-            same = np.logical_and.reduce([b.column(k).to_numpy() == v for k, v in zip(keys, last)])
-            first = int(same.argmax())  # where the last run begins
-            if first or held and [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in keys] != last:
-                if held or first:
-                    yield work([*held, b.slice(0, first)] if first else held)
-                held = [b.slice(first)]
-            else:
-                held.append(b)
-        if held:
-            yield work(held)
-
-    fields = StructType.fromDDL(schema)
-    names, target = fields.names, to_arrow_schema(fields)
-    order = [*keys, "frame"]
-    return rows.select(*order, value).repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, fields)
-
-
-def per_channel(frames: DataFrame, kernel) -> DataFrame:
-    """Runs a kernel on each channel of each clip; it takes and gives rows of samples of one width."""
-    return by_run(frames, ["clip", "channel"], "sample", lambda x, n, _: (kernels.by_rows(kernel, x, n).astype(np.float32), n), "clip bigint, channel int, frame bigint, sample float")
+    return scans.ahead_max(linked.withColumnRenamed("x", "peak"), "peak", look)
 
 
 #: Weights of the channels of layouts with surround channels; all others weigh 1 (fixed values).
@@ -162,7 +113,9 @@ def loudness_blocks(frames: DataFrame, rate: int) -> DataFrame:
     """(clip, block, power): weighted mean square of each full 400 ms window, every 100 ms, after K weighting; a clip that is
     shorter has one block."""
     block, step = int(np.floor(0.4 * rate + 0.5)), int(np.floor(0.1 * rate + 0.5))
-    weighted = per_channel(frames, lambda x: kernels.k_weighting(x, rate))
+    weighted = frames
+    for coefficients in kernels.k_weights(rate):  # each filter gives 32-bit floats
+        weighted = scans.filtered(weighted, coefficients).withColumn("sample", f32(F.col("sample")))
     clip = Window.partitionBy("clip")
     short = [F.when((F.col("channels") == k) & (F.col("channel") == c), w) for k, ws in CHANNEL_WEIGHTS.items() for c, w in enumerate(ws)]
     weight = F.coalesce(*short, F.lit(1.0))

@@ -236,22 +236,35 @@ def topological(edges: list[tuple[int, int]]) -> list[int]:
     return order
 
 
-def route(buses: DataFrame, edges: list[tuple[int, int, float]]) -> DataFrame:
-    """(bus, channel, frame, sample): every bus with what the others send to it, level by level of the graph."""
-    total = buses.select("bus", "channel", "frame", f64(F.col("sample")).alias("x"))
-    for source in topological([(s, d) for s, d, _ in edges]):
-        sends = [(d, g) for s, d, g in edges if s == source]
-        if sends:
-            table = F.explode(F.array(*(F.struct(F.lit(d).cast(dict(total.dtypes)["bus"]).alias("d"), F.lit(float(g)).alias("g")) for d, g in sends)))
-            sent = total.where(F.col("bus") == source).withColumn("_to", table).select(F.col("_to.d").alias("bus"), "channel", "frame", (F.col("x") * F.col("_to.g")).alias("x"))
-            total = total.unionByName(sent).groupBy("bus", "channel", "frame").agg(F.sum("x").alias("x"))
-    return total.select("bus", "channel", "frame", f32(F.col("x")).alias("sample"))
-
-
 #: A graph of buses is a setting, not data: no more routes than this are allowed.
 MAX_ROUTES = 1024
 
 
+def path_gains(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """(source, bus, gain): how much of what enters ``source`` arrives at each bus below it, added up over all ways there; of
+    itself all of it. Graphs of buses are small settings."""
+    if len(edges) > MAX_ROUTES:
+        raise ValueError(f"more than {MAX_ROUTES} routes")
+    order = topological([(s, d) for s, d, _ in edges])
+    arrives = {n: {n: 1.0} for n in order}  # from each source
+    for n in order:
+        for s, d, g in edges:
+            if s == n:
+                for below in arrives.values():
+                    if n in below:
+                        below[d] = below.get(d, 0.0) + below[n] * g
+    return [(s, d, g) for s, below in arrives.items() for d, g in below.items()]
+
+
+def route(buses: DataFrame, edges: list[tuple[int, int, float]]) -> DataFrame:
+    """(bus, channel, frame, sample): every bus with what the others send to it, at whatever distance: one pass over the
+    samples, a broadcast table of at most the square of the number of buses, and one grouped sum."""
+    gains = buses.sparkSession.createDataFrame(path_gains(edges), "_source bigint, _to bigint, _gain double")
+    met = buses.join(F.broadcast(gains), F.col("bus") == F.col("_source"), "left")
+    sent = met.select(F.coalesce("_to", "bus").cast(buses.schema["bus"].dataType).alias("bus"), "channel", "frame", (f64(F.col("sample")) * F.coalesce("_gain", F.lit(1.0))).alias("x"))
+    return sent.groupBy("bus", "channel", "frame").agg(f32(F.sum("x")).alias("sample"))
+
+
 def solo_edges(edges: DataFrame, soloed: list[int]) -> DataFrame:
     """Edges (src, dst) that sound while buses are soloed: those below a soloed bus, and those on a way to one."""
     routes = [tuple(r) for r in edges.select("src", "dst").distinct().limit(MAX_ROUTES + 1).collect()]

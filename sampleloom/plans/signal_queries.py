@@ -323,16 +323,18 @@ def concat(spark, d):
     return shown(shape.concat(frames, frames))
 
 
-_MIX = "o AS (SELECT clip + 1 AS clip, channel, frame + {off} AS frame, sample AS y FROM frames WHERE frame + {off} >= 0)"
+#: Both signals of a mix side by side, each frame's values in one group.
+_MIX = "u AS (SELECT clip, channel, frame, sample AS x, CAST(NULL AS FLOAT) AS y FROM frames UNION ALL SELECT clip + 1, channel, {frames}, NULL, sample FROM frames WHERE {some})"
+_MIXED = "coalesce(max(x), 0) + CAST(coalesce(max(y), 0) * 0.5::FLOAT AS FLOAT)"
 
 
-@query("mix_offset", f"WITH {EMB_SQL}, {_MIX.format(off=20)} SELECT f.clip, f.channel, f.frame, {R.format('f.sample + CAST(coalesce(y, 0) * 0.5::FLOAT AS FLOAT)')} FROM frames f LEFT JOIN o ON o.clip = f.clip AND o.channel = f.channel AND o.frame = f.frame")
+@query("mix_offset", f"WITH {EMB_SQL}, {_MIX.format(frames='frame + 20', some='frame + 20 >= 0')} SELECT clip, channel, frame, {R.format(_MIXED)} FROM u GROUP BY 1, 2, 3 HAVING count(x) > 0")
 def mix_offset(spark, d):
     frames = b.emb_frames(spark, d)
     return shown(shape.mix(frames, frames.withColumn("clip", F.col("clip") + 1), 20, 0.5, False))
 
 
-@query("mix_extend", f"WITH {EMB_SQL}, {_MIX.format(off=-5)}, p AS (SELECT clip, channel, frame + 10 AS frame, y FROM o) SELECT coalesce(f.clip, p.clip) AS clip, coalesce(f.channel, p.channel) AS channel, coalesce(f.frame, p.frame) AS frame, {R.format('coalesce(f.sample, 0) + CAST(coalesce(y, 0) * 0.5::FLOAT AS FLOAT)')} FROM frames f FULL JOIN p ON p.clip = f.clip AND p.channel = f.channel AND p.frame = f.frame")
+@query("mix_extend", f"WITH {EMB_SQL}, {_MIX.format(frames='frame + 5', some='frame >= 5')} SELECT clip, channel, frame, {R.format(_MIXED)} FROM u GROUP BY 1, 2, 3")
 def mix_extend(spark, d):
     frames = b.emb_frames(spark, d)
     late = frames.where("frame >= 5").withColumn("clip", F.col("clip") + 1)
@@ -378,7 +380,7 @@ def split(spark, d):
     return shape.split(b.line_frames(spark, d)).select("clip", "part", "channel", "frame", rounded(F.col("sample")).alias("sample"))
 
 
-@query("merge", f"WITH {EMB_SQL} SELECT f.clip, c AS channel, frame, CASE WHEN c = 0 THEN round(CAST(sample AS DOUBLE), 6) + 0.0 WHEN frame + 16 < 64 THEN round(CAST(g.s AS DOUBLE), 6) + 0.0 ELSE 0.0 END AS sample FROM frames f CROSS JOIN (VALUES (0), (1)) t(c) LEFT JOIN (SELECT clip, frame - 16 AS fr, sample AS s FROM frames) g ON g.clip = f.clip AND g.fr = f.frame")
+@query("merge", f"WITH {EMB_SQL}, m AS (SELECT clip, frame, sample, coalesce(lead(sample, 16) OVER (PARTITION BY clip ORDER BY frame), 0) AS later FROM frames), c AS (SELECT clip, frame, unnest([0, 1]) AS channel, unnest([sample, later]) AS sample FROM m) SELECT clip, channel, frame, {R.format('sample')} FROM c")
 def merge(spark, d):
     frames = b.emb_frames(spark, d)
     return shown(shape.merge([frames, shape.cut(frames, 0.016, 1.0, b.EMB_RATE)]))
@@ -550,8 +552,8 @@ SELECT clip, channel, CAST(frame AS BIGINT) AS frame, {f32_sql('{0}')} FROM y WH
 _ECHO = f"""WITH {LINE_SQL}, e AS (SELECT f.clip, f.channel, f.frame, sum(CAST(p.sample AS DOUBLE) * pow(0.4::DOUBLE, k - 1)) AS heard FROM frames f JOIN generate_series(1, 60) t(k) ON f.frame >= 48 * k JOIN frames p ON p.clip = f.clip AND p.channel = f.channel AND p.frame = f.frame - 48 * k GROUP BY 1, 2, 3)
 SELECT f.clip, f.channel, f.frame, {f32_sql('CAST(f.sample AS DOUBLE) * 0.5 + coalesce(heard, 0) * 0.5')} FROM frames f LEFT JOIN e ON e.clip = f.clip AND e.channel = f.channel AND e.frame = f.frame"""
 #: Six bits, held for four frames.
-_CRUSHED = f"""WITH {LINE_SQL} SELECT f.clip, f.channel, f.frame, {f32_sql("greatest(-32.0, least(31.0, sign(h.sample) * floor(abs(greatest(-1.0, least(1.0, CAST(h.sample AS DOUBLE)))) * 32 + 0.5))) / 32")}
-FROM frames f JOIN frames h ON h.clip = f.clip AND h.channel = f.channel AND h.frame = f.frame // 4 * 4"""
+_CRUSHED = f"""WITH {LINE_SQL}, h AS (SELECT clip, channel, frame, CASE frame % 4 WHEN 0 THEN sample WHEN 1 THEN lag(sample, 1) OVER w WHEN 2 THEN lag(sample, 2) OVER w ELSE lag(sample, 3) OVER w END AS held FROM frames WINDOW w AS (PARTITION BY clip, channel ORDER BY frame))
+SELECT clip, channel, frame, {f32_sql("greatest(-32.0, least(31.0, sign(held) * floor(abs(greatest(-1.0, least(1.0, CAST(held AS DOUBLE)))) * 32 + 0.5))) / 32")} FROM h"""
 for _name, _settings, _sql in (
     ("lowpass", {"hz": 2000.0}, _ONE_POLE.replace("{0}", "low")),
     ("highpass", {"hz": 2000.0}, _ONE_POLE.replace("{0}", "v - low")),

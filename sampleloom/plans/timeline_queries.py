@@ -9,7 +9,7 @@ from ..functions import units
 from ..functions.units import f64, rounded
 from ..operators import levels, measure, mixing, shape, synth, timeline, voice
 from ..sources import bindings as b
-from ..sources import containers
+from ..sources import containers, files
 from ..sources.bindings import EMB_SQL, LINE_SQL, NOTE_SQL, TRIGGER_SQL
 from .signal_queries import N, S, f32_sql, shown
 
@@ -435,8 +435,8 @@ for _box, _kind in (("wav", "s16"), ("wav", "f32"), ("wav", "u8"), ("aiff", "s24
     _full = float(1 << (levels.BITS.get(_kind, 16) - 1))
 
     def _round_trip(spark, d, box=_box, kind=_kind):
-        files = containers.encode_clips(shape.as_clips(b.emb_frames(spark, d)), box, kind, b.EMB_RATE)
-        read = containers.decode_files(files)
+        made = containers.encode_clips(shape.as_clips(b.emb_frames(spark, d)), box, kind, b.EMB_RATE)
+        read = containers.decode_files(made)
         each = read.select("clip", "rate", "kind", F.posexplode("channels").alias("channel", "samples"))
         return each.select("clip", "rate", "kind", "channel", F.posexplode("samples").alias("frame", "sample")).withColumn("sample", rounded(F.col("sample")))
 
@@ -444,6 +444,16 @@ for _box, _kind in (("wav", "s16"), ("wav", "f32"), ("wav", "u8"), ("aiff", "s24
     query(f"round_trip_{_box}_{_kind}", _RAW.format(_kind, r6(_value)))(_round_trip)
 
 
+@query("round_trip_files", f"WITH {EMB_SQL} SELECT clip, 1000 AS rate, channel, frame, {r6(f'CAST(CAST(greatest(-32768.0, least(32767.0, sign({S}) * floor(abs({S}) * 32768.0 + 0.5))) / 32768.0 AS FLOAT) AS DOUBLE)')} AS sample FROM frames WHERE frame >= 8")
+def round_trip_files(spark, d):
+    """Files of all clips, written by the data source and read again from the ninth frame on."""
+    folder = files.work_folder(spark, "clips")
+    files.write_clips(b.emb_frames(spark, d), folder, b.EMB_RATE, "wav", "s16")
+    read = files.read_frames(spark, folder).where("frame >= 8")
+    clip = F.regexp_extract("path", "([0-9]+)[.]wav$", 1).cast("bigint")
+    return read.select(clip.alias("clip"), "rate", "channel", "frame", rounded(F.col("sample")).alias("sample"))
+
+
 @query("sniff_containers", "SELECT CAST(vec_id AS BIGINT) AS clip, CASE vec_id % 4 WHEN 0 THEN 'wav' WHEN 1 THEN 'aiff' WHEN 2 THEN 'au' ELSE 'caf' END AS container FROM embeddings")
 def sniff_containers(spark, d):
     clips = shape.as_clips(b.emb_frames(spark, d))

@@ -80,39 +80,55 @@ def _from_extended(data: bytes) -> float:
     return mantissa * 2.0 ** ((exponent & 0x7FFF) - 16446)
 
 
-def encode(x: np.ndarray, rate: int, container: str, kind: str) -> bytes:
-    """Samples (frames, channels) in a container."""
-    n, channels = x.shape
+def head(n: int, channels: int, rate: int, container: str, kind: str) -> bytes:
+    """What stands before ``n`` frames of samples in a container; sizes beyond 32 bits make a WAV file of the wide form."""
     width = int(kind[1:]) // 8
+    size = n * channels * width
     if container == "raw":
-        return to_pcm(x, kind)
+        return b""
     if container == "wav":
         if kind == "s8":
             raise ValueError("WAV keeps bytes unsigned")
-        body = to_pcm(x, kind)
-        fmt = struct.pack("<HHIIHH", 3 if kind[0] == "f" else 1, channels, rate, rate * channels * width, channels * width, width * 8)
-        chunks = b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(body)) + body + bytes(len(body) % 2)
-        return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
+        fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 3 if kind[0] == "f" else 1, channels, rate, rate * channels * width, channels * width, width * 8)
+        whole = 4 + len(fmt) + 8 + size + size % 2
+        if whole < 0xFFFFFFFF:
+            return b"RIFF" + struct.pack("<I", whole) + b"WAVE" + fmt + b"data" + struct.pack("<I", size)
+        wide = b"ds64" + struct.pack("<IQQQI", 28, whole + 36, size, n, 0)
+        return b"RF64" + struct.pack("<I", 0xFFFFFFFF) + b"WAVE" + wide + fmt + b"data" + struct.pack("<I", 0xFFFFFFFF)
     if container == "aiff":
         if kind in ("u8", "f64"):
             raise ValueError(f"AIFF does not keep {kind}")
-        body = to_pcm(x, kind, big=True)
+        if size >= 0xFFFFFF00:
+            raise ValueError("AIFF has no sizes beyond 32 bits")
         kind_of = b"" if kind[0] != "f" else b"fl32\x00\x00"
         comm = struct.pack(">hIh", channels, n, width * 8) + _extended(rate) + kind_of
-        version = b"FVER" + struct.pack(">II", 4, 0xA2805140) if kind_of else b""
-        chunks = version + b"COMM" + struct.pack(">I", len(comm)) + comm + b"SSND" + struct.pack(">III", len(body) + 8, 0, 0) + body + bytes(len(body) % 2)
-        return b"FORM" + struct.pack(">I", 4 + len(chunks)) + (b"AIFC" if kind_of else b"AIFF") + chunks
+        chunks = (b"FVER" + struct.pack(">II", 4, 0xA2805140) if kind_of else b"") + b"COMM" + struct.pack(">I", len(comm)) + comm
+        return b"FORM" + struct.pack(">I", 4 + len(chunks) + 16 + size + size % 2) + (b"AIFC" if kind_of else b"AIFF") + chunks + b"SSND" + struct.pack(">III", size + 8, 0, 0)
     if container == "au":
         code = {"s8": 2, "s16": 3, "s24": 4, "s32": 5, "f32": 6, "f64": 7}[kind]
-        body = to_pcm(x, kind, big=True)
-        return b".snd" + struct.pack(">IIIII", 28, len(body), code, rate, channels) + bytes(4) + body
+        return b".snd" + struct.pack(">IIIII", 28, min(size, 0xFFFFFFFF), code, rate, channels) + bytes(4)
     if container == "caf":
-        body = to_pcm(x, kind, big=True)
         desc = struct.pack(">d4sIIIII", float(rate), b"lpcm", 1 if kind[0] == "f" else 0, channels * width, 1, channels, width * 8)
-        return b"caff" + struct.pack(">HH", 1, 0) + b"desc" + struct.pack(">q", len(desc)) + desc + b"data" + struct.pack(">qI", len(body) + 4, 0) + body
+        return b"caff" + struct.pack(">HH", 1, 0) + b"desc" + struct.pack(">q", len(desc)) + desc + b"data" + struct.pack(">qI", size + 4, 0)
     raise ValueError(f"no container {container}")
 
 
+def body(x: np.ndarray, container: str, kind: str) -> bytes:
+    """Samples (frames, channels) as they stand in a container."""
+    return to_pcm(x, kind, big=container in ("aiff", "au", "caf"))
+
+
+def tail(n: int, channels: int, container: str, kind: str) -> bytes:
+    """What stands behind them: chunks have even sizes."""
+    return bytes(n * channels * (int(kind[1:]) // 8) % 2) if container in ("wav", "aiff") else b""
+
+
+def encode(x: np.ndarray, rate: int, container: str, kind: str) -> bytes:
+    """Samples (frames, channels) in a container."""
+    n, channels = x.shape
+    return head(n, channels, rate, container, kind) + body(x, container, kind) + tail(n, channels, container, kind)
+
+
 def _chunks(data: bytes, at: int, size: str, even: bool) -> Iterator[tuple[bytes, bytes]]:
     head = struct.Struct(size)
     while at + head.size <= len(data):
