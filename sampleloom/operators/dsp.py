@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import f32, f64
 from . import kernels, scans
-from .measure import fine_peaks, look_ahead_peak, true_peak
-from .runs import by_run
+from .measure import BLOCK, fine_peaks, look_ahead_peak, true_peak
+from .runs import by_block, by_run
 from .shape import TURN, lengths
 
 
@@ -43,12 +42,19 @@ def _lengthened(frames: DataFrame, kernel) -> DataFrame:
     return by_run(frames, ["clip", "channel"], "sample", kernel, "clip bigint, channel int, frame bigint, sample float")
 
 
-def resample(frames: DataFrame, rate: int, to: int) -> DataFrame:
-    return _lengthened(frames, lambda x, n, _: kernels.resample_runs(x, n, to / rate))
+def _resampled(frames: DataFrame, ratio: float, block: int) -> DataFrame:
+    reach = kernels.resample_reach(ratio)
+    work = lambda x, n, k: kernels.resample_blocks(x, n, k, block, ratio)
+    made = by_block(frames, block, reach, reach, work, "clip bigint, channel int, block bigint, frame bigint, sample float")
+    return made.select("clip", "channel", (F.ceil(F.col("block") * float(block) * ratio) + F.col("frame")).alias("frame"), "sample")
 
 
-def speed(frames: DataFrame, factor: float) -> DataFrame:
-    return _lengthened(frames, lambda x, n, _: kernels.resample_runs(x, n, 1 / factor))
+def resample(frames: DataFrame, rate: int, to: int, block: int = BLOCK) -> DataFrame:
+    return _resampled(frames, to / rate, block)
+
+
+def speed(frames: DataFrame, factor: float, block: int = BLOCK) -> DataFrame:
+    return _resampled(frames, 1 / factor, block)
 
 
 def tempo(frames: DataFrame, factor: float, rate: int) -> DataFrame:
@@ -125,21 +131,15 @@ def spectrum(frames: DataFrame, rate: int, size: int) -> DataFrame:
 
 
 def spectrogram(frames: DataFrame, rate: int, size: int, hop: int) -> DataFrame:
-    """(clip, channel, col, t, bin, hz, magnitude): a column each hop, the last ones padded with zeros. Each column is a group
-    of at most ``size`` samples, so long clips spread over all tasks."""
-    f = F.col("frame")
-    first = F.greatest(F.lit(0).cast("bigint"), F.floor((f - size) / hop).cast("bigint") + 1)
-    columns = frames.withColumn("col", F.explode(F.sequence(first, F.floor(f / hop).cast("bigint"))))
-    made = columns.groupBy("clip", "channel", "col").agg(F.array_sort(F.collect_list(F.struct("frame", "sample"))).alias("_all"))
-    hertz = np.arange(size // 2 + 1) * rate / size
-
-    @F.pandas_udf("array<double>")
-    def magnitudes(samples: pd.Series) -> pd.Series:
-        rows = np.zeros((len(samples), size))
-        counts = samples.map(len).to_numpy()
-        rows[np.arange(size) < counts[:, None]] = np.concatenate([*samples, np.zeros(0)])
-        return pd.Series(list(kernels.spectra(rows)))
-
-    listed = made.select("clip", "channel", "col", magnitudes(F.transform("_all", lambda x: x["sample"])).alias("m"))
-    each = listed.select("clip", "channel", "col", F.posexplode("m").alias("bin", "magnitude"))
-    return each.select("clip", "channel", "col", (F.col("col") * hop / rate).alias("t"), "bin", (F.col("bin") * float(hertz[1])).alias("hz"), "magnitude")
+    """(clip, channel, col, t, bin, hz, magnitude): a column each hop, the last ones padded with zeros. Columns are dealt in
+    blocks that share what the last ones of a block reach over its end, so each frame travels little more than once."""
+    columns, bins = max(1, -(-max(BLOCK, 8 * size) // hop)), size // 2 + 1
+    work = lambda x, n, k: kernels.columns_of(x, n, k, size, hop, columns)
+    kept = frames if hop <= size else frames.where(F.pmod("frame", F.lit(hop)) < size)
+    if hop > size:  # frames between the columns are not dealt
+        kept = kept.withColumn("frame", F.floor(F.col("frame") / hop).cast("bigint") * size + F.pmod("frame", F.lit(hop)))
+        work = lambda x, n, k: kernels.columns_of(x, n, k, size, size, columns)
+    step = min(hop, size)
+    made = by_block(kept, columns * step, 0, size - step, work, "clip bigint, channel int, block bigint, frame bigint, magnitude double")
+    col, bin_ = (F.col("block") * columns + F.floor(F.col("frame") / bins)).cast("bigint"), F.pmod("frame", F.lit(bins)).cast("int")
+    return made.select("clip", "channel", col.alias("col"), (col * hop / rate).alias("t"), bin_.alias("bin"), (bin_ * (rate / size)).alias("hz"), "magnitude")

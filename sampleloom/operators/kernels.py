@@ -57,6 +57,13 @@ def in_rows(x: np.ndarray, sizes: np.ndarray, most: int = 1 << 22):
         yield which, places, inside, rows
 
 
+def own_part(sizes: np.ndarray, blocks: np.ndarray, size: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """(skip, own): of runs that begin up to ``before`` frames before their block, how many frames come before it and how
+    many belong to it."""
+    skip = np.minimum(blocks * size, before)
+    return skip, np.clip(sizes - skip, 0, size)
+
+
 def by_rows(kernel, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """What ``kernel`` makes of each run of samples; it takes and gives rows of one width, zeros behind shorter runs."""
     out = np.zeros(len(x))
@@ -120,12 +127,16 @@ def true_peak_kernel() -> np.ndarray:
     return (np.sinc(i / 4 - 16) * (0.42 - 0.5 * np.cos(TURN * i / 127) + 0.08 * np.cos(2 * TURN * i / 127))).reshape(32, 4)
 
 
-def true_peaks(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each run, the largest magnitude at four places between samples, zeros beyond the ends."""
+def true_peaks(x: np.ndarray, sizes: np.ndarray, skip: np.ndarray | int = 0, own: np.ndarray | None = None) -> np.ndarray:
+    """For each run, the largest magnitude at four places between samples, zeros beyond the ends; of ``own`` samples behind
+    the first ``skip`` ones, if given."""
     kernel, out = true_peak_kernel(), np.zeros(len(sizes))
-    for which, _, inside, rows in in_rows(x, sizes, 1 << 17):
+    skip, own = np.broadcast_to(skip, sizes.shape), sizes if own is None else own
+    for which, _, _, rows in in_rows(x, sizes, 1 << 17):
+        at = np.arange(rows.shape[1])
+        inside = (at >= skip[which][:, None]) & (at < (skip + own)[which][:, None])
         padded = np.pad(rows, ((0, 0), (16, 16)))
-        top = np.abs(rows).max(1)
+        top = np.where(inside, np.abs(rows), 0).max(1)
         for lo in range(0, rows.shape[1], 1 << 15):
             taps = np.lib.stride_tricks.sliding_window_view(padded[:, lo : lo + (1 << 15) + 31], 32, axis=1)[:, : rows.shape[1] - lo]
             between = np.abs(taps @ kernel).max(2)
@@ -177,14 +188,14 @@ def sinc_weights(centre: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarr
     return j, w / w.sum(1, keepdims=True)
 
 
-def resample(x: np.ndarray, ratio: float, frames: int | None = None) -> np.ndarray:
-    """Samples of one run or of rows at places i / ratio; samples beyond an end are the last one."""
+def resample(x: np.ndarray, ratio: float, frames: int | None = None, start: float = 0.0) -> np.ndarray:
+    """Samples of one run or of rows at places start + i / ratio; samples beyond an end are the last one."""
     rows = np.atleast_2d(x)
     size = rows.shape[1]
     n = int(math.floor(size * ratio + 0.5)) if frames is None else frames
     out = np.zeros((len(rows), n), np.float32)
     for lo in range(0, n if size else 0, 4096):
-        centre = np.arange(lo, min(lo + 4096, n)) / ratio
+        centre = start + np.arange(lo, min(lo + 4096, n)) / ratio
         j, w = sinc_weights(centre, ratio)
         j = np.clip(j, 0, size - 1)
         if len(rows) < 4:
@@ -197,20 +208,45 @@ def resample(x: np.ndarray, ratio: float, frames: int | None = None) -> np.ndarr
     return out.reshape((*np.shape(x)[:-1], n))
 
 
-def resample_runs(x: np.ndarray, sizes: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Every run resampled, and the new sizes; runs of one size go together."""
-    made = np.floor(sizes * ratio + 0.5).astype(np.int64)
-    out, first, start = np.zeros(int(made.sum()), np.float32), np.cumsum(sizes) - sizes, np.cumsum(made) - made
-    for size in np.unique(sizes).tolist():
-        same = np.flatnonzero(sizes == size)
-        for i in range(0, len(same), step := max(1, (1 << 20) // max(1, size))):
+def resample_reach(ratio: float) -> int:
+    """Frames on either side that a resampled place reads."""
+    return int(math.ceil(32 / (0.97 * min(ratio, 1.0)))) + 2
+
+
+def resampled_first(blocks: np.ndarray, size: int, ratio: float) -> np.ndarray:
+    """The first resampled place of each block of ``size`` frames."""
+    return np.ceil(blocks * size * ratio).astype(np.int64)
+
+
+def resample_blocks(x: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, size: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Every block resampled from runs that reach over it on both sides, and the new sizes; runs that look alike go together.
+    A run that ends before its reach does is the end of its clip."""
+    reach = resample_reach(ratio)
+    skip, own = own_part(sizes, blocks, size, reach)
+    begin, end = resampled_first(blocks, size, ratio), resampled_first(blocks + 1, size, ratio)
+    frames = blocks * size - skip + sizes  # of the clip, where it ends in sight
+    end = np.where(frames < (blocks + 1) * size + reach, np.minimum(end, np.floor(frames * ratio + 0.5).astype(np.int64)), end)
+    made = np.where(own > 0, np.maximum(end - begin, 0), 0)
+    first, to = np.cumsum(sizes) - sizes, np.cumsum(made) - made
+    out = np.zeros(int(made.sum()), np.float32)
+    start = begin / ratio - (blocks * size - skip)
+    kinds, number = np.unique(np.stack([sizes, made, start], 1), axis=0, return_inverse=True)
+    order = np.argsort(number.ravel(), kind="stable")
+    cuts = np.searchsorted(number.ravel()[order], np.arange(len(kinds) + 1))
+    for k, (n, new, at) in enumerate(kinds.tolist()):
+        n, new, same = int(n), int(new), order[cuts[k] : cuts[k + 1]]
+        for i in range(0, len(same) if new else 0, step := max(1, (1 << 20) // max(1, n))):
             part = same[i : i + step]
-            rows = x[first[part][:, None] + np.arange(size)].astype(np.float64)
-            new = resample(rows, ratio)
-            out[start[part][:, None] + np.arange(new.shape[1])] = new
+            rows = x[first[part][:, None] + np.arange(n)].astype(np.float64)
+            out[to[part][:, None] + np.arange(new)] = resample(rows, ratio, new, at)
     return out, made
 
 
+def resample_runs(x: np.ndarray, sizes: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Every run resampled as a whole, and the new sizes."""
+    return resample_blocks(x, sizes, np.zeros(len(sizes), np.int64), 1 << 40, ratio)
+
+
 def tempo_sizes(rate: int) -> tuple[int, int, int]:
     """Window, hop and search radius of changes of tempo."""
     window = max(256, int(math.floor(0.05 * rate + 0.5))) & ~1
@@ -360,10 +396,12 @@ def fine_kernel() -> np.ndarray:
     return w / w.sum(0)
 
 
-def fine_peaks(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def fine_peaks(x: np.ndarray, sizes: np.ndarray, begins: np.ndarray | bool = True, ends: np.ndarray | bool = True) -> np.ndarray:
     """For each sample of each run the largest magnitude from it to the next one by eightfold reconstruction; the first
-    and last samples answer for what rings before and after the run, too."""
+    and last samples of a clip answer for what rings before and after it, too. Runs may be without their clip's beginning or
+    end; there, 32 samples on either side only serve the others."""
     kernel, out = fine_kernel(), np.zeros(len(x))
+    begins, ends = np.broadcast_to(begins, sizes.shape), np.broadcast_to(ends, sizes.shape)
     for which, places, inside, rows in in_rows(x, sizes, 1 << 16):
         n, width = sizes[which], rows.shape[1]
         padded = np.pad(rows, ((0, 0), (63, 64)))
@@ -372,14 +410,29 @@ def fine_peaks(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             views = np.lib.stride_tricks.sliding_window_view(padded[:, lo : lo + (1 << 14) + 63], 64, axis=1)[:, : width + 64 - lo]
             top[:, lo : lo + (1 << 14)] = np.abs(views @ kernel).max(2)
         peak = np.maximum(np.abs(rows), top[:, 32 : 32 + width])
-        peak[:, 0] = np.maximum(peak[:, 0], top[:, :32].max(1))
+        peak[:, 0] = np.maximum(peak[:, 0], np.where(begins[which], top[:, :32].max(1), 0))
         at = np.arange(width + 64) - 32
         rings = np.where((at >= n[:, None]) & (at < n[:, None] + 32), top, 0).max(1)
-        peak[np.arange(len(rows)), n - 1] = np.maximum(peak[np.arange(len(rows)), n - 1], rings)
+        peak[np.arange(len(rows)), n - 1] = np.maximum(peak[np.arange(len(rows)), n - 1], np.where(ends[which], rings, 0))
         out[places] = peak[inside]
     return out
 
 
+def columns_of(x: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, size: int, hop: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Magnitudes of all bins of each column that begins in each block of ``columns`` hops, and their number; columns reach
+    over the block's end, and over the clip's into zeros."""
+    made = np.clip(-(-sizes // hop), 0, columns)
+    first = np.cumsum(sizes) - sizes
+    run = np.repeat(np.arange(len(sizes)), made)
+    start = ragged(made) * hop
+    bins, out, step = size // 2 + 1, np.zeros((len(run), size // 2 + 1)), max(1, (1 << 20) // size)
+    padded = np.append(x, np.float32(0))
+    for lo in range(0, len(run), step):
+        r, at = run[lo : lo + step], start[lo : lo + step][:, None] + np.arange(size)
+        out[lo : lo + step] = spectra(padded[np.where(at < sizes[r][:, None], first[r][:, None] + at, len(x))].astype(np.float64))
+    return out.ravel(), made * bins
+
+
 def spectra(rows: np.ndarray) -> np.ndarray:
     """Magnitudes of rows of samples under a symmetric Hann window."""
     size = rows.shape[1]

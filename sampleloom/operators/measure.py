@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import f32, f64, from_db, to_db
 from . import kernels, scans
-from .runs import by_run, per_channel  # noqa: F401
+from .runs import by_block, by_run, per_channel  # noqa: F401
 
 
 def level() -> Column:
@@ -29,6 +29,35 @@ def clip_levels(frames: DataFrame) -> DataFrame:
     return found.select("clip", "frames", "peak", to_db(F.col("peak")).alias("peak_db"), "mean_square", F.sqrt("mean_square").alias("rms"), to_db(F.sqrt("mean_square")).alias("rms_db"))
 
 
+#: Bits of magnitude that share a limb, and bits below a limb's magnitude that are kept: more than the 24 of a sample.
+LIMB, KEPT = 16, 26
+
+
+def exact_limbs(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, limb, n, total, squares): whole-number sums of samples and of their squares, exact and so the same in any order
+    and at any number of partitions.
+
+    Samples of magnitudes between two powers of 2^16 are whole numbers after one shift, as 32-bit floats have 24 digits; the
+    limb says which shift. Sums add up as decimals, in parts before a shuffle.
+    """
+    x = level()
+    limb = F.when(x == 0, F.lit(0)).otherwise(F.floor(F.log2(F.abs(x)) / LIMB)).cast("int")
+    whole = (x * F.pow(F.lit(2.0), F.lit(KEPT) - F.col("limb") * LIMB)).cast("decimal(19,0)")
+    cut = frames.withColumn("limb", limb).withColumn("_whole", whole)
+    return cut.groupBy(*keys, "limb").agg(F.count(F.lit(1)).alias("n"), F.sum("_whole").cast("decimal(38,0)").alias("total"), F.sum((F.col("_whole") * F.col("_whole")).cast("decimal(38,0)")).cast("decimal(38,0)").alias("squares"))
+
+
+def exact_levels(frames: DataFrame) -> DataFrame:
+    """(clip, n, mean, mean_square, rms, rms_db) over all channels, bit by bit the same at every run: limbs are added from the
+    smallest on."""
+    limbs = exact_limbs(frames, ["clip"])
+    listed = limbs.groupBy("clip").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("limb", "total", "squares"))).alias("_all"))
+    shift = lambda x, times: F.pow(F.lit(2.0), (x["limb"] * LIMB - KEPT) * times)
+    added = lambda name, times: F.aggregate("_all", F.lit(0.0), lambda s, x: s + x[name].cast("double") * shift(x, times))
+    out = listed.select("clip", "n", (added("total", 1) / F.col("n")).alias("mean"), (added("squares", 2) / F.col("n")).alias("mean_square"))
+    return out.withColumn("rms", F.sqrt("mean_square")).withColumn("rms_db", to_db(F.col("rms")))
+
+
 def dc_means(frames: DataFrame) -> DataFrame:
     return frames.groupBy("clip", "channel").agg(F.avg(level()).alias("mean"))
 
@@ -138,13 +167,21 @@ def lufs(power: Column) -> Column:
     return F.when(power > 0, -0.691 + 10 * F.log10(power)).otherwise(F.lit(float("-inf")))
 
 
-def gated(blocks: DataFrame) -> DataFrame:
-    """(clip, lufs, range_lu, momentary): blocks of at least -70 LUFS whose loudness is at least their mean less 10; the range
-    lies between the values at whole-number ranks of those blocks."""
+def gated_blocks(blocks: DataFrame) -> DataFrame:
+    """Adds to each block its loudness ``l``, and whether it is ``_kept``: at least -70 LUFS, and at least the mean of those
+    less 10."""
     clip = Window.partitionBy("clip")
-    silent = F.lit(float("-inf"))
     b = blocks.withColumn("l", lufs(F.col("power"))).withColumn("_mean", lufs(F.avg(F.when(F.col("l") >= -70, F.col("power"))).over(clip)))
     b = b.withColumn("_kept", F.coalesce((F.col("l") >= -70) & (F.col("l") >= F.col("_mean") - 10), F.lit(False)))
+    return b
+
+
+def gated(blocks: DataFrame) -> DataFrame:
+    """(clip, lufs, range_lu, momentary) by the blocks that are kept; the range lies between the values at whole-number ranks
+    of those blocks."""
+    clip = Window.partitionBy("clip")
+    silent = F.lit(float("-inf"))
+    b = gated_blocks(blocks)
     b = b.withColumn("_n", F.count(F.when(F.col("_kept"), 1)).over(clip)).withColumn("_r", F.row_number().over(clip.orderBy(F.desc("_kept"), "l")) - 1)
     at = lambda rank: F.max(F.when(F.col("_kept") & (F.col("_r") == rank), F.col("l")))
     out = b.groupBy("clip").agg(
@@ -168,13 +205,25 @@ def loudness(frames: DataFrame, rate: int) -> DataFrame:
     return gated(loudness_blocks(frames, rate))
 
 
-def true_peak(frames: DataFrame) -> DataFrame:
+#: Frames of a block whose edges are shared with its neighbours.
+BLOCK = 1 << 14
+
+
+def true_peak(frames: DataFrame, block: int = BLOCK) -> DataFrame:
     """(clip, true_peak, true_peak_db): the largest magnitude between samples, by fourfold interpolation."""
-    each = by_run(frames, ["clip", "channel"], "sample", lambda x, n, _: (kernels.true_peaks(x, n), np.ones(len(n), np.int64)), "clip bigint, channel int, peak double")
+    work = lambda x, n, k: (kernels.true_peaks(x, n, *kernels.own_part(n, k, block, 16)), np.ones(len(n), np.int64))
+    each = by_block(frames, block, 16, 15, work, "clip bigint, channel int, block bigint, peak double")
     peaks = each.groupBy("clip").agg(F.max("peak").alias("true_peak"))
     return peaks.select("clip", "true_peak", to_db(F.col("true_peak")).alias("true_peak_db"))
 
 
-def fine_peaks(frames: DataFrame) -> DataFrame:
+def fine_peaks(frames: DataFrame, block: int = BLOCK) -> DataFrame:
     """(clip, channel, frame, peak): magnitudes up to the next sample by eightfold reconstruction."""
-    return by_run(frames, ["clip", "channel"], "sample", lambda x, n, _: (kernels.fine_peaks(x, n), n), "clip bigint, channel int, frame bigint, peak double")
+
+    def work(x: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        skip, own = kernels.own_part(n, k, block, 64)
+        peaks = kernels.fine_peaks(x, n, k == 0, skip + own == n)
+        return peaks[np.repeat(np.cumsum(n) - n + skip, own) + kernels.ragged(own)], own
+
+    dealt = by_block(frames, block, 64, 64, work, "clip bigint, channel int, block bigint, frame bigint, peak double")
+    return dealt.select("clip", "channel", (F.col("block") * block + F.col("frame")).alias("frame"), "peak")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import f32, f64
+from . import scans
 from .shape import TURN
 
 SOUND_SPEED = 343.3
@@ -36,6 +37,69 @@ def sequence_choice(triggers: DataFrame, sources: int, span: int = SPAN) -> Data
     return numbered.withColumn("choice", F.pmod(F.col("_n") - 1, F.lit(sources))).drop("_n")
 
 
+def draw(name: Column, number: Column, what: str = "") -> Column:
+    """A whole number of 52 bits by name and number: the same at every run, in any order of rows."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(name.cast("string"), F.lit("")), F.lit(what), number.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
+
+
+def random_choice(triggers: DataFrame, sources: int, span: int = SPAN) -> DataFrame:
+    """Adds ``choice``: each trigger of a name draws one of its sources."""
+    numbered = _running(triggers, "name", F.lit(1), "_n", span)
+    return numbered.withColumn("choice", F.pmod(draw(F.col("name"), F.col("_n")), F.lit(sources)).cast("int")).drop("_n")
+
+
+def shuffled_choice(triggers: DataFrame, sources: int, span: int = SPAN) -> DataFrame:
+    """Adds ``choice``: each name takes all its sources once a cycle, in an order drawn for the cycle, and never one twice in a
+    row: a cycle that would begin with the last one of the cycle before changes its first with one that is not its last, so
+    no cycle depends on more than the draws of the one before it. Two sources take turns."""
+    numbered = _running(triggers, "name", F.lit(1), "_n", span)
+    name, cycle, at = F.col("name"), F.floor((F.col("_n") - 1) / sources).cast("bigint"), F.pmod(F.col("_n") - 1, F.lit(sources)).cast("int")
+    if sources == 1:
+        return numbered.withColumn("choice", F.lit(0)).drop("_n")
+    if sources == 2:
+        return numbered.withColumn("choice", F.pmod(draw(name, F.lit(0)) + F.col("_n") - 1, F.lit(2)).cast("int")).drop("_n")
+    places = F.sequence(F.lit(0), F.lit(sources - 1))
+    order = lambda c: F.transform(F.array_sort(F.transform(places, lambda i: F.struct(draw(name, c * sources + i).alias("d"), i.alias("i")))), lambda x: x["i"])
+    dealt = numbered.withColumn("_order", order(cycle)).withColumn("_last", F.when(cycle > 0, F.element_at(order(cycle - 1), sources)))
+    other = 1 + F.pmod(draw(name, cycle, "edge"), F.lit(sources - 2)).cast("int")
+    twice = F.coalesce(F.element_at("_order", 1) == F.col("_last"), F.lit(False))
+    place = F.when(twice & (at == 0), other).when(twice & (at == other), F.lit(0)).otherwise(at)
+    return dealt.withColumn("choice", F.get(F.col("_order"), place)).drop("_n", "_order", "_last")
+
+
+def previous(rows: DataFrame, by: str, columns: list[str], span: int = SPAN) -> DataFrame:
+    """Adds ``was_<column>`` of the row before, of the same key by (frame, seq); null for the first. A key's stretches of time are
+    dealt apart, and what came last before a stretch is looked up in one row for each."""
+    values = F.struct("frame", "seq", *(c for c in columns if c not in ("frame", "seq")))
+    parted = rows.withColumn("_part", F.floor(F.col("frame") / span).cast("bigint"))
+    carried = F.last("_end", ignorenulls=True).over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = parted.groupBy(by, "_part").agg(F.max(values).alias("_end")).select(F.col(by).alias("_k"), F.col("_part").alias("_p"), carried.alias("_before"))
+    own = F.lag(values).over(Window.partitionBy(by, "_part").orderBy("frame", "seq"))
+    met = parted.withColumn("_own", own).join(ends, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    return met.withColumn("_found", F.coalesce("_own", "_before")).select(*rows.columns, *(F.col(f"_found.{c}").alias(f"was_{c}") for c in columns))
+
+
+def retargeted_ramps(changes: DataFrame, by: str, initial: float = 1.0, span: int = SPAN) -> DataFrame:
+    """Adds ``origin`` to changes (by, frame, seq, value, length): where a straight ramp starts, which is what the one before it
+    has reached when it is cut short.
+
+    The value at a change is an affine map of the origin before it, and no more than the target where the ramp has ended. So
+    a key falls into islands that begin where ramps ended, and only islands are walked in order.
+    """
+    met = previous(changes, by, ["frame", "value", "length"], span)
+    done = F.when(F.col("was_length") > 0, F.least(F.lit(1.0), (F.col("frame") - F.col("was_frame")) / F.col("was_length"))).otherwise(F.lit(1.0))
+    met = met.withColumn("_t", done)
+    parts = _running(met, by, F.when(F.col("_t") >= 1, 1).otherwise(0), "_island", span)
+    order = Window.partitionBy(by, "_island").orderBy("frame", "seq")
+    parts = parts.withColumn("_rank", F.row_number().over(order).cast("bigint"))
+    parts = parts.withColumn("_a", 1 - F.col("_t")).withColumn("_b", F.when(F.col("was_value").isNull(), F.lit(float(initial))).otherwise(F.col("_t") * F.col("was_value").cast("double")))
+    steps = parts.select(F.col(by).alias("_by"), "_island", (F.col("_rank") - 1).alias("block"), "_a", "_b")
+    walked = scans.entered(steps, ["_by", "_island"], ["_a", "_b"], lambda o, v: o * v[:, :1] + v[:, 1:], [float(initial)], ["origin"])
+    same = F.col(by).eqNullSafe(F.col("_by")) & (parts["_island"] == walked["_island"]) & (F.col("_rank") == F.col("block"))
+    return parts.join(walked, same).select(*changes.columns, "origin")
+
+
 def islands(triggers: DataFrame, gap: int, by: str, span: int = SPAN) -> DataFrame:
     """Adds ``island``: a number that goes up, within each key, where the trigger before is at least ``gap`` frames ago."""
     parted = triggers.withColumn("_part", F.floor(F.col("frame") / span).cast("bigint"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -57,3 +58,14 @@ def by_run(rows: DataFrame, keys: list[str], value: str, kernel, schema: str) ->
 def per_channel(frames: DataFrame, kernel) -> DataFrame:
     """Runs a kernel on each channel of each clip; it takes and gives rows of samples of one width."""
     return by_run(frames, ["clip", "channel"], "sample", lambda x, n, _: (kernels.by_rows(kernel, x, n).astype(np.float32), n), "clip bigint, channel int, frame bigint, sample float")
+
+
+def by_block(frames: DataFrame, size: int, before: int, after: int, kernel, schema: str) -> DataFrame:
+    """Deals each channel of each clip in blocks of ``size`` frames, with ``before`` frames of the block before and ``after``
+    of the one behind, so a long clip is the work of many tasks. ``kernel`` takes (samples, sizes, numbers of the blocks) of
+    many runs at once; a run that has only frames of its neighbours is behind the clip's end. The schema has clip, channel
+    and block first; the rest is as with ``by_run``."""
+    at = F.col("frame")
+    spread = F.sequence(F.greatest(F.lit(0).cast("bigint"), F.floor((at - after) / size).cast("bigint")), F.floor((at + before) / size).cast("bigint"))
+    dealt = frames.select("clip", "channel", F.explode(spread).alias("block"), "frame", "sample")
+    return by_run(dealt, ["clip", "channel", "block"], "sample", kernel, schema)

@@ -37,7 +37,7 @@ def entered(ends: DataFrame, keys: list[str], values: list[str], step: Callable[
         for b in batches:
             if not b.num_rows:
                 continue
-            columns = [b.column(k).to_numpy() for k in keys]
+            columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
             v = np.stack([b.column(c).to_numpy() for c in values], 1)
             first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
             size = np.diff(np.append(first, len(v)))

@@ -58,18 +58,38 @@ def tempo_map(changes: DataFrame, rate: int, ticks_per_quarter: int) -> DataFram
     return changes.withColumn("_part", part.cast("decimal(38,9)")).withColumn("before", F.sum("_part").over(order).cast("decimal(38,9)") / 1000).select("tick", "milli_bpm", F.col("before").cast("decimal(30,9)").alias("before"))
 
 
+def _latest(rows: DataFrame, column: str, table: DataFrame, at: str, fields: list[str]) -> DataFrame:
+    """Each row with the ``fields`` of the last entry of a tempo map at or before it, the greatest of those at one place. Maps
+    are settings: their entries are counted up to ``MAP_CHANGES``, and up to as many they are one array beside every row."""
+    if table.limit(MAP_CHANGES + 1).count() <= MAP_CHANGES:
+        whole = table.agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("_at"), *fields))).alias("_map"))
+        met = rows.crossJoin(F.broadcast(whole)).withColumn("_t", F.try_element_at(F.filter("_map", lambda x: x["_at"] <= F.col(column)), F.lit(-1)))
+        return met.select(*rows.columns, *(F.col(f"_t.{f}").alias(f) for f in fields))
+    return as_of(rows, table.select(F.col(at).alias(column), *fields), [], column, fields, MAP_SPAN)
+
+
 def ticks_to_frames(rows: DataFrame, column: str, tempos: DataFrame, rate: int, ticks_per_quarter: int) -> DataFrame:
     """Adds ``<column>_frame``: the frame of a tick under a tempo map, halves up."""
-    named = rows.withColumnRenamed(column, "tick")
-    entry = F.struct("tick", "milli_bpm", "before")
-    if tempos.limit(MAP_CHANGES + 1).count() <= MAP_CHANGES:
-        whole = tempos.agg(F.array_sort(F.collect_list(entry)).alias("_map"))  # one row of at most MAP_CHANGES entries
-        rated = named.crossJoin(F.broadcast(whole)).withColumn("_t", F.try_element_at(F.filter("_map", lambda x: x["tick"] <= F.col("tick")), F.lit(-1)))
-        rated = rated.select(*named.columns, F.col("_t.tick").alias("_from"), "_t.milli_bpm", "_t.before")
-    else:
-        rated = as_of(named, tempos.select("tick", F.col("tick").alias("_from"), "milli_bpm", "before"), [], "tick", ["_from", "milli_bpm", "before"], MAP_SPAN)
-    frames = F.col("before") + ((F.col("tick") - F.col("_from")).cast("decimal(20,0)") * F.lit(rate * 60_000).cast("decimal(14,0)") / (F.col("milli_bpm") * ticks_per_quarter).cast("decimal(18,0)")).cast("decimal(30,9)")
-    return rated.withColumn(f"{column}_frame", F.floor(frames + 0.5).cast("bigint")).withColumnRenamed("tick", column).drop("_from", "milli_bpm", "before")
+    named = tempos.select("tick", F.col("tick").alias("_from"), F.col("milli_bpm").alias("_bpm"), F.col("before").alias("_before"))
+    rated = _latest(rows, column, named, "tick", ["_from", "_bpm", "_before"])
+    frames = F.col("_before") + ((F.col(column) - F.col("_from")).cast("decimal(20,0)") * F.lit(rate * 60_000).cast("decimal(14,0)") / (F.col("_bpm") * ticks_per_quarter).cast("decimal(18,0)")).cast("decimal(30,9)")
+    return rated.select(*rows.columns, F.floor(frames + 0.5).cast("bigint").alias(f"{column}_frame"))
+
+
+def beat_clock(rows: DataFrame, column: str, tempos: DataFrame, rate: int) -> DataFrame:
+    """Adds ``<column>_beats``: the quarter notes up to a frame under a tempo map, exactly, in parts of 1 / (60,000 rate).
+
+    Between the frames of two changes the clock runs in whole numbers, so it never drifts; a change holds from its own
+    rounded frame on, of several at one frame the last one.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy("tick")  # few rows
+    placed = tempos.select("tick", "milli_bpm", F.floor(F.col("before") + 0.5).cast("decimal(20,0)").alias("_frame"))
+    part = (F.col("_frame") - F.coalesce(F.lag("_frame").over(order), F.lit(0))) * F.coalesce(F.lag("milli_bpm").over(order), F.lit(0)).cast("decimal(10,0)")
+    clock = placed.withColumn("_part", part.cast("decimal(38,0)")).withColumn("_beats", F.sum("_part").over(order).cast("decimal(38,0)"))
+    clock = clock.select(F.col("_frame").cast("bigint").alias("_from"), F.col("tick").alias("_tick"), F.col("milli_bpm").alias("_bpm"), "_beats")
+    rated = _latest(rows, column, clock.withColumn("_place", F.col("_from")), "_place", ["_tick", "_from", "_bpm", "_beats"])
+    beats = F.col("_beats") + (F.col(column) - F.col("_from")).cast("decimal(20,0)") * F.col("_bpm").cast("decimal(10,0)")
+    return rated.withColumn(f"{column}_beats", beats.cast("decimal(38,0)")).select(*rows.columns, f"{column}_beats")
 
 
 def note_frames(notes: DataFrame, rate: int, bpm: int, ticks_per_quarter: int) -> DataFrame:
@@ -95,12 +115,6 @@ def ramp_value(frame: Column, start: Column, length: Column, origin: Column, to:
     return F.when(frame >= start + length, to).when(to >= origin, rise).otherwise(fall)
 
 
-def ramps(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``origin`` to changes (keys, frame, value, length): the value that the one before had aimed for."""
-    order = Window.partitionBy(*keys).orderBy("frame", "seq")
-    return changes.withColumn("origin", F.lag("value", 1).over(order)).withColumn("origin", F.coalesce("origin", F.lit(1.0)))
-
-
 def lanes(rows: DataFrame, note_changes: DataFrame, instrument_changes: DataFrame, span: int = LANE_SPAN) -> DataFrame:
     """The control value of each (instrument, note, frame): the note's own lane before its instrument's. An instrument may
     hold a large part of all rows, so its lane is looked up by stretches of ``span`` frames."""

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.units import f64, format_duration, frame_index, parse_time, rounded
+from ..functions.units import f32, f64, format_duration, frame_index, parse_time, rounded
 from ..operators import dsp, kernels, levels, measure, shape
 from ..sources import bindings as b
 from ..sources.bindings import EMB_SQL, LINE_SQL
@@ -200,6 +200,62 @@ def normalize_lufs(spark, d):
     return report.select("clip", rounded(F.col("measured")).alias("measured"), rounded(F.col("gain_db")).alias("gain_db"))
 
 
+_LINES = LINE_SQL.partition(",\nframes")[0]  # without the long form
+_QUIET = "CASE WHEN clip % 4 < 3 AND clip // 4 % 3 = 0 THEN 1e-6::DOUBLE WHEN clip % 4 < 3 AND clip // 4 % 3 = 1 THEN 1e-3::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+@query(
+    "loudness_gates",
+    f"""WITH RECURSIVE {_LINES},
+part AS MATERIALIZED (SELECT clip // 4 AS clip, row_number() OVER (PARTITION BY clip // 4 ORDER BY clip, frame) - 1 AS frame, CAST(CAST(l AS DOUBLE) * {_QUIET} AS FLOAT) AS l, CAST(CAST(r AS DOUBLE) * {_QUIET} AS FLOAT) AS r FROM line),
+frames AS MATERIALIZED (SELECT clip, 0 AS channel, frame, l AS sample FROM part UNION ALL SELECT clip, 1, frame, r FROM part), {_k_weighting_sql(4000)},
+n AS (SELECT clip, max(frame) + 1 AS n FROM w GROUP BY clip), b AS (SELECT n.clip, CASE WHEN n < 1600 THEN -1 ELSE i END AS block, least(n, 1600) AS size, CASE WHEN n < 1600 THEN 0 ELSE i * 400 END AS a FROM n, generate_series(0, CASE WHEN n < 1600 THEN 0 ELSE (n - 1600) // 400 END) t(i)),
+p AS (SELECT b.clip, block, sum(x * x) / any_value(size) AS p FROM b JOIN w ON w.clip = b.clip AND w.frame >= a AND w.frame < a + size GROUP BY 1, 2),
+l AS (SELECT *, -0.691::DOUBLE + 10 * log10(p) AS l FROM p), g AS (SELECT *, -0.691::DOUBLE + 10 * log10(avg(p) FILTER (WHERE l >= -70) OVER (PARTITION BY clip)) - 10 AS gate FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY l) - 1 AS r, count(*) OVER (PARTITION BY clip) AS n FROM g WHERE block >= 0 AND l >= -70 AND l >= gate),
+m AS (SELECT clip, -0.691::DOUBLE + 10 * log10(avg(p)) AS lufs, max(CASE WHEN r = least(n * 95 // 100, n - 1) THEN l END) - max(CASE WHEN r = n // 10 THEN l END) AS range_lu, any_value(n) AS gated FROM k GROUP BY clip),
+t AS (SELECT clip, max(l) AS top, min(block) AS least, count(*) AS blocks FROM l GROUP BY clip)
+SELECT t.clip, blocks, coalesce(gated, 0) AS gated, round(CASE WHEN least < 0 THEN top ELSE lufs END, 4) + 0.0 AS lufs, round(coalesce(range_lu, 0.0), 4) + 0.0 AS range_lu, round(top, 4) + 0.0 AS momentary FROM t LEFT JOIN m ON m.clip = t.clip WHERE least < 0 OR lufs IS NOT NULL""",
+)
+def loudness_gates(spark, d):
+    """Clips of four suppliers each, three of them far below the fourth in two clips of three, so that both gates bite."""
+    line = b.line_stereo(spark, d)
+    loud = F.when(F.col("clip") % 4 < 3, F.element_at(F.array(F.lit(1e-6), F.lit(1e-3), F.lit(1.0)), (F.floor(F.col("clip") / 4) % 3 + 1).cast("int"))).otherwise(1.0)
+    group = F.floor(F.col("clip") / 4).cast("bigint")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("clip", "frame")) - 1
+    parts = line.select(group.alias("clip"), place.cast("bigint").alias("frame"), F.array(*(f32(f64(F.col(c)) * loud) for c in "lr")).alias("both"))
+    parts = parts.select("clip", "frame", F.posexplode("both").alias("channel", "sample"))
+    blocks = measure.loudness_blocks(parts.select("clip", "channel", "frame", "sample"), 4000)
+    kept = measure.gated_blocks(blocks).groupBy("clip").agg(F.count(F.lit(1)).alias("blocks"), F.count(F.when(F.col("_kept") & (F.col("block") >= 0), 1)).alias("gated"))
+    out = measure.gated(blocks).join(kept, "clip").where(F.col("momentary") > float("-inf"))
+    return out.select("clip", "blocks", "gated", *(rounded(F.col(c), 4).alias(c) for c in ("lufs", "range_lu", "momentary")))
+
+
+_LIMBS = f"SELECT clip, CAST(CASE WHEN sample = 0 THEN 0 ELSE floor(log2(abs({S})) / 16) END AS INT) AS limb, {S} AS x FROM frames"
+
+
+@query(
+    "exact_limbs",
+    f"""WITH {LINE_SQL}, l AS ({_LIMBS}), w AS (SELECT clip, limb, CAST(x * pow(2.0::DOUBLE, 26 - limb * 16) AS HUGEINT) AS w FROM l)
+SELECT clip, limb, count(*) AS n, CAST(sum(w) AS VARCHAR) AS total, CAST(sum(w * w) AS VARCHAR) AS squares FROM w GROUP BY 1, 2""",
+)
+def exact_limbs(spark, d):
+    out = measure.exact_limbs(b.line_frames(spark, d), ["clip"])
+    return out.select("clip", "limb", "n", F.col("total").cast("string").alias("total"), F.col("squares").cast("string").alias("squares"))
+
+
+@query(
+    "exact_levels",
+    f"""WITH {LINE_SQL}, l AS ({_LIMBS}), w AS (SELECT clip, limb, CAST(x * pow(2.0::DOUBLE, 26 - limb * 16) AS HUGEINT) AS w FROM l),
+s AS (SELECT clip, limb, count(*) AS n, CAST(sum(w) AS DOUBLE) * pow(2.0::DOUBLE, limb * 16 - 26) AS t, CAST(sum(w * w) AS DOUBLE) * pow(2.0::DOUBLE, (limb * 16 - 26) * 2) AS q FROM w GROUP BY 1, 2),
+a AS (SELECT clip, CAST(sum(n) AS BIGINT) AS n, list_sum(list(t ORDER BY limb)) / sum(n) AS mean, list_sum(list(q ORDER BY limb)) / sum(n) AS ms FROM s GROUP BY clip)
+SELECT clip, n, round(mean, 12) + 0.0 AS mean, round(ms, 12) + 0.0 AS mean_square, round(sqrt(ms), 9) + 0.0 AS rms, round(20 * log10(sqrt(ms)), 9) + 0.0 AS rms_db FROM a""",
+)
+def exact_levels(spark, d):
+    out = measure.exact_levels(b.line_frames(spark, d))
+    return out.select("clip", "n", *(rounded(F.col(c), 12).alias(c) for c in ("mean", "mean_square")), *(rounded(F.col(c), 9).alias(c) for c in ("rms", "rms_db")))
+
+
 _V = f"({S} * pow(10.0::DOUBLE, 12.0 / 20))"
 
 

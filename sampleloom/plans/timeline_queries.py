@@ -62,6 +62,23 @@ def tempo_map(spark, d):
     return timeline.ticks_to_frames(b.notes(spark, d).select("note", "start"), "start", tempos, RATE, TPQ).select("note", "start", "start_frame")
 
 
+@query(
+    "beat_clock",
+    f"""WITH {NOTE_SQL}, c(tick, m) AS (VALUES {_T}), g AS (SELECT tick, m, tick - lag(tick, 1, 0) OVER (ORDER BY tick) AS span, coalesce(lag(m) OVER (ORDER BY tick), m) AS pm FROM c),
+f AS (SELECT tick, m, CAST(floor(sum(span * 48000.0::DOUBLE * 60000 / (pm * 48.0::DOUBLE)) OVER (ORDER BY tick ROWS UNBOUNDED PRECEDING) + 0.5) AS BIGINT) AS fr FROM g),
+h AS (SELECT tick, m, fr, sum((fr - coalesce(lag_fr, 0)) * coalesce(lag_m, 0)) OVER (ORDER BY tick ROWS UNBOUNDED PRECEDING) AS parts FROM (SELECT *, lag(fr) OVER (ORDER BY tick) AS lag_fr, lag(m) OVER (ORDER BY tick) AS lag_m FROM f)),
+x AS (SELECT note, start * 711 AS frame FROM notes), y AS (SELECT note, frame, CAST(parts AS BIGINT) + (frame - fr) * m AS parts FROM x ASOF JOIN h ON x.frame >= h.fr)
+SELECT note, frame, parts, parts // 2880000000 AS beat, parts % 2880000000 * 48 // 2880000000 AS tick FROM y""",
+)
+def beat_clock(spark, d):
+    """The exact beat, and the tick in it, of a frame for each note."""
+    tempos = timeline.tempo_map(spark.createDataFrame(TEMPOS, "tick bigint, milli_bpm int"), RATE, TPQ)
+    rows = b.notes(spark, d).select("note", (F.col("start") * 711).alias("frame"))
+    parts, whole = F.col("frame_beats").cast("bigint"), F.lit(RATE * 60_000).cast("bigint")
+    out = timeline.beat_clock(rows, "frame", tempos, RATE)
+    return out.select("note", "frame", parts.alias("parts"), F.floor(parts / whole).cast("bigint").alias("beat"), F.floor(parts % whole * TPQ / whole).cast("bigint").alias("tick"))
+
+
 @query("note_hertz", f"WITH {NOTE_SQL} SELECT note, {r6('440 * pow(2.0::DOUBLE, (midi - 69) / 12.0::DOUBLE)')} AS hz, CAST(greatest(0, least(2047, floor(1789773 / (16 * 440 * pow(2.0::DOUBLE, (midi - 69) / 12.0::DOUBLE)) - 1 + 0.5))) AS INT) AS timer FROM notes")
 def note_hertz(spark, d):
     hz = units.midi_to_hz(F.col("midi"))
@@ -77,14 +94,14 @@ def note_names(spark, d):
 
 @query(
     "control_lanes",
-    f"""WITH {TRIGGER_SQL}, r AS (SELECT seq, key % 5 AS instrument, key AS note, frame FROM triggers WHERE name <> 'click'),
+    f"""WITH {TRIGGER_SQL}, r AS (SELECT seq, key % 5 AS instrument, key AS note, frame FROM triggers),
 i AS (SELECT key % 5 AS instrument, frame, max(gain) AS v FROM triggers WHERE seq % 7 = 0 GROUP BY 1, 2), o AS (SELECT key AS note, frame, max(gain) AS v FROM triggers WHERE seq % 11 = 0 GROUP BY 1, 2),
 a AS (SELECT r.*, o.v AS own FROM r ASOF LEFT JOIN o ON r.note = o.note AND r.frame >= o.frame)
 SELECT a.seq, a.instrument, a.note, a.frame, {r6('coalesce(own, i.v)')} AS value FROM a ASOF LEFT JOIN i ON a.instrument = i.instrument AND a.frame >= i.frame""",
 )
 def control_lanes(spark, d):
     t = b.triggers(spark, d)
-    rows = t.where("name <> 'click'").select("seq", (F.col("key") % 5).alias("instrument"), F.col("key").alias("note"), "frame")
+    rows = t.select("seq", (F.col("key") % 5).alias("instrument"), F.col("key").alias("note"), "frame")
     instrument = t.where("seq % 7 = 0").groupBy((F.col("key") % 5).alias("instrument"), "frame").agg(F.max("gain").alias("value"))
     own = t.where("seq % 11 = 0").groupBy((F.col("key") % 5).alias("instrument"), F.col("key").alias("note"), "frame").agg(F.max("gain").alias("value"))
     return timeline.lanes(rows, own, instrument).select("seq", "instrument", "note", "frame", rounded(F.col("value")).alias("value"))
@@ -138,6 +155,41 @@ def sequence_choice(spark, d):
     return mixing.sequence_choice(b.triggers(spark, d), 3).select("seq", "name", F.col("choice").cast("int").alias("choice"))
 
 
+def _draw_sql(name: str, number: str, what: str = "") -> str:
+    return f"CAST(CAST('0x' || substr(md5({name} || ':{what}:' || CAST({number} AS VARCHAR)), 1, 13) AS BIGINT) AS BIGINT)"
+
+
+@query("random_choice", f"WITH {TRIGGER_SQL}, n AS (SELECT seq, name, row_number() OVER (PARTITION BY name ORDER BY frame, seq) AS n FROM triggers) SELECT seq, name, CAST({_draw_sql('name', 'n')} % 5 AS INT) AS choice FROM n")
+def random_choice(spark, d):
+    return mixing.random_choice(b.triggers(spark, d), 5).select("seq", "name", "choice")
+
+
+@query(
+    "shuffled_choice",
+    f"""WITH {TRIGGER_SQL}, n AS (SELECT seq, name, row_number() OVER (PARTITION BY name ORDER BY frame, seq) - 1 AS n FROM triggers),
+d AS (SELECT name, n // 5 AS cycle, i, row_number() OVER (PARTITION BY name, n // 5 ORDER BY {_draw_sql('name', 'n // 5 * 5 + i')}, i) - 1 AS place FROM (SELECT DISTINCT name, n // 5 * 5 AS n FROM n), generate_series(0, 4) t(i)),
+o AS (SELECT name, cycle, list(i ORDER BY place) AS o FROM d GROUP BY 1, 2),
+e AS (SELECT name, cycle, o, coalesce(o[1] = lag(o[5]) OVER (PARTITION BY name ORDER BY cycle), false) AS twice, CAST(1 + {_draw_sql('name', 'cycle', 'edge')} % 3 AS INT) AS other FROM o)
+SELECT seq, n.name, CAST(o[1 + CASE WHEN twice AND n % 5 = 0 THEN other WHEN twice AND n % 5 = other THEN 0 ELSE n % 5 END] AS INT) AS choice FROM n JOIN e ON e.name = n.name AND e.cycle = n.n // 5""",
+)
+def shuffled_choice(spark, d):
+    return mixing.shuffled_choice(b.triggers(spark, d), 5).select("seq", "name", "choice")
+
+
+@query(
+    "retargeted_ramps",
+    f"""WITH RECURSIVE {TRIGGER_SQL}, c AS (SELECT seq, key, frame, gain AS value, seq % 4 * 40000000 AS length, row_number() OVER (PARTITION BY key ORDER BY frame, seq) AS i FROM triggers),
+o(key, i, seq, frame, value, length, origin) AS (SELECT key, i, seq, frame, value, length, 1.0::DOUBLE FROM c WHERE i = 1
+UNION ALL SELECT c.key, c.i, c.seq, c.frame, c.value, c.length, o.origin + (o.value - o.origin) * CASE WHEN o.length > 0 THEN least(1.0::DOUBLE, (c.frame - o.frame) / o.length::DOUBLE) ELSE 1.0 END FROM o JOIN c ON c.key = o.key AND c.i = o.i + 1)
+SELECT seq, key, {r6('origin')} AS origin FROM o""",
+)
+def retargeted_ramps(spark, d):
+    """Where the gain of each user's sound stands when it is sent to another value."""
+    t = b.triggers(spark, d)
+    changes = t.select("seq", "key", "frame", F.col("gain").alias("value"), (F.col("seq") % 4 * 40_000_000).alias("length"))
+    return mixing.retargeted_ramps(changes, "key").select("seq", "key", rounded(F.col("origin")).alias("origin"))
+
+
 @query(
     "min_gap",
     f"""WITH RECURSIVE {TRIGGER_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY frame, seq) AS i FROM triggers),
@@ -396,14 +448,16 @@ def spoken_words(spark, d):
 @query(
     "spoken_at",
     f"""WITH {_spoken('conv_id, turn', 'conversations')}, z AS (SELECT *, coalesce(sum((syl * 120 + CASE WHEN ended THEN 36 ELSE 0 END + rest) * 1000) OVER (PARTITION BY conv_id, turn ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS us FROM y),
-m AS (SELECT conv_id, turn, word, CAST((us * 48000 + 500000) // 1000000 AS BIGINT) AS a, CAST((us * 48000 + 500000) // 1000000 AS BIGINT) + syl * 5760 AS e FROM z), r AS (SELECT conv_id, turn, CAST(i * 24000 AS BIGINT) AS frame FROM (SELECT DISTINCT conv_id, turn FROM conversations), generate_series(0, 9) t(i))
+m AS (SELECT conv_id, turn, word, CAST((us * 48000 + 500000) // 1000000 AS BIGINT) AS a, CAST((us * 48000 + 500000) // 1000000 AS BIGINT) + syl * 5760 AS e FROM z), q AS (SELECT c.conv_id, c.turn, coalesce(max(e), 0) // 24000 AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations) c LEFT JOIN m ON m.conv_id = c.conv_id AND m.turn = c.turn GROUP BY 1, 2),
+r AS (SELECT conv_id, turn, CAST(i * 24000 AS BIGINT) AS frame FROM q, generate_series(0, n) t(i))
 SELECT r.conv_id, r.turn, r.frame, CASE WHEN r.frame < m.e THEN m.word END AS word FROM r ASOF LEFT JOIN m ON m.conv_id = r.conv_id AND m.turn = r.turn AND r.frame >= m.a""",
 )
 def spoken_at(spark, d):
-    """The word that is spoken at every half second of the first five of each turn."""
+    """The word that is spoken at every half second of each turn."""
     turns = b.table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
     placed = voice.placed_words(turns, "id", 48_000).withColumn("end", F.col("on") + F.size(voice.syllables(F.col("word"))) * (48 * voice.SYLLABLE_MS))
-    rows = turns.select("id").distinct().select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("id", (F.col("i") * 24_000).cast("bigint").alias("frame"))
+    last = placed.groupBy("id").agg(F.floor(F.max("end") / 24_000).cast("bigint").alias("n"))
+    rows = turns.select("id").distinct().join(last, "id", "left").select("id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("n", F.lit(0).cast("bigint")))).alias("i")).select("id", (F.col("i") * 24_000).alias("frame"))
     return timeline.marker_at(rows, placed.select("id", F.col("on").alias("start"), "end", "word"), ["id"], ["word"]).select("id.conv_id", "id.turn", "frame", "word")
 
 
