@@ -11,9 +11,10 @@ The steps: (1) texts with equal sets become one class, (2) its register values a
 with the least of the first members of its buckets, so n members cost n pairs, (4) buckets that still hold several
 components are compared in bounded blocks, strays (members outside the bucket's largest component) with all members:
 first each stray's best pair is verified, then all that the sketches do not rule out, on full sets inside the block,
-which gives a link only where it joins two components there, and (5) links become components by alternating star
-operations. A block of n members so gives less than n rows, however many of its pairs fail; rejected pairs never leave
-it. Nothing is collected. A pair at the threshold shares no band with probability 5e-6, and less beyond it.
+which gives a link only where it joins two components there, and (5) links become components: classes hang on the least
+class that they are linked with, and roots take the place of classes until no link is left between them. A block of n
+members so gives less than n rows, however many of its pairs fail; rejected pairs never leave it. Nothing is collected. A
+pair at the threshold shares no band with probability 5e-6, and less beyond it.
 
 Null and empty texts, and texts of white space, have empty sets, are linked with nothing and stay. Rows with a null id
 are linked as others are; a component is named by the least id that is not null, and by null if there is none. Rows of
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, lend, row_digest, scratch, store, table, texts_of
+from .common import free_name, lend, row_digest, scratch, store, table, texts_of
 
 WORDS = 5
 #: Similarity from which two sets are linked, as a percentage.
@@ -226,64 +227,35 @@ def _size_fits(a, b):
     return (100 * a >= PERCENT * b) & (100 * b >= PERCENT * a)
 
 
-def with_estimates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Keeps the pairs (a, b) whose estimate may reach the threshold."""
-    one = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-    two = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            if not t.num_rows:
-                continue
-            col = dict(zip(t.schema.names, t.columns))
-            x, y = (registers_of(col[c]) for c in ("ra", "rb"))
-            may = reaches(PERCENT / 100 - SLACK, *counts(x, y), *(col[c].to_numpy().astype(float) for c in ("na", "nb")))
-            yield pa.record_batch([col["a"], col["b"]], ["a", "b"]).filter(pa.array(may))
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint")
-
-
 def registers_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    one, two = texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), texts.select(F.col("c").alias("b"), F.col("text").alias("tb"))
+def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sketches do not rule out and whose full sets are similar enough; ``members`` has (c, n,
+    registers, text) of their classes."""
+    sides = [members.select(*(F.col(c).alias(c + side if c != "c" else side) for c in ("c", "n", "registers", "text"))) for side in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
+            if not t.num_rows:
+                continue
             col = dict(zip(t.schema.names, t.columns))
-            keep, ta, tb = [], col["ta"].to_pylist(), col["tb"].to_pylist()
-            for lo in range(0, t.num_rows, 64):
+            x, y = (registers_of(col[c]) for c in ("registersa", "registersb"))
+            may = np.flatnonzero(reaches(PERCENT / 100 - SLACK, *counts(x, y), *(col[c].to_numpy().astype(float) for c in ("na", "nb"))))
+            ta, tb = (col[c].take(pa.array(may)).to_pylist() for c in ("texta", "textb"))
+            keep = []
+            for lo in range(0, len(may), 64):
                 distinct = {x: i for i, x in enumerate(dict.fromkeys([*ta[lo : lo + 64], *tb[lo : lo + 64]]))}
                 sets = [s for part in chunks(list(distinct)) for s in shingles(part)]
-                for x, y in zip(ta[lo : lo + 64], tb[lo : lo + 64]):
-                    p, q = sets[distinct[x]], sets[distinct[y]]
+                for v, w in zip(ta[lo : lo + 64], tb[lo : lo + 64]):
+                    p, q = sets[distinct[v]], sets[distinct[w]]
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     keep.append(100 * both >= PERCENT * (len(p) + len(q) - both) and both > 0)
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch([col["a"], col["b"]], ["a", "b"]).take(pa.array(may[np.array(keep, bool)]))
 
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
-
-
-def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = store) -> DataFrame:
-    """(id, component) of every linked id: the least id that it reaches, by alternating large and small stars."""
-    edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        new = keep(small.distinct(), "edges")
-        said = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(edges)
-        edges = new
-        if said == state:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        state = said
+    met = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+    return met.select("a", "b", "na", "nb", "registersa", "registersb", "texta", "textb").mapInArrow(run, "a bigint, b bigint")
 
 
 def relabel(rows: DataFrame, comp: DataFrame, column: str) -> DataFrame:
@@ -292,19 +264,61 @@ def relabel(rows: DataFrame, comp: DataFrame, column: str) -> DataFrame:
     return rows.join(c, F.col(column) == F.col("_id"), "left").withColumn("c" + column, F.coalesce("_component", column)).drop("_id", "_component")
 
 
+def roots(parents: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(id, component) of (id, component) that say what each id hangs on, always something less: its root. Every pass
+    follows two steps at once."""
+    while True:
+        above = parents.select(F.col("id").alias("_id"), F.col("component").alias("_above"))
+        step = parents.join(above, F.col("component") == F.col("_id"), "left")
+        new = keep(step.select("id", F.coalesce("_above", "component").alias("component"), F.col("_above").isNotNull().alias("moved")), "roots")
+        if new.where("moved").isEmpty():
+            return new.select("id", "component")
+        parents = new.select("id", "component")
+
+
 class Linker:
-    """Components so far, joined by verified links."""
+    """Components of verified links (a, b): (id, component) of all linked ids but the components' own, each named by an id of
+    its own. Ids hang on the least id that they are linked with, roots take the place of ids, and so on with the links that
+    are left between roots."""
 
     def __init__(self, keep: Callable[[DataFrame, str], DataFrame], spark: SparkSession):
-        self.keep, self.links, self.comp = keep, None, spark.createDataFrame([], "id bigint, component bigint")
+        self.keep, self.links, self.comp, self.empty = keep, [], spark.createDataFrame([], "id bigint, component bigint"), True
+
+    def _between(self, links: DataFrame) -> DataFrame:
+        """(u, v): the links that are left between components, the larger first."""
+        met = links.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")) if self.empty else relabel(relabel(links.select("a", "b"), self.comp, "a"), self.comp, "b")
+        return self.keep(met.where("ca <> cb").select(F.greatest("ca", "cb").alias("u"), F.least("ca", "cb").alias("v")).distinct(), "between")
+
+    def _hang(self, edges: DataFrame) -> None:
+        made = roots(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")), self.keep)
+        if not self.empty:
+            old = relabel(self.comp, made, "component").select("id", F.col("ccomponent").alias("component"))
+            made = self.keep(old.unionByName(made), "components")
+        self.comp, self.empty = made, False
 
     def add(self, found: DataFrame) -> None:
-        """Takes verified links (a, b)."""
-        found = self.keep(found, "links")
-        if not found.isEmpty():
-            self.links = found if self.links is None else self.keep(self.links.unionByName(found), "links")
-            old, self.comp = self.comp, components(self.links, self.keep)
-            discard(old)
+        """Takes links; components join as far as one pass does it, which may leave some apart until ``finish``."""
+        self.links.append(self.keep(found, "links"))
+        edges = self._between(self.links[-1])
+        if not edges.isEmpty():
+            self._hang(edges)
+
+    def finish(self) -> DataFrame:
+        """The components by all links."""
+        edges = None
+        for links in self.links:
+            edges = links if edges is None else edges.unionByName(links)
+        while edges is not None and not (edges := self._between(edges)).isEmpty():
+            self._hang(edges)
+            edges = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
+        return self.comp
+
+
+def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = store) -> DataFrame:
+    """(id, component) of every linked id but the least of each component: the least id that it reaches."""
+    linker = Linker(keep, links.sparkSession)
+    linker.add(links)
+    return linker.finish()
 
 
 def blocks(buckets: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
@@ -455,17 +469,18 @@ def labelled(docs: DataFrame, key: str, keep: Callable[[DataFrame, str], DataFra
     # Buckets of one member go; the first member of the others is compared with the rest.
     heads = banded.groupBy("band", "value").agg(F.min(F.struct("c", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "value", F.col("head.c").alias("a"), F.col("head.n").alias("na"))
     buckets = keep(banded.join(heads, ["band", "value"]), "buckets")
-    involved = classes.join(buckets.select("c").distinct(), "c", "left_semi").select("c", "row")
-    texts = docs.select(row_digest(F.col(key), F.col("text")).alias("row"), "text").join(involved, "row").dropDuplicates(["row"]).drop("row")
-    texts = keep(texts, "texts")
+    involved = classes.join(buckets.select("c").distinct(), "c", "left_semi").select("c", "row", "n", "registers")
+    members = docs.select(row_digest(F.col(key), F.col("text")).alias("row"), "text").join(involved, "row").dropDuplicates(["row"]).drop("row")
+    members = keep(members, "members")
     linker = Linker(keep, docs.sparkSession)
     # One pair for each member, with the least of its buckets' first members; members of a crowd mostly share it.
     stars = buckets.where("c <> a").where(_size_fits(F.col("n"), F.col("na"))).groupBy(F.col("c").alias("b")).agg(F.min("a").alias("a"))
-    linker.add(verified(with_estimates(stars, classes), texts))
+    linker.add(verified(stars, members))
     # Then the best pair of each stray: most strays of a crowd join its component by it, and their other pairs are spared.
-    buckets = buckets.select("band", "value", "c", "n")
-    linker.add(verified(keep(best_pairs(blocks(buckets, linker.comp, classes)), "best"), texts))
-    linker.add(links_in_blocks(keep(in_question(blocks(buckets, linker.comp, classes)), "in-question"), texts))
+    buckets, texts = buckets.select("band", "value", "c", "n"), members.select("c", "text")
+    linker.add(verified(keep(best_pairs(blocks(buckets, linker.comp, members)), "best"), members))
+    linker.add(links_in_blocks(keep(in_question(blocks(buckets, linker.comp, members)), "in-question"), texts))
+    linker.finish()
     found = relabel(classes.select("digest", "c"), linker.comp, "c").select("digest", F.col("cc").alias("component"))
     return made.select("id", "row", "n", "digest").join(found, "digest", "left")
 
