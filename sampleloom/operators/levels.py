@@ -47,17 +47,24 @@ def remove_dc(frames: DataFrame) -> DataFrame:
 
 
 def normalize(frames: DataFrame, to: float, by: str = "peak", rate: int = 48_000, ceiling: float = -1.0) -> tuple[DataFrame, DataFrame]:
-    """The frames at the target level, and a report (clip, measured, gain_db). Silent clips stay as they are.
+    """The frames at the target level, and a report (clip, measured, gain_db, limited_by_peak). Silent and wholly gated clips
+    stay as they are.
 
-    ``by`` is peak, rms or lufs; the gain by loudness is kept so low that true peaks stay under the ceiling.
+    ``by`` is peak, true_peak, rms or lufs; the gain by loudness is kept so low that true peaks stay under the ceiling, which
+    the report says.
     """
+    wanted, most = to - F.col("measured"), F.lit(None).cast("double")
     if by == "lufs":
+        if rate < 4000:
+            raise ValueError("loudness needs a rate of 4000 Hz at least")
         level = loudness(frames, rate).join(true_peak(frames), "clip").select("clip", F.col("lufs").alias("measured"), F.col("true_peak_db").alias("_peak"))
-        wanted = F.least(to - F.col("measured"), ceiling - F.col("_peak"))
+        most = ceiling - F.col("_peak")
+    elif by == "true_peak":
+        level = true_peak(frames).select("clip", F.col("true_peak_db").alias("measured"))
     else:
         level = clip_levels(frames).select("clip", F.col({"peak": "peak_db", "rms": "rms_db"}[by]).alias("measured"))
-        wanted = to - F.col("measured")
-    report = level.select("clip", "measured", F.when(F.col("measured") > float("-inf"), wanted).otherwise(0.0).alias("gain_db"))
+    heard = F.col("measured") > float("-inf")
+    report = level.select("clip", "measured", F.when(heard, F.least(wanted, most)).otherwise(0.0).alias("gain_db"), (heard & F.coalesce(wanted > most, F.lit(False))).alias("limited_by_peak"))
     return gain(frames.join(report, "clip"), from_db(F.col("gain_db"))), report
 
 

@@ -262,18 +262,34 @@ def stereo_gains(x: Column) -> tuple[Column, Column]:
     return F.sin((0.25 - turns) * TURN), F.sin(turns * TURN)
 
 
-def place_3d(emitters: DataFrame, listener: DataFrame, near: float, far: float, rolloff: float, model: str, factor: float = 1.0) -> DataFrame:
-    """(voice, distance, gain, left, right, ratio) of emitters (voice, x, y, z, vx, vy, vz) for one listener at a place, looking
-    along -z with y up; the listener's one row is broadcast."""
+def place_3d(
+    emitters: DataFrame,
+    listener: DataFrame,
+    near: float,
+    far: float,
+    rolloff: float,
+    model: str,
+    factor: float = 1.0,
+    forward: tuple[float, float, float] = (0.0, 0.0, -1.0),
+    up: tuple[float, float, float] = (0.0, 1.0, 0.0),
+    layout: str | None = None,
+) -> DataFrame:
+    """(voice, distance, gain, left, right, ratio) of emitters (voice, x, y, z, vx, vy, vz) for one listener at a place, who looks
+    forward; the listener's one row is broadcast. With a layout there are ``gains`` of its channels instead of left and right."""
     met = emitters.crossJoin(F.broadcast(listener.limit(1)))
     dx, dy, dz = (F.col(c) - F.col(f"l{c}") for c in "xyz")
     d = F.sqrt(dx * dx + dy * dy + dz * dz)
     safe = F.when(d > 0, d).otherwise(1.0)
     toward = lambda p: (dx * F.col(f"{p}x") + dy * F.col(f"{p}y") + dz * F.col(f"{p}z")) / safe
-    flat = F.sqrt(dx * dx + dz * dz)
-    left, right = stereo_gains(F.when(flat > 0, dx / F.when(flat > 0, flat).otherwise(1.0)).otherwise(0.0))
+    aside, ahead = seen_by(dx, dy, dz, forward, up)
     gain = attenuation(d, near, far, rolloff, model)
-    return met.select("voice", d.alias("distance"), gain.alias("gain"), (gain * left).alias("left"), (gain * right).alias("right"), doppler(toward("lv"), toward("v"), factor).alias("ratio"))
+    if layout is None:
+        flat = F.sqrt(aside * aside + ahead * ahead)
+        left, right = stereo_gains(F.when(flat > 0, aside / F.when(flat > 0, flat).otherwise(1.0)).otherwise(0.0))
+        heard = [(gain * left).alias("left"), (gain * right).alias("right")]
+    else:
+        heard = [F.transform(speaker_gains(aside, ahead, layout), lambda g: g * gain).alias("gains")]
+    return met.select("voice", d.alias("distance"), gain.alias("gain"), *heard, doppler(toward("lv"), toward("v"), factor).alias("ratio"))
 
 
 def sum_to_buses(voices: DataFrame, frames: DataFrame) -> DataFrame:

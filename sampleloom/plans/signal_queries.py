@@ -538,6 +538,49 @@ def true_peak(spark, d):
     return measure.true_peak(b.emb_frames(spark, d)).select("clip", rounded(F.col("true_peak")).alias("true_peak"), rounded(F.col("true_peak_db")).alias("true_peak_db"))
 
 
+def _between_sql(frames: str, name: str) -> str:
+    """``name`` (clip, p): the largest magnitude of mono clips at and between samples, by fourfold interpolation."""
+    return f"""{name}_s AS (SELECT f.clip, g.frame AS i, phase, sum(CAST(f.sample AS DOUBLE) * v) AS x FROM {frames} g JOIN k4 ON true JOIN {frames} f ON f.clip = g.clip AND f.frame = g.frame + tap - 16 GROUP BY 1, 2, 3),
+{name} AS (SELECT clip, max(p) AS p FROM (SELECT clip, max(abs(x)) AS p FROM {name}_s GROUP BY 1 UNION ALL SELECT clip, max(abs({S})) FROM {frames} GROUP BY 1) GROUP BY 1)"""
+
+
+@query(
+    "normalize_true_peak",
+    f"""WITH {EMB_SQL}, k4(tap, phase, v) AS (VALUES {_taps()}), {_between_sql('frames', 't')}, g AS (SELECT clip, 20 * log10(p) AS measured FROM t)
+SELECT f.clip, frame, round(measured, 6) + 0.0 AS measured, round(-2.0 - measured, 6) + 0.0 AS gain_db, false AS limited_by_peak, {f32_sql(f'{S} * pow(10.0::DOUBLE, (-2.0 - measured) / 20)')} FROM frames f JOIN g ON g.clip = f.clip""",
+)
+def normalize_true_peak(spark, d):
+    frames, report = levels.normalize(b.emb_frames(spark, d), -2.0, "true_peak", b.EMB_RATE)
+    out = frames.select("clip", "frame", "sample").join(report, "clip")
+    return out.select("clip", "frame", rounded(F.col("measured")).alias("measured"), rounded(F.col("gain_db")).alias("gain_db"), "limited_by_peak", rounded(F.col("sample")).alias("sample"))
+
+
+def _fine_sql(frames: str, name: str) -> str:
+    """``name`` (clip, frame, peak) of mono clips of 64 samples: magnitudes up to the next sample by eightfold reconstruction,
+    what rings before and behind a clip with its first and last samples."""
+    zeros = lambda n: f"list_resize([0.0::DOUBLE], {n}, 0.0::DOUBLE)"
+    return f"""{name}_l AS MATERIALIZED (SELECT clip, list_concat(list_concat({zeros(63)}, list({S} ORDER BY frame)), {zeros(64)}) AS s FROM {frames} GROUP BY clip),
+{name}_s AS (SELECT clip, place, abs(list_inner_product(s[place + 33 : place + 96], w)) AS peak FROM {name}_l, generate_series(-32, 95) t(place), k8),
+{name} AS MATERIALIZED (SELECT clip, frame, max(peak) AS peak FROM (SELECT clip, greatest(0, least(63, place)) AS frame, peak FROM {name}_s UNION ALL SELECT clip, frame, abs({S}) FROM {frames}) GROUP BY 1, 2)"""
+
+
+def _fine_taps() -> str:
+    rows = []
+    for j in range(1, 8):
+        times = [i - 31 - j / 8 for i in range(64)]
+        w = [math.sin(math.pi * t) / (math.pi * t) * (0.42 + 0.5 * math.cos(2 * math.pi * t / 64) + 0.08 * math.cos(2 * math.pi * t / 32)) for t in times]
+        rows.append(f"([{', '.join(f'{x / sum(w)!r}::DOUBLE' for x in w)}])")
+    return ", ".join(rows)
+
+
+_HELD = f"{10 ** (-12.3 / 20) * (1 - 8 * 2.0**-23)!r}::DOUBLE"
+_LIMITED = f"""WITH RECURSIVE {EMB_SQL}, k4(tap, phase, v) AS MATERIALIZED (VALUES {_taps()}), k8(w) AS MATERIALIZED (VALUES {_fine_taps()}), {_fine_sql('frames', 'a')},
+p AS (SELECT clip, frame, least(1.0::DOUBLE, {_HELD} / max(peak) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)) AS t FROM a),
+g(clip, frame, gain) AS (SELECT clip, -1, 1.0::DOUBLE FROM (SELECT DISTINCT clip FROM frames)
+UNION ALL SELECT g.clip, p.frame, CASE WHEN t < gain THEN t ELSE t + (gain - t) * exp(-1.0::DOUBLE / 50) END FROM g JOIN p ON p.clip = g.clip AND p.frame = g.frame + 1),
+o AS MATERIALIZED (SELECT f.clip, f.frame, CAST({S} * gain AS FLOAT) AS sample FROM frames f JOIN g ON g.clip = f.clip AND g.frame = f.frame), {_fine_sql('o', 'c')}, {_between_sql('o', 't')},
+m AS (SELECT clip, least(1.0::DOUBLE, {_HELD} / max(p)) AS q FROM (SELECT clip, peak AS p FROM c UNION ALL SELECT clip, p FROM t) GROUP BY 1)
+SELECT o.clip, 0 AS channel, o.frame, {f32_sql(f'{S} * q')} FROM o JOIN m ON m.clip = o.clip"""
 _W = "(0.5 - 0.5 * cos(6.283185307179586::DOUBLE * i / 15))"
 
 
@@ -599,7 +642,7 @@ g(clip, frame, gain) AS (SELECT clip, -1, 1.0::DOUBLE FROM (SELECT DISTINCT clip
 UNION ALL SELECT g.clip, t.frame, t + (gain - t) * CASE WHEN t < gain THEN exp(-1000.0::DOUBLE / 48000) ELSE exp(-1000.0::DOUBLE / (20 * 48000)) END FROM g JOIN t ON t.clip = g.clip AND t.frame = g.frame + 1)
 SELECT f.clip, f.channel, f.frame, {f32_sql(f'{S} * gain')} FROM frames f JOIN g ON g.clip = f.clip AND g.frame = f.frame""",
 )
-_named("limit_true_peak", lambda s, d: dsp.limit_true_peak(b.emb_frames(s, d), b.EMB_RATE, -12.0))
+_named("limit_true_peak", lambda s, d: dsp.limit_true_peak(b.emb_frames(s, d), b.EMB_RATE, -12.0), _LIMITED)
 _G = math.tan(math.pi * 2000 / 48_000)
 _ONE_POLE = f"""WITH RECURSIVE {LINE_SQL}, y(clip, channel, frame, v, low, m) AS (SELECT clip, channel, -1, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT clip, channel FROM frames)
 UNION ALL SELECT y.clip, y.channel, f.frame, {S}, ({S} - m) * {_G / (1 + _G)!r}::DOUBLE + m, 2 * ({S} - m) * {_G / (1 + _G)!r}::DOUBLE + m FROM y JOIN frames f ON f.clip = y.clip AND f.channel = y.channel AND f.frame = y.frame + 1)

@@ -286,6 +286,22 @@ def speaker_pan_51(spark, d):
     return b.triggers(spark, d).select("seq", F.posexplode(mixing.speaker_gains(right, ahead, "5.1")).alias("channel", "gain")).withColumn("gain", rounded(F.col("gain")))
 
 
+@query(
+    "place_3d_51",
+    f"""WITH {TRIGGER_SQL}, e AS (SELECT seq, key % 31 - 15.5::DOUBLE - 1 AS x, gain / 100 AS y, key % 17 - 8.5::DOUBLE - 2 AS z FROM triggers),
+q AS (SELECT seq, 1 / (1 + 1.0::DOUBLE * (greatest(1.0, least(50.0, sqrt(x * x + y * y + z * z))) - 1)) AS gain, (x + 2 * z) / sqrt(5.0::DOUBLE) AS r, (2 * x - z) / sqrt(5.0::DOUBLE) AS f FROM e), d AS (SELECT seq, gain, r / sqrt(r * r + f * f) AS x, f / sqrt(r * r + f * f) AS z FROM q),
+p(i, a, ax, az, b, bx, bz) AS (VALUES {_SPEAKERS}), g AS (SELECT seq, gain, i, a, b, (x * bz - z * bx) / (ax * bz - bx * az) AS ga, (z * ax - x * az) / (ax * bz - bx * az) AS gb FROM d, p),
+h AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY i) AS k FROM g WHERE ga >= -1e-12 AND gb >= -1e-12)
+SELECT seq AS voice, CAST(c AS INT) AS channel, {r6('gain * CASE WHEN c = a THEN greatest(ga, 0.0) / sqrt(ga * ga + gb * gb) WHEN c = b THEN greatest(gb, 0.0) / sqrt(ga * ga + gb * gb) ELSE 0.0 END')} AS gain FROM h, generate_series(0, 5) t(c) WHERE k = 1""",
+)
+def place_3d_51(spark, d):
+    """Six channels round a listener who looks along (2, 0, -1)."""
+    emitters = b.triggers(spark, d).select(F.col("seq").alias("voice"), (F.col("key") % 31 - 15.5).alias("x"), (F.col("gain") / 100).alias("y"), (F.col("key") % 17 - 8.5).alias("z"), *(F.lit(0.0).alias(c) for c in ("vx", "vy", "vz")))
+    listener = spark.createDataFrame([(1.0, 0.0, 2.0, 3.0, 0.0, 0.0)], "lx double, ly double, lz double, lvx double, lvy double, lvz double")
+    out = mixing.place_3d(emitters, listener, 1.0, 50.0, 1.0, "inverse", forward=(2.0, 0.0, -1.0), layout="5.1")
+    return out.select("voice", F.posexplode("gains").alias("channel", "gain")).withColumn("gain", rounded(F.col("gain")))
+
+
 @query("quietest_victims", f"WITH {_VOICES} SELECT quantum, voice FROM (SELECT *, row_number() OVER (PARTITION BY quantum ORDER BY level, start, voice) AS r FROM v) WHERE r = 1")
 def quietest_victims(spark, d):
     return mixing.quietest_victim(_voices(spark, d))
