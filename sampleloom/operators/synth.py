@@ -28,7 +28,7 @@ def phase(step: Column, frame: Column) -> Column:
     return whole / float(CYCLE)
 
 
-def wave(t: Column, kind: str, duty: float = 0.5) -> Column:
+def wave(t: Column, kind: str, duty: float | Column = 0.5) -> Column:
     """The plain shapes at a phase."""
     return {
         "pulse": F.when(t < duty, 1.0).otherwise(-1.0),
@@ -44,7 +44,7 @@ def edge_correction(t: Column, dt: Column) -> Column:
     return F.when(t < dt, 2 * a - a * a - 1).when(t > 1 - dt, b * b + 2 * b + 1).otherwise(0.0)
 
 
-def smooth_wave(t: Column, dt: Column, kind: str, duty: float = 0.5) -> Column:
+def smooth_wave(t: Column, dt: Column, kind: str, duty: float | Column = 0.5) -> Column:
     """Pulse and saw with corrected edges."""
     if kind == "saw":
         return wave(t, "saw") - edge_correction(t, dt)
@@ -83,6 +83,42 @@ def render_effects(effects: DataFrame, rate: int) -> DataFrame:
     return stepped.select("effect", "frame", f32(wave(t, "triangle") * effect_level(F.col("frame")) * F.col("volume")).alias("sample"))
 
 
+def swept_cents(base: Column, age: Column, slide: Column, vibrato: tuple[float, int, int] | None = None, arpeggio: tuple[list[int], int] | None = None) -> Column:
+    """The pitch of a note at an age in frames: a slide by so many cents a frame, a vibrato (cents, period, delay) as a sine and
+    an arpeggio (semitones, frames of a step) in turn."""
+    cents = base + slide * age
+    if vibrato:
+        depth, period, delay = vibrato
+        turn = F.pmod(age - delay, F.lit(period)) / period
+        cents = cents + F.when(age >= delay, depth * F.sin(turn * TURN)).otherwise(0.0)
+    if arpeggio:
+        offsets, step = arpeggio
+        cents = cents + F.get(F.lit(offsets), F.pmod(F.floor(age / step), F.lit(len(offsets))).cast("int")) * 100
+    return cents
+
+
+def swept_duty(age: Column, first: float, duties: list[float], step: int) -> Column:
+    """The duty of a pulse at an age in frames: the first for one step, then the others in turn; the last one stays."""
+    place = F.least(F.floor(age / step) - 1, F.lit(len(duties) - 1).cast("bigint")).cast("int")
+    return F.when(age >= step, F.get(F.lit([float(d) for d in duties]), F.greatest(place, F.lit(0)))).otherwise(float(first))
+
+
+#: Frames of a stretch of a note whose phase steps are added up by themselves.
+STRETCH = 1 << 14
+
+
+def summed_phase(rows: DataFrame, by: str, step: Column, stretch: int = STRETCH) -> DataFrame:
+    """Adds ``phase``, 0 to 1, before each frame of (by, frame, …): whole-number steps of all frames before it. They are added
+    up within stretches of frames, and what comes before a stretch is a sum over one row for each, so a long note is many
+    tasks' work and never drifts."""
+    parted = rows.withColumn("_part", F.floor(F.col("frame") / stretch).cast("bigint")).withColumn("_step", step)
+    inside = F.sum("_step").over(Window.partitionBy(by, "_part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("_sum").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = parted.groupBy(by, "_part").agg(F.sum("_step").alias("_sum")).select(F.col(by).alias("_k"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    met = parted.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    return met.select(*rows.columns, (F.pmod(F.col("_inside") + F.col("_before"), F.lit(CYCLE)) / float(CYCLE)).alias("phase"))
+
+
 def drum_level(age: Column, length: int, attack: int) -> Column:
     rest = 1 - age / length
     return rest * rest * F.least(F.lit(1.0), age / attack)

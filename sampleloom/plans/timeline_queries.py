@@ -365,6 +365,28 @@ def oscillators(spark, d):
     return each.select("note", "frame", rounded(synth.wave(t, "pulse", 0.25)).alias("pulse"), rounded(synth.wave(t, "triangle")).alias("triangle"), rounded(synth.smooth_wave(t, step / float(synth.CYCLE), "saw")).alias("saw"))
 
 
+_SWEPT_CENTS = "(midi - 69) * 100 + (midi % 5 - 2) * 2400 / 48000.0::DOUBLE * i + CASE WHEN i >= 8 THEN 30 * sin((i - 8) % 16 / 16.0::DOUBLE * 6.283185307179586) ELSE 0 END + [0, 4, 7][1 + i // 6 % 3] * 100"
+_EDGE = "CASE WHEN {0} < dt THEN 2 * ({0} / dt) - ({0} / dt) * ({0} / dt) - 1 WHEN {0} > 1 - dt THEN (({0} - 1) / dt) * (({0} - 1) / dt) + 2 * (({0} - 1) / dt) + 1 ELSE 0 END"
+
+
+@query(
+    "swept_notes",
+    f"""WITH {NOTE_SQL}, p AS (SELECT note, i, {_INC.format(f'440 * pow(2.0::DOUBLE, ({_SWEPT_CENTS}) / 1200.0::DOUBLE)')} AS inc FROM notes, generate_series(0, length - 1) g(i)),
+t AS (SELECT note, i, inc / 4294967296.0::DOUBLE AS dt, coalesce(sum(inc) OVER (PARTITION BY note ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 4294967296 / 4294967296.0::DOUBLE AS t,
+CASE WHEN i < 10 THEN 0.5::DOUBLE ELSE [0.125::DOUBLE, 0.25::DOUBLE, 0.75::DOUBLE][least(i // 10, 3)] END AS d FROM p), w AS (SELECT *, t - d + 1 - floor(t - d + 1) AS u FROM t)
+SELECT note, CAST(i AS BIGINT) AS frame, {r6('t')} AS phase, d AS duty, {r6(f"CASE WHEN t < d THEN 1.0 ELSE -1.0 END + {_EDGE.format('t')} - ({_EDGE.format('u')})")} AS pulse FROM w""",
+)
+def swept_notes(spark, d):
+    """Every frame of every note as a pulse whose pitch slides, shakes and steps and whose duty changes."""
+    each = synth.exploded(b.notes(spark, d), F.col("length"))
+    age = F.col("frame")
+    cents = synth.swept_cents((F.col("midi") - 69) * 100, age, (F.col("midi") % 5 - 2) * 2400 / 48_000, (30.0, 16, 8), ([0, 4, 7], 6))
+    each = each.withColumn("step", synth.increment(units.cents_to_hz(cents), 48_000)).withColumn("duty", synth.swept_duty(age, 0.5, [0.125, 0.25, 0.75], 10))
+    out = synth.summed_phase(each, "note", F.col("step"))
+    pulse = synth.smooth_wave(F.col("phase"), F.col("step") / float(synth.CYCLE), "pulse", F.col("duty"))
+    return out.select("note", "frame", rounded(F.col("phase")).alias("phase"), "duty", rounded(pulse).alias("pulse"))
+
+
 def _effects(spark, d):
     size, price = F.col("p_size"), F.col("p_retailprice")
     return b.table(spark, d, "part").select(
