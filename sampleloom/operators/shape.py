@@ -43,6 +43,15 @@ def mismatches(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, "clip").where("first <> second")
 
 
+def _sized(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(clip, _a, _b): the frames of clips that both have; other numbers of channels are an error."""
+    a = lengths(first).select("clip", F.col("frames").alias("_a"), F.col("channels").alias("_ca"))
+    b = lengths(second).select("clip", F.col("frames").alias("_b"), F.col("channels").alias("_cb"))
+    text = F.concat(F.lit("clip "), F.col("clip").cast("string"), F.lit(" has "), F.col("_ca").cast("string"), F.lit(" channels, but "), F.col("_cb").cast("string"), F.lit(" in the other signal"))
+    checked = F.when(F.col("_ca") == F.col("_cb"), F.col("_a")).otherwise(F.raise_error(text).cast("bigint"))
+    return a.join(b, "clip").select("clip", checked.alias("_a"), "_b")
+
+
 def with_length(frames: DataFrame) -> DataFrame:
     return frames.join(lengths(frames), "clip")
 
@@ -95,7 +104,10 @@ def concat(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def mix(base: DataFrame, overlay: DataFrame, offset: int, gain: float, extend: bool) -> DataFrame:
-    """Adds the overlay in 32-bit floats from a frame on; frames before 0 are lost, those behind the end unless ``extend``."""
+    """Adds the overlay in 32-bit floats from a frame on; frames before 0 are lost, those behind the end unless ``extend``.
+    Clips with other numbers of channels in the two are an error."""
+    same = _sized(base, overlay).select("clip", F.col("_a").alias("_n"))
+    base = base.join(same, "clip", "left").where("_n is null or _n >= 0")  # what reads the number finds the error
     moved = overlay.select("clip", "channel", (F.col("frame") + offset).alias("frame"), F.col("sample").alias("_over")).where("frame >= 0")
     joined = base.join(moved, KEY, "full" if extend else "left")
     value = F.coalesce("sample", F.lit(0.0).cast("float")) + f32(F.coalesce("_over", F.lit(0.0).cast("float")) * F.lit(float(gain)).cast("float"))
@@ -103,8 +115,9 @@ def mix(base: DataFrame, overlay: DataFrame, offset: int, gain: float, extend: b
 
 
 def crossfade(first: DataFrame, second: DataFrame, duration: int) -> DataFrame:
-    """The end of the first clip fades into the second by a quarter turn of cosine and sine."""
-    size = lengths(first).select("clip", F.col("frames").alias("_a")).join(lengths(second).select("clip", F.col("frames").alias("_b")), "clip")
+    """The end of the first clip fades into the second by a quarter turn of cosine and sine. Clips with other numbers of
+    channels in the two are an error."""
+    size = _sized(first, second)
     size = size.select("clip", "_a", F.least(F.lit(duration).cast("bigint"), "_a", "_b").alias("_n"))
     left = first.join(size, "clip").select(*KEY, F.col("sample").alias("_x"), F.col("_a").alias("_la"), F.col("_n").alias("_ln"))
     right = second.join(size, "clip").select("clip", "channel", (F.col("frame") + F.col("_a") - F.col("_n")).alias("frame"), F.col("sample").alias("_y"), F.col("_a").alias("_ra"), F.col("_n").alias("_rn"))

@@ -90,6 +90,8 @@ def head(n: int, channels: int, rate: int, container: str, kind: str) -> bytes:
         if kind == "s8":
             raise ValueError("WAV keeps bytes unsigned")
         fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 3 if kind[0] == "f" else 1, channels, rate, rate * channels * width, channels * width, width * 8)
+        if kind[0] == "f" and n <= 0xFFFFFFFF:  # codes that are not linear say how many frames there are
+            fmt += b"fact" + struct.pack("<II", 4, n)
         whole = 4 + len(fmt) + 8 + size + size % 2
         if whole < 0xFFFFFFFF:
             return b"RIFF" + struct.pack("<I", whole) + b"WAVE" + fmt + b"data" + struct.pack("<I", size)
@@ -224,8 +226,12 @@ def decode(data: bytes) -> tuple[np.ndarray, int, str]:
         parts = dict(reversed(list(_chunks(data, 12, ">4sI", True))))
         channels, n, bits = struct.unpack_from(">hIh", parts[b"COMM"])
         rate, coding = _from_extended(parts[b"COMM"][8:18]), parts[b"COMM"][18:22]
-        kind = "f32" if coding in (b"fl32", b"FL32") else f"s{(bits + 7) // 8 * 8}"
-        return from_pcm(parts[b"SSND"][8:], kind, channels, coding != b"sowt")[:n], round(rate), kind
+        named = {b"fl32": "f32", b"fl64": "f64", b"alaw": "alaw", b"ulaw": "ulaw"}
+        kind = named.get(coding.lower(), f"s{(bits + 7) // 8 * 8}")
+        body = parts[b"SSND"][8 + struct.unpack_from(">I", parts[b"SSND"])[0] :]
+        if kind in ("alaw", "ulaw"):
+            return (companded(kind)[np.frombuffer(body, np.uint8)] / 32768).astype(np.float32).reshape(-1, channels)[:n], round(rate), kind
+        return from_pcm(body, kind, channels, coding != b"sowt")[:n], round(rate), kind
     if data[:4] == b".snd":
         start, size, code, rate, channels = struct.unpack_from(">IIIII", data, 4)
         kind = {2: "s8", 3: "s16", 4: "s24", 5: "s32", 6: "f32", 7: "f64"}[code]

@@ -123,3 +123,33 @@ def test_bad_clips_leave_no_files(spark, tmp_path):
     files.write_clips(good.limit(0), path, 8000, mode="overwrite")
     assert list((tmp_path / "out").iterdir()) == [] and files.read_frames(spark, path).count() == 0
     assert arrow_fs.LocalFileSystem().get_file_info(f"{tmp_path}/out").type == arrow_fs.FileType.Directory
+
+
+def test_coded_aiff_files():
+    body = bytes(range(256))
+    for coding, kind in ((b"ulaw", "ulaw"), (b"ALAW", "alaw")):
+        comm = struct.pack(">hIh", 2, 128, 16) + containers._extended(8000) + coding + b"\x00\x00"
+        chunks = b"COMM" + struct.pack(">I", len(comm)) + comm + b"SSND" + struct.pack(">III", 8 + 5 + 256, 5, 0) + b"?" * 5 + body + b"\x00"
+        data = b"FORM" + struct.pack(">I", 4 + len(chunks)) + b"AIFC" + chunks
+        x, rate, said = containers.decode(data)
+        want = (containers.companded(kind) / 32768).astype(np.float32).reshape(-1, 2)
+        assert np.array_equal(x, want) and (rate, said) == (8000, kind)
+        found = files.layout(lambda a, n, data=data: data[a : a + n], len(data))
+        assert found.frames == 128 and np.array_equal(found.samples(lambda a, n, data=data: data[a : a + n], 3, 9), want[3:9])
+    x = signal(40, 2)
+    comm = struct.pack(">hIh", 2, 40, 64) + containers._extended(8000) + b"fl64\x00\x00"
+    chunks = b"COMM" + struct.pack(">I", len(comm)) + comm + b"SSND" + struct.pack(">III", 8 + 640, 0, 0) + x.astype(">f8").tobytes()
+    data = b"FORM" + struct.pack(">I", 4 + len(chunks)) + b"AIFC" + chunks
+    assert np.array_equal(containers.decode(data)[0], x) and containers.decode(data)[2] == "f64"
+    coded = containers.encode(x, 8000, "wav", "f32")
+    assert b"fact" + struct.pack("<II", 4, 40) in coded and np.array_equal(containers.decode(coded)[0], x)
+
+
+def test_other_numbers_of_channels_are_an_error(spark):
+    from sampleloom.operators import shape
+
+    one, two = as_frames(spark, {1: signal(20, 1), 2: signal(20, 2)}), as_frames(spark, {1: signal(20, 2), 2: signal(20, 2)})
+    for made in (shape.mix(one, two, 0, 1.0, False), shape.mix(one, two, 0, 1.0, True), shape.crossfade(one, two, 4)):
+        with pytest.raises(Exception, match="clip 1 has 1 channels, but 2"):
+            made.collect()
+    assert shape.mix(one.where("clip = 2"), two, 0, 1.0, False).count() == 40
