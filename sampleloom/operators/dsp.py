@@ -38,6 +38,11 @@ def compress(frames: DataFrame, key: DataFrame, rate: int, threshold_db: float,
     return met.select("clip", "channel", "frame", f32(f64(F.col("sample")) * F.coalesce("gain", F.lit(1.0))).alias("sample"))
 
 
+def duck(frames: DataFrame, key: DataFrame, rate: int) -> DataFrame:
+    """Lowers frames far and fast while the key is heard, as music under speech (fixed values)."""
+    return compress(frames, key, rate, -30.0, 20.0, 5.0, 250.0)
+
+
 def _lengthened(frames: DataFrame, kernel) -> DataFrame:
     return by_run(frames, ["clip", "channel"], "sample", kernel, "clip bigint, channel int, frame bigint, sample float")
 

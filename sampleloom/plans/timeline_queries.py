@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import units
+from ..functions import checks, units
 from ..functions.units import f64, rounded
 from ..operators import levels, measure, mixing, shape, synth, timeline, voice
 from ..sources import bindings as b
@@ -554,6 +554,69 @@ def sniff_containers(spark, d):
     return both.select("clip", containers.sniff(F.col("content")).alias("container"))
 
 
+# Catalogues ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "voice_checks",
+    f"""WITH {TRIGGER_SQL} SELECT seq, regexp_full_match(v, '[A-Za-z0-9_.-]{{1,64}}') AS named, gain / 20 BETWEEN 0.0625 AND 8 AS rate_ok, gain - 60 BETWEEN -48 AND 48 AS pitch_ok, CASE seq % 10 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 4 THEN 51 WHEN 6 THEN 63 WHEN 8 THEN 1599 ELSE 0 END AS mask
+FROM (SELECT *, CASE seq % 4 WHEN 0 THEN name WHEN 1 THEN name || ' ' || key WHEN 2 THEN repeat(name, seq % 20) ELSE name || '.' || key || '-' || seq END AS v FROM triggers)""",
+)
+def voice_checks(spark, d):
+    """Names, playback rates, pitches and speaker bits of voices made from triggers."""
+    t, seq = b.triggers(spark, d), F.col("seq")
+    name = F.when(seq % 4 == 0, F.col("name")).when(seq % 4 == 1, F.concat_ws(" ", "name", "key")).when(seq % 4 == 2, F.expr("repeat(name, cast(seq % 20 as int))")).otherwise(F.concat("name", F.lit("."), F.col("key").cast("string"), F.lit("-"), seq.cast("string")))
+    return t.select("seq", checks.name_ok(name).alias("named"), checks.rate_ok(F.col("gain") / 20).alias("rate_ok"), checks.pitch_ok(F.col("gain") - 60).alias("pitch_ok"), F.coalesce(checks.channel_mask(seq % 10), F.lit(0)).alias("mask"))
+
+
+_TAGGED = "SELECT l_orderkey AS clip, ['INAM', 'artist', 'TRACKNUMBER', 'albumartist', 'Disc', 'isrc', 'mood'][1 + l_linenumber % 7] AS name, CASE WHEN l_partkey % 17 = 0 THEN 'a' || chr(0) || 'b' ELSE CAST(l_suppkey AS VARCHAR) END AS value, ['wav', 'mp3', 'au'][1 + l_orderkey % 3] AS box FROM lineitem"
+
+
+@query(
+    "tag_faults",
+    f"""WITH t AS ({_TAGGED}), c AS (SELECT *, CASE lower(name) WHEN 'inam' THEN 'title' WHEN 'artist' THEN 'artist' WHEN 'tracknumber' THEN 'track' WHEN 'albumartist' THEN 'album_artist' WHEN 'disc' THEN 'disc' WHEN 'isrc' THEN 'isrc' END AS tag FROM t),
+g AS (SELECT clip, tag, any_value(box) AS box, bool_or(contains(value, chr(0))) AS zero, count(DISTINCT value) AS n FROM c WHERE tag IS NOT NULL GROUP BY 1, 2)
+SELECT clip, tag, 'no tags in this container' AS fault FROM g WHERE box = 'au' UNION ALL SELECT clip, tag, 'no place for this tag' FROM g WHERE box = 'wav' AND tag IN ('album_artist', 'disc', 'isrc')
+UNION ALL SELECT clip, tag, 'a zero character' FROM g WHERE zero UNION ALL SELECT clip, tag, 'several values' FROM g WHERE n > 1""",
+)
+def tag_faults(spark, d):
+    """What the containers of orders read as clips can't keep of the tags that their lines give."""
+    line = b.table(spark, d, "lineitem")
+    names, boxes = F.lit(["INAM", "artist", "TRACKNUMBER", "albumartist", "Disc", "isrc", "mood"]), F.lit(["wav", "mp3", "au"])
+    value = F.when(F.col("l_partkey") % 17 == 0, F.lit("a\0b")).otherwise(F.col("l_suppkey").cast("string"))
+    tags = line.select(F.col("l_orderkey").alias("clip"), F.get(names, (F.col("l_linenumber") % 7).cast("int")).alias("name"), value.alias("value"))
+    return checks.tag_faults(tags, F.get(boxes, (F.col("clip") % 3).cast("int")))
+
+
+@query(
+    "effect_faults",
+    """WITH e AS (SELECT p_partkey AS effect, p_retailprice AS frequency, CASE WHEN p_size % 7 = 0 THEN 0.0 ELSE p_size / 50.0 END::DOUBLE AS duty, (p_size - 25) / 2.0::DOUBLE AS slide, p_size % 5 / 2.0::DOUBLE AS attack, p_size % 3::DOUBLE AS sustain, p_size % 4::DOUBLE AS decay FROM part)
+SELECT effect, 'frequency' AS fault FROM e WHERE NOT frequency BETWEEN 950 AND 1900 UNION ALL SELECT effect, 'duty' FROM e WHERE NOT (duty BETWEEN 0.1 AND 0.9 OR duty = 0) UNION ALL SELECT effect, 'slide' FROM e WHERE NOT slide BETWEEN -10 AND 10
+UNION ALL SELECT effect, 'duration' FROM e WHERE NOT (attack + sustain + decay > 0 AND attack + sustain + decay <= 5)""",
+)
+def effect_faults(spark, d):
+    size = F.col("p_size")
+    part = b.table(spark, d, "part").select(F.col("p_partkey").alias("effect"), F.col("p_retailprice").alias("frequency"), F.when(size % 7 == 0, 0.0).otherwise(size / 50).alias("duty"), ((size - 25) / 2).alias("slide"), (size % 5 / 2).alias("attack"), (size % 3).alias("sustain"), (size % 4).alias("decay"))
+    return checks.field_faults(part, "effect", {"frequency": (950.0, 1900.0, False), "duty": (0.1, 0.9, True), "slide": (-10.0, 10.0, False)}, 5.0)
+
+
+@query("repeated_names", "SELECT c_nationkey AS bus, count(*) AS times FROM customer GROUP BY 1 HAVING count(*) > 1")
+def repeated_names(spark, d):
+    return checks.repeated(b.table(spark, d, "customer").select(F.col("c_nationkey").alias("bus")), "bus")
+
+
+@query("drum_lengths", f"WITH {NOTE_SQL}, n AS (SELECT note, CASE WHEN note % 3 = 0 THEN 'clap' ELSE 'kick' END AS kind, note % 5 * 25 AS percent, midi AS tone, note % 90 AS noise, note % 2 AS click FROM notes) SELECT note, CAST(greatest(CASE WHEN percent < 100 AND kind <> 'clap' THEN tone ELSE 0 END, CASE WHEN percent > 0 AND noise > 0 THEN noise + CASE WHEN kind = 'clap' THEN 30 ELSE 0 END ELSE 0 END, CASE WHEN click > 0 THEN 3 ELSE 0 END) AS BIGINT) AS ms FROM n")
+def drum_lengths(spark, d):
+    note = F.col("note")
+    length = checks.drum_ms(F.when(note % 3 == 0, "clap").otherwise("kick"), note % 5 * 25, F.col("midi"), note % 90, note % 2)
+    return b.notes(spark, d).select("note", length.cast("bigint").alias("ms"))
+
+
+@query("piece_length", f"WITH {NOTE_SQL} SELECT CAST(max(start + length) AS BIGINT) AS ticks, round(max(start + length) * 60.0::DOUBLE / (120 * 48), 6) + 0.0 AS seconds FROM notes")
+def piece_length(spark, d):
+    return checks.piece_length(b.notes(spark, d), 120, TPQ).select("ticks", rounded(F.col("seconds")).alias("seconds"))
+
+
 # Reports over events ---------------------------------------------------------------------------------------------------
 
 
