@@ -154,16 +154,3 @@ def lfsr_period(tap: int, start: int = 1) -> int:
         state, n = (state >> 1) | (bit << 14), n + 1
         if state == start:
             return n
-
-
-def fm_operator_hz(coarse: Column, fine: Column, base_hz: Column) -> Column:
-    """The frequency of an operator with a ratio: half for coarse 0, fine in hundredths."""
-    return base_hz * F.when(coarse == 0, 0.5).otherwise(f64(coarse)) * (1 + fine / 100)
-
-
-def fm_pair(notes: DataFrame, rate: int, ratio: float, index: float, feedback_free: bool = True) -> DataFrame:
-    """(note, frame, sample): one operator modulating another; both phases are closed forms of the frame."""
-    each = exploded(notes, F.col("frames"))
-    t = phase(increment(F.col("hz"), rate), F.col("frame"))
-    m = phase(increment(F.col("hz") * ratio, rate), F.col("frame"))
-    return each.select("note", "frame", f32(F.sin((t + index / TURN * F.sin(m * TURN)) * TURN)).alias("sample"))
