@@ -14,8 +14,8 @@ vectors and by id, so equal scores are cut by id and nothing is left to rerank;
 Equal vectors are indexed once, with their smallest ids, so a vector that is very common costs no more than a rare one.
 Queries that find too few candidates visit all buckets within a step, and those that still do search all vectors in salted
 blocks. Vectors that are null, zero, hold null or non-finite components, or have another dimension than the most frequent
-one take no part, nor do rows with a null id. Repeated rows count once. Ties go to the smaller id. Extra columns do not
-take part.
+one take no part, nor do rows with a null id. Ids are whole numbers of 64 bits; others are an error. Repeated rows count
+once. Ties go to the smaller id. Extra columns do not take part.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ Encoding works on words between ASCII blanks, each distinct one encoded once for
 words, where the tokenizer's normaliser and pre-tokenizer are those of ``BY_WORD``, so that no piece reaches over a blank and
 the ids are those of the whole text; other tokenizers encode whole texts. Null texts count as empty and give
 the end id only. Null ids come first; equal ids are ordered by a hash of their text. Repeated rows are rows of their own.
-An empty table gives an empty file. Extra columns do not take part.
+An empty table gives an empty file. Ids are whole numbers of 64 bits; others are an error. Extra columns do not take part.
 """
 
 from __future__ import annotations
