@@ -142,9 +142,7 @@ def loudness_blocks(frames: DataFrame, rate: int) -> DataFrame:
     """(clip, block, power): weighted mean square of each full 400 ms window, every 100 ms, after K weighting; a clip that is
     shorter has one block."""
     block, step = int(np.floor(0.4 * rate + 0.5)), int(np.floor(0.1 * rate + 0.5))
-    weighted = frames
-    for coefficients in kernels.k_weights(rate):  # each filter gives 32-bit floats
-        weighted = scans.filtered(weighted, coefficients).withColumn("sample", f32(F.col("sample")))
+    weighted = scans.filtered(frames, *kernels.k_weights(rate)).withColumn("sample", f32(F.col("sample")))
     clip = Window.partitionBy("clip")
     short = [F.when((F.col("channels") == k) & (F.col("channel") == c), w) for k, ws in CHANNEL_WEIGHTS.items() for c, w in enumerate(ws)]
     weight = F.coalesce(*short, F.lit(1.0))

@@ -62,28 +62,47 @@ def _table(frames: DataFrame, **columns: np.ndarray) -> DataFrame:
     return F.broadcast(frames.sparkSession.createDataFrame(pa.table({"_at": np.arange(size), **columns})))
 
 
-def filtered(frames: DataFrame, coefficients: tuple[float, ...], block: int = BLOCK) -> DataFrame:
-    """(clip, channel, frame, sample) with the filtered samples in 64-bit floats.
+def filtered(frames: DataFrame, *chain: tuple[float, ...], block: int = BLOCK) -> DataFrame:
+    """(clip, channel, frame, sample) with the samples in 64-bit floats behind one filter, or several in a row that hand on
+    32-bit floats.
 
-    The state of the filter is what its last inputs and outputs add to the next two outputs. Entered with none, a block ends
-    with the sum of its samples times fixed numbers for each place, which is an aggregate; a state fades by a fixed matrix.
+    The state of a filter is what its last inputs and outputs add to the next two outputs, two numbers for each of the chain.
+    Entered with none, a block ends with the sum of its samples times fixed numbers for each place, which is an aggregate; a
+    state fades by a fixed matrix. States are those of the chain in 64-bit floats throughout.
     """
-    b0, b1, b2, a1, a2 = coefficients
-    fade, drive = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
-    seen, weights, powers = np.eye(2), np.empty((block, 2)), np.empty((block, 2))
+
+    def step(state: np.ndarray, x: float) -> tuple[list[float], float]:
+        new = []
+        for (b0, b1, b2, a1, a2), (z1, z2) in zip(chain, state.reshape(-1, 2)):
+            y = b0 * x + z1
+            new += [b1 * x - a1 * y + z2, b2 * x - a2 * y]
+            x = y
+        return new, x
+
+    n = 2 * len(chain)
+    fade, out = np.array([step(e, 0.0)[0] for e in np.eye(n)]).T, np.array([step(e, 0.0)[1] for e in np.eye(n)])
+    seen, drive = np.eye(n), np.array(step(np.zeros(n), 1.0)[0])
+    weights, powers = np.empty((block, n)), np.empty((block, n))
     for i in range(block):  # seen is fade to the power of i
-        weights[block - 1 - i], powers[i] = seen @ drive, seen[0]
+        weights[block - 1 - i], powers[i] = seen @ drive, out @ seen
         seen = fade @ seen
+    columns = lambda name, table: {f"{name}{k}": table[:, k] for k in range(n)}
     blocks = frames.select("clip", "channel", F.floor(F.col("frame") / block).cast("bigint").alias("block"), F.pmod("frame", F.lit(block)).alias("_at"), "frame", "sample")
-    keys = ["clip", "channel"]
-    weighted = blocks.join(_table(frames, _w1=weights[:, 0], _w2=weights[:, 1]), "_at")
-    ends = weighted.groupBy(*keys, "block").agg(F.sum(f64(F.col("sample")) * F.col("_w1")).alias("e1"), F.sum(f64(F.col("sample")) * F.col("_w2")).alias("e2"))
-    states = entered(ends, keys, ["e1", "e2"], lambda s, e: s @ seen.T + e, [0.0, 0.0], ["s1", "s2"])
+    keys, numbers = ["clip", "channel"], range(n)
+    weighted = blocks.join(_table(frames, **columns("_w", weights)), "_at")
+    ends = weighted.groupBy(*keys, "block").agg(*(F.sum(f64(F.col("sample")) * F.col(f"_w{k}")).alias(f"e{k}") for k in numbers))
+    states = entered(ends, keys, [f"e{k}" for k in numbers], lambda s, e: s @ seen.T + e, [0.0] * n, [f"s{k}" for k in numbers])
+
+    def alone(rows: np.ndarray) -> np.ndarray:
+        for k, coefficients in enumerate(chain):
+            rows = kernels.biquad(rows.astype(np.float32) if k else rows, coefficients)
+        return rows
+
     schema = f"clip {blocks.schema['clip'].dataType.simpleString()}, channel int, block bigint, frame bigint, sample double"
-    alone = by_run(blocks, [*keys, "block"], "sample", lambda x, n, _: (kernels.by_rows(lambda rows: kernels.biquad(rows, coefficients), x, n), n), schema)
-    met = alone.withColumnRenamed("frame", "_at").join(states, [*keys, "block"], "left").join(_table(frames, _r1=powers[:, 0], _r2=powers[:, 1]), "_at")
-    rung = F.coalesce(F.col("_r1") * F.col("s1") + F.col("_r2") * F.col("s2"), F.lit(0.0))
-    return met.select(*keys, (F.col("block") * block + F.col("_at")).alias("frame"), (F.col("sample") + rung).alias("sample"))
+    local = by_run(blocks, [*keys, "block"], "sample", lambda x, n, _: (kernels.by_rows(alone, x, n), n), schema)
+    met = local.withColumnRenamed("frame", "_at").join(states, [*keys, "block"], "left").join(_table(frames, **columns("_r", powers)), "_at")
+    rung = sum((F.col(f"_r{k}") * F.col(f"s{k}") for k in numbers[1:]), F.col("_r0") * F.col("s0"))
+    return met.select(*keys, (F.col("block") * block + F.col("_at")).alias("frame"), (F.col("sample") + F.coalesce(rung, F.lit(0.0))).alias("sample"))
 
 
 def limiter_gains(peaks: DataFrame, ceiling: float, release: float, block: int | None = None) -> DataFrame:

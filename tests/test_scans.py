@@ -48,6 +48,17 @@ def test_filters_over_blocks(spark, kind):
         assert np.allclose(got[k], plain_biquad(x, c), atol=1e-11)
 
 
+def test_filters_in_a_row_over_blocks(spark):
+    signals = clips([1, 8, 9, 100, 333], 7)
+    chain = (kernels.biquad_coefficients("highshelf", 900, 8000, 0.8, 4.0), kernels.biquad_coefficients("highpass", 60, 8000), kernels.one_pole_coefficients(700, 8000))
+    got = collected(scans.filtered(spark.createDataFrame(as_rows(signals), FRAMES), *chain, block=16), ["clip", "channel"])
+    for k, x in signals.items():
+        want = x
+        for c in chain:
+            want = np.array(plain_biquad(np.float32(want), c))
+        assert np.allclose(got[k], want, atol=2e-6)
+
+
 def test_a_long_clip_is_filtered_by_many_tasks(spark):
     n, c = 10_000_000, kernels.biquad_coefficients("lowpass", 40, 48_000)
     frames = spark.range(0, n, 1, 16).select(F.lit(5).cast("bigint").alias("clip"), F.lit(0).alias("channel"), F.col("id").alias("frame"), (F.pmod(F.xxhash64("id"), F.lit(2001)) / 1000.0 - 1.0).cast("float").alias("sample"))
