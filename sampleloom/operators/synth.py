@@ -109,14 +109,16 @@ STRETCH = 1 << 14
 
 def summed_phase(rows: DataFrame, by: str, step: Column, stretch: int = STRETCH) -> DataFrame:
     """Adds ``phase``, 0 to 1, before each frame of (by, frame, …): whole-number steps of all frames before it. They are added
-    up within stretches of frames, and what comes before a stretch is a sum over one row for each, so a long note is many
-    tasks' work and never drifts."""
-    parted = rows.withColumn("_part", F.floor(F.col("frame") / stretch).cast("bigint")).withColumn("_step", step)
-    inside = F.sum("_step").over(Window.partitionBy(by, "_part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1))
-    before = F.sum("_sum").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    sums = parted.groupBy(by, "_part").agg(F.sum("_step").alias("_sum")).select(F.col(by).alias("_k"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
-    met = parted.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
-    return met.select(*rows.columns, (F.pmod(F.col("_inside") + F.col("_before"), F.lit(CYCLE)) / float(CYCLE)).alias("phase"))
+    up within stretches of frames, and what comes before a stretch is carried into it by one row, so a long note is many
+    tasks' work and never drifts. Nothing is joined: Spark takes exploded frames for as few as their notes, and would
+    broadcast them."""
+    parted = rows.withColumn("_part", F.floor(F.col("frame") / stretch).cast("bigint")).withColumn("_step", step).withColumn("_own", F.lit(True))
+    before = F.sum("_step").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = parted.groupBy(by, "_part").agg(F.sum("_step").alias("_step"))
+    carried = sums.select(by, "_part", before.alias("_step"), F.lit(False).alias("_own")).where("_step is not null")
+    inside = F.sum("_step").over(Window.partitionBy(by, "_part").orderBy("_own", "frame").rowsBetween(Window.unboundedPreceding, -1))
+    met = parted.unionByName(carried, allowMissingColumns=True).withColumn("_before", F.coalesce(inside, F.lit(0))).where("_own")
+    return met.select(*rows.columns, (F.pmod(F.col("_before"), F.lit(CYCLE)) / float(CYCLE)).alias("phase"))
 
 
 def drum_level(age: Column, length: int, attack: int) -> Column:

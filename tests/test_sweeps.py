@@ -27,3 +27,12 @@ def test_phases_of_swept_notes(spark, stretch):
             assert r.duty == (0.5 if i < 10 else [0.125, 0.25, 0.75][min(i // 10 - 1, 2)])
             total += r.step
     assert not got
+
+
+def test_phases_broadcast_nothing(spark):
+    """However many notes there are: a table with a row for each is no table for the driver."""
+    notes = spark.range(3000).select(F.col("id").alias("note"), F.lit(5).alias("n"))
+    made = synth.exploded(notes, F.col("n")).withColumn("step", F.col("frame") + 1)
+    out = synth.summed_phase(made, "note", F.col("step"), 2)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.frame, r.phase * synth.CYCLE) for r in out.collect()} == {(0, 0), (1, 1), (2, 3), (3, 6), (4, 10)} and out.count() == 15_000
