@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sampleloom.llm import credential_scan, langid, length_buckets, pareto_mix, setsketch
 from sampleloom.llm.common import discard, release, small_batches, store, table
 
-#: A document goes if no word of it comes so far from an even chance among the languages to certainty, by ratio.
+#: A document goes if no word of it comes so far from an even chance among the languages to certainty of its span's, by ratio.
 LEAST_LANGUAGE = 0.25
 
 

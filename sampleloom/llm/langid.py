@@ -209,7 +209,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows, all columns as they are, with a word that clearly belongs to a language (see ``identified``)."""
+    """The rows, all columns as they are, with a word that clearly belongs to the language of its span (see ``identified``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -222,16 +222,16 @@ def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
 
 def identified(model: Model, texts: list[str], least: float) -> list[bool]:
-    """Whether a word of each text clearly belongs to one of the k languages, whichever and however many others there are.
+    """Whether a word of each text clearly belongs to that of the k languages which the Viterbi path gives its span, whichever and
+    however many others there are.
 
-    Its posterior must lie ``least`` of the way from 1/k to 1, by ratio. Words in scripts of no language belong to none.
+    Its posterior there must lie ``least`` of the way from 1/k to 1, by ratio. Words in scripts of no language belong to none.
     """
     out = np.zeros(len(texts), bool)
     if model.langs:
-        words = Words(texts)
-        s = model.word_scores(words)
+        words, s, labels = model.spans(texts)
         if len(s):
-            sure = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
+            sure = np.exp(s[np.arange(len(s)), labels] - np.logaddexp.reduce(s, axis=1))
             sure[~model.allowed[words.script].any(1)] = 0
             out[words.doc[(sure >= len(model.langs) ** (least - 1)) & (words.n_letters > 0)]] = True
     return out.tolist()

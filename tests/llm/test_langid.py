@@ -155,3 +155,24 @@ def test_query_against_the_plain_form(spark):
     for r in out[::3]:
         lang, score, _ = plain_label(model, texts[r.doc_id] or "", langid.SWITCH_PENALTY)
         assert r.lang_pred == lang and abs(r.score - score) < 1e-3, r.doc_id
+
+
+class Given(langid.Model):
+    """Words whose chances in four languages are given."""
+
+    def __init__(self, chances):
+        super().__init__(list("wxyz"), np.zeros((langid.BUCKETS, 4), np.float32), np.ones((len(langid.SCRIPTS), 4), bool))
+        self.chances = chances
+
+    def word_scores(self, words):
+        s = np.log(np.array(self.chances))
+        return s - s.max(1, keepdims=True)
+
+
+def test_identified_by_spans():
+    """A word that is clear by itself counts only in a span of its language."""
+    stray, plain = [0.5, 0.1, 0.1, 0.3], [0.1, 0.33, 0.23, 0.34]
+    assert langid.identified(Given([stray, plain, plain, plain]), ["a b c d"], 0.25) == [False]
+    assert langid.identified(Given([stray] * 4), ["a b c d"], 0.25) == [True]
+    other = [0.97, 0.01, 0.01, 0.01]
+    assert langid.identified(Given([plain] * 5 + [other] * 5), ["a b c d e f g h i j"], 0.25) == [True]
