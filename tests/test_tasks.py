@@ -23,3 +23,10 @@ def dealt(spark, name, monkeypatch):
 def test_lines_are_dealt_by_their_number(spark, name, monkeypatch):
     _, plan, least = dealt(spark, name, monkeypatch)
     assert {int(n) for n in re.findall(r"hashpartitioning\(l_suppkey#\d+L, (\d+)\)", plan)} == {least}
+
+
+def test_downmix_has_a_group_for_each_frame(spark, monkeypatch):
+    """No exchange behind the one of the lines, and groups without the channels of the result."""
+    out, plan, least = dealt(spark, "downmix_51", monkeypatch)
+    assert out.rdd.getNumPartitions() == least
+    assert not re.search(r"Aggregate\(keys=\[clip#\d+L, (_c|channel)#\d+", plan)
