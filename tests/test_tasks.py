@@ -30,3 +30,16 @@ def test_downmix_has_a_group_for_each_frame(spark, monkeypatch):
     out, plan, least = dealt(spark, "downmix_51", monkeypatch)
     assert out.rdd.getNumPartitions() == least
     assert not re.search(r"Aggregate\(keys=\[clip#\d+L, (_c|channel)#\d+", plan)
+
+
+@pytest.mark.parametrize("name", ["effect_lowpass", "effect_highpass"])
+def test_filtered_frames_are_dealt_by_their_number(spark, name, monkeypatch):
+    out, plan, least = dealt(spark, name, monkeypatch)
+    assert out.rdd.getNumPartitions() == least
+    assert {int(n) for n in re.findall(r"hashpartitioning\(clip#\d+L, channel#\d+, block#\d+L, (\d+)\)", plan)} == {least}
+
+
+@pytest.mark.parametrize("name", ["bitcrusher", "chorus", "delay", "flanger", "phaser", "reverb"])
+def test_channels_for_effects_are_dealt_by_their_number(spark, name, monkeypatch):
+    out, plan, least = dealt(spark, f"effect_{name}", monkeypatch)
+    assert out.rdd.getNumPartitions() == least
